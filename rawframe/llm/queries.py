@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op7_decontaminate
 from .hilbert import op1_hilbert_shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shard": op1_hilbert_shard,
+    "op7_decontaminate": op7_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
