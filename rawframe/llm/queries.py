@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op3_bpe
 from .decontaminate import op7_decontaminate
 from .hilbert import op1_hilbert_shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shard": op1_hilbert_shard,
+    "op3_bpe": op3_bpe,
     "op7_decontaminate": op7_decontaminate,
 }
 
