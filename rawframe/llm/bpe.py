@@ -41,7 +41,7 @@ REMEMBERED_WORDS = 300_000
 COUNTED_WORDS = 300_000
 
 # Fixed value: the white space of Unicode, as the tokenizers' pattern takes it.
-SPACE = r"\t-\r\x20\x85\xA0  -     　"
+SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 # Fixed value: the pattern that cuts text into words before the merges.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
