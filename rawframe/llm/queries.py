@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op3_bpe
 from .decontaminate import op7_decontaminate
 from .hilbert import op1_hilbert_shard
+from .language import op8_language
+from .quality import op4_quality
 from .secrets import op5_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shard": op1_hilbert_shard,
     "op3_bpe": op3_bpe,
+    "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
     "op7_decontaminate": op7_decontaminate,
+    "op8_language": op8_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
