@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import re
 import struct
 import tempfile
 import uuid
@@ -36,15 +37,27 @@ LEXICON_WORDS = 65_536
 #: Longer words are left to merging.
 LEXICON_WORD_BYTES = 64
 #: Encoded words a task remembers before it starts afresh.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 500_000
 #: Distinct words a counting task holds before it hands its counts on.
 COUNTED_WORDS = 300_000
 
+LONG_WORD_BYTES = 100
+NO_RANK = 1 << 40
+
 # Fixed value: the white space of Unicode, as the tokenizers' pattern takes it.
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 # Fixed value: the pattern that cuts text into words before the merges.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
+#: The same cut for texts of ASCII and Latin letters only, where plain ranges say what a letter is.
+LATIN = r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u024F"
+LATIN_WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[0-9]+| ?[^\t-\r {LATIN}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+NOT_LATIN = re.compile(r"[^\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\u024F]")
+
+
+def cut_words(text: str) -> list[str]:
+    return (WORDS if NOT_LATIN.search(text) else LATIN_WORDS).findall(text)
+
 
 def _byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in the vocabulary file: printable Latin-1 for itself, the rest from U+0100 on."""
@@ -73,34 +86,52 @@ class Merger:
         self.single = [0] * 256
         for letter, b in letters.items():
             self.single[b] = vocab[letter]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        #: The rank of a pair (two ids as one number), and the id that each rank makes.
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a] << 32 | vocab[b]] = rank
+            self.made.append(vocab[a + b])
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: the pair of the lowest rank, leftmost first, is merged until none is left."""
         ids = [self.single[b] for b in word]
-        n = len(ids)
+        if len(ids) > LONG_WORD_BYTES:
+            return self._merge_long(ids)
+        get, made = self.ranks.get, self.made
+        ranks = [get(a << 32 | b, NO_RANK) for a, b in zip(ids, ids[1:])]
+        while ranks and (rank := min(ranks)) < NO_RANK:
+            k = ranks.index(rank)
+            ids[k] = new = made[rank]
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = get(ids[k - 1] << 32 | new, NO_RANK)
+            if k < len(ranks):
+                ranks[k] = get(new << 32 | ids[k + 1], NO_RANK)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap, in time near proportional to the length."""
+        n, get = len(ids), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         gone = bytearray(n + 1)
-        pairs = self.pairs
-        heap = [(*found, k) for k in range(n - 1) if (found := pairs.get((ids[k], ids[k + 1])))]
+        heap = [(rank, k) for k in range(n - 1) if (rank := get(ids[k] << 32 | ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, new, k = heapq.heappop(heap)
-            if gone[k] or (r := after[k]) >= n or pairs.get((ids[k], ids[r])) != (rank, new):
+            rank, k = heapq.heappop(heap)
+            if gone[k] or (r := after[k]) >= n or get(ids[k] << 32 | ids[r]) != rank:
                 continue
-            ids[k] = new
+            ids[k] = new = self.made[rank]
             gone[r] = 1
             after[k] = far = after[r]
             if far < n:
                 before[far] = k
-                if found := pairs.get((new, ids[far])):
-                    heapq.heappush(heap, (*found, k))
-            if (left := before[k]) >= 0 and (found := pairs.get((ids[left], new))):
-                heapq.heappush(heap, (*found, left))
+                if (found := get(new << 32 | ids[far])) is not None:
+                    heapq.heappush(heap, (found, k))
+            if (left := before[k]) >= 0 and (found := get(ids[left] << 32 | new)) is not None:
+                heapq.heappush(heap, (found, left))
         return [x for k, x in enumerate(ids) if not gone[k]]
 
     def parts(self, text: str) -> Iterator[tuple[str, int | None]]:
@@ -214,8 +245,8 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         cut = self.merger.cut
         if cut is None or not cut.search(text):
-            return b"".join(map(self.__getitem__, WORDS.findall(text)))
-        return b"".join(struct.pack("<I", i) if i is not None else b"".join(map(self.__getitem__, WORDS.findall(part))) for part, i in self.merger.parts(text))
+            return b"".join(map(self.__getitem__, cut_words(text)))
+        return b"".join(struct.pack("<I", i) if i is not None else b"".join(map(self.__getitem__, cut_words(part))) for part, i in self.merger.parts(text))
 
 
 _ready: dict[str, Encoder] = {}
@@ -257,7 +288,7 @@ def count_words(docs: DataFrame, source: bytes) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 for part in special.split(text.as_py() or "") if special else [text.as_py() or ""]:
-                    counts.update(WORDS.findall(part))
+                    counts.update(cut_words(part))
                 if len(counts) >= COUNTED_WORDS:
                     yield out()
                     counts.clear()
