@@ -12,9 +12,11 @@ from .hilbert import op1_hilbert_shard
 from .language import op8_language
 from .quality import op4_quality
 from .secrets import op5_secrets
+from .substring_dedup import op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shard": op1_hilbert_shard,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
