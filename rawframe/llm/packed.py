@@ -19,6 +19,8 @@ from .kernels import SLICE_BYTES, slices, utf8
 NO_ID = np.iinfo(np.int64).max
 #: About so many bytes of text are behind each bucket of an exchange of packed arrays.
 BUCKET_BYTES = 16 << 20
+#: Documents of a batch at most.
+MOST_ROWS = 1 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -65,12 +67,17 @@ def pack_texts(docs: DataFrame, size: int = SLICE_BYTES, key: str = "doc_id", te
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             data, offsets = utf8(batch.column(1))
-            for i, j in slices(offsets, size):
+            for i, j in ((a, min(a + MOST_ROWS, j)) for i, j in slices(offsets, size) for a in range(i, j, MOST_ROWS)):
                 block = Batch(ids[i:j], offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]).block()
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([int(offsets[j] - offsets[i])], pa.int64())], ["docs", "bytes"])
 
     packed = docs.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(run, "docs binary, bytes bigint")
-    return stage_table(packed.withColumn("batch", F.monotonically_increasing_id()), "texts")
+    # The number of a batch takes 40 bits: its partition's, and 16 for its place there.
+    number = F.monotonically_increasing_id()
+    staged = stage_table(packed.withColumn("at", number), "texts")
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    checked = F.when(place < 1 << 16, F.shiftleft(F.shiftright("at", 33), 16) + place).otherwise(F.raise_error(F.lit("a partition has too many batches")))
+    return staged.select("docs", "bytes", checked.cast("bigint").alias("batch"))
 
 
 def bucket_count(packed: DataFrame, least: int = 8) -> int:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op3_bpe
 from .decontaminate import op7_decontaminate
 from .hilbert import op1_hilbert_shard
+from .jaccard import op10_jaccard
 from .language import op8_language
 from .quality import op4_quality
 from .secrets import op5_secrets
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op7_decontaminate": op7_decontaminate,
     "op8_language": op8_language,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
