@@ -14,6 +14,7 @@ from .language import op8_language
 from .quality import op4_quality
 from .secrets import op5_secrets
 from .substring_dedup import op2_substring_dedup
+from .topk import OP6_SQL, op6_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shard": op1_hilbert_shard,
@@ -21,9 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
+    "op6_topk": op6_topk,
     "op7_decontaminate": op7_decontaminate,
     "op8_language": op8_language,
     "op10_jaccard": op10_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_topk": OP6_SQL}
