@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import read_table, stage_table
 from .components import components
 from .kernels import SLICE_BYTES, Hasher, ascii_lower, byte_class, hash_runs, mix, spans_of
-from .packed import NO_ID, Batch, bucket_count, pack, pack_sorted, pack_texts, unpack, unpack_sorted
+from .packed import NO_ID, PLACE_BITS, Batch, bucket_count, keep_rows, pack_sorted, pack_texts, unpack_sorted
 from .substring_dedup import runs
 
 WIDTH = 4
@@ -50,8 +50,6 @@ FAMILY_SETS = 1_000
 FAMILY_GRAMS = 2_000_000
 _IN_WORD = byte_class(r"[^\x20\x09-\x0D]")
 _SUBSET = np.uint64(0xA24BAED4963EE407)
-#: A row's number is its batch's, then so many bits for its place there.
-PLACE_BITS = 22
 
 
 def needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -278,8 +276,17 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, ba
     """(row, doc_id, n_shingles, component_id, n_links) of each document.
 
     Two documents are linked when 100 |A and B| >= percent |A or B| for their sets."""
-    spark = docs.sparkSession
-    texts = pack_texts(docs, batch_bytes, key, text)
+    return _joined(pack_texts(docs, batch_bytes, key, text), width, percent, long_list, family_sets).drop("first")
+
+
+def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, but of each component only the one with the smallest id."""
+    texts = pack_texts(docs, SLICE_BYTES, key, text, others=True)
+    return keep_rows(texts, _joined(texts, width, percent, LONG_LIST, FAMILY_SETS).where("first"), docs.schema, text)
+
+
+def _joined(texts: DataFrame, width: int, percent: int, long_list: int, family_sets: int) -> DataFrame:
+    spark = texts.sparkSession
     bits = bucket_count(texts).bit_length() - 1
     packed = texts.select("batch", "docs")
 
@@ -345,8 +352,8 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, ba
     counts = links.groupBy("row").agg(F.sum("links").alias("links"))
     grouped = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").join(counts.select(F.col("row").alias("rep"), "links"), "rep", "left")
     grouped = grouped.withColumn("component", F.coalesce("component", "rep"))
-    leasts = grouped.where("links is not null").groupBy("component").agg(F.min("least").alias("group_least"))
-    grouped = grouped.join(leasts, "component", "left").select("n", "s", "t", F.coalesce("group_least", "least").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    leasts = grouped.where("links is not null").groupBy("component").agg(F.min(F.struct("least", "rep")).alias("first"))
+    grouped = grouped.join(leasts, "component", "left").select("n", "s", "t", F.coalesce("first.least", "least").alias("least"), F.coalesce("first.rep", "rep").alias("keeper"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = described.join(grouped, ["n", "s", "t"], "left")
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(
@@ -355,6 +362,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, ba
         F.col("n").alias("n_shingles"),
         F.coalesce(known("least"), known("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        (F.coalesce("keeper", "row") == F.col("row")).alias("first"),
     )
 
 

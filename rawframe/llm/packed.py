@@ -49,29 +49,50 @@ class Batch:
     ids: np.ndarray
     offsets: np.ndarray
     data: np.ndarray
+    #: The other columns of the rows, as an Arrow stream; empty if they weren't asked for.
+    others: bytes = b""
+    #: Which texts are null.
+    null: np.ndarray | None = None
 
     @staticmethod
     def of(block: bytes) -> Batch:
         return Batch(*unpack(block))
 
     def block(self) -> bytes:
-        return pack(self.ids, self.offsets, self.data)
+        return pack(self.ids, self.offsets, self.data, self.others, self.null)
 
+    def rows(self, names: list[str], text: str, texts: pa.Array | None = None) -> pa.Table:
+        """The rows as they were, with other texts if given."""
+        if texts is None:
+            buffers = [pa.py_buffer(np.packbits(~self.null, bitorder="little")), pa.py_buffer(self.offsets.astype(np.int64)), pa.py_buffer(self.data)]
+            texts = pa.Array.from_buffers(pa.large_string(), len(self.ids), buffers).cast(pa.string())
+        whole = pa.ipc.open_stream(self.others).read_all()
+        return pa.table({c: texts if c == text else whole.column(c) for c in names})
 
-def pack_texts(docs: DataFrame, size: int = SLICE_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def pack_texts(docs: DataFrame, size: int = SLICE_BYTES, key: str = "doc_id", text: str = "text", others: bool = False) -> DataFrame:
     """(batch, docs): all rows of docs in batches of about `size` bytes, written to the shared folder.
 
-    A longer text makes a batch of its own."""
+    A longer text makes a batch of its own. With others, the batches hold all columns."""
+    kept = [c for c in docs.columns if c != text] if others else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            null = np.asarray(batch.column(1).is_null())
             data, offsets = utf8(batch.column(1))
+            whole = pa.RecordBatch.from_arrays(batch.columns[2:], kept) if kept else None
             for i, j in ((a, min(a + MOST_ROWS, j)) for i, j in slices(offsets, size) for a in range(i, j, MOST_ROWS)):
-                block = Batch(ids[i:j], offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]).block()
+                stream = b""
+                if whole is not None:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, whole.schema) as out:
+                        out.write_batch(whole.slice(i, j - i))
+                    stream = sink.getvalue().to_pybytes()
+                block = Batch(ids[i:j], offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], stream, null[i:j]).block()
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([int(offsets[j] - offsets[i])], pa.int64())], ["docs", "bytes"])
 
-    packed = docs.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(run, "docs binary, bytes bigint")
+    packed = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"), *[F.col(c) for c in kept]).mapInArrow(run, "docs binary, bytes bigint")
     # The number of a batch takes 40 bits: its partition's, and 16 for its place there.
     number = F.monotonically_increasing_id()
     staged = stage_table(packed.withColumn("at", number), "texts")
@@ -84,3 +105,21 @@ def bucket_count(packed: DataFrame, least: int = 8) -> int:
     """Buckets for an exchange over all texts: as many as keep each one's share of the texts bounded."""
     total = packed.agg(F.sum("bytes")).first()[0] or 0
     return 1 << max(least - 1, total // BUCKET_BYTES).bit_length()
+
+
+#: A row's number is its batch's, then so many bits for its place there.
+PLACE_BITS = 22
+
+
+def keep_rows(texts: DataFrame, chosen: DataFrame, schema, text: str = "text") -> DataFrame:
+    """The rows of packed texts (with all columns) whose numbers are in chosen.row."""
+    place = F.col("row").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    wanted = chosen.select(F.shiftright("row", PLACE_BITS).alias("batch"), place.alias("place")).groupBy("batch").agg(F.collect_list("place").alias("places"))
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, places in zip(b.column(0), b.column(1)):
+                yield from Batch.of(block.as_py()).rows(names, text).take(pa.array(sorted(places.as_py()), pa.int64())).combine_chunks().to_batches()
+
+    return texts.select("batch", "docs").join(wanted, "batch").select("docs", "places").mapInArrow(run, schema)

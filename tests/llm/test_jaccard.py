@@ -98,3 +98,13 @@ def test_components(spark):
     chain = [(k + 1, k) for k in range(40)] + [(100, 50), (50, 75), (60, 60)]
     got = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert got == {k: 0 for k in range(41)} | {50: 50, 75: 50, 100: 50}
+
+
+def test_keep_first_keeps_all_columns(spark):
+    rows = [(5, "a b c d e f g h", "x", 1), (2, "a b c d e f g h", None, 2), (2, "A b c d e f g h", "twice", 3), (9, None, "n", 4), (10, "", "e", 5), (None, "q r s t u é", "z", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, n int").repartition(2)
+    kept = J.keep_first(docs, 5, 80)
+    assert kept.schema == docs.schema
+    got = kept.collect()
+    assert len(got) == 4 and {r["n"] for r in got} in ({2, 4, 5, 6}, {3, 4, 5, 6})
+    assert {(r["doc_id"], r["text"]) for r in got if r["n"] > 3} == {(9, None), (10, ""), (None, "q r s t u é")}
