@@ -1,15 +1,66 @@
-"""The corpus pipeline: each stage applies one operator to what the stage before has kept."""
+"""The corpus pipeline: each stage applies one operator to all that the stage before has kept.
+
+Documents keep their columns up to the last stage; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rawframe.llm import bpe, decontaminate, jaccard, line_dedup, quality
+from rawframe.llm.common import read_table, stage_table
+
+#: Near duplicates: sets of five words, similarity from 80 %.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go, and documents that had no others."""
+    return line_dedup.drop_repeated(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return jaccard.keep_first(docs, NEAR_WIDTH, NEAR_PERCENT)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by benchmark items go."""
+    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's ids (little-endian 32-bit numbers), and digests of them and of the decoded text."""
+    return bpe.tokenized(docs).select(
+        "row.*",
+        F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("lines", without_repeated_lines),
+    ("near_duplicates", one_of_each_group),
+    ("benchmark", without_benchmark),
+    ("tokens", tokens),
+]
 
-STAGES: list = []
+#: A learned classifier and a tokenizer's merges have no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the table of documents, each written and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

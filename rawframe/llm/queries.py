@@ -11,6 +11,7 @@ from .decontaminate import op7_decontaminate
 from .hilbert import op1_hilbert_shard
 from .jaccard import op10_jaccard
 from .language import op8_language
+from .line_dedup import op9_line_dedup
 from .quality import op4_quality
 from .secrets import op5_secrets
 from .substring_dedup import op2_substring_dedup
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_topk": op6_topk,
     "op7_decontaminate": op7_decontaminate,
     "op8_language": op8_language,
+    "op9_line_dedup": op9_line_dedup,
     "op10_jaccard": op10_jaccard,
 }
 
