@@ -31,15 +31,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, stage_table
 
 LEXICON_WORDS = 65_536
 #: Longer words are left to merging.
 LEXICON_WORD_BYTES = 64
 #: Encoded words a task remembers before it starts afresh.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 250_000
 #: Distinct words a counting task holds before it hands its counts on.
-COUNTED_WORDS = 300_000
+COUNTED_WORDS = 200_000
 
 LONG_WORD_BYTES = 100
 NO_RANK = 1 << 40
@@ -76,13 +76,7 @@ class Merger:
         added = spec.get("added_tokens", [])
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added) or spec.get("normalizer") or spec["model"].get("dropout"):
             raise ValueError("this kind of tokenizer file isn't supported")
-        as_bytes = lambda token: bytes(letters[c] for c in token)
         self.special = {t["content"]: t["id"] for t in added}
-        self.pieces = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
-        for token, i in vocab.items():
-            self.pieces[i] = as_bytes(token)
-        for token, i in self.special.items():
-            self.pieces[i] = token.encode()
         self.single = [0] * 256
         for letter, b in letters.items():
             self.single[b] = vocab[letter]
@@ -146,6 +140,14 @@ class Merger:
             yield text[at:], None
 
 
+def pieces(source: bytes) -> list[bytes]:
+    """The bytes of each id."""
+    spec, letters = json.loads(source), _byte_letters()
+    found = {i: bytes(letters[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+    found |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+    return [found.get(i, b"") for i in range(max(found) + 1)]
+
+
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """The minimal acyclic transducer of words and their ids, as one block of bytes.
 
@@ -298,10 +300,20 @@ def count_words(docs: DataFrame, source: bytes) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, source: bytes, size: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the `size` most frequent words of docs."""
+    """The compiled lexicon of the most frequent words of docs, at most `size`."""
     merger = Merger(source)
-    top = count_words(docs, source).where(F.octet_length("word") <= LEXICON_WORD_BYTES).orderBy(F.desc("n"), "word").limit(size)
-    words = {r["word"].encode(): None for r in top.select("word").collect()}
+    counted = stage_table(count_words(docs, source).where(F.octet_length("word") <= LEXICON_WORD_BYTES), "words")
+    # Words by the (rounded) logarithm of their counts: a few hundred rows, from which the least count follows.
+    level = F.floor(F.log2("n") * 16).cast("int")
+    levels = counted.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
+    room, least = size, None
+    for r in levels:
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["level"]
+    top = counted.where(level >= least).select("word") if least is not None else counted.limit(0).select("word")
+    words = {r["word"].encode(): None for r in top.collect()}
     return compile_lexicon({w: merger.merge(w) for w in words})
 
 
@@ -338,10 +350,10 @@ def encode(docs: DataFrame, source: bytes, lexicon: bytes | None, text: str = "t
 
 def decode(encoded: DataFrame, source: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """encoded with the column text; special tokens are kept, broken UTF-8 is replaced."""
-    shared = _Shared(encoded.sparkSession, (source, None))
+    shared = encoded.sparkSession.sparkContext.broadcast(pieces(source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = _encoder(shared).merger.pieces.__getitem__
+        piece = shared.value.__getitem__
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             texts = [b"".join(map(piece, np.frombuffer(x.as_py() or b"", "<u4").tolist())).decode("utf-8", "replace") for x in column]
