@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, stage_table
-from .kernels import SLICE_BYTES, Hasher
+from .kernels import SLICE_BYTES, Hasher, mix
 from .packed import NO_ID, Batch, bucket_count, pack, pack_sorted, pack_texts, unpack, unpack_sorted
 
 WINDOW = 50
@@ -50,7 +50,8 @@ def first_digits(batch: Batch, window: int, k: int) -> tuple[np.ndarray, np.ndar
     for end in batch.offsets[1:-1]:
         inside[max(0, end - window + 1) : end] = False
     at = np.flatnonzero(inside)
-    return at, np.searchsorted(batch.offsets, at, "right") - 1, least[at]
+    # Least hashes crowd at the low end; mixed, they spread over the buckets.
+    return at, np.searchsorted(batch.offsets, at, "right") - 1, mix(least[at])
 
 
 def runs(*columns: np.ndarray) -> np.ndarray:
