@@ -9,8 +9,10 @@ The n-grams that most lists would be long for (found by counting all prefixes) c
 global order, so they enter a prefix only where nothing rarer is left. Any choice of them
 gives the same links; that is why their number can have a bound.
 
-Lists give candidate families: star edges within a list, cut where sizes are too far apart,
-and their connected components. Each set then travels once, to its family, where all pairs are
+Lists give candidate families. Prefixes are longer by some n-grams than they must be, and so
+linked sets share so many n-grams of them: pairs that meet in fewer short lists are dropped.
+A long list is cut where sizes are too far apart and gives star edges, which always count. The
+connected components of what is left are the families. Each set then travels once, to its family, where all pairs are
 counted; a family too large for one task is worked on in pairs of blocks. Equal sets are one
 class from the start and aren't expanded.
 
@@ -41,7 +43,9 @@ from .substring_dedup import runs
 WIDTH = 4
 PERCENT = 85
 #: In more prefixes than these an n-gram is put last in the order, up to so many n-grams.
-LONG_LIST = 50
+LONG_LIST = 16
+#: Lists up to this length show their pairs, others a star.
+PAIRED_LIST = 32
 MOST_LAST = 1 << 20
 #: The largest set whose subsets may be enumerated.
 MOST_LIGHT = 16
@@ -57,6 +61,11 @@ def needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return (percent * n + 99) // 100
 
 
+def spare(n: int | np.ndarray) -> int | np.ndarray:
+    """How many n-grams linked sets share in their prefixes at least, the lesser of both sets' numbers."""
+    return 1 + n // 16
+
+
 def overlap(n: int, m: int, percent: int) -> int:
     """The least intersection of linked sets of sizes n and m: 100 i >= percent (n + m - i)."""
     return -(-percent * (n + m) // (100 + percent))
@@ -143,7 +152,9 @@ def _count_lists(table: pa.Table, most: int) -> pa.Table:
 
 
 def _list_rows(number: int, batch: Batch, places: np.ndarray, width: int, percent: int, bits: int, last: np.ndarray, light: int) -> Iterator[tuple]:
-    """(bucket, block): the batch's part of the lists, of prefixes and of enumerated subsets: key, row, size."""
+    """(bucket, block): the batch's part of the lists, of prefixes and of enumerated subsets: key, row, size.
+
+    Sizes are negative where a star is due: for n-grams that come last, and for subsets."""
     grams, first = gram_sets(batch, width)
     keys, rows, sizes = [], [], []
     numbers = _numbers(number, len(batch.ids))
@@ -158,15 +169,16 @@ def _list_rows(number: int, batch: Batch, places: np.ndarray, width: int, percen
             mixed = mix(own ^ _SUBSET)
             for c in subset_sizes(n, light, percent):
                 sums = [sum(map(int, s)) + c & 0xFFFFFFFFFFFFFFFF for s in combinations(mixed, c)]
-                show.append(mix(np.array(sums, np.uint64)))
+                show.append((mix(np.array(sums, np.uint64)), -n))
         if n > light or 100 * n >= percent * (light + 1):  # it can be linked with a heavy set
-            p = n - int(needed(n, percent)) + 1
+            p = min(n, n - int(needed(n, percent)) + spare(n))
             late = late_grams[first[d] : first[d + 1]]
-            show.append(np.concatenate([own[~late], own[late]])[:p])
-        for x in show:
+            usual = own[~late][:p]
+            show += [(usual, n), (own[late][: p - len(usual)], -n)]
+        for x, size in show:
             keys.append(x)
             rows.append(np.full(len(x), numbers[d]))
-            sizes.append(np.full(len(x), n, np.int32))
+            sizes.append(np.full(len(x), size, np.int32))
     if not keys:
         return iter(())
     key, row, size = np.concatenate(keys), np.concatenate(rows), np.concatenate(sizes)
@@ -178,18 +190,39 @@ def _list_rows(number: int, batch: Batch, places: np.ndarray, width: int, percen
 
 
 def _list_edges(table: pa.Table, percent: int) -> pa.Table:
-    """(a, b): within each list, cut where sizes are too far apart, every row with the run's first."""
+    """(a, b, met, least): pairs of the short lists, how often they met here and had to; star edges of the others."""
     parts = [unpack_sorted(b.as_py()) for b in table.column("block")]
     key = np.concatenate([p[0] for p in parts])
     row = np.concatenate([p[1] + p[2].astype(np.int64) for p in parts])
     size = np.concatenate([p[3] for p in parts]).astype(np.int64)
+    star, size = size < 0, np.abs(size)
     order = np.lexsort((row, size, key))
-    key, row, size = key[order], row[order], size[order]
+    key, row, size, star = key[order], row[order], size[order], star[order]
+    begins = runs(key)
+    length = np.diff(np.append(begins, len(key)))
+    star = np.repeat(np.logical_or.reduceat(star, begins) | (length > PAIRED_LIST), length) if len(key) else star
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (100 * size[:-1] < percent * size[1:])
     head = row[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    pair = np.unique(np.stack([np.maximum(row, head), np.minimum(row, head)], axis=1)[row != head], axis=0)
-    return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
+    pick = star & (row != head)
+    a, b = [row[pick]], [head[pick]]
+    least = [np.full(int(pick.sum()), 0, np.int64)]
+    short = np.flatnonzero(~star)
+    for step in range(1, PAIRED_LIST):
+        i = short[short + step < len(key)]
+        i = i[(key[i] == key[i + step]) & (100 * size[i] >= percent * size[i + step])]
+        if not len(i):
+            break
+        a.append(row[i])
+        b.append(row[i + step])
+        least.append(spare(size[i]))
+    a, b, least = np.concatenate(a), np.concatenate(b), np.concatenate(least)
+    a, b = np.maximum(a, b), np.minimum(a, b)
+    order = np.lexsort((least, b, a))
+    a, b, least = a[order], b[order], least[order]
+    pair = runs(a, b)
+    met = np.diff(np.append(pair, len(a)))
+    return pa.table({"a": pa.array(a[pair], pa.int64()), "b": pa.array(b[pair], pa.int64()), "met": pa.array(met.astype(np.int32), pa.int32()), "least": pa.array(least[pair].astype(np.int32), pa.int32())})
 
 
 def _set_rows(number: int, batch: Batch, places: np.ndarray, width: int) -> list[tuple[int, bytes]]:
@@ -323,7 +356,8 @@ def _joined(texts: DataFrame, width: int, percent: int, long_list: int, family_s
     light = boundary(usual, percent)
 
     listed = chosen.mapInArrow(each(lambda k, b, p: _list_rows(k, b, p, width, percent, bits, last.value, light)), "bucket int, block binary")
-    edges = listed.groupBy("bucket").applyInArrow(lambda t: _list_edges(t, percent), "a bigint, b bigint")
+    edges = listed.groupBy("bucket").applyInArrow(lambda t: _list_edges(t, percent), "a bigint, b bigint, met int, least int")
+    edges = edges.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("least").alias("least")).where("met >= least").select("a", "b")
     families = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     members = stage_table(families.join(classes.select("rep", "copies", "n"), "rep"), "members")
 
