@@ -1 +1 @@
-"""See the package README."""
+"""Column expressions: sample levels, curves, lens polynomials, text and number rules."""

@@ -1 +1 @@
-"""See the package README."""
+"""DataFrame to DataFrame operators."""

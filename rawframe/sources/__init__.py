@@ -1 +1 @@
-"""See the package README."""
+"""Sources: folders of files as DataFrames."""

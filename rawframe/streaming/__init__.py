@@ -1 +1 @@
-"""See the package README."""
+"""Incremental runs over folders, as streams of files."""
