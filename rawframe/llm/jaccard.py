@@ -225,10 +225,40 @@ def _list_edges(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a[pair], pa.int64()), "b": pa.array(b[pair], pa.int64()), "met": pa.array(met.astype(np.int32), pa.int32()), "least": pa.array(least[pair].astype(np.int32), pa.int32())})
 
 
-def _set_rows(number: int, batch: Batch, places: np.ndarray, width: int) -> list[tuple[int, bytes]]:
-    """Each wanted document's set, by its place."""
+def _cut(grams: np.ndarray) -> bytes:
+    """A set as numbers of six bytes; within a family that tells n-grams apart as well."""
+    return grams.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _uncut(block: bytes) -> np.ndarray:
+    out = np.zeros((len(block) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(block, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+_SENT = [("task", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("family", pa.int64()), ("block", pa.int32()), ("row", pa.int64()), ("copies", pa.int64()), ("set", pa.binary())]
+
+
+def _sent_sets(number: int, batch: Batch, members: list[dict], width: int, tasks: int) -> Iterator[pa.RecordBatch]:
+    """Each member's set, addressed to the tasks that count its family's pairs.
+
+    Families of one block share tasks, whose numbers are negative; a set of a family of several
+    blocks goes to each pair of its block and another."""
     grams, first = gram_sets(batch, width)
-    return [(int(d), grams[first[d] : first[d + 1]].tobytes()) for d in places]
+    rows: list[tuple] = []
+    for m in members:
+        d, family, blocks = m["place"], m["family"], m["blocks"]
+        row, block = (number << PLACE_BITS) + d, _cut(grams[first[d] : first[d + 1]])
+        if blocks <= 1:
+            rows.append((-1 - int(mix(np.array([family], np.uint64))[0] % np.uint64(tasks)), 0, 0, family, 0, row, m["copies"], block))
+            continue
+        own = int(mix(np.array([row], np.uint64))[0] % np.uint64(blocks))
+        for other in range(blocks):
+            rows.append((family, min(own, other), max(own, other), family, own, row, m["copies"], block))
+            if len(rows) >= 64:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(_SENT)], [n for n, _ in _SENT])
+                rows = []
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(_SENT)], [n for n, _ in _SENT])
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -280,27 +310,20 @@ def _family_links(rows: np.ndarray, copies: np.ndarray, sets: list[np.ndarray],
     return [(int(rows[x]), least[top(x)], int(links[x])) for x in np.flatnonzero(links).tolist()]
 
 
-def _small_families(table: pa.Table, percent: int) -> pa.Table:
-    order = np.argsort(table.column("family").to_numpy(), kind="stable")
-    family = table.column("family").to_numpy()[order]
-    rows, copies, blocks = table.column("row").to_numpy()[order], table.column("copies").to_numpy()[order], table.column("set")
+def _counted_families(table: pa.Table, percent: int) -> pa.Table:
+    """The links of some small families, or of a pair of blocks of a large one."""
+    column = lambda c: table.column(c).to_numpy()
+    order = np.lexsort((column("row"), column("block"), column("family")))
+    family, block, row, copies = (column(c)[order] for c in ("family", "block", "row", "copies"))
+    sets, low, high = table.column("set"), int(column("low")[0]), int(column("high")[0])
     out = []
     cuts = np.append(runs(family), len(family))
     for a, b in zip(cuts, cuts[1:]):
-        out += _family_links(rows[a:b], copies[a:b], [np.frombuffer(blocks[int(k)].as_py(), np.uint64) for k in order[a:b]], percent)
+        split = int((block[a:b] == low).sum()) if low < high else None
+        out += _family_links(row[a:b], copies[a:b], [_uncut(sets[int(k)].as_py()) for k in order[a:b]], percent, split)
     return _links(out)
 
 
-def _block_pair(table: pa.Table, percent: int) -> pa.Table:
-    """One pair of blocks of a large family: all pairs of a block with itself, or those across."""
-    side = table.column("block").to_numpy()
-    order = np.argsort(side, kind="stable")
-    rows, copies, blocks = table.column("row").to_numpy()[order], table.column("copies").to_numpy()[order], table.column("set")
-    sets = [np.frombuffer(blocks[int(k)].as_py(), np.uint64) for k in order]
-    low, high = (table.column(c)[0].as_py() for c in ("low", "high"))
-    return _links(_family_links(rows, copies, sets, percent, int((side == low).sum()) if low < high else None))
-
-
 def _links(out: list[tuple[int, int, int]]) -> pa.Table:
     return pa.table({name: pa.array([x[k] for x in out], pa.int64()) for k, name in enumerate(("row", "root", "links"))})
 
@@ -360,28 +383,19 @@ def _joined(texts: DataFrame, width: int, percent: int, long_list: int, family_s
     edges = edges.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("least").alias("least")).where("met >= least").select("a", "b")
     families = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     members = stage_table(families.join(classes.select("rep", "copies", "n"), "rep"), "members")
-
-    places = members.select("rep", F.shiftright("rep", PLACE_BITS).alias("batch"), F.col("rep").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("place"))
-    places = places.groupBy("batch").agg(F.collect_list("place").alias("places"))
+    sized = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
+    blocks = F.greatest(F.ceil(F.col("sets") / family_sets), F.ceil(F.col("grams") / FAMILY_GRAMS)).cast("int")
+    placed = members.join(sized.select("family", blocks.alias("blocks")), "family")
+    place = F.col("rep").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    placed = placed.select(F.shiftright("rep", PLACE_BITS).alias("batch"), F.struct(place.alias("place"), "family", "blocks", "copies").alias("m")).groupBy("batch").agg(F.collect_list("m").alias("members"))
 
     def sets_of(batches):
         for b in batches:
             for number, block, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                out = _set_rows(number, Batch.of(block.as_py()), np.array(own.as_py(), np.int64), width)
-                yield pa.RecordBatch.from_arrays([pa.array([(number << PLACE_BITS) + d for d, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["rep", "set"])
+                yield from _sent_sets(number, Batch.of(block.as_py()), own.as_py(), width, 4 << bits)
 
-    sets = chosen.select("batch", "docs").join(places, "batch").mapInArrow(sets_of, "rep bigint, set binary")
-    sized = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
-    blocks = F.greatest(F.ceil(F.col("sets") / family_sets), F.ceil(F.col("grams") / FAMILY_GRAMS)).cast("int")
-    placed = stage_table(members.join(sized.select("family", blocks.alias("blocks")), "family").join(sets, "rep").select("family", "blocks", F.col("rep").alias("row"), "copies", "set"), "family-sets")
-    result = "row bigint, root bigint, links bigint"
-    # Families of one block share tasks; each is bounded, and so many of them make one.
-    small = placed.where("blocks <= 1").groupBy(F.pmod(F.xxhash64("family"), F.lit(4 << bits)).alias("task")).applyInArrow(lambda t: _small_families(t, percent), result)
-    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    large = placed.where("blocks > 1").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    large = large.groupBy("family", "low", "high").applyInArrow(lambda t: _block_pair(t, percent), result)
-    links = stage_table(small.unionByName(large), "links")
+    sent = chosen.select("batch", "docs").join(placed, "batch").mapInArrow(sets_of, "task bigint, low int, high int, family bigint, block int, row bigint, copies bigint, set binary")
+    links = stage_table(sent.groupBy("task", "low", "high").applyInArrow(lambda t: _counted_families(t, percent), "row bigint, root bigint, links bigint"), "links")
     joined = components(links.select(F.col("row").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("row").agg(F.sum("links").alias("links"))
     grouped = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").join(counts.select(F.col("row").alias("rep"), "links"), "rep", "left")
