@@ -96,12 +96,12 @@ DAMAGE = "CASE doc_id % 6 WHEN 1 THEN upper(r) WHEN 2 THEN r || ' ' WHEN 3 THEN
     f"""WITH r AS (SELECT doc_id, lang, '{text.RECORD_PREFIX}' || strlen(text) || ', MD5 ' || md5(text) AS r FROM documents),
 t AS (SELECT doc_id, {DAMAGE} AS t FROM r),
 p AS (SELECT doc_id, regexp_extract(t, '^{text.RECORD_PREFIX}([0-9]{{1,20}}), MD5 ([0-9a-f]{{32}})(?:, sidecar MD5 ([0-9a-f]{{32}}))?$', ['a', 'b', 'c']) AS m FROM t)
-SELECT doc_id, m.a <> '' AS present, CAST(nullif(m.a, '') AS DECIMAL(20, 0)) AS size, nullif(m.b, '') AS digest, nullif(m.c, '') AS sidecar FROM p"""
+SELECT doc_id, m.a <> '' AS present, nullif(m.a, '') AS size, nullif(m.b, '') AS digest, nullif(m.c, '') AS sidecar FROM p"""
 )
 def record_parse(spark, sf_dir):
     made = table(spark, sf_dir, "documents").select("doc_id", "lang", text.record_text(F.octet_length("text"), F.md5("text")).alias("r"))
     changed = made.select("doc_id", F.expr(DAMAGE).alias("t"))
-    return changed.select("doc_id", text.parsed_record(F.col("t")).alias("p")).select("doc_id", "p.*")
+    return changed.select("doc_id", text.parsed_record(F.col("t")).alias("p")).select("doc_id", "p.*").withColumn("size", F.col("size").cast("string"))
 
 
 # Files and names
