@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in runs of about so many bytes; a longer text makes a run of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LESS = np.uint64(0xBF58476D1CE4E5B9)
@@ -19,9 +19,12 @@ _MORE = np.uint64(0x94D049BB133111EB)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * _LESS
-    x = (x ^ (x >> np.uint64(27))) * _MORE
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _LESS
+    x ^= x >> np.uint64(27)
+    x *= _MORE
+    x ^= x >> np.uint64(31)
+    return x
 
 
 _BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
@@ -88,7 +91,9 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(SLICE_BYTES * 2, 1 << int(size).bit_length()))
+    """Powers of the base and of its inverse, at least `size` of each."""
+    usual = SLICE_BYTES + 1024
+    return _powers(usual if size <= usual else 1 << int(size).bit_length())
 
 
 class Hasher:
@@ -98,13 +103,23 @@ class Hasher:
         n = len(data)
         up, self._down = powers(n + 1)
         self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[data] * up[:n], dtype=np.uint64, out=self._sums[1:])
+        codes = _BYTE_CODE[data]
+        codes *= up[:n]
+        np.cumsum(codes, dtype=np.uint64, out=self._sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self._sums[ends] - self._sums[starts]) * self._down[starts]
         return mix(raw ^ ((ends - starts).astype(np.uint64) * _ODD))
 
 
+    def windows(self, k: int) -> np.ndarray:
+        """Of each k bytes in a row."""
+        raw = self._sums[k:] - self._sums[:-k]
+        raw *= self._down[: len(raw)]
+        raw ^= np.uint64(k * int(_ODD) & 0xFFFFFFFFFFFFFFFF)
+        return mix(raw)
+
+
 def hash_texts(texts: list[bytes]) -> np.ndarray:
     """The same hashes as Hasher gives, of whole byte strings."""
     joined = np.frombuffer(b"".join(texts), np.uint8)

@@ -31,6 +31,8 @@ from .packed import NO_ID, Batch, bucket_count, pack, pack_sorted, pack_texts, u
 
 WINDOW = 50
 K = 20
+#: A bucket is sorted in so many parts, to bound the memory it takes.
+PARTS = 8
 
 
 def first_digits(batch: Batch, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,8 +40,7 @@ def first_digits(batch: Batch, window: int, k: int) -> tuple[np.ndarray, np.ndar
     n = len(batch.data)
     if n < window:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    starts = np.arange(n - k + 1)
-    least = Hasher(batch.data).of(starts, starts + k)
+    least = Hasher(batch.data).windows(k)
     width, reach = window - k + 1, 1
     while reach * 2 <= width:
         least = np.minimum(least[:-reach], least[reach:])
@@ -173,14 +174,16 @@ def _window_rows(texts: pa.Table, shared: pa.Table, window: int, k: int, bits: i
         counts = np.diff(np.append(begins, len(at)))
         starts, owner, digit = at[begins], batch.ids[doc[begins]], digit[begins]
         bucket = (digit >> np.uint64(64 - bits)).astype(np.int64)
+        part = (digit % np.uint64(PARTS)).astype(np.uint8)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
         for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
             if j > i:
-                s, c = starts[order[i:j]], counts[order[i:j]]
+                own = order[i:j]
+                s, c = starts[own], counts[own]
                 size = c + window - 1
                 take = np.repeat(s - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                out.append((b, number, pack(owner[order[i:j]], s, c, batch.data[take])))
+                out.append((b, number, pack(owner[own], s, c, part[own], batch.data[take])))
     return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "batch": pa.array([x[1] for x in out], pa.int64()), "block": pa.array([x[2] for x in out], pa.binary())})
 
 
@@ -197,19 +200,23 @@ def merged(starts: np.ndarray, ends: np.ndarray, touching: bool = False) -> tupl
 def _removed_rows(table: pa.Table, window: int) -> pa.Table:
     """(batch, block): the spans of each batch whose windows a smaller id has."""
     parts = [unpack(b.as_py()) for b in table.column("block")]
-    owner, starts, counts = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    data = np.concatenate([p[3] for p in parts])
-    batch = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    size = counts + window - 1
-    base = np.cumsum(size) - size
-    step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    ids = np.repeat(owner, counts)
-    gone = first_owner(data, np.repeat(base, counts) + step, ids, window) < ids
-    place, batch = (np.repeat(starts, counts) + step)[gone], np.repeat(batch, counts)[gone]
     numbers, out = table.column("batch").to_pylist(), []
-    for p in np.unique(batch).tolist():
-        own = place[batch == p]
-        out.append((numbers[p], pack(*merged(own, own + window))))
+    for k in range(PARTS):  # equal windows are in the same part
+        chosen = [p[3] == k for p in parts]
+        owner, starts, counts = (np.concatenate([p[i][own] for p, own in zip(parts, chosen)]) for i in range(3))
+        if not len(owner):
+            continue
+        data = np.concatenate([p[4][np.repeat(own, p[2] + window - 1)] for p, own in zip(parts, chosen)])
+        batch = np.repeat(np.arange(len(parts)), [int(own.sum()) for own in chosen])
+        size = counts + window - 1
+        base = np.cumsum(size) - size
+        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        ids = np.repeat(owner, counts)
+        gone = first_owner(data, np.repeat(base, counts) + step, ids, window) < ids
+        place, batch = (np.repeat(starts, counts) + step)[gone], np.repeat(batch, counts)[gone]
+        begins = np.append(runs(batch), len(batch))
+        for i, j in zip(begins, begins[1:]):
+            out.append((numbers[batch[i]], pack(*merged(place[i:j], place[i:j] + window))))
     return pa.table({"batch": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([x[1] for x in out], pa.binary())})
 
 
