@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import levels, numbers, text
-from ..operators import archive, samples
+from ..functions import levels, numbers, rules, text
+from ..operators import archive, samples, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -543,3 +543,109 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = profiles.select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("profile"), F.col("n_name").alias("camera"), (F.col("s_suppkey") % 2 + 2).alias("profile_planes"), F.lit(0).alias("policy"))
     chosen = archive.select_profiles(pictures, profiles).where("verdict = 'chosen'").groupBy(F.col("picture").alias("image")).agg(F.min_by("profile", "ord").alias("profile"))
     return digest.join(mean, "image").join(chosen, "image", "left").withColumn("outcome", F.when(F.col("profile").isNull(), "without profile").otherwise("done"))
+
+
+# Rules and small tables
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey % 60000 AS tag, (l_partkey % 60000) NOT IN (37500, 40965, 59932, 59933, 41730, 34856, 37388, 41484, 41995) AS exif, (l_partkey % 60000) IN (270, 315, 33432, 700) AS descriptive,
+l_suppkey % 2 AS num, CASE WHEN l_suppkey % 2 = 0 AND l_linenumber = 1 THEN 0 ELSE l_linenumber END AS den FROM lineitem"""
+)
+def tag_filters(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    tag = F.col("l_partkey") % 60000
+    spec = rules.lens_specification(F.col("l_suppkey") % 2, F.col("l_linenumber"))
+    return l.select("l_orderkey", "l_linenumber", tag.alias("tag"), rules.kept_exif(tag).alias("exif"), rules.kept_descriptive(tag).alias("descriptive"), spec.alias("s")).select("l_orderkey", "l_linenumber", "tag", "exif", "descriptive", "s.num", "s.den")
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey % 2 = 0 AS z, l_partkey % 3 = 0 AS hn, l_partkey % 5 < 2 AS ho, l_suppkey % 7 > 0 AS nok, l_suppkey % 5 > 0 AS ook, l_suppkey % 6 = 0 AS mask, l_orderkey % 9 = 0 AS cut,
+ CASE l_orderkey % 4 WHEN 0 THEN 'absent' WHEN 1 THEN 'intact' WHEN 2 THEN 'unverified' ELSE 'damaged' END AS original FROM lineitem),
+r AS (SELECT *, CASE WHEN NOT (hn OR ho) OR (mask AND CASE WHEN z THEN hn OR ho ELSE hn END) THEN 'unverified' WHEN CASE WHEN z THEN CASE WHEN hn THEN nok ELSE ook END ELSE (NOT hn OR nok) AND (NOT ho OR ook) END THEN 'intact' ELSE 'damaged' END AS raw FROM f)
+SELECT l_orderkey, l_linenumber, raw, CASE WHEN cut OR raw = 'damaged' OR original = 'damaged' THEN 'damaged' WHEN raw = 'intact' AND original IN ('intact', 'absent') THEN 'intact' ELSE 'unverified' END AS verdict,
+NOT (cut OR raw = 'damaged' OR original = 'damaged') AND ((NOT hn AND NOT ho AND NOT mask) OR original = 'unverified') AS addable FROM r"""
+)
+def check_verdicts(spark, sf_dir):
+    p, s, o = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey")
+    new, old, mask, cut = p % 3 == 0, p % 5 < 2, s % 6 == 0, o % 9 == 0
+    original = F.element_at(F.array(*[F.lit(x) for x in ("absent", "intact", "unverified", "damaged")]), (o % 4 + 1).cast("int"))
+    raw = rules.raw_state(p % 2 == 0, new, old, s % 7 > 0, s % 5 > 0, mask)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"), rules.verdict(raw, original, cut).alias("verdict"), rules.can_add(raw, original, cut, new, old, mask).alias("addable"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, round((l_linenumber - 1 + 0.5::DOUBLE) / 10, 6) AS radius, round(1 + (l_partkey % 2001 - 1000) / 16384.0::DOUBLE, 6) AS distortion, round((l_suppkey % 201 - 100) / 2097152.0::DOUBLE, 9) AS aberration,
+round(power(2.0::DOUBLE, power(2.0::DOUBLE, (l_partkey % 16384) / 8192.0::DOUBLE - 1) - 0.5::DOUBLE), 6) AS gain FROM lineitem"""
+)
+def lens_steps(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        rounded(rules.knot_radius(F.col("l_linenumber") - 1, F.lit(11)), "radius"),
+        rounded(rules.step_distortion((F.col("l_partkey") % 2001 - 1000).cast("double")), "distortion"),
+        F.round(rules.step_aberration((F.col("l_suppkey") % 201 - 100).cast("double")), 9).alias("aberration"),
+        rounded(rules.step_vignetting(F.col("l_partkey") % 16384), "gain"),
+    )
+
+
+@query("WITH b AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 127) AS BIGINT)) AS w FROM embeddings) SELECT vec_id, CAST(list_reduce(w, lambda s, x: (s * 73 + x) % 65519, 0::BIGINT) AS BIGINT) AS checksum FROM b")
+def word_checksums(spark, sf_dir):
+    words = F.transform(F.slice("embedding", 1, 12), lambda x: F.floor((x.cast("double") + 1) * 127).cast("bigint"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", rules.word_checksum(words).alias("checksum"))
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey, list(l_discount * 10 + l_linenumber ORDER BY l_linenumber, l_discount, l_tax) AS r, list(l_tax * 20 ORDER BY l_linenumber, l_discount, l_tax) AS v FROM lineitem GROUP BY 1)
+SELECT l_orderkey, len(r) >= 2 AND len(list_filter(v, lambda x: x < 0.5 OR x > 1.5)) = 0 AND len(list_filter(range(1, len(r)), lambda i: r[i + 1] <= r[i])) = 0 AS sane FROM c"""
+)
+def curve_sanity(spark, sf_dir):
+    knots = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_discount") * 10 + F.col("l_linenumber")).alias("r"), (F.col("l_tax") * 20).alias("v")))).alias("k"))
+    return knots.select("l_orderkey", rules.sane_curve(F.col("k.r"), F.col("k.v"), *rules.DISTORTION_RANGE).alias("sane"))
+
+
+@query(
+    """WITH b AS (SELECT p_partkey, p_size * 2 + 1 AS q, list_transform(range(8), lambda i: i * i + 10) AS base FROM part), s AS (SELECT *, CASE WHEN least(100, greatest(1, q)) < 50 THEN 5000 // least(100, greatest(1, q)) ELSE 200 - 2 * least(100, greatest(1, q)) END AS scale FROM b)
+SELECT p_partkey, array_to_string(list_transform(base, lambda x: greatest(1, least(255, (x * scale + 50) // 100))), ',') AS quantisers FROM s"""
+)
+def quality_tables(spark, sf_dir):
+    base = F.array(*[F.lit(i * i + 10) for i in range(8)])
+    made = rules.quality_table(base, F.col("p_size") * 2 + 1)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(made.cast("array<string>"), ",").alias("quantisers"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '/out/all.dng' WHEN page_id % 2 = 0 THEN '/out/' || regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '([^/])\\.[^./]*$', '\\1') || '.dng' ELSE regexp_replace(url, '([^/])\\.[^./]*$', '\\1') || '.dng' END AS target FROM pages"""
+)
+def output_names(spark, sf_dir):
+    root = F.when(F.col("page_id") % 5 == 0, "/out/all.dng").when(F.col("page_id") % 2 == 0, "/out/").otherwise("")
+    relative = F.regexp_replace("url", "^[a-z]+://[^/]*/?", "")
+    return table(spark, sf_dir, "pages").select("page_id", rules.output_path(F.col("url"), relative, root, F.col("page_id") % 5 == 0).alias("target"))
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey, o_custkey % 13 = 0 AS same, o_custkey % 3 > 0 AS there, o_custkey % 7 = 0 AS force, ['up to date', 'no record', 'changed', 'stale', 'new'][o_orderkey % 5 + 1] AS state FROM orders)
+SELECT o_orderkey, CASE WHEN same THEN 'refused: same file' WHEN NOT there OR force THEN 'write' WHEN state = 'up to date' THEN 'skipped: up to date' WHEN state = 'no record' THEN 'left alone: no record' WHEN state IN ('changed', 'stale') THEN 'write' ELSE 'refused: exists' END AS action FROM s"""
+)
+def target_policy(spark, sf_dir):
+    c = F.col("o_custkey")
+    state = F.element_at(F.array(*[F.lit(x) for x in ("up to date", "no record", "changed", "stale", "new")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", rules.target_policy(c % 13 == 0, c % 3 > 0, c % 7 == 0, state).alias("action"))
+
+
+@query()
+def huffman_lengths(spark, sf_dir):
+    return tables.huffman(samples.residuals(plane(spark, sf_dir), [], 2).withColumn("image", F.floor(F.col("y") / 100)), ["image"])
+
+
+@query()
+def rational_values(spark, sf_dir):
+    return tables.rationals(table(spark, sf_dir, "part").select((F.col("p_retailprice") / 7).alias("value")), "value")
+
+
+@query()
+def frame_zooms(spark, sf_dir):
+    means = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.avg("l_discount").alias("d"))
+    knots = means.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct((F.col("l_linenumber") / 7.0).alias("r"), (F.lit(0.9) + F.col("d")).alias("v")))).alias("k"))
+    found = tables.zooms(knots.select("l_suppkey", F.lit(6000.0).alias("width"), F.lit(4000.0).alias("height"), F.col("k.r").alias("radius"), F.col("k.v").alias("ratio")), ["l_suppkey"])
+    return found.withColumn("zoom", F.round("zoom", 6))
