@@ -6,8 +6,9 @@ the prefix being as many n-grams as a linked set can't all miss. The boundary is
 size up to which enumerating costs no more than scanning, at the measured length of a list.
 
 The n-grams that most lists would be long for (found by counting all prefixes) come last in the
-global order, so they enter a prefix only where nothing rarer is left. Any choice of them
-gives the same links; that is why their number can have a bound.
+global order, the longest lists at the very end, so they enter a prefix only where nothing
+rarer is left. Any choice and order of them gives the same links; that is why their number can
+have a bound.
 
 Lists give candidate families. Prefixes are longer by some n-grams than they must be, and so
 linked sets share so many n-grams of them: pairs that meet in fewer short lists are dropped.
@@ -47,6 +48,7 @@ LONG_LIST = 16
 #: Lists up to this length show their pairs, others a star.
 PAIRED_LIST = 32
 MOST_LAST = 1 << 20
+ROUNDS = 4
 #: The largest set whose subsets may be enumerated.
 MOST_LIGHT = 16
 #: Sets, and n-grams, that a task counts the pairs of at once.
@@ -119,17 +121,39 @@ def _describe(number: int, batch: Batch, width: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "doc_id", "n", "s", "t"])
 
 
-def _prefix_rows(number: int, batch: Batch, places: np.ndarray, width: int, percent: int, bits: int) -> Iterator[tuple]:
-    """(bucket, block): how many prefixes of the batch hold each n-gram, in the order of the hashes."""
+def _late(grams: np.ndarray, last: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which n-grams come last in the order, and where they are among these."""
+    known = last[0]
+    if not len(known):
+        return np.zeros(len(grams), bool), np.zeros(len(grams), np.int64)
+    place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+    return known[place] == grams, place
+
+
+def _in_prefix(late: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
+    """The n-grams of each set's prefix that don't come last."""
+    size = np.diff(first)
+    take = np.minimum(size, size - needed(size, percent) + spare(size))
+    before = np.concatenate([[0], np.cumsum(~late)])
+    return ~late & (before[1:] - np.repeat(before[first[:-1]], size) <= np.repeat(take, size))
+
+
+def _prefix_rows(number: int, batch: Batch, places: np.ndarray, width: int, percent: int, bits: int, old: tuple | None, new: tuple) -> Iterator[tuple]:
+    """(bucket, block): how many prefixes of the batch hold each n-gram that wasn't in them before the order changed."""
     grams, first = gram_sets(batch, width)
-    size = np.diff(first)[places]
-    take = size - needed(size, percent) + 1
-    take[size == 0] = 0
-    at = np.repeat(first[:-1][places] - np.cumsum(take) + take, take) + np.arange(take.sum())
-    values, counts = np.unique(grams[at], return_counts=True)
-    bucket = (values >> np.uint64(64 - bits)).astype(np.int64)
-    cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-    return ((b, pack_sorted(values[i:j], counts[i:j].astype(np.int32))) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i)
+    chosen = _in_prefix(_late(grams, new)[0], first, percent)
+    if old is not None:
+        chosen &= ~_in_prefix(_late(grams, old)[0], first, percent)
+    wanted = np.zeros(len(first) - 1, bool)
+    wanted[places] = True
+    values, counts = np.unique(grams[chosen & np.repeat(wanted, np.diff(first))], return_counts=True)
+    return ((b, pack_sorted(values[i:j], counts[i:j].astype(np.int32))) for b, i, j in bucketed(values, bits))
+
+
+def bucketed(key: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted keys by their top bits."""
+    cuts = np.searchsorted((key >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+    return ((b, int(i), int(j)) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i)
 
 
 def _count_lists(table: pa.Table, most: int) -> pa.Table:
@@ -151,14 +175,15 @@ def _count_lists(table: pa.Table, most: int) -> pa.Table:
     )
 
 
-def _list_rows(number: int, batch: Batch, places: np.ndarray, width: int, percent: int, bits: int, last: np.ndarray, light: int) -> Iterator[tuple]:
+def _list_rows(number: int, batch: Batch, places: np.ndarray, width: int, percent: int, bits: int, last: tuple[np.ndarray, np.ndarray], light: int) -> Iterator[tuple]:
     """(bucket, block): the batch's part of the lists, of prefixes and of enumerated subsets: key, row, size.
 
     Sizes are negative where a star is due: for n-grams that come last, and for subsets."""
     grams, first = gram_sets(batch, width)
     keys, rows, sizes = [], [], []
     numbers = _numbers(number, len(batch.ids))
-    late_grams = last[np.minimum(np.searchsorted(last, grams), len(last) - 1)] == grams if len(last) else np.zeros(len(grams), bool)
+    rank = last[1]
+    late_grams, place = _late(grams, last)
     for d in places.tolist():
         own = grams[first[d] : first[d + 1]]
         n = len(own)
@@ -174,7 +199,10 @@ def _list_rows(number: int, batch: Batch, places: np.ndarray, width: int, percen
             p = min(n, n - int(needed(n, percent)) + spare(n))
             late = late_grams[first[d] : first[d + 1]]
             usual = own[~late][:p]
-            show += [(usual, n), (own[late][: p - len(usual)], -n)]
+            show.append((usual, n))
+            if len(usual) < p:
+                by_rank = np.argsort(rank[place[first[d] : first[d + 1]][late]], kind="stable")
+                show.append((own[late][by_rank[: p - len(usual)]], -n))
         for x, size in show:
             keys.append(x)
             rows.append(np.full(len(x), numbers[d]))
@@ -370,12 +398,27 @@ def _joined(texts: DataFrame, width: int, percent: int, long_list: int, family_s
 
         return run
 
-    counted = chosen.mapInArrow(each(lambda k, b, p: _prefix_rows(k, b, p, width, percent, bits)), "bucket int, block binary")
-    counted = stage_table(counted.groupBy("bucket").applyInArrow(lambda t: _count_lists(t, long_list), "gram bigint, n double, squares double"), "lists")
-    usual = counted.where("gram is null").agg(F.sum("squares") / F.sum("n")).first()[0] or 1.0
-    # At most MOST_LAST numbers of eight bytes are broadcast.
-    longest = counted.where("gram is not null").orderBy(F.desc("n"), "gram").limit(MOST_LAST).select("gram").toPandas()["gram"].to_numpy(np.int64)
-    last = spark.sparkContext.broadcast(np.sort(longest.view(np.uint64)))
+    # The order is settled in rounds: what is put last makes room in prefixes for others, which
+    # may turn out to be frequent too. At most MOST_LAST numbers of eight bytes, and their ranks,
+    # are collected and broadcast.
+    longest = np.empty(0, np.int64)
+    lengths = np.empty(0)
+    old, usual = None, 1.0
+    for turn in range(ROUNDS):
+        order = np.lexsort((longest, lengths))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        by_gram = np.argsort(longest.view(np.uint64), kind="stable")
+        last = spark.sparkContext.broadcast((longest.view(np.uint64)[by_gram], rank[by_gram]))
+        if turn == ROUNDS - 1 or (turn and not found):
+            break
+        counted = chosen.mapInArrow(each(lambda k, b, p, old=old, new=last: _prefix_rows(k, b, p, width, percent, bits, old and old.value, new.value)), "bucket int, block binary")
+        counted = stage_table(counted.groupBy("bucket").applyInArrow(lambda t: _count_lists(t, long_list), "gram bigint, n double, squares double"), "lists")
+        if not turn:
+            usual = counted.where("gram is null").agg(F.sum("squares") / F.sum("n")).first()[0] or 1.0
+        more = counted.where("gram is not null").orderBy(F.desc("n"), "gram").limit(MOST_LAST - len(longest)).select("gram", "n").toPandas()
+        found = len(more)
+        longest, lengths, old = np.concatenate([longest, more["gram"].to_numpy(np.int64)]), np.concatenate([lengths, more["n"].to_numpy(float)]), last
     light = boundary(usual, percent)
 
     listed = chosen.mapInArrow(each(lambda k, b, p: _list_rows(k, b, p, width, percent, bits, last.value, light)), "bucket int, block binary")
