@@ -23,8 +23,8 @@ BUCKET_BYTES = 16 << 20
 MOST_ROWS = 1 << 20
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(arrays, protocol=5))
 
 
 def unpack(block: bytes) -> tuple[np.ndarray, ...]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage_table
+from .common import read_table
 from .kernels import SLICE_BYTES, Hasher, mix
 from .packed import NO_ID, Batch, bucket_count, pack, pack_sorted, pack_texts, unpack, unpack_sorted
 
@@ -149,7 +149,7 @@ def _shared_digits(table: pa.Table) -> pa.Table:
 def _window_rows(texts: pa.Table, shared: pa.Table, window: int, k: int, bits: int) -> pa.Table:
     """(bucket, batch, block): runs of windows whose first digit is shared, to be settled in a bucket.
 
-    Under bucket -1 come the windows that a smaller id of the same batch has."""
+    Under a negative bucket of its own comes what a smaller id of the same batch has."""
     out = []
     for number, block in zip(texts.column("batch").to_pylist(), texts.column("docs")):
         batch = Batch.of(block.as_py())
@@ -166,7 +166,7 @@ def _window_rows(texts: pa.Table, shared: pa.Table, window: int, k: int, bits: i
         ids = batch.ids[doc]
         local = first_owner(batch.data, at, ids, window) < ids
         if local.any():
-            out.append((-1, number, pack(*merged(at[local], at[local] + window))))
+            out.append((-1 - number, number, pack(*merged(at[local], at[local] + window))))
         at, doc, digit = at[~local], doc[~local], digit[~local]
         if not len(at):
             continue
@@ -183,8 +183,8 @@ def _window_rows(texts: pa.Table, shared: pa.Table, window: int, k: int, bits: i
                 s, c = starts[own], counts[own]
                 size = c + window - 1
                 take = np.repeat(s - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                out.append((b, number, pack(owner[own], s, c, part[own], batch.data[take])))
-    return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "batch": pa.array([x[1] for x in out], pa.int64()), "block": pa.array([x[2] for x in out], pa.binary())})
+                out.append((b, number, pack(owner[own], s.astype(np.int32 if len(batch.data) < 1 << 31 else np.int64), c.astype(np.int32), part[own], batch.data[take], level=3)))
+    return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "batch": pa.array([x[1] for x in out], pa.int64()), "block": pa.array([x[2] for x in out], pa.binary())})
 
 
 def merged(starts: np.ndarray, ends: np.ndarray, touching: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -199,6 +199,8 @@ def merged(starts: np.ndarray, ends: np.ndarray, touching: bool = False) -> tupl
 
 def _removed_rows(table: pa.Table, window: int) -> pa.Table:
     """(batch, block): the spans of each batch whose windows a smaller id has."""
+    if table.column("bucket")[0].as_py() < 0:
+        return table.select(["batch", "block"])
     parts = [unpack(b.as_py()) for b in table.column("block")]
     numbers, out = table.column("batch").to_pylist(), []
     for k in range(PARTS):  # equal windows are in the same part
@@ -208,6 +210,7 @@ def _removed_rows(table: pa.Table, window: int) -> pa.Table:
             continue
         data = np.concatenate([p[4][np.repeat(own, p[2] + window - 1)] for p, own in zip(parts, chosen)])
         batch = np.repeat(np.arange(len(parts)), [int(own.sum()) for own in chosen])
+        starts, counts = starts.astype(np.int64), counts.astype(np.int64)
         size = counts + window - 1
         base = np.cumsum(size) - size
         step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -259,12 +262,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K, batch_by
 
     shared = texts.select("batch", "docs").mapInArrow(digits, blocks).groupBy("bucket").applyInArrow(_shared_digits, "batch bigint, block binary")
     by_batch = texts.select("batch", "docs").groupBy("batch")
-    windows = stage_table(
-        by_batch.cogroup(shared.groupBy("batch")).applyInArrow(lambda t, s: _window_rows(t, s, window, k, bits), blocks),
-        "windows",
-    )
-    removed = windows.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _removed_rows(t, window), "batch bigint, block binary")
-    removed = removed.unionByName(windows.where("bucket < 0").select("batch", "block"))
+    windows = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(lambda t, s: _window_rows(t, s, window, k, bits), "bucket bigint, batch bigint, block binary")
+    removed = windows.groupBy("bucket").applyInArrow(lambda t: _removed_rows(t, window), "batch bigint, block binary")
     return by_batch.cogroup(removed.groupBy("batch")).applyInArrow(_kept_rows, "doc_id bigint, kept binary, spans array<struct<start:bigint,end:bigint>>")
 
 
