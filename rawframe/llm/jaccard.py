@@ -49,6 +49,9 @@ LONG_LIST = 16
 PAIRED_LIST = 32
 MOST_LAST = 1 << 20
 ROUNDS = 4
+#: Up to so many sets, or members of families, lists of them are broadcast; beyond, the texts are shuffled to them.
+MOST_BROADCAST_SETS = 2_000_000
+MOST_BROADCAST_MEMBERS = 500_000
 #: The largest set whose subsets may be enumerated.
 MOST_LIGHT = 16
 #: Sets, and n-grams, that a task counts the pairs of at once.
@@ -387,7 +390,9 @@ def _joined(texts: DataFrame, width: int, percent: int, long_list: int, family_s
     )
     wanted = classes.select(F.shiftright("rep", PLACE_BITS).alias("batch"), F.col("rep").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("place"))
     wanted = wanted.groupBy("batch").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    chosen = stage_table(packed.join(wanted, "batch"), "chosen")
+    # The texts stay where they are if what they are joined with is small: 4 bytes a set, 32 a member.
+    few = classes.count() <= MOST_BROADCAST_SETS
+    chosen = packed.join(F.broadcast(wanted), "batch") if few else stage_table(packed.join(wanted, "batch"), "chosen")
 
     def each(make):
         def run(batches):
@@ -437,6 +442,7 @@ def _joined(texts: DataFrame, width: int, percent: int, long_list: int, family_s
             for number, block, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 yield from _sent_sets(number, Batch.of(block.as_py()), own.as_py(), width, 4 << bits)
 
+    placed = F.broadcast(placed) if members.count() <= MOST_BROADCAST_MEMBERS else placed
     sent = chosen.select("batch", "docs").join(placed, "batch").mapInArrow(sets_of, "task bigint, low int, high int, family bigint, block int, row bigint, copies bigint, set binary")
     links = stage_table(sent.groupBy("task", "low", "high").applyInArrow(lambda t: _counted_families(t, percent), "row bigint, root bigint, links bigint"), "links")
     joined = components(links.select(F.col("row").alias("a"), F.col("root").alias("b")))
