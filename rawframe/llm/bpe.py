@@ -21,7 +21,6 @@ import mmap
 import re
 import struct
 import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -251,30 +250,6 @@ class Encoder(dict):
         return b"".join(struct.pack("<I", i) if i is not None else b"".join(map(self.__getitem__, cut_words(part))) for part, i in self.merger.parts(text))
 
 
-_ready: dict[str, Encoder] = {}
-
-
-def _encoder(shared) -> Encoder:
-    """One encoder a worker and broadcast, whatever the number of tasks."""
-    if shared.id not in _ready:
-        _ready.clear()
-        source, block = shared.value
-        _ready[shared.id] = Encoder(Merger(source), Lexicon(block) if block else None)
-    return _ready[shared.id]
-
-
-class _Shared:
-    """A broadcast that also knows its number on the executors."""
-
-    def __init__(self, spark: SparkSession, value):
-        self._broadcast = spark.sparkContext.broadcast(value)
-        self.id = uuid.uuid4().hex
-
-    @property
-    def value(self):
-        return self._broadcast.value
-
-
 def count_words(docs: DataFrame, source: bytes) -> DataFrame:
     """(word, n) over all texts."""
     spec = Merger(source)
@@ -337,10 +312,12 @@ def _schema(df: DataFrame, name: str, kind: str) -> str:
 
 def encode(docs: DataFrame, source: bytes, lexicon: bytes | None, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the column ids: little-endian unsigned 32-bit numbers."""
-    shared = _Shared(docs.sparkSession, (source, lexicon))
+    shared = docs.sparkSession.sparkContext.broadcast((source, lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        # The encoder goes with its task: workers live on, and other stages need their memory.
+        merges, block = shared.value
+        encoder = Encoder(Merger(merges), Lexicon(block) if block else None)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             yield _through(batch, ids, pa.array([encoder.encode(t.as_py() or "") for t in texts], pa.binary()))
