@@ -1,12 +1,14 @@
-"""Removal of repeated lines, exact ones and those one word apart.
+"""Removal of repeated lines, exact ones and those one edit apart.
 
 A line is its sequence of words. A line goes if an earlier one (by doc_id, then place) is equal
-to it or, from NEAR_WORDS words on, at most one inserted, deleted or replaced word away.
+to it or at most one inserted, deleted or replaced unit away. The unit is a word where both
+lines have NEAR_WORDS words or more. Where one has fewer, which is any line of a script without
+spaces, the unit is a character (words a space apart), and both have as many characters at least.
 
 Near lines are found by a deletion-neighbourhood join: each line shows itself and all its
-variants with one word deleted, as hashed keys of 128 bits; lines with an equal key meet, and
-the edit distance is verified from where the word was deleted: two lines less a word at the
-same place differ by a replacement; a line and another less a word, by an insertion. Other
+variants with one unit deleted, as hashed keys of 128 bits; lines with an equal key meet, and
+the edit distance is verified from where the unit was deleted: two lines less a unit at the
+same place differ by a replacement; a line and another less a unit, by an insertion. Other
 meetings are farther apart and don't count. What a meeting keeps is its earliest line, so no
 pairs are formed.
 
@@ -30,11 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, stage_table
-from .kernels import SLICE_BYTES, Hasher, byte_class, mix, powers, spans_of
+from .kernels import SLICE_BYTES, Hasher, byte_class, mix, powers, slices, spans_of
 from .packed import Batch, bucket_count, pack, pack_sorted, pack_texts, unpack, unpack_sorted
 from .substring_dedup import runs
 
 NEAR_WORDS = 8
+#: Variants of characters are made for so many bytes of lines at a time.
+CHARACTER_BYTES = 1 << 18
+#: Meetings are settled for about so many keys at a time.
+MOST_MEETING = 1 << 21
 _IN_WORD = byte_class(r"[^\x00-\x20]")
 _SALTS = (np.uint64(0), np.uint64(0xC2B2AE3D27D4EB4F))
 _HALF = (np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
@@ -42,18 +48,10 @@ _HALF = (np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 _GRID = np.array([1, 2, 3, *(int(4 * 1.34**k) for k in range(60))], np.int64)
 
 
-class Lines:
-    """The lines of a batch: their words, and hashes of any run of words."""
+class Units:
+    """Hashes of any run of units, from running sums over the units' own."""
 
-    def __init__(self, batch: Batch):
-        starts, ends, doc = spans_of(batch.data != 10, batch.offsets)
-        words, stops, _ = spans_of(_IN_WORD[batch.data], batch.offsets)
-        first = np.searchsorted(words, starts)
-        last = np.searchsorted(words, ends)
-        full = last > first
-        self.starts, self.ends, self.doc = starts[full], ends[full], doc[full]
-        self.first, self.last = first[full], last[full]
-        hashes = Hasher(batch.data).of(words, stops)
+    def __init__(self, hashes: np.ndarray):
         up, self._down = powers(len(hashes) + 1)
         self._up = up
         self._sums = []
@@ -66,16 +64,67 @@ class Lines:
         return (self._sums[which][b] - self._sums[which][a]) * self._down[a]
 
     def hashes(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the words a to b."""
+        """Of the units a to b."""
         return tuple(mix(self.raw(k, a, b) ^ (b - a).astype(np.uint64)) for k in (0, 1))
 
     def without(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the words a to b but one."""
+        """Of the units a to b but one."""
         return tuple(mix((self.raw(k, a, at) + self.raw(k, at + 1, b) * self._up[at - a]) ^ (b - a - 1).astype(np.uint64)) for k in (0, 1))
 
+    def variants(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two hashes of each run a to b itself and of it less each unit, which run, and the unit's place (-1: itself)."""
+        n = b - a
+        run = np.repeat(np.arange(len(n)), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        h, g = self.hashes(a, b)
+        vh, vg = self.without(a[run], b[run], a[run] + place)
+        return np.concatenate([h, vh]), np.concatenate([g, vg]), np.concatenate([np.arange(len(n)), run]), np.concatenate([np.full(len(n), -1), place])
+
+
+class Lines(Units):
+    """The lines of a batch, and their words as units."""
+
+    def __init__(self, batch: Batch):
+        starts, ends, doc = spans_of(batch.data != 10, batch.offsets)
+        words, stops, _ = spans_of(_IN_WORD[batch.data], batch.offsets)
+        first = np.searchsorted(words, starts)
+        last = np.searchsorted(words, ends)
+        full = last > first
+        self.starts, self.ends, self.doc = starts[full], ends[full], doc[full]
+        self.first, self.last = first[full], last[full]
+        #: Where the first word begins and the last one ends.
+        self.begin, self.end = words[self.first], stops[self.last - 1]
+        super().__init__(Hasher(batch.data).of(words, stops))
+
+
+class Characters(Units):
+    """The characters of some lines of a batch as units, one space between words."""
+
+    def __init__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        n = end - begin
+        starts = np.cumsum(n) - n
+        byte = data[np.arange(n.sum()) + np.repeat(begin - starts, n)]
+        word, more = _IN_WORD[byte], (byte & 0xC0) == 0x80
+        unit = word & ~more
+        unit[:-1] |= ~word[:-1] & word[1:]
+        value = np.where(word, byte, 32).astype(np.uint64)
+        for k in (1, 2, 3):
+            at = np.flatnonzero(unit[:-k] & np.logical_and.reduce([more[j : len(more) - k + j] for j in range(1, k + 1)]))
+            value[at] |= byte[at + k].astype(np.uint64) << np.uint64(8 * k)
+        at = np.flatnonzero(unit)
+        self.first, self.last = np.searchsorted(at, starts), np.searchsorted(at, starts + n)
+        super().__init__(value[at])
+
+
+def _characters(batch: Batch, lines: Lines, at: np.ndarray) -> Iterator[tuple[np.ndarray, Characters]]:
+    """The lines `at` in runs, with their characters."""
+    begin, end = lines.begin[at], lines.end[at]
+    for i, j in slices(np.append(0, np.cumsum(end - begin)), CHARACTER_BYTES):
+        yield at[i:j], Characters(batch.data, begin[i:j], end[i:j])
+
 
 def _reach(m: np.ndarray) -> np.ndarray:
-    """How many words at the beginning, or at the end, two lines share that are an edit apart, the shorter of m words."""
+    """How many units at the beginning, or at the end, two lines share that are an edit apart, the shorter of m units, at least."""
     return _GRID[np.searchsorted(_GRID, m // 2, "right") - 1]
 
 
@@ -89,7 +138,9 @@ def _bucketed(key: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _line_entries(number: int, batch: Batch, near: int, bits: int) -> list[tuple]:
-    """(bucket, batch, kind, block): each distinct line's first place (kind 0), and its beginnings and ends (kind 1)."""
+    """(bucket, batch, kind, block): each distinct line's first place (kind 0), and its beginnings and ends (kind 1).
+
+    In kind 1 a line stands for its words, and its number plus that of all lines for its characters."""
     lines = Lines(batch)
     h, g = lines.hashes(lines.first, lines.last)
     ids = batch.ids[lines.doc]
@@ -97,21 +148,37 @@ def _line_entries(number: int, batch: Batch, near: int, bits: int) -> list[tuple
     own = order[runs(h[order], g[order])] if len(h) else order
     h, g, ids, words = h[own], g[own], ids[own], (lines.last - lines.first)[own]
     out = [(b, number, 0, pack_sorted(h[i:j], g[i:j], ids[i:j], own[i:j].astype(np.int32))) for b, i, j in _bucketed(h, bits)]
-    long = words >= near
-    if long.any():
-        at, n = own[long], words[long]
-        keys, whose = [], []
-        for m in (n, n - 1):
-            reach = _reach(m)
+    keys, whose, forms = [], [], []
+    long = np.flatnonzero(words >= near)
+    at, n = own[long], words[long]
+    for m in (n, n - 1):
+        reach = _reach(m)
+        for side, salt in enumerate(_HALF):
+            a = lines.first[at] if side == 0 else lines.last[at] - reach
+            keys.append(lines.hashes(a, a + reach)[0] ^ salt)
+            whose.append(long)
+            forms.append(at)
+    # A line one character from one of fewer words has no more than `near`, so those have both forms.
+    short = np.flatnonzero(words <= near)
+    short = short[np.argsort(own[short])]
+    done = 0
+    for at, chars in _characters(batch, lines, own[short]):
+        n = chars.last - chars.first
+        enough = np.flatnonzero(n >= near)
+        for m in (n[enough], n[enough] - 1):
+            reach = m // 2
             for side, salt in enumerate(_HALF):
-                a = lines.first[at] if side == 0 else lines.last[at] - reach
-                keys.append(lines.hashes(a, a + reach)[0] ^ salt)
-                whose.append(np.flatnonzero(long))
-        key, who = np.concatenate(keys), np.concatenate(whose)
-        order = _order(key, h[who])
+                a = chars.first[enough] if side == 0 else chars.last[enough] - reach
+                keys.append(mix(chars.hashes(a, a + reach)[1] ^ m.astype(np.uint64)) ^ salt)
+                whose.append(short[done + enough])
+                forms.append(at[enough] + len(lines.first))
+        done += len(at)
+    key, who, form = np.concatenate(keys), np.concatenate(whose), np.concatenate(forms)
+    if len(key):
+        order = _order(key, h[who], form)
         new = runs(key[order], h[who][order])
-        key, who = key[order][new], who[order][new]
-        out += [(b, number, 1, pack_sorted(key[i:j], h[who[i:j]], own[who[i:j]].astype(np.int32))) for b, i, j in _bucketed(key, bits)]
+        key, who, form = (x[order][new] for x in (key, who, form))
+        out += [(b, number, 1, pack_sorted(key[i:j], h[who[i:j]], form[i:j].astype(np.int32))) for b, i, j in _bucketed(key, bits)]
     return out
 
 
@@ -174,19 +241,16 @@ def _variant_entries(texts: pa.Table, verdicts: pa.Table, near: int, bits: int)
         gone = _removed_here(batch, lines, _verdict(verdicts, 0))
         if gone.any():
             out.append((-1, number, pack(np.flatnonzero(gone))))
-        at = _verdict(verdicts, 1)
-        at = at[~gone[at]]
-        if not len(at):
+        form = _verdict(verdicts, 1)
+        form = form[~gone[form % len(gone)]]
+        if not len(form):
             continue
-        a, b = lines.first[at], lines.last[at]
-        n = b - a
-        owner = np.repeat(at, n)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        begin, end = np.repeat(a, n), np.repeat(b, n)
-        h, g = lines.hashes(a, b)
-        vh, vg = lines.without(begin, end, begin + place)
-        h, g = np.concatenate([h, vh]), np.concatenate([g, vg])
-        who, place = np.concatenate([at, owner]), np.concatenate([np.full(len(at), -1), place])
+        at = form[form < len(gone)]
+        found = [(at, lines.variants(lines.first[at], lines.last[at]))]
+        found += [(at, chars.variants(chars.first, chars.last)) for at, chars in _characters(batch, lines, form[form >= len(gone)] - len(gone))]
+        h, g, place = (np.concatenate([v[k] for _, v in found]) for k in (0, 1, 3))
+        who = np.concatenate([at[v[2]] for at, v in found])
+        del found
         order = _order(h, g, place, who)
         h, g, who, place = h[order], g[order], who[order], place[order]
         for k, i, j in _bucketed(h, bits):
@@ -199,14 +263,26 @@ def _near_repeats(table: pa.Table) -> pa.Table:
     """(batch, block): the lines of each batch that are an edit away from an earlier one."""
     parts = [unpack_sorted(b.as_py()) for b in table.column("block")]
     numbers = table.column("batch").to_numpy()
+    # A key is settled whole, so runs of keys are settled one after another.
+    low, high = min(int(p[0][0]) for p in parts), max(int(p[0][-1]) for p in parts)
+    n = sum(len(p[0]) for p in parts) // MOST_MEETING + 1
+    edges = np.array([low + (high - low) * k // n for k in range(n)], np.uint64)
+    cuts = np.array([np.append(np.searchsorted(p[0], edges), len(p[0])) for p in parts])
+    out = []
+    for k in range(n):
+        own = np.flatnonzero(cuts[:, k + 1] > cuts[:, k])
+        if len(own):
+            out += _settled([tuple(x[cuts[i, k] : cuts[i, k + 1]] for x in parts[i][:4]) + parts[i][4:] for i in own], numbers[own])
+    return pa.table({"batch": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([x[1] for x in out], pa.binary())})
+
+
+def _settled(parts: list[tuple], numbers: np.ndarray) -> list[tuple]:
     h, g, place = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
     line = np.concatenate([p[4][p[3]] for p in parts]).astype(np.int64)
     ids = np.concatenate([p[5][p[3]] for p in parts])
     batch = np.repeat(numbers, [len(p[0]) for p in parts])
     order = _order(h, g, place, ids, batch, line)
     h, g, place, line, ids, batch = (x[order] for x in (h, g, place, line, ids, batch))
-    if not len(h):
-        return pa.table({"batch": pa.array([], pa.int64()), "block": pa.array([], pa.binary())})
     # Each line's rank among all here, so that one number says what is earlier.
     rank = np.empty(len(h), np.int64)
     rank[_order(ids, batch, line)] = np.arange(len(h))
@@ -224,8 +300,7 @@ def _near_repeats(table: pa.Table) -> pa.Table:
     order = np.argsort(batch, kind="stable")
     batch, line = batch[order], line[order]
     cuts = np.append(runs(batch), len(batch))
-    out = [(int(batch[i]), pack(np.unique(line[i:j]))) for i, j in zip(cuts, cuts[1:])]
-    return pa.table({"batch": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([x[1] for x in out], pa.binary())})
+    return [(int(batch[i]), pack(np.unique(line[i:j]))) for i, j in zip(cuts, cuts[1:])]
 
 
 def _kept(texts: pa.Table, removed: pa.Table, names: list[str], text: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
