@@ -6,7 +6,8 @@ part of the unlabelled loss is taken off, and where that leaves less than nothin
 goes back. The model is linear in bounded features of the text's bytes.
 
 The classifier is fitted on at most MOST_FITTED positives and as many unlabelled documents,
-drawn by a hash of their ids; every document is scored.
+drawn by a hash of their ids, and of rows with the same id one, drawn by a hash of the text;
+every document is scored.
 
 Defined results: null and empty texts have all features zero and are scored like any other;
 where nothing is labelled good all scores are 1 (there is nothing to reject by); repeated rows
@@ -136,7 +137,7 @@ def _with_features(docs: DataFrame) -> DataFrame:
 
 
 def _drawn(rows: DataFrame, most: int, seed: int) -> DataFrame:
-    """At most `most` rows, drawn by a hash of doc_id."""
+    """At most `most` of rows with distinct ids, drawn by a hash of doc_id."""
     n = rows.count()
     share = min(1.0, 0.95 * most / max(n, 1)) if n > most else 1.0
     return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(most)
@@ -152,9 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_FITTED) -> Model
     prior = (good + 1) / (n + 2)
     rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
     sets = _drawn(own.where("quality = 1").select("doc_id"), most, 1).withColumn("kind", F.lit("p"))
-    sets = sets.unionByName(_drawn(rows.select("doc_id"), most, 2).withColumn("kind", F.lit("u")))
-    # 2 * most ids at most, and so many rows of features come to the driver.
-    drawn = _with_features(rows.join(F.broadcast(sets), "doc_id")).select("doc_id", "kind", "features").toPandas()
+    sets = sets.unionByName(_drawn(rows.select("doc_id").distinct(), most, 2).withColumn("kind", F.lit("u")))
+    # 2 * most ids at most, each with one row, and so many rows of features come to the driver.
+    one = F.min(F.struct(F.xxhash64("text").alias("at"), "text")).alias("one")
+    met = rows.join(F.broadcast(sets), "doc_id").groupBy("doc_id", "kind").agg(one).select("doc_id", "kind", "one.text")
+    drawn = _with_features(met).select("doc_id", "kind", "features").toPandas()
     drawn = drawn.sort_values(["kind", "doc_id"], kind="stable")
     matrix = lambda kind: np.frombuffer(b"".join(map(bytes, drawn[drawn.kind == kind].features)), np.float32).reshape(-1, WIDTH)
     positive, unlabelled = matrix("p"), matrix("u")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rawframe.llm import language as L
 from rawframe.llm import quality as Q
+from rawframe.llm.common import held_out
 from rawframe.llm.kernels import utf8
 
 rng = random.Random(11)
@@ -89,3 +90,16 @@ def test_quality_on_held_out_rows(spark):
     assert Q.train(docs, labels.limit(0)) is None and Q.keep_good(odd, labels.limit(0)).columns == odd.columns
     assert Q.keep_good(odd, labels.limit(0)).count() == 2
     assert Q.score(docs.limit(0), Q.train(docs.limit(0), labels)).count() == 0
+
+
+def test_a_repeated_id_is_fitted_once(spark, monkeypatch):
+    rows = [(1, prose("aa", 5)) for _ in range(300)] + [(k, prose("bb", 5)) for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 1), (4, 0)], "doc_id long, quality int")
+    ids = [r["doc_id"] for r in docs.where(~held_out(F.col("doc_id"))).select("doc_id").distinct().collect()]
+    assert 1 in ids
+    sizes = []
+    monkeypatch.setattr(Q, "fit", lambda positive, unlabelled, prior: sizes.append((len(positive), len(unlabelled))))
+    Q.train(docs, labels)
+    Q.train(docs, labels, 5)
+    assert sizes[0] == (len({1, 3} & set(ids)), len(ids)) and max(sizes[1]) <= 5
