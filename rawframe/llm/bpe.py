@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage_table
+from .common import map_arrow, read_table, shared, stage_table
 
 LEXICON_WORDS = 65_536
 #: Longer words are left to merging.
@@ -271,7 +271,7 @@ def count_words(docs: DataFrame, source: bytes) -> DataFrame:
                     counts.clear()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("text"), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, source: bytes, size: int = LEXICON_WORDS) -> bytes:
@@ -312,31 +312,31 @@ def _schema(df: DataFrame, name: str, kind: str) -> str:
 
 def encode(docs: DataFrame, source: bytes, lexicon: bytes | None, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the column ids: little-endian unsigned 32-bit numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast((source, lexicon))
+    sent = shared(docs.sparkSession, (source, lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The encoder goes with its task: workers live on, and other stages need their memory.
-        merges, block = shared.value
+        merges, block = sent.value
         encoder = Encoder(Merger(merges), Lexicon(block) if block else None)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             yield _through(batch, ids, pa.array([encoder.encode(t.as_py() or "") for t in texts], pa.binary()))
 
-    return docs.mapInArrow(run, _schema(docs, ids, "binary"))
+    return map_arrow(docs, run, _schema(docs, ids, "binary"))
 
 
 def decode(encoded: DataFrame, source: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """encoded with the column text; special tokens are kept, broken UTF-8 is replaced."""
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces(source))
+    sent = shared(encoded.sparkSession, pieces(source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = shared.value.__getitem__
+        piece = sent.value.__getitem__
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             texts = [b"".join(map(piece, np.frombuffer(x.as_py() or b"", "<u4").tolist())).decode("utf-8", "replace") for x in column]
             yield _through(batch, text, pa.array(texts, pa.string()))
 
-    return encoded.mapInArrow(run, _schema(encoded, text, "string"))
+    return map_arrow(encoded, run, _schema(encoded, text, "string"))
 
 
 def tokenized(docs: DataFrame, source: bytes | None = None, lexicon_words: int = LEXICON_WORDS, lexicon: bytes | None = None) -> DataFrame:

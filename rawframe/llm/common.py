@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows enter Python in batches of about so many bytes, unless the session has a setting of its own.
+ARROW_BYTES = 8 << 20
+_ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What operators have shared and staged since the last release.
+_SHARED: list[Broadcast] = []
+_STAGED: list[str] = []
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,11 +29,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is missing (a local test session) a temporary folder of this
-    machine takes its place.
+    In a session of this machine alone (as in tests) a temporary folder takes its place where the
+    setting is missing; anywhere else that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,9 +47,51 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast that release() takes back."""
+    _SHARED.append(spark.sparkContext.broadcast(value))
+    return _SHARED[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Take back what operators have shared, and delete what they have staged.
+
+    For a caller that has written all results it asked for so far: a result that wasn't written
+    can't be read any more."""
+    while _SHARED:
+        _SHARED.pop().unpersist()
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, as workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
+    """df.mapInArrow(f, schema) with batches bounded in bytes; memory goes back after each task."""
+    conf = df.sparkSession.conf
+    if _ARROW_SETTING not in conf.getAll:
+        conf.set(_ARROW_SETTING, str(ARROW_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def text_crc32(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes; null counts as empty."""
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage_table
+from .common import map_arrow, read_table, shared, stage_table
 from .kernels import Hasher, ascii_lower, byte_class, hash_texts, slices, spans_of, utf8
 
 WINDOW = 13
@@ -154,9 +154,9 @@ class ItemAutomaton:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(shared: Broadcast, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(sent: Broadcast, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton: ItemAutomaton = shared.value
+        automaton: ItemAutomaton = sent.value
         for batch in batches:
             data, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
             counts: list[np.ndarray] = []
@@ -224,7 +224,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     def scan(rows: DataFrame, automaton: ItemAutomaton) -> DataFrame:
         columns = [c for c in rows.columns if c != "text"]
         schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), fields])
-        return rows.select(*columns, "text").mapInArrow(_scan(spark.sparkContext.broadcast(automaton), columns), schema)
+        return map_arrow(rows.select(*columns, "text"), _scan(shared(spark, automaton), columns), schema)
 
     if second is None:
         return scan(slim, first)

@@ -2,8 +2,9 @@
 
 Small sets are light: all their subsets of the fixed sizes that a link needs are enumerated,
 and equal subsets meet. Large sets are heavy: the inverted lists of their prefix are scanned,
-the prefix being as many n-grams as a linked set can't all miss. The boundary is the largest
-size up to which enumerating costs no more than scanning, at the measured length of a list.
+the prefix being as many n-grams as a linked set can't all miss. The boundary is the size at
+which the cost of both together is least: a light set costs its subsets; a heavy one costs its
+lists, and counting its n-grams at each meeting there, by the measured length of a list.
 
 The n-grams that most lists would be long for (found by counting all prefixes) come last in the
 global order, the longest lists at the very end, so they enter a prefix only where nothing
@@ -12,33 +13,40 @@ have a bound.
 
 Lists give candidate families. Prefixes are longer by some n-grams than they must be, and so
 linked sets share so many n-grams of them: pairs that meet in fewer short lists are dropped.
-A long list is cut where sizes are too far apart and gives star edges, which always count. The
-connected components of what is left are the families. Each set then travels once, to its family, where all pairs are
-counted; a family too large for one task is worked on in pairs of blocks. Equal sets are one
-class from the start and aren't expanded.
+A long list is cut where sizes are too far apart and gives star edges, which always count; of
+the sets that a task has of it, only one for each such range of sizes is sent on. The connected
+components of what is left are the families. Each set then travels to its family, where all
+pairs are counted; a family too large for one task is dealt into blocks by size, and only blocks
+of sizes that can be linked meet.
+
+Equal sets are one class from the start (rows are combined before they are exchanged) and aren't
+expanded. The sets are written once, a row a class, and all passes but the first and last read
+them there. An n-gram is known by 64 bits: two different ones in a pair of sets of a thousand
+n-grams each are taken for equal with a chance of about 5e-14.
 
 Defined results: null and empty texts, and texts without words, have no n-grams and no links; a
 text with fewer words than n has one n-gram, the whole; a null doc_id sorts after all others;
-rows with the same doc_id are separate documents; an empty table gives no rows; other columns
-aren't looked at.
+rows with the same doc_id are separate documents; a very long text is one row, worked on whole
+in its task's memory; an empty table gives no rows; other columns aren't looked at, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, count
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage_table
+from .common import map_arrow, read_table, shared, stage_table
 from .components import components
-from .kernels import SLICE_BYTES, Hasher, ascii_lower, byte_class, hash_runs, mix, spans_of
-from .packed import NO_ID, PLACE_BITS, Batch, bucket_count, keep_rows, pack_sorted, pack_texts, unpack_sorted
+from .kernels import Hasher, ascii_lower, byte_class, hash_runs, mix, slices, spans_of, utf8
+from .packed import BUCKET_BYTES, NO_ID, pack, pack_sorted, unpack, unpack_sorted
 from .substring_dedup import runs
 
 WIDTH = 4
@@ -49,14 +57,11 @@ LONG_LIST = 16
 PAIRED_LIST = 32
 MOST_LAST = 1 << 20
 ROUNDS = 4
-#: Up to so many sets, or members of families, lists of them are broadcast; beyond, the texts are shuffled to them.
-MOST_BROADCAST_SETS = 2_000_000
-MOST_BROADCAST_MEMBERS = 500_000
-#: The largest set whose subsets may be enumerated.
-MOST_LIGHT = 16
 #: Sets, and n-grams, that a task counts the pairs of at once.
 FAMILY_SETS = 1_000
-FAMILY_GRAMS = 2_000_000
+FAMILY_GRAMS = 1_000_000
+#: N-grams of sets that a pass has in hand at a time.
+SLICE_GRAMS = 1 << 18
 _IN_WORD = byte_class(r"[^\x20\x09-\x0D]")
 _SUBSET = np.uint64(0xA24BAED4963EE407)
 
@@ -71,6 +76,11 @@ def spare(n: int | np.ndarray) -> int | np.ndarray:
     return 1 + n // 16
 
 
+def prefix(n: int | np.ndarray, percent: int) -> int | np.ndarray:
+    """The n-grams of a set that are looked up in lists."""
+    return np.minimum(n, n - needed(n, percent) + spare(n))
+
+
 def overlap(n: int, m: int, percent: int) -> int:
     """The least intersection of linked sets of sizes n and m: 100 i >= percent (n + m - i)."""
     return -(-percent * (n + m) // (100 + percent))
@@ -82,21 +92,38 @@ def subset_sizes(n: int, light: int, percent: int) -> tuple[int, ...]:
     return tuple(sorted({overlap(n, m, percent) for m in range(needed(n, percent), min(light, 100 * n // percent) + 1)}))
 
 
-def boundary(list_length: float, percent: int) -> int:
-    """The largest size of a light set: enumerating subsets costs at most what scanning its prefix does."""
-    light = 0
-    for n in range(1, MOST_LIGHT + 1):
-        if sum(comb(n, c) for c in subset_sizes(n, n, percent)) > (n - needed(n, percent) + 1) * max(1.0, list_length):
-            break
-        light = n
-    return light
+def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
+    """The largest size of a light set, by the numbers of sets of each (small) size.
+
+    A light set costs its subsets, and its lists too if it can be linked with a heavy one. A
+    heavy set costs its lists: one for itself in each, and its n-grams for each set met there."""
+
+    def scanned(n: int) -> float:
+        return int(prefix(n, percent)) * (1 + max(0.0, list_length - 1) * n)
+
+    def whole(light: int) -> float:
+        total = 0.0
+        for n, sets in sizes.items():
+            if n > light:
+                total += sets * scanned(n)
+            else:
+                total += sets * sum(comb(n, c) for c in subset_sizes(n, light, percent))
+                total += sets * int(prefix(n, percent)) * (100 * n >= percent * (light + 1))
+        return total
+
+    costs = [whole(0)]
+    for light in count(1):
+        # One set of this size alone would cost more than no enumeration at all, as any larger one does.
+        if light > max(sizes, default=0) or sum(comb(light, c) for c in subset_sizes(light, light, percent)) > costs[0]:
+            return int(np.argmin(costs))
+        costs.append(whole(light))
 
 
-def gram_sets(batch: Batch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams' hashes, sorted and distinct in each document, and where each document's begin."""
-    n = len(batch.ids)
-    data = ascii_lower(batch.data)
-    starts, ends, doc = spans_of(_IN_WORD[data], batch.offsets)
+def gram_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams' hashes, sorted and distinct in each text, and where each text's begin."""
+    n = len(offsets) - 1
+    data = ascii_lower(data)
+    starts, ends, doc = spans_of(_IN_WORD[data], offsets)
     words = Hasher(data).of(starts, ends)
     grams = hash_runs(words, width)
     whole = doc[: len(grams)] == doc[width - 1 :] if len(grams) else np.empty(0, bool)
@@ -111,17 +138,40 @@ def gram_sets(batch: Batch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], np.searchsorted(owner[new], np.arange(n + 1))
 
 
-def _numbers(batch: int, n: int) -> np.ndarray:
-    return (batch << PLACE_BITS) + np.arange(n, dtype=np.int64)
+def with_sets(rows: DataFrame, text: Column, width: int, sets: bool) -> DataFrame:
+    """rows with n, s and t (size and a 128-bit hash of the text's set), and the set itself if asked for."""
+    whole = rows.select(F.struct(*rows.columns).alias("row"), text.alias("text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, j in slices(offsets):
+                grams, first = gram_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(grams ^ salt), dtype=np.uint64)]) for salt in (_SUBSET, ~_SUBSET)]
+                s, t = ((x[first[1:]] - x[first[:-1]]).view(np.int64) for x in sums)
+                columns = [batch.column(0).slice(i, j - i), *(pa.array(c, pa.int64()) for c in (np.diff(first), s, t))]
+                if sets:
+                    ends = (first * 8).astype(np.int32)
+                    columns.append(pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(grams)]))
+                yield pa.RecordBatch.from_arrays(columns, ["row", "n", "s", "t", "grams"][: len(columns)])
 
-def _describe(number: int, batch: Batch, width: int) -> pa.RecordBatch:
-    """(row, doc_id, n, s, t): size and a 128-bit hash of each document's set."""
-    grams, first = gram_sets(batch, width)
-    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(grams ^ salt), dtype=np.uint64)]) for salt in (_SUBSET, ~_SUBSET)]
-    s, t = ((x[first[1:]] - x[first[:-1]]).view(np.int64) for x in sums)
-    columns = [_numbers(number, len(batch.ids)), batch.ids, np.diff(first), s, t]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "doc_id", "n", "s", "t"])
+    described = map_arrow(whole, run, f"row {whole.schema['row'].dataType.simpleString()}, n bigint, s bigint, t bigint" + ", grams binary" * sets)
+    return described.select("row.*", *described.columns[1:])
+
+
+def grams_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a column of sets one after another, and where each set begins."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return np.frombuffer(data.tobytes(), np.uint64), (ends - ends[0]) // 8
+
+
+def _in_hand(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The classes' numbers, n-grams and their beginnings, some sets at a time."""
+    grams, first = grams_of(batch.column(1))
+    rep = batch.column(0).to_numpy()
+    for i, j in slices(first, SLICE_GRAMS):
+        yield rep[i:j], grams[first[i] : first[j]], first[i : j + 1] - first[i]
 
 
 def _late(grams: np.ndarray, last: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,21 +186,8 @@ def _late(grams: np.ndarray, last: tuple[np.ndarray, np.ndarray]) -> tuple[np.nd
 def _in_prefix(late: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
     """The n-grams of each set's prefix that don't come last."""
     size = np.diff(first)
-    take = np.minimum(size, size - needed(size, percent) + spare(size))
     before = np.concatenate([[0], np.cumsum(~late)])
-    return ~late & (before[1:] - np.repeat(before[first[:-1]], size) <= np.repeat(take, size))
-
-
-def _prefix_rows(number: int, batch: Batch, places: np.ndarray, width: int, percent: int, bits: int, old: tuple | None, new: tuple) -> Iterator[tuple]:
-    """(bucket, block): how many prefixes of the batch hold each n-gram that wasn't in them before the order changed."""
-    grams, first = gram_sets(batch, width)
-    chosen = _in_prefix(_late(grams, new)[0], first, percent)
-    if old is not None:
-        chosen &= ~_in_prefix(_late(grams, old)[0], first, percent)
-    wanted = np.zeros(len(first) - 1, bool)
-    wanted[places] = True
-    values, counts = np.unique(grams[chosen & np.repeat(wanted, np.diff(first))], return_counts=True)
-    return ((b, pack_sorted(values[i:j], counts[i:j].astype(np.int32))) for b, i, j in bucketed(values, bits))
+    return ~late & (before[1:] - np.repeat(before[first[:-1]], size) <= np.repeat(prefix(size, percent), size))
 
 
 def bucketed(key: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
@@ -159,6 +196,27 @@ def bucketed(key: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     return ((b, int(i), int(j)) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i)
 
 
+def _blocks(make: Callable[[pa.RecordBatch], Iterator[tuple[int, bytes]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = list(make(batch))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "block"])
+
+    return run
+
+
+def _count_rows(batch: pa.RecordBatch, percent: int, bits: int, old: tuple | None, new: tuple) -> Iterator[tuple[int, bytes]]:
+    """(bucket, block): how many prefixes here hold each n-gram that wasn't in them before the order changed."""
+    found = []
+    for _, grams, first in _in_hand(batch):
+        chosen = _in_prefix(_late(grams, new)[0], first, percent)
+        if old is not None:
+            chosen &= ~_in_prefix(_late(grams, old)[0], first, percent)
+        found.append(grams[chosen])
+    values, counts = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
+    return ((b, pack_sorted(values[i:j], counts[i:j].astype(np.int32))) for b, i, j in bucketed(values, bits))
+
+
 def _count_lists(table: pa.Table, most: int) -> pa.Table:
     """(gram, n) of the long lists; one row more, without gram, has the sums of the others' lengths and their squares."""
     parts = [unpack_sorted(b.as_py()) for b in table.column("block")]
@@ -178,76 +236,112 @@ def _count_lists(table: pa.Table, most: int) -> pa.Table:
     )
 
 
-def _list_rows(number: int, batch: Batch, places: np.ndarray, width: int, percent: int, bits: int, last: tuple[np.ndarray, np.ndarray], light: int) -> Iterator[tuple]:
-    """(bucket, block): the batch's part of the lists, of prefixes and of enumerated subsets: key, row, size.
-
-    Sizes are negative where a star is due: for n-grams that come last, and for subsets."""
-    grams, first = gram_sets(batch, width)
-    keys, rows, sizes = [], [], []
-    numbers = _numbers(number, len(batch.ids))
-    rank = last[1]
-    late_grams, place = _late(grams, last)
-    for d in places.tolist():
-        own = grams[first[d] : first[d + 1]]
-        n = len(own)
-        if not n:
-            continue
-        show: list[np.ndarray] = []
-        if n <= light:
-            mixed = mix(own ^ _SUBSET)
-            for c in subset_sizes(n, light, percent):
-                sums = [sum(map(int, s)) + c & 0xFFFFFFFFFFFFFFFF for s in combinations(mixed, c)]
-                show.append((mix(np.array(sums, np.uint64)), -n))
-        if n > light or 100 * n >= percent * (light + 1):  # it can be linked with a heavy set
-            p = min(n, n - int(needed(n, percent)) + spare(n))
-            late = late_grams[first[d] : first[d + 1]]
-            usual = own[~late][:p]
-            show.append((usual, n))
-            if len(usual) < p:
-                by_rank = np.argsort(rank[place[first[d] : first[d + 1]][late]], kind="stable")
-                show.append((own[late][by_rank[: p - len(usual)]], -n))
-        for x, size in show:
-            keys.append(x)
-            rows.append(np.full(len(x), numbers[d]))
-            sizes.append(np.full(len(x), size, np.int32))
-    if not keys:
-        return iter(())
-    key, row, size = np.concatenate(keys), np.concatenate(rows), np.concatenate(sizes)
-    order = np.argsort(key, kind="stable")
-    key, row, size = key[order], row[order], size[order]
-    cuts = np.searchsorted((key >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-    base = np.int64(number << PLACE_BITS)
-    return ((b, pack_sorted(key[i:j], base, (row[i:j] - base).astype(np.int32), size[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i)
+def subset_keys(grams: np.ndarray, light: int, percent: int) -> np.ndarray:
+    """A hash of each subset that a light set shows."""
+    mixed, out = mix(grams ^ _SUBSET), []
+    for c in subset_sizes(len(grams), light, percent):
+        places = np.fromiter((x for s in combinations(range(len(grams)), c) for x in s), np.int64).reshape(-1, c)
+        out.append(mix(mixed[places].sum(axis=1, dtype=np.uint64) + np.uint64(c)))
+    return np.concatenate(out)
+
+
+def _entries(rep: np.ndarray, grams: np.ndarray, first: np.ndarray, percent: int, last: tuple[np.ndarray, np.ndarray], light: int) -> tuple[np.ndarray, ...]:
+    """(key, row, size, star) of all lists that the sets enter. Stars are for n-grams that come last, and for subsets."""
+    size = np.diff(first)
+    late, place = _late(grams, last)
+    heavy = (size > light) | (100 * size >= percent * (light + 1))  # it can be linked with a heavy set
+    chosen = _in_prefix(late, first, percent) & np.repeat(heavy, size)
+    owner = np.repeat(np.arange(len(size)), size)
+    keys, owners = [grams[chosen]], [owner[chosen]]
+    usual = len(keys[0])
+    lacking = prefix(size, percent) - np.bincount(owners[0], minlength=len(size))
+    for d in np.flatnonzero(heavy & (lacking > 0)):
+        own = np.flatnonzero(late[first[d] : first[d + 1]]) + first[d]
+        by_rank = np.argsort(last[1][place[own]], kind="stable")[: lacking[d]]
+        keys.append(grams[own[by_rank]])
+        owners.append(np.full(len(by_rank), d))
+    for d in np.flatnonzero((size <= light) & (size > 0)):
+        keys.append(subset_keys(grams[first[d] : first[d + 1]], light, percent))
+        owners.append(np.full(len(keys[-1]), d))
+    key, who = np.concatenate(keys), np.concatenate(owners)
+    return key, rep[who], size[who], np.arange(len(key)) >= usual
+
+
+def _ranges(new_key: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """Where a range of sizes begins in each key: no set before it can be linked with one from there on. Sorted by low.
+
+    new_key says where keys begin."""
+    greatest = int(high.max(initial=0)) + 1
+    reach = np.maximum.accumulate((np.cumsum(new_key) - 1) * greatest + high) % greatest
+    out = new_key.copy()
+    out[1:] |= 100 * reach[:-1] < percent * low[1:]
+    return out
+
+
+def _list_rows(batch: pa.RecordBatch, percent: int, bits: int, last: tuple[np.ndarray, np.ndarray], light: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, block): this batch's part of the lists: key, class, least and greatest size, star.
+
+    What a star has here is one entry a range of sizes; the others' edges come under a negative bucket."""
+    parts = [_entries(*x, percent, last, light) for x in _in_hand(batch)]
+    if not parts:
+        return
+    key, row, size, star = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    order = np.lexsort((row, size, key, star))
+    key, row, size, star = (x[order] for x in (key, row, size, star))
+    high = size.copy()
+    n = int((~star).sum())
+    if n < len(key):
+        fresh = np.ones(len(key) - n, bool)
+        fresh[1:] = key[n + 1 :] != key[n:-1]
+        begins = np.flatnonzero(_ranges(fresh, size[n:], size[n:], percent)) + n
+        head = np.repeat(row[begins], np.diff(np.append(begins, len(key))))
+        high[begins] = np.maximum.reduceat(size, begins) if len(begins) else high[begins]
+        other = row[n:] != head
+        if other.any():
+            yield -1 - int(row[0]), pack(row[n:][other], head[other])
+        kept = np.concatenate([np.arange(n), begins])
+        key, row, size, high, star = (x[kept] for x in (key, row, size, high, star))
+        order = np.argsort(key, kind="stable")
+        key, row, size, high, star = (x[order] for x in (key, row, size, high, star))
+    for b, i, j in bucketed(key, bits):
+        yield b, pack_sorted(key[i:j], row[i:j], size[i:j].astype(np.int32), high[i:j].astype(np.int32), star[i:j])
 
 
 def _list_edges(table: pa.Table, percent: int) -> pa.Table:
     """(a, b, met, least): pairs of the short lists, how often they met here and had to; star edges of the others."""
-    parts = [unpack_sorted(b.as_py()) for b in table.column("block")]
-    key = np.concatenate([p[0] for p in parts])
-    row = np.concatenate([p[1] + p[2].astype(np.int64) for p in parts])
-    size = np.concatenate([p[3] for p in parts]).astype(np.int64)
-    star, size = size < 0, np.abs(size)
-    order = np.lexsort((row, size, key))
-    key, row, size, star = key[order], row[order], size[order], star[order]
+    blocks = [b.as_py() for b in table.column("block")]
+    if table.column("bucket")[0].as_py() < 0:
+        a, b = (np.concatenate(x) for x in zip(*map(unpack, blocks)))
+        return _edges(a, b, np.zeros(len(a), np.int64))
+    parts = [unpack_sorted(b) for b in blocks]
+    key, row, low, high, star = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    low, high = low.astype(np.int64), high.astype(np.int64)
+    order = np.lexsort((row, low, key))
+    key, row, low, high, star = (x[order] for x in (key, row, low, high, star))
     begins = runs(key)
     length = np.diff(np.append(begins, len(key)))
-    star = np.repeat(np.logical_or.reduceat(star, begins) | (length > PAIRED_LIST), length) if len(key) else star
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (100 * size[:-1] < percent * size[1:])
-    head = row[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    pick = star & (row != head)
-    a, b = [row[pick]], [head[pick]]
-    least = [np.full(int(pick.sum()), 0, np.int64)]
+    star = np.repeat(np.logical_or.reduceat(star, begins) | (length > PAIRED_LIST), length)
+    fresh = np.zeros(len(key), bool)
+    fresh[begins] = True
+    of = np.flatnonzero(star)
+    out = []
+    if len(of):
+        new = np.flatnonzero(_ranges(fresh[of], low[of], high[of], percent))
+        head = np.repeat(row[of][new], np.diff(np.append(new, len(of))))
+        other = row[of] != head
+        out.append((row[of][other], head[other], np.zeros(int(other.sum()), np.int64)))
     short = np.flatnonzero(~star)
     for step in range(1, PAIRED_LIST):
         i = short[short + step < len(key)]
-        i = i[(key[i] == key[i + step]) & (100 * size[i] >= percent * size[i + step])]
+        i = i[(key[i] == key[i + step]) & (100 * low[i] >= percent * low[i + step])]
         if not len(i):
             break
-        a.append(row[i])
-        b.append(row[i + step])
-        least.append(spare(size[i]))
-    a, b, least = np.concatenate(a), np.concatenate(b), np.concatenate(least)
+        out.append((row[i], row[i + step], spare(low[i])))
+    empty = np.empty(0, np.int64)
+    return _edges(*(np.concatenate([x[k] for x in out] or [empty]) for k in range(3)))
+
+
+def _edges(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> pa.Table:
     a, b = np.maximum(a, b), np.minimum(a, b)
     order = np.lexsort((least, b, a))
     a, b, least = a[order], b[order], least[order]
@@ -256,62 +350,27 @@ def _list_edges(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a[pair], pa.int64()), "b": pa.array(b[pair], pa.int64()), "met": pa.array(met.astype(np.int32), pa.int32()), "least": pa.array(least[pair].astype(np.int32), pa.int32())})
 
 
-def _cut(grams: np.ndarray) -> bytes:
-    """A set as numbers of six bytes; within a family that tells n-grams apart as well."""
-    return grams.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def _uncut(block: bytes) -> np.ndarray:
-    out = np.zeros((len(block) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(block, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
+def linked_pairs(grams: np.ndarray, first: np.ndarray, percent: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all linked pairs of sets; with split, only of pairs across it.
 
-_SENT = [("task", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("family", pa.int64()), ("block", pa.int32()), ("row", pa.int64()), ("copies", pa.int64()), ("set", pa.binary())]
-
-
-def _sent_sets(number: int, batch: Batch, members: list[dict], width: int, tasks: int) -> Iterator[pa.RecordBatch]:
-    """Each member's set, addressed to the tasks that count its family's pairs.
-
-    Families of one block share tasks, whose numbers are negative; a set of a family of several
-    blocks goes to each pair of its block and another."""
-    grams, first = gram_sets(batch, width)
-    rows: list[tuple] = []
-    for m in members:
-        d, family, blocks = m["place"], m["family"], m["blocks"]
-        row, block = (number << PLACE_BITS) + d, _cut(grams[first[d] : first[d + 1]])
-        if blocks <= 1:
-            rows.append((-1 - int(mix(np.array([family], np.uint64))[0] % np.uint64(tasks)), 0, 0, family, 0, row, m["copies"], block))
-            continue
-        own = int(mix(np.array([row], np.uint64))[0] % np.uint64(blocks))
-        for other in range(blocks):
-            rows.append((family, min(own, other), max(own, other), family, own, row, m["copies"], block))
-            if len(rows) >= 64:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(_SENT)], [n for n, _ in _SENT])
-                rows = []
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(_SENT)], [n for n, _ in _SENT])
-
-
-def linked_pairs(sets: list[np.ndarray], percent: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all linked pairs; with split, only of pairs across it.
-
-    The inverted lists of the family are scanned: a list adds one to each pair it holds."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
+    The inverted lists of the sets are scanned: a list adds one to each pair it holds."""
+    size = np.diff(first)
+    m = len(size)
     owner = np.repeat(np.arange(m), size)
-    gram = np.unique(np.concatenate(sets), return_inverse=True)[1] if size.sum() else np.empty(0, np.int64)
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    begins = runs(grams)
+    length = np.diff(np.append(begins, len(grams)))
+    several = length > 1
+    owner, length = owner[np.repeat(several, length)], length[several]
+    column = np.repeat(np.arange(len(length)), length)
     common = np.zeros((m, m), np.float32)
-    frequent = np.bincount(gram)[gram] > 1 if len(gram) else np.empty(0, bool)
-    gram, owner = gram[frequent], owner[frequent]
-    order = np.argsort(gram, kind="stable")
-    gram, owner = gram[order], owner[order]
-    begins = runs(gram)
-    column = np.cumsum(np.isin(np.arange(len(gram)), begins)) - 1 if len(gram) else gram
-    for c in range(0, len(begins), 2048):
-        part = (column >= c) & (column < c + 2048)
-        held = np.zeros((m, 2048), np.float32)
-        held[owner[part], column[part] - c] = 1
-        common += held @ held.T
+    for c in range(0, len(length), 2048):
+        i, j = np.searchsorted(column, (c, c + 2048))
+        used, at = np.unique(owner[i:j], return_inverse=True)
+        held = np.zeros((len(used), 2048), np.float32)
+        held[at, column[i:j] - c] = 1
+        common[np.ix_(used, used)] += held @ held.T
     i, j = np.nonzero(np.triu(100 * common >= percent * (size[:, None] + size[None, :] - common), 1) & (common > 0))
     if split is not None:
         across = (i < split) & (j >= split)
@@ -319,9 +378,8 @@ def linked_pairs(sets: list[np.ndarray], percent: int, split: int | None = None)
     return i, j
 
 
-def _family_links(rows: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], percent: int, split: int | None = None) -> list[tuple[int, int, int]]:
-    """(row, the least row it is connected to here, linked documents of other sets)."""
-    i, j = linked_pairs(sets, percent, split)
+def _family_links(rows: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, the least row it is connected to here, linked documents of other sets) from the linked pairs i, j."""
     links = np.bincount(i, weights=copies[j], minlength=len(rows)) + np.bincount(j, weights=copies[i], minlength=len(rows))
     root = list(range(len(rows)))
 
@@ -346,122 +404,137 @@ def _counted_families(table: pa.Table, percent: int) -> pa.Table:
     column = lambda c: table.column(c).to_numpy()
     order = np.lexsort((column("row"), column("block"), column("family")))
     family, block, row, copies = (column(c)[order] for c in ("family", "block", "row", "copies"))
-    sets, low, high = table.column("set"), int(column("low")[0]), int(column("high")[0])
+    sets, low, high = table.column("grams"), column("low")[0], column("high")[0]
     out = []
     cuts = np.append(runs(family), len(family))
     for a, b in zip(cuts, cuts[1:]):
-        split = int((block[a:b] == low).sum()) if low < high else None
-        out += _family_links(row[a:b], copies[a:b], [_uncut(sets[int(k)].as_py()) for k in order[a:b]], percent, split)
-    return _links(out)
-
-
-def _links(out: list[tuple[int, int, int]]) -> pa.Table:
+        own = [np.frombuffer(sets[int(k)].as_py(), np.uint64) for k in order[a:b]]
+        first = np.cumsum([0, *map(len, own)])
+        i, j = linked_pairs(np.concatenate(own), first, percent, int((block[a:b] == low).sum()) if low < high else None)
+        out += _family_links(row[a:b], copies[a:b], i, j)
     return pa.table({name: pa.array([x[k] for x in out], pa.int64()) for k, name in enumerate(("row", "root", "links"))})
 
 
-def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, batch_bytes: int = SLICE_BYTES, long_list: int = LONG_LIST, family_sets: int = FAMILY_SETS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, doc_id, n_shingles, component_id, n_links) of each document.
-
-    Two documents are linked when 100 |A and B| >= percent |A or B| for their sets."""
-    return _joined(pack_texts(docs, batch_bytes, key, text), width, percent, long_list, family_sets).drop("first")
-
-
-def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, but of each component only the one with the smallest id."""
-    texts = pack_texts(docs, SLICE_BYTES, key, text, others=True)
-    return keep_rows(texts, _joined(texts, width, percent, LONG_LIST, FAMILY_SETS).where("first"), docs.schema, text)
-
-
-def _joined(texts: DataFrame, width: int, percent: int, long_list: int, family_sets: int) -> DataFrame:
-    spark = texts.sparkSession
-    bits = bucket_count(texts).bit_length() - 1
-    packed = texts.select("batch", "docs")
-
-    def describe(batches):
-        for b in batches:
-            for number, block in zip(b.column(0).to_pylist(), b.column(1)):
-                yield _describe(number, Batch.of(block.as_py()), width)
+def _last_ones(classes: DataFrame, percent: int, bits: int, long_list: int) -> tuple[Callable, float]:
+    """The n-grams that come last, and their ranks, as a broadcast; and the mean length of the list that an n-gram is in.
 
-    described = stage_table(packed.mapInArrow(describe, "row bigint, doc_id bigint, n bigint, s bigint, t bigint"), "sets")
-    # One class for each distinct set; its first row stands for it.
-    classes = stage_table(
-        described.where("n > 0").groupBy("n", "s", "t").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies")).select("n", "s", "t", F.col("first.row").alias("rep"), F.col("first.doc_id").alias("least"), "copies"),
-        "classes",
-    )
-    wanted = classes.select(F.shiftright("rep", PLACE_BITS).alias("batch"), F.col("rep").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("place"))
-    wanted = wanted.groupBy("batch").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    # The texts stay where they are if what they are joined with is small: 4 bytes a set, 32 a member.
-    few = classes.count() <= MOST_BROADCAST_SETS
-    chosen = packed.join(F.broadcast(wanted), "batch") if few else stage_table(packed.join(wanted, "batch"), "chosen")
-
-    def each(make):
-        def run(batches):
-            for b in batches:
-                for number, block, places in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                    out = list(make(number, Batch.of(block.as_py()), np.array(places.as_py(), np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "block"])
-
-        return run
-
-    # The order is settled in rounds: what is put last makes room in prefixes for others, which
-    # may turn out to be frequent too. At most MOST_LAST numbers of eight bytes, and their ranks,
-    # are collected and broadcast.
-    longest = np.empty(0, np.int64)
-    lengths = np.empty(0)
-    old, usual = None, 1.0
+    The order is settled in rounds: what is put last makes room in prefixes for others, which may
+    turn out to be frequent too. At most MOST_LAST numbers of eight bytes, and their ranks, are
+    collected and broadcast."""
+    spark, sets = classes.sparkSession, classes.select("rep", "grams")
+    longest, lengths = np.empty(0, np.int64), np.empty(0)
+    old, usual, found = None, 1.0, 1
     for turn in range(ROUNDS):
         order = np.lexsort((longest, lengths))
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         by_gram = np.argsort(longest.view(np.uint64), kind="stable")
-        last = spark.sparkContext.broadcast((longest.view(np.uint64)[by_gram], rank[by_gram]))
-        if turn == ROUNDS - 1 or (turn and not found):
+        last = shared(spark, (longest.view(np.uint64)[by_gram], rank[by_gram]))
+        if turn == ROUNDS - 1 or not found:
             break
-        counted = chosen.mapInArrow(each(lambda k, b, p, old=old, new=last: _prefix_rows(k, b, p, width, percent, bits, old and old.value, new.value)), "bucket int, block binary")
+        counted = map_arrow(sets, _blocks(lambda b, old=old, new=last: _count_rows(b, percent, bits, old and old.value, new.value)), "bucket bigint, block binary")
         counted = stage_table(counted.groupBy("bucket").applyInArrow(lambda t: _count_lists(t, long_list), "gram bigint, n double, squares double"), "lists")
         if not turn:
-            usual = counted.where("gram is null").agg(F.sum("squares") / F.sum("n")).first()[0] or 1.0
+            usual = counted.agg(F.sum(F.coalesce("squares", F.lit(0.0)) + F.when(F.col("gram").isNotNull(), F.col("n") * F.col("n")).otherwise(0.0)) / F.sum("n")).first()[0] or 1.0
         more = counted.where("gram is not null").orderBy(F.desc("n"), "gram").limit(MOST_LAST - len(longest)).select("gram", "n").toPandas()
         found = len(more)
         longest, lengths, old = np.concatenate([longest, more["gram"].to_numpy(np.int64)]), np.concatenate([lengths, more["n"].to_numpy(float)]), last
-    light = boundary(usual, percent)
-
-    listed = chosen.mapInArrow(each(lambda k, b, p: _list_rows(k, b, p, width, percent, bits, last.value, light)), "bucket int, block binary")
+    return last, float(usual)
+
+
+def _counted(members: DataFrame, percent: int, family_sets: int, tasks: int) -> DataFrame:
+    """(row, root, links) from members (rep, family, copies, n, grams): the pairs of each family counted.
+
+    Small families share tasks, whose numbers are negative. A large one is dealt into blocks: by
+    classes of sizes, of which only neighbours hold links, and by numbers of sets in each class."""
+    slim = members.drop("grams")
+    size_class = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("bigint")
+    too_many = F.greatest(F.ceil(F.col("sets") / family_sets), F.ceil(F.col("all_grams") / FAMILY_GRAMS)).cast("bigint")
+    sums = (F.count("*").alias("sets"), F.sum("n").alias("all_grams"))
+    large = slim.groupBy("family").agg(*sums).where(too_many > 1).select("family")
+    blocks = slim.join(large, "family").groupBy("family", size_class.alias("class")).agg(*sums).select("family", "class", too_many.alias("blocks"))
+    near = blocks
+    for step, name in ((-1, "before"), (1, "after")):
+        near = near.join(blocks.select("family", (F.col("class") - step).alias("class"), F.col("blocks").alias(name)), ["family", "class"], "left")
+    placed = members.withColumn("class", size_class).join(near, ["family", "class"], "left")
+    code = lambda c, k: c * (1 << 32) + k
+    own = code(F.col("class"), F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    others = lambda c, n: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1), lambda k: code(c, k))).otherwise(F.array().cast("array<bigint>"))
+    met = F.concat(others(F.col("class") - 1, "before"), others(F.col("class"), "blocks"), others(F.col("class") + 1, "after"))
+    shared_task = -1 - F.pmod(F.xxhash64("family"), F.lit(tasks))
+    sent = placed.select(
+        F.coalesce(F.when(F.col("blocks").isNotNull(), F.col("family")), shared_task).alias("task"),
+        "family",
+        F.coalesce(own, F.lit(0)).alias("block"),
+        F.explode(F.when(F.col("blocks").isNotNull(), met).otherwise(F.array(F.lit(0).cast("bigint")))).alias("other"),
+        F.col("rep").alias("row"),
+        "copies",
+        "grams",
+    )
+    sent = sent.select("task", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "family", "block", "row", "copies", "grams")
+    return sent.groupBy("task", "low", "high").applyInArrow(lambda t: _counted_families(t, percent), "row bigint, root bigint, links bigint")
+
+
+def set_groups(docs: DataFrame, width: int, percent: int, long_list: int, family_sets: int, key: Column, text: Column) -> DataFrame:
+    """(n, s, t, least, keeper, n_links) of each distinct set: the least id of its component, whether this set has it, its links."""
+    rows = with_sets(docs.select(F.coalesce(key.cast("bigint"), F.lit(NO_ID)).alias("id"), text.alias("text")), F.col("text"), width, True)
+    classes = rows.where("n > 0").groupBy("n", "s", "t").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("grams").alias("grams"))
+    classes = stage_table(classes.withColumn("rep", F.monotonically_increasing_id()), "sets")
+    slim = classes.drop("grams")
+    sizes = {r["n"]: r["sets"] for r in slim.where("n <= 64").groupBy("n").agg(F.count("*").alias("sets")).collect()}
+    total = slim.agg(F.sum("n")).first()[0] or 0
+    bits = (1 << max(7, total * 8 // BUCKET_BYTES).bit_length()).bit_length() - 1
+    last, usual = _last_ones(classes, percent, bits, long_list)
+    light = boundary(sizes, usual, percent)
+    listed = map_arrow(classes.select("rep", "grams"), _blocks(lambda b: _list_rows(b, percent, bits, last.value, light)), "bucket bigint, block binary")
     edges = listed.groupBy("bucket").applyInArrow(lambda t: _list_edges(t, percent), "a bigint, b bigint, met int, least int")
     edges = edges.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("least").alias("least")).where("met >= least").select("a", "b")
     families = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    members = stage_table(families.join(classes.select("rep", "copies", "n"), "rep"), "members")
-    sized = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
-    blocks = F.greatest(F.ceil(F.col("sets") / family_sets), F.ceil(F.col("grams") / FAMILY_GRAMS)).cast("int")
-    placed = members.join(sized.select("family", blocks.alias("blocks")), "family")
-    place = F.col("rep").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-    placed = placed.select(F.shiftright("rep", PLACE_BITS).alias("batch"), F.struct(place.alias("place"), "family", "blocks", "copies").alias("m")).groupBy("batch").agg(F.collect_list("m").alias("members"))
-
-    def sets_of(batches):
-        for b in batches:
-            for number, block, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                yield from _sent_sets(number, Batch.of(block.as_py()), own.as_py(), width, 4 << bits)
-
-    placed = F.broadcast(placed) if members.count() <= MOST_BROADCAST_MEMBERS else placed
-    sent = chosen.select("batch", "docs").join(placed, "batch").mapInArrow(sets_of, "task bigint, low int, high int, family bigint, block int, row bigint, copies bigint, set binary")
-    links = stage_table(sent.groupBy("task", "low", "high").applyInArrow(lambda t: _counted_families(t, percent), "row bigint, root bigint, links bigint"), "links")
+    members = classes.select("rep", "copies", "n", "grams").join(families, "rep")
+    links = stage_table(_counted(members, percent, family_sets, 4 << bits), "links")
     joined = components(links.select(F.col("row").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("row").agg(F.sum("links").alias("links"))
-    grouped = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").join(counts.select(F.col("row").alias("rep"), "links"), "rep", "left")
+    grouped = slim.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").join(counts.select(F.col("row").alias("rep"), "links"), "rep", "left")
     grouped = grouped.withColumn("component", F.coalesce("component", "rep"))
     leasts = grouped.where("links is not null").groupBy("component").agg(F.min(F.struct("least", "rep")).alias("first"))
-    grouped = grouped.join(leasts, "component", "left").select("n", "s", "t", F.coalesce("first.least", "least").alias("least"), F.coalesce("first.rep", "rep").alias("keeper"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = described.join(grouped, ["n", "s", "t"], "left")
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(
-        "row",
-        known("doc_id").alias("doc_id"),
+    return grouped.join(leasts, "component", "left").select(
+        "n",
+        "s",
+        "t",
+        F.coalesce("first.least", "least").alias("least"),
+        (F.coalesce("first.rep", "rep") == F.col("rep")).alias("keeper"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
+
+
+def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, long_list: int = LONG_LIST, family_sets: int = FAMILY_SETS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of each document.
+
+    Two documents are linked when 100 |A and B| >= percent |A or B| for their sets."""
+    groups = set_groups(docs, width, percent, long_list, family_sets, F.col(key), F.col(text)).select("n", "s", "t", "least", "n_links")
+    rows = with_sets(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), F.col("text"), width, False).drop("text")
+    known = F.when(F.col("least") != NO_ID, F.col("least"))
+    return rows.join(groups, ["n", "s", "t"], "left").select(
+        "doc_id",
         F.col("n").alias("n_shingles"),
-        F.coalesce(known("least"), known("doc_id")).alias("component_id"),
+        F.coalesce(known, F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        (F.coalesce("keeper", "row") == F.col("row")).alias("first"),
     )
 
 
+def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, key: str = "doc_id", text: str = "text", long_list: int = LONG_LIST, family_sets: int = FAMILY_SETS) -> DataFrame:
+    """The rows of docs, with all columns, but of each component only the one with the smallest id.
+
+    Of rows with that id and the same set, the one with the least hash of the whole row stays.
+    Rows are combined by id and set before they are exchanged, once, and meet the sets' keepers."""
+    groups = set_groups(docs, width, percent, long_list, family_sets, F.col(key), F.col(text)).where("keeper")
+    keepers = groups.select("n", "s", "t", F.col("least").alias("id"), F.lit(True).alias("keeper"))
+    rows = with_sets(docs.select(F.struct(*docs.columns).alias("doc")), F.col(f"doc.`{text}`"), width, False)
+    # A row without a set stays whatever its id: a number of its own takes the place of the set's hash.
+    rows = rows.withColumn("id", F.coalesce(F.col(f"doc.`{key}`").cast("bigint"), F.lit(NO_ID))).withColumn("s", F.when(F.col("n") == 0, F.monotonically_increasing_id()).otherwise(F.col("s")))
+    one = rows.groupBy("n", "s", "t", "id").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return one.join(keepers, ["n", "s", "t", "id"], "left").where((F.col("n") == 0) | F.col("keeper")).select("doc.*")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard_join(read_table(spark, sf_dir, "documents"))

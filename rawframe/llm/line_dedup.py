@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage_table
+from .common import map_arrow, read_table, stage_table
 from .kernels import SLICE_BYTES, Hasher, byte_class, mix, powers, slices, spans_of
 from .packed import Batch, bucket_count, pack, pack_sorted, pack_texts, unpack, unpack_sorted
 from .substring_dedup import runs
@@ -342,7 +342,7 @@ def dedup_lines(docs: DataFrame, near: int = NEAR_WORDS, batch_bytes: int = SLIC
                     ["bucket", "batch", "kind", "block"],
                 )
 
-    verdicts = packed.mapInArrow(entries, "bucket int, batch bigint, kind int, block binary").groupBy("bucket").applyInArrow(_line_verdicts, "batch bigint, kind int, block binary")
+    verdicts = map_arrow(packed, entries, "bucket int, batch bigint, kind int, block binary").groupBy("bucket").applyInArrow(_line_verdicts, "batch bigint, kind int, block binary")
     by_batch = packed.groupBy("batch")
     variants = stage_table(by_batch.cogroup(verdicts.groupBy("batch")).applyInArrow(lambda t, v: _variant_entries(t, v, near, bits), "bucket int, batch bigint, block binary"), "variants")
     removed = variants.where("bucket >= 0").groupBy("bucket").applyInArrow(_near_repeats, "batch bigint, block binary")

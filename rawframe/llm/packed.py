@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pickle
+import json
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import map_arrow, stage_table
 from .kernels import SLICE_BYTES, slices, utf8
 
 #: Stands for a missing id: it sorts after all others.
@@ -23,12 +24,29 @@ BUCKET_BYTES = 16 << 20
 MOST_ROWS = 1 << 20
 
 
-def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(arrays, protocol=5))
+def pack(*arrays: np.ndarray | bytes | None, level: int = 1) -> bytes:
+    """Arrays one after another behind a JSON head of their types and shapes, compressed."""
+    parts = [a if a is None or isinstance(a, bytes) else np.ascontiguousarray(a) for a in arrays]
+    head = json.dumps([None if a is None else len(a) if isinstance(a, bytes) else [a.dtype.str, a.shape] for a in parts]).encode()
+    body = [a if isinstance(a, bytes) else a.tobytes() for a in parts if a is not None]
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([struct.pack("<I", len(head)), head, *body]))
 
 
-def unpack(block: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(block))
+def unpack(block: bytes) -> tuple:
+    whole = zstandard.ZstdDecompressor().decompress(block)
+    at = 4 + struct.unpack_from("<I", whole)[0]
+    out = []
+    for kind in json.loads(whole[4:at]):
+        if kind is None:
+            out.append(None)
+        elif isinstance(kind, int):
+            out.append(whole[at : at + kind])
+            at += kind
+        else:
+            n = int(np.prod(kind[1]))
+            out.append(np.frombuffer(whole, kind[0], n, at).reshape(kind[1]))
+            at += out[-1].nbytes
+    return tuple(out)
 
 
 def pack_sorted(values: np.ndarray, *more: np.ndarray) -> bytes:
@@ -92,7 +110,7 @@ def pack_texts(docs: DataFrame, size: int = SLICE_BYTES, key: str = "doc_id", te
                 block = Batch(ids[i:j], offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], stream, null[i:j]).block()
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([int(offsets[j] - offsets[i])], pa.int64())], ["docs", "bytes"])
 
-    packed = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"), *[F.col(c) for c in kept]).mapInArrow(run, "docs binary, bytes bigint")
+    packed = map_arrow(docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"), *[F.col(c) for c in kept]), run, "docs binary, bytes bigint")
     # The number of a batch takes 40 bits: its partition's, and 16 for its place there.
     number = F.monotonically_increasing_id()
     staged = stage_table(packed.withColumn("at", number), "texts")
@@ -122,4 +140,4 @@ def keep_rows(texts: DataFrame, chosen: DataFrame, schema, text: str = "text") -
             for block, places in zip(b.column(0), b.column(1)):
                 yield from Batch.of(block.as_py()).rows(names, text).take(pa.array(sorted(places.as_py()), pa.int64())).combine_chunks().to_batches()
 
-    return texts.select("batch", "docs").join(wanted, "batch").select("docs", "places").mapInArrow(run, schema)
+    return map_arrow(texts.select("batch", "docs").join(wanted, "batch").select("docs", "places"), run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table
+from .common import held_out, map_arrow, read_table, shared
 from .kernels import Hasher, byte_class, slices, spans_of, utf8
 
 MOST_FITTED = 6_000
@@ -133,7 +133,7 @@ def _with_features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(rows, pa.binary())], [*kept, "features"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "features binary"])
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _drawn(rows: DataFrame, most: int, seed: int) -> DataFrame:
@@ -169,16 +169,16 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
     if model is None:
         return whole.select("row", F.lit(1.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = shared.value
+        own: Model = sent.value
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             scores = [own.score(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in slices(offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())], ["row", "score"])
 
-    return whole.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, score double")
+    return map_arrow(whole, run, f"row {whole.schema['row'].dataType.simpleString()}, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import map_arrow, read_table
 from .kernels import ascii_lower, slices, utf8
 
 #: More alternatives of a literal than these aren't told apart.
@@ -218,7 +218,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = (*BASE, *MORE)) -> D
             spans = [[{"kind": rules[r].kind, "start": s, "end": e} for s, r, e in sorted(x)] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS)], ["row", "spans"])
 
-    return whole.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return map_arrow(whole, run, f"row {whole.schema['row'].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def joined(spans: Column) -> Column:

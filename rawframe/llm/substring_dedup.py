@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import map_arrow, read_table
 from .kernels import SLICE_BYTES, Hasher, mix
 from .packed import NO_ID, Batch, bucket_count, pack, pack_sorted, pack_texts, unpack, unpack_sorted
 
@@ -260,7 +260,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K, batch_by
         for b in batches:
             yield from _digit_rows(pa.Table.from_batches([b]), window, k, bits).to_batches()
 
-    shared = texts.select("batch", "docs").mapInArrow(digits, blocks).groupBy("bucket").applyInArrow(_shared_digits, "batch bigint, block binary")
+    shared = map_arrow(texts.select("batch", "docs"), digits, blocks).groupBy("bucket").applyInArrow(_shared_digits, "batch bigint, block binary")
     by_batch = texts.select("batch", "docs").groupBy("batch")
     windows = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(lambda t, s: _window_rows(t, s, window, k, bits), "bucket bigint, batch bigint, block binary")
     removed = windows.groupBy("bucket").applyInArrow(lambda t: _removed_rows(t, window), "batch bigint, block binary")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read_table
+from .common import map_arrow, read_table
 from .packed import pack, unpack
 
 K = 20
@@ -123,7 +123,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, shard_rows: int
     asking, _ = _blocked(queries, query_rows)
     sent = asking.select(F.col("rows").alias("asking"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
     met = shards.join(sent, "block").select("block", "rows", "asking")
-    found = met.mapInArrow(_scored(k), "query_id bigint, vec_id bigint, score bigint")
+    found = map_arrow(met, _scored(k), "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from rawframe.llm import jaccard as J
@@ -57,17 +58,26 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,width,percent,size,long_list,family", [(1, 4, 85, 700, 3, 8), (2, 3, 80, 100000, 50, 1000)])
-def test_against_brute_force(spark, monkeypatch, seed, width, percent, size, long_list, family):
+@pytest.mark.parametrize("seed,width,percent,long_list,family", [(1, 4, 85, 3, 8), (2, 3, 80, 50, 1000)])
+def test_against_brute_force(spark, monkeypatch, seed, width, percent, long_list, family):
     if seed == 1:
-        monkeypatch.setattr(J, "MOST_BROADCAST_SETS", 0)
-        monkeypatch.setattr(J, "MOST_BROADCAST_MEMBERS", 0)
+        monkeypatch.setattr(J, "SLICE_GRAMS", 200)
+        monkeypatch.setattr(J, "PAIRED_LIST", 4)
     rows = made(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = J.jaccard_join(docs, width, percent, size, long_list, family).drop("row").collect()
+    got = J.jaccard_join(docs, width, percent, long_list, family).collect()
     assert sorted(map(tuple, got)) == brute(rows, width, percent)
 
 
+def test_one_large_family_in_blocks(spark):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(w for w in base[: rng.randrange(30, 61)] if rng.random() < 0.99)) for k in range(120)]
+    rows += [(500 + k, " ".join(base[:40])) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, J.jaccard_join(docs, 1, 85, 2, 7).collect())) == brute(rows, 1, 85)
+
+
 def test_subsets_of_light_sets_meet():
     for percent in (80, 85):
         for light in (6, 12, 16):
@@ -76,23 +86,36 @@ def test_subsets_of_light_sets_meet():
                     if 100 * n >= percent * m:
                         c = J.overlap(n, m, percent)
                         assert c in J.subset_sizes(n, light, percent) and c in J.subset_sizes(m, light, percent)
-    assert J.boundary(1.0, 85) < J.boundary(100.0, 85) <= J.MOST_LIGHT
 
 
-def test_light_join(spark):
+def test_the_boundary_has_the_least_cost():
+    sizes = {n: 100 for n in range(1, 40)}
+    assert J.boundary(sizes, 1.0, 85) == 0 and J.boundary({}, 3.0, 85) == 0
+    found = [J.boundary(sizes, x, 85) for x in (2.0, 3.0, 50.0, 5000.0)]
+    assert found == sorted(found) and found[0] >= 7 and found[-1] > 14
+    # The largest of these light sets shows its subsets less one.
+    assert len(J.subset_keys(np.arange(13, dtype=np.uint64), 13, 85)) == 13
+
+
+def test_light_sets_alone_find_all_links(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(k, " ".join(str(x) for x in sorted(rng.sample(range(14), rng.randrange(9, 14))))) for k in range(60)]
-    old, J.boundary = J.boundary, lambda *_: 14
-    try:
-        got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85).drop("row").collect()
-    finally:
-        J.boundary = old
+    monkeypatch.setattr(J, "boundary", lambda *_: 14)
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85).collect()
     assert sorted(map(tuple, got)) == brute(rows, 1, 85)
+    assert any(r["n_links"] for r in got)
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{k % 70000}" for k in range(200_000))
+    rows = [(1, long), (2, long + " more"), (3, "x" * 3_000_000), (4, "X" * 3_000_000 + " "), (5, long[: len(long) // 2])]
+    got = {r["doc_id"]: tuple(r) for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][2] == got[2][2] == 1 and got[3] == (3, 1, 3, 1) and got[4] == (4, 1, 3, 1) and got[1][1] == 70_000
 
 
 def test_empty_and_missing_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (4, "a b c d e"), (None, "x")], "doc_id long, text string")
-    got = sorted(map(tuple, J.jaccard_join(docs).drop("row").collect()), key=str)
+    got = sorted(map(tuple, J.jaccard_join(docs).collect()), key=str)
     assert got == sorted([(None, 2, 4, 2), (None, 2, 4, 2), (4, 2, 4, 2), (None, 1, None, 0)], key=str)
     assert J.jaccard_join(docs.limit(0)).count() == 0
 
@@ -105,9 +128,10 @@ def test_components(spark):
 
 def test_keep_first_keeps_all_columns(spark):
     rows = [(5, "a b c d e f g h", "x", 1), (2, "a b c d e f g h", None, 2), (2, "A b c d e f g h", "twice", 3), (9, None, "n", 4), (10, "", "e", 5), (None, "q r s t u é", "z", 6)]
+    rows += [(None, None, "both", 7), (None, None, "both", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string, n int").repartition(2)
     kept = J.keep_first(docs, 5, 80)
     assert kept.schema == docs.schema
     got = kept.collect()
-    assert len(got) == 4 and {r["n"] for r in got} in ({2, 4, 5, 6}, {3, 4, 5, 6})
-    assert {(r["doc_id"], r["text"]) for r in got if r["n"] > 3} == {(9, None), (10, ""), (None, "q r s t u é")}
+    assert len(got) == 6 and {r["n"] for r in got} in ({2, 4, 5, 6, 7}, {3, 4, 5, 6, 7})
+    assert {(r["doc_id"], r["text"]) for r in got if r["n"] > 3} == {(9, None), (10, ""), (None, "q r s t u é"), (None, None)}

@@ -38,7 +38,29 @@ def test_against_brute_force(spark, result):
     assert 0 < len(want) < documents.count()
 
 
-def test_stages_keep_the_columns(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert sorted(stage(spark, docs, SF).dtypes) == sorted(docs.dtypes)
+ODD = "doc_id long, text string, lang string, source string, n_chars long, ids string, n_tokens string, row int, score double, contaminated string"
+
+
+def test_stages_on_odd_rows(spark):
+    long = " ".join(f"w{k % 9000}" for k in range(40_000))
+    line = "one two three four five six seven eight nine"
+    rows = [(1, None), (2, ""), (None, line), (3, line), (3, line), (None, None), (4, long), (5, long + " end"), (6, "é\n\n" + line), (7, " \n "), (8, "x" * 200_000)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, "mine", "kept", k, 0.5, "no") for k, (i, t) in enumerate(rows)], ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, SF)
+            got = out.collect()
+            if name != "tokens":
+                assert out.dtypes == docs.dtypes, name
+        kept = {r["row"] for r in stage(spark, docs, SF).collect()}
+        if name in ("quality", "lines", "near_duplicates"):
+            assert name == "quality" or {0, 1, 5, 9} <= kept
+        if name == "lines":
+            assert 3 in kept and not {2, 4} & kept and {6, 8, 10} <= kept and 7 not in kept
+        if name == "near_duplicates":
+            assert len({2, 3, 4} & kept) == 1 and 2 not in kept and 6 in kept and 7 not in kept
+        if name in ("benchmark", "tokens"):
+            assert kept == set(range(len(rows)))
+        if name == "tokens":
+            assert sorted(out.columns) == sorted({*docs.columns, *corpus_pipeline.ADDED} - {"text"})
+            assert got == [] and {r["n_tokens"] for r in stage(spark, docs, SF).where("row < 2").collect()} == {0}
