@@ -1,43 +1,73 @@
 """The corpus pipeline: each stage applies one operator to all that the stage before has kept.
 
-Documents keep their columns up to the last stage; n_chars follows the text.
+Documents keep their columns up to the last stage; n_chars follows the text. An empty table goes
+through every stage as an empty table. A stage first takes back what operators have shared and
+staged for the stages before: their results have been written by then.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rawframe.llm import bpe, decontaminate, jaccard, line_dedup, quality
-from rawframe.llm.common import read_table, stage_table
+from rawframe.llm.common import read_table, release, scratch_dir
 
 #: Near duplicates: sets of five words, similarity from 80 %.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are scored like any other; ties at the threshold stay; repeated rows
+    share their verdict; without labels all stay; a very long text is one row, scored whole."""
+    release(spark)
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents that had no others."""
+    """Repeated lines go, and documents that had no others.
+
+    Null and empty texts have no lines and stay; of repeated rows the first keeps its lines (by
+    doc_id, null last, then place); a very long text is a batch of its own."""
+    release(spark)
     return line_dedup.drop_repeated(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Texts without words (null, empty) all stay; of repeated rows one does; a null id sorts last;
+    a very long text is one row with one set."""
+    release(spark)
     return jaccard.keep_first(docs, NEAR_WIDTH, NEAR_PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark items go."""
+    """Documents contaminated by benchmark items go.
+
+    Null and empty texts are clean; repeated rows share their verdict; very long texts are
+    streamed whole."""
+    release(spark)
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+#: The columns that the last stage adds; columns of documents with these names are replaced.
+ADDED = ("n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids (little-endian 32-bit numbers), and digests of them and of the decoded text."""
-    return bpe.tokenized(docs).select(
+    """Each document's ids (little-endian 32-bit numbers), and digests of them and of the decoded text.
+
+    All rows stay, repeated ones too; null and empty texts have no ids; the text itself is left
+    out; a very long text is encoded whole."""
+    release(spark)
+    lowered = {c.lower() for c in ADDED}
+    others = [c for c in docs.columns if c != "text" and c.lower() not in lowered]
+    return bpe.tokenized(docs.select(*others, "text")).select(
         "row.*",
         F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
         "ids",
@@ -62,5 +92,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents, each written and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = f"{scratch_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
