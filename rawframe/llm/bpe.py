@@ -73,7 +73,9 @@ class Merger:
         letters = _byte_letters()
         vocab = spec["model"]["vocab"]
         added = spec.get("added_tokens", [])
-        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added) or spec.get("normalizer") or spec["model"].get("dropout"):
+        before = spec.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec["model"].get("ignore_merges")
+        if not plain or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added) or spec.get("normalizer") or spec["model"].get("dropout"):
             raise ValueError("this kind of tokenizer file isn't supported")
         self.special = {t["content"]: t["id"] for t in added}
         self.single = [0] * 256
@@ -147,6 +149,11 @@ def pieces(source: bytes) -> list[bytes]:
     return [found.get(i, b"") for i in range(max(found) + 1)]
 
 
+def decoded(ids: bytes, piece: list[bytes]) -> str:
+    """The text of ids; broken UTF-8 is replaced."""
+    return b"".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """The minimal acyclic transducer of words and their ids, as one block of bytes.
 
@@ -330,10 +337,10 @@ def decode(encoded: DataFrame, source: bytes, ids: str = "ids", text: str = "dec
     sent = shared(encoded.sparkSession, pieces(source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = sent.value.__getitem__
+        piece = sent.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            texts = [b"".join(map(piece, np.frombuffer(x.as_py() or b"", "<u4").tolist())).decode("utf-8", "replace") for x in column]
+            texts = [decoded(x.as_py() or b"", piece) for x in column]
             yield _through(batch, text, pa.array(texts, pa.string()))
 
     return map_arrow(encoded, run, _schema(encoded, text, "string"))
@@ -347,8 +354,18 @@ def tokenized(docs: DataFrame, source: bytes | None = None, lexicon_words: int =
     if lexicon is None:
         lexicon = build_lexicon(docs, source, lexicon_words)
     whole = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
-    coded = encode(whole, source, lexicon).drop("text")
-    return decode(coded, source)
+    sent = shared(docs.sparkSession, (source, lexicon, pieces(source)))
+
+    # Both ways in one pass, so that a task has one worker and ids don't travel between two.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges, block, piece = sent.value
+        encoder = Encoder(Merger(merges), Lexicon(block) if block else None)
+        for batch in batches:
+            ids = [encoder.encode(t.as_py() or "") for t in batch.column(1)]
+            texts = [decoded(x, piece) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["row", "ids", "decoded"])
+
+    return map_arrow(whole, run, f"row {whole.schema['row'].dataType.simpleString()}, ids binary, decoded string")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

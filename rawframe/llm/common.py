@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows enter Python in batches of about so many bytes, unless the session has a setting of its own.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 _ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: What operators have shared and staged since the last release.
 _SHARED: list[Broadcast] = []
@@ -71,7 +72,6 @@ def release(spark: SparkSession) -> None:
 
 def _give_back() -> None:
     """Return freed memory to the system, as workers outlive their tasks."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -87,11 +87,28 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f(batches)
+        gc.collect()
         _give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def tidy(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """f on a group or two, giving memory back after each."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = f(table)
+        _give_back()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        _give_back()
+        return out
+
+    return one if len(inspect.signature(f).parameters) == 1 else two
+
+
 def text_crc32(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes; null counts as empty."""
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table, shared, stage_table
+from .common import map_arrow, read_table, shared, stage_table, tidy
 from .components import components
 from .kernels import Hasher, ascii_lower, byte_class, hash_runs, mix, slices, spans_of, utf8
 from .packed import BUCKET_BYTES, NO_ID, pack, pack_sorted, unpack, unpack_sorted
@@ -433,7 +433,7 @@ def _last_ones(classes: DataFrame, percent: int, bits: int, long_list: int) -> t
         if turn == ROUNDS - 1 or not found:
             break
         counted = map_arrow(sets, _blocks(lambda b, old=old, new=last: _count_rows(b, percent, bits, old and old.value, new.value)), "bucket bigint, block binary")
-        counted = stage_table(counted.groupBy("bucket").applyInArrow(lambda t: _count_lists(t, long_list), "gram bigint, n double, squares double"), "lists")
+        counted = stage_table(counted.groupBy("bucket").applyInArrow(tidy(lambda t: _count_lists(t, long_list)), "gram bigint, n double, squares double"), "lists")
         if not turn:
             usual = counted.agg(F.sum(F.coalesce("squares", F.lit(0.0)) + F.when(F.col("gram").isNotNull(), F.col("n") * F.col("n")).otherwise(0.0)) / F.sum("n")).first()[0] or 1.0
         more = counted.where("gram is not null").orderBy(F.desc("n"), "gram").limit(MOST_LAST - len(longest)).select("gram", "n").toPandas()
@@ -472,7 +472,7 @@ def _counted(members: DataFrame, percent: int, family_sets: int, tasks: int) ->
         "grams",
     )
     sent = sent.select("task", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "family", "block", "row", "copies", "grams")
-    return sent.groupBy("task", "low", "high").applyInArrow(lambda t: _counted_families(t, percent), "row bigint, root bigint, links bigint")
+    return sent.groupBy("task", "low", "high").applyInArrow(tidy(lambda t: _counted_families(t, percent)), "row bigint, root bigint, links bigint")
 
 
 def set_groups(docs: DataFrame, width: int, percent: int, long_list: int, family_sets: int, key: Column, text: Column) -> DataFrame:
@@ -487,7 +487,7 @@ def set_groups(docs: DataFrame, width: int, percent: int, long_list: int, family
     last, usual = _last_ones(classes, percent, bits, long_list)
     light = boundary(sizes, usual, percent)
     listed = map_arrow(classes.select("rep", "grams"), _blocks(lambda b: _list_rows(b, percent, bits, last.value, light)), "bucket bigint, block binary")
-    edges = listed.groupBy("bucket").applyInArrow(lambda t: _list_edges(t, percent), "a bigint, b bigint, met int, least int")
+    edges = listed.groupBy("bucket").applyInArrow(tidy(lambda t: _list_edges(t, percent)), "a bigint, b bigint, met int, least int")
     edges = edges.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("least").alias("least")).where("met >= least").select("a", "b")
     families = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     members = classes.select("rep", "copies", "n", "grams").join(families, "rep")

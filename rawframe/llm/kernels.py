@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in runs of about so many bytes; a longer text makes a run of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LESS = np.uint64(0xBF58476D1CE4E5B9)
@@ -92,8 +92,10 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least `size` of each."""
-    usual = SLICE_BYTES + 1024
-    return _powers(usual if size <= usual else 1 << int(size).bit_length())
+    for usual in (SLICE_BYTES, 4 * SLICE_BYTES):
+        if size <= usual + 1024:
+            return _powers(usual + 1024)
+    return _powers(1 << int(size).bit_length())
 
 
 class Hasher:

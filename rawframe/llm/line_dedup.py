@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table, stage_table
-from .kernels import SLICE_BYTES, Hasher, byte_class, mix, powers, slices, spans_of
-from .packed import Batch, bucket_count, pack, pack_sorted, pack_texts, unpack, unpack_sorted
+from .common import map_arrow, read_table, stage_table, tidy
+from .kernels import Hasher, byte_class, mix, powers, slices, spans_of
+from .packed import BATCH_BYTES, Batch, bucket_count, pack, pack_sorted, pack_texts, unpack, unpack_sorted
 from .substring_dedup import runs
 
 NEAR_WORDS = 8
@@ -327,7 +327,7 @@ def _kept(texts: pa.Table, removed: pa.Table, names: list[str], text: str) -> It
         yield batch.rows(names, text, pa.array(out, pa.string())), n_lines, n_gone
 
 
-def dedup_lines(docs: DataFrame, near: int = NEAR_WORDS, batch_bytes: int = SLICE_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, near: int = NEAR_WORDS, batch_bytes: int = BATCH_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, n_lines, n_removed): each row of docs as a struct, its text less the repeated lines."""
     texts = pack_texts(docs, batch_bytes, key, text, others=True)
     bits = bucket_count(texts).bit_length() - 1
@@ -342,10 +342,10 @@ def dedup_lines(docs: DataFrame, near: int = NEAR_WORDS, batch_bytes: int = SLIC
                     ["bucket", "batch", "kind", "block"],
                 )
 
-    verdicts = map_arrow(packed, entries, "bucket int, batch bigint, kind int, block binary").groupBy("bucket").applyInArrow(_line_verdicts, "batch bigint, kind int, block binary")
+    verdicts = map_arrow(packed, entries, "bucket int, batch bigint, kind int, block binary").groupBy("bucket").applyInArrow(tidy(_line_verdicts), "batch bigint, kind int, block binary")
     by_batch = packed.groupBy("batch")
-    variants = stage_table(by_batch.cogroup(verdicts.groupBy("batch")).applyInArrow(lambda t, v: _variant_entries(t, v, near, bits), "bucket int, batch bigint, block binary"), "variants")
-    removed = variants.where("bucket >= 0").groupBy("bucket").applyInArrow(_near_repeats, "batch bigint, block binary")
+    variants = stage_table(by_batch.cogroup(verdicts.groupBy("batch")).applyInArrow(tidy(lambda t, v: _variant_entries(t, v, near, bits)), "bucket int, batch bigint, block binary"), "variants")
+    removed = variants.where("bucket >= 0").groupBy("bucket").applyInArrow(tidy(_near_repeats), "batch bigint, block binary")
     removed = removed.unionByName(variants.where("bucket < 0").select("batch", "block"))
     names = docs.columns
 
@@ -355,7 +355,7 @@ def dedup_lines(docs: DataFrame, near: int = NEAR_WORDS, batch_bytes: int = SLIC
         row = pa.StructArray.from_arrays([whole.column(c).combine_chunks() for c in names], names)
         return pa.table({"row": row, "n_lines": np.concatenate([n for _, n, _ in made]), "n_removed": np.concatenate([n for _, _, n in made])})
 
-    return by_batch.cogroup(removed.groupBy("batch")).applyInArrow(kept, f"row {docs.schema.simpleString()}, n_lines bigint, n_removed bigint")
+    return by_batch.cogroup(removed.groupBy("batch")).applyInArrow(tidy(kept), f"row {docs.schema.simpleString()}, n_lines bigint, n_removed bigint")
 
 
 def drop_repeated(docs: DataFrame, near: int = NEAR_WORDS) -> DataFrame:

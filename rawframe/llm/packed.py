@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, stage_table
-from .kernels import SLICE_BYTES, slices, utf8
+from .kernels import slices, utf8
 
 #: Stands for a missing id: it sorts after all others.
 NO_ID = np.iinfo(np.int64).max
 #: About so many bytes of text are behind each bucket of an exchange of packed arrays.
 BUCKET_BYTES = 16 << 20
+#: A batch holds about so many bytes of text.
+BATCH_BYTES = 1 << 20
 #: Documents of a batch at most.
 MOST_ROWS = 1 << 20
 
@@ -88,7 +90,7 @@ class Batch:
         return pa.table({c: texts if c == text else whole.column(c) for c in names})
 
 
-def pack_texts(docs: DataFrame, size: int = SLICE_BYTES, key: str = "doc_id", text: str = "text", others: bool = False) -> DataFrame:
+def pack_texts(docs: DataFrame, size: int = BATCH_BYTES, key: str = "doc_id", text: str = "text", others: bool = False) -> DataFrame:
     """(batch, docs): all rows of docs in batches of about `size` bytes, written to the shared folder.
 
     A longer text makes a batch of its own. With others, the batches hold all columns."""

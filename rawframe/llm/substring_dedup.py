@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table
-from .kernels import SLICE_BYTES, Hasher, mix
-from .packed import NO_ID, Batch, bucket_count, pack, pack_sorted, pack_texts, unpack, unpack_sorted
+from .common import map_arrow, read_table, tidy
+from .kernels import Hasher, mix
+from .packed import BATCH_BYTES, NO_ID, Batch, bucket_count, pack, pack_sorted, pack_texts, unpack, unpack_sorted
 
 WINDOW = 50
 K = 20
@@ -246,7 +246,7 @@ def _kept_rows(texts: pa.Table, removed: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K, batch_bytes: int = SLICE_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K, batch_bytes: int = BATCH_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kept, spans): the bytes left of each text, and the removed spans of bytes.
 
     A byte goes if a string of `window` bytes that covers it also starts in a document with a smaller id."""
@@ -260,11 +260,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K, batch_by
         for b in batches:
             yield from _digit_rows(pa.Table.from_batches([b]), window, k, bits).to_batches()
 
-    shared = map_arrow(texts.select("batch", "docs"), digits, blocks).groupBy("bucket").applyInArrow(_shared_digits, "batch bigint, block binary")
+    shared = map_arrow(texts.select("batch", "docs"), digits, blocks).groupBy("bucket").applyInArrow(tidy(_shared_digits), "batch bigint, block binary")
     by_batch = texts.select("batch", "docs").groupBy("batch")
-    windows = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(lambda t, s: _window_rows(t, s, window, k, bits), "bucket bigint, batch bigint, block binary")
-    removed = windows.groupBy("bucket").applyInArrow(lambda t: _removed_rows(t, window), "batch bigint, block binary")
-    return by_batch.cogroup(removed.groupBy("batch")).applyInArrow(_kept_rows, "doc_id bigint, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    windows = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(tidy(lambda t, s: _window_rows(t, s, window, k, bits)), "bucket bigint, batch bigint, block binary")
+    removed = windows.groupBy("bucket").applyInArrow(tidy(lambda t: _removed_rows(t, window)), "batch bigint, block binary")
+    return by_batch.cogroup(removed.groupBy("batch")).applyInArrow(tidy(_kept_rows), "doc_id bigint, kept binary, spans array<struct<start:bigint,end:bigint>>")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, read_table
+from .common import map_arrow, read_table, tidy
 from .packed import pack, unpack
 
 K = 20
@@ -114,7 +114,7 @@ def _scored(k: int):
 def _blocked(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
     blocks = max(1, -(-rows.count() // size))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInArrow(_packed, "block int, rows binary"), blocks
+    return dealt.groupBy("block").applyInArrow(tidy(_packed), "block int, rows binary"), blocks
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
