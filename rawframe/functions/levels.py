@@ -32,14 +32,13 @@ def lossy_decode(y: Column) -> Column:
 
 
 def lossy_encode(x: Column) -> Column:
-    """The inverse of lossy_decode: the real root of its cubic; exactly 0 and 1 at the ends."""
-    rest = 1 - STRAIGHT
-    cube = 108 * STRAIGHT**3 * rest**3
-    lead = x * (27 * rest**2)
-    root = F.cbrt(lead + F.sqrt(lead * lead + cube))
-    two = 2 ** (1 / 3)
-    inner = root / (3 * two * rest) - F.lit(two * STRAIGHT) / root
-    return F.when(~(x > 0), 0.0).when(x >= 1, 1.0).otherwise(clamped(inner))
+    """The inverse of lossy_decode; exactly 0 and 1 at the ends.
+
+    With y = u sinh t and u = 2 sqrt(p / 3), y^3 + p y = q turns into sinh 3t = 4 q / u^3."""
+    p = STRAIGHT / (1 - STRAIGHT)
+    u = 2 * (p / 3) ** 0.5
+    y = F.sinh(F.asinh(x * (4 / (u**3 * (1 - STRAIGHT)))) / 3) * u
+    return F.when(~(x > 0), 0.0).when(x >= 1, 1.0).otherwise(clamped(y))
 
 
 def lossy_polynomial(lower: Column, span: Column) -> Column:

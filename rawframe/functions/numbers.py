@@ -51,14 +51,6 @@ def iso_fields(iso: Column) -> Column:
     return F.struct(F.when(iso < 65535, iso).otherwise(65535).alias("short"), F.when(iso >= 65535, iso).alias("long"))
 
 
-def work_plan(cores: Column, parallel: Column, jobs: Column) -> Column:
-    """struct(files, per_file): files at once (0: up to four) and threads for each."""
-    total = F.greatest(cores, F.lit(1))
-    wanted = F.when(parallel > 0, parallel).otherwise(F.least(total, F.lit(4)))
-    files = F.least(wanted, F.greatest(jobs, F.lit(1)))
-    return F.struct(files.cast("bigint").alias("files"), F.greatest(F.lit(1), F.floor(total / files)).cast("bigint").alias("per_file"))
-
-
 def orientation(flip: Column) -> Column:
     """Orientation tag for a decoder's flip 0..7; 1 for any other."""
     return F.coalesce(F.try_element_at(F.array(*[F.lit(x) for x in (1, 2, 4, 3, 5, 8, 6, 7)]), (F.when(flip >= 0, flip).otherwise(99) + 1).cast("int")), F.lit(1))

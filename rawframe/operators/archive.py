@@ -8,15 +8,32 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 
-#: The largest table of profiles that is broadcast; a larger one is shuffled by its model names.
+#: The largest table of profiles that is broadcast.
 MOST_PROFILES = 20_000
+#: Beyond it, pictures are dealt into so many parts, and each part meets the profiles for any camera.
+DEALT = 64
+
+
+def _met_by_all(pictures: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Every picture with every one of the profiles, which are for any camera.
+
+    All pairs are the result; the join has a key of its own, so it is neither a product nor one task."""
+    small = profiles.limit(MOST_PROFILES + 1).count() <= MOST_PROFILES
+    parts = 1 if small else DEALT
+    dealt = profiles.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = pictures.withColumn("_part", F.pmod(F.xxhash64("picture"), F.lit(parts)).cast("int"))
+    return asked.join(F.broadcast(dealt) if small else dealt, "_part").drop("_part")
 
 
 def claims(jobs: DataFrame, target: str, order: list[str], name: str) -> DataFrame:
-    """jobs with `claim` (kept or refused) and `holder`: the first job of a target has it, later ones are refused naming it."""
-    ordered = Window.partitionBy(target).orderBy(*order)
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return jobs.withColumn("claim", F.when(F.row_number().over(ordered) == 1, "kept").otherwise("refused")).withColumn("holder", F.first(name).over(whole))
+    """jobs with `claim` (kept or refused) and `holder`: the first job of a target has it, later ones are refused naming it.
+
+    Order and name together must tell jobs apart."""
+    first = F.struct(*order, F.col(name).alias("_name"))
+    # One row a target, combined before it is exchanged: a target of very many jobs is no task of its own.
+    holders = jobs.groupBy(target).agg(F.min(first).alias("_first"))
+    met = jobs.join(holders, target)
+    return met.withColumn("claim", F.when(first == F.col("_first"), "kept").otherwise("refused")).withColumn("holder", F.col("_first")["_name"]).drop("_first")
 
 
 def distinct_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -35,14 +52,12 @@ def select_profiles(pictures: DataFrame, profiles: DataFrame, any_camera: bool =
     p = profiles.withColumn("_camera", text.normalised_name(F.col("camera")))
     i = pictures.withColumn("_model", text.normalised_name(F.col("model")))
     if any_camera:
-        small = p.limit(MOST_PROFILES + 1).count() <= MOST_PROFILES
-        met = i.join(F.broadcast(p) if small else p, F.lit(True))
+        met = _met_by_all(i, p)
     else:
         # Two equi-joins in place of an OR: profiles of the camera, and those for any. An empty
         # name stands for both, and a picture without a name has the second kind only.
         named = i.join(p.where("camera <> ''"), F.col("_model") == F.col("_camera"))
-        free = p.where("camera = ''").withColumn("_any", F.lit(1))
-        met = named.unionByName(i.withColumn("_any", F.lit(1)).join(free, "_any").drop("_any"))
+        met = named.unionByName(_met_by_all(i, p.where("camera = ''")))
     reason = F.when(F.col("planes") != F.col("profile_planes"), "planes").when(F.col("policy") == 2, "policy")
     judged = met.withColumn("_reason", reason)
     twins = Window.partitionBy("picture", "profile", F.col("_reason").isNull()).orderBy("ord")
@@ -60,13 +75,13 @@ def update_by_time(jobs: DataFrame, targets: DataFrame, key: str) -> DataFrame:
 def update_by_content(sources: DataFrame, records: DataFrame, key: str, digest: Column) -> DataFrame:
     """sources (key, size, sidecar_md5) with `state` and `what` against records (key, r_size, r_md5, r_sidecar).
 
-    Sizes come first: the digest, a column of sources, is taken only where they are equal, in a
-    branch of its own, so nothing else is read for the others. Without a record nothing is known."""
-    met = sources.join(records, key, "left")
-    same = F.col("size") == F.col("r_size")
-    equal = met.where(same).withColumn("_changed", digest != F.col("r_md5"))
-    other = met.where(~F.coalesce(same, F.lit(False))).withColumn("_changed", F.lit(True))
-    both = equal.unionByName(other)
+    The digest, a column of sources, is taken where the content is read, so that only its 32
+    letters travel to the one join. Sizes come first: where they differ, the digest doesn't count.
+    Without a record nothing is known. The content itself isn't in the result."""
+    slim = sources.select(key, "size", "sidecar_md5", digest.alias("_digest"))
+    met = slim.join(records, key, "left")
+    both = met.withColumn("_changed", (F.col("size") != F.col("r_size")) | (F.col("_digest") != F.col("r_md5"))).drop("_digest")
+    # The texts of what has changed.
     note = (
         F.when(F.col("r_sidecar").isNotNull() & F.col("sidecar_md5").isNull(), "sidecar no longer there")
         .when(F.col("r_sidecar").isNull() & F.col("sidecar_md5").isNotNull(), "sidecar added")
@@ -85,7 +100,7 @@ def merge_missing(first: DataFrame, second: DataFrame, keys: list[str]) -> DataF
 def overridden(camera: DataFrame, decoder: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The camera's values over the decoder's."""
     both = camera.withColumnRenamed(value, "_camera").join(decoder.withColumnRenamed(value, "_decoder"), keys, "full")
-    return both.select(*keys, F.coalesce("_camera", "_decoder").alias(value), F.when(F.col("_camera").isNotNull(), "camera").otherwise("decoder").alias("origin"))
+    return both.select(*keys, F.coalesce("_camera", "_decoder").alias(value), F.when(F.col("_camera").isNotNull(), "camera").when(F.col("_decoder").isNotNull(), "decoder").alias("origin"))
 
 
 def segments(knots: DataFrame, keys: list[str]) -> DataFrame:

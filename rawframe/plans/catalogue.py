@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import levels, numbers, rules, text
-from ..operators import archive, samples, tables
+from ..functions import colour, levels, numbers, rules, text
+from ..operators import archive, lines, samples, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,6 +46,13 @@ def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("y", F.col("x").cast("bigint").alias("x"), F.floor((F.col("e").cast("double") + 1) * 32767.5).cast("bigint").alias("v"))
 
 
+def picture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, y, line): the same as pictures, a hundred lines each."""
+    value = F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 32767.5).cast("bigint"))
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("image"), (F.col("vec_id") % 100).alias("y"), value.alias("line"))
+
+
+PICTURES = "pics AS (SELECT y // 100 AS image, y % 100 AS y, x, v FROM plane)"
 PLANE = """plane AS (
   SELECT vec_id AS y, CAST(i AS BIGINT) AS x, CAST(floor((CAST(e AS DOUBLE) + 1) * 32767.5) AS BIGINT) AS v
   FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS e FROM embeddings)
@@ -64,17 +71,17 @@ rounded = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
 @query(
-    with_plane(f""", tiles AS (
-  SELECT y // 64 AS ty, x // 64 AS tx, md5(unhex(string_agg({HEX}, '' ORDER BY y, x))) AS d FROM plane GROUP BY 1, 2
-) SELECT md5(unhex(string_agg(d, '' ORDER BY ty, tx))) AS digest, count(*) AS n FROM tiles""")
+    with_plane(f""", {PICTURES}, tiles AS (
+  SELECT image, y // 64 AS ty, x // 64 AS tx, md5(unhex(string_agg({HEX}, '' ORDER BY y, x))) AS d FROM pics GROUP BY 1, 2, 3
+) SELECT image, md5(unhex(string_agg(d, '' ORDER BY ty, tx))) AS digest, count(*) AS n FROM tiles GROUP BY 1""")
 )
 def digest_tiles(spark, sf_dir):
-    return samples.image_digests(plane(spark, sf_dir), [], 64)
+    return lines.image_digests(picture_lines(spark, sf_dir), ["image"], 64)
 
 
 @query(with_plane(f" SELECT y // 100 AS image, md5(unhex(string_agg({HEX}, '' ORDER BY y, x))) AS digest FROM plane GROUP BY 1"))
 def digest_linear(spark, sf_dir):
-    return samples.linear_digests(plane(spark, sf_dir).withColumn("image", F.floor(F.col("y") / 100)), ["image"])
+    return lines.linear_digests(picture_lines(spark, sf_dir), ["image"])
 
 
 @query("SELECT source, doc_id // 100 AS part, md5(unhex(string_agg(md5(text), '' ORDER BY doc_id))) AS digest, count(*) AS n FROM documents GROUP BY 1, 2")
@@ -225,13 +232,13 @@ def merge_missing(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT l_orderkey AS k, min(l_shipdate) AS t FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1), d AS (SELECT o_orderkey AS k, o_orderdate AS t FROM orders WHERE o_orderkey % 4 <> 0)
-SELECT coalesce(c.k, d.k) AS k, strftime(coalesce(c.t, d.t), '%Y:%m:%d %H:%M:%S') AS t, CASE WHEN c.t IS NOT NULL THEN 'camera' ELSE 'decoder' END AS origin FROM c FULL JOIN d ON c.k = d.k"""
+    """WITH c AS (SELECT l_orderkey AS k, min(CASE WHEN l_orderkey % 3 <> 0 THEN l_shipdate END) AS t FROM lineitem GROUP BY 1), d AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END AS t FROM orders)
+SELECT coalesce(c.k, d.k) AS k, strftime(coalesce(c.t, d.t), '%Y:%m:%d %H:%M:%S') AS t, CASE WHEN c.t IS NOT NULL THEN 'camera' WHEN d.t IS NOT NULL THEN 'decoder' END AS origin FROM c FULL JOIN d ON c.k = d.k"""
 )
 def override_merge(spark, sf_dir):
-    camera = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0").groupBy(F.col("l_orderkey").alias("k")).agg(F.min("l_shipdate").alias("t"))
-    decoder = table(spark, sf_dir, "orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("t"))
-    return archive.overridden(camera, decoder, ["k"], "t").withColumn("t", text.exif_time(F.col("t")))
+    camera = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min(F.when(F.col("l_orderkey") % 3 != 0, F.col("l_shipdate"))).alias("t"))
+    decoder = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate")).alias("t"))
+    return archive.overridden(camera, decoder, ["k"], "t").withColumn("t", F.when(F.col("t").isNotNull(), text.exif_time(F.col("t"))))
 
 
 KNOT_ROWS = ", ".join(f"({r}::DOUBLE, {v}::DOUBLE)" for r, v in KNOTS)
@@ -259,7 +266,7 @@ def levels_linear(spark, sf_dir):
 
 
 def _neighbours(at: list[tuple[int, int]]) -> tuple[str, str]:
-    looks = [f"(SELECT v FROM h b WHERE b.y = a.y + {dy} AND b.x = a.x + {dx})" for dy, dx in at]
+    looks = [f"(SELECT v FROM h b WHERE b.image = a.image AND b.y = a.y + {dy} AND b.x = a.x + {dx})" for dy, dx in at]
     return " + ".join(f"coalesce({s}, 0)" for s in looks), " + ".join(f"(CASE WHEN coalesce({s}, 0) > 0 THEN 1 ELSE 0 END)" for s in looks)
 
 
@@ -267,14 +274,14 @@ _DIAGONAL, _STRAIGHT = _neighbours([(-1, -1), (-1, 1), (1, -1), (1, 1)]), _neigh
 
 
 @query(
-    with_plane(f""", h AS (SELECT y, x, CASE WHEN (y * 31 + x * 17) % 97 = 0 THEN 0 ELSE v END AS v FROM plane),
-z AS (SELECT y, x, CASE WHEN (y + x) % 2 = 1 THEN {_DIAGONAL[0]} ELSE {_STRAIGHT[0]} END AS t, CASE WHEN (y + x) % 2 = 1 THEN {_DIAGONAL[1]} ELSE {_STRAIGHT[1]} END AS n FROM h a WHERE v = 0)
-SELECT y, x, CAST(CASE WHEN n > 0 THEN (t + n // 2) // n ELSE 0 END AS BIGINT) AS fixed FROM z""")
+    with_plane(f""", {PICTURES}, h AS (SELECT image, y, x, CASE WHEN (y * 31 + x * 17) % 97 = 0 THEN 0 ELSE v END AS v FROM pics),
+z AS (SELECT image, y, x, CASE WHEN (y + x) % 2 = 1 THEN {_DIAGONAL[0]} ELSE {_STRAIGHT[0]} END AS t, CASE WHEN (y + x) % 2 = 1 THEN {_DIAGONAL[1]} ELSE {_STRAIGHT[1]} END AS n FROM h a WHERE v = 0)
+SELECT image, y, x, CAST(CASE WHEN n > 0 THEN (t + n // 2) // n ELSE 0 END AS BIGINT) AS fixed FROM z""")
 )
 def defect_repair(spark, sf_dir):
-    holes = plane(spark, sf_dir).withColumn("v", F.when((F.col("y") * 31 + F.col("x") * 17) % 97 == 0, 0).otherwise(F.col("v")))
-    green = (F.col("y") + F.col("x")) % 2 == 1
-    return samples.repaired(holes, [], green).where("v = 0").select("y", "x", "fixed")
+    holes = picture_lines(spark, sf_dir).withColumn("line", F.transform("line", lambda v, x: F.when((F.col("y") * 31 + x * 17) % 97 == 0, 0).otherwise(v)))
+    fixed = lines.to_samples(lines.repaired(holes, ["image"]), ["image"], ("line", "fixed"), ("v", "fixed"))
+    return fixed.where("v = 0").drop("v")
 
 
 _K = "27.0::DOUBLE * (v / 65535.0::DOUBLE) * power(15.0::DOUBLE / 16, 2)"
@@ -344,7 +351,7 @@ SELECT cy, cx, {", ".join(f"round({_clip(r)}, 6) AS {c}" for r, c in zip(_ROWS,
 )
 def white_balance(spark, sf_dir):
     planes = _cells(spark, sf_dir).groupBy("cy", "cx").agg(*[levels.clamped(F.max(F.when(F.col("plane") == k, F.col("mean"))) / 30000.0 * g).alias(f"p{k}") for k, g in enumerate((1.9, 1.0, 1.4))])
-    mixed = [levels.clamped(sum((F.col(f"p{k}") * m for k, m in enumerate(row)), F.lit(0.0))) for row in MATRIX]
+    mixed = colour.white_balanced([F.col(f"p{k}") for k in range(3)], [1.0] * 3, MATRIX)
     return planes.select("cy", "cx", *[rounded(m, c) for m, c in zip(mixed, ("red", "green", "blue"))])
 
 
@@ -378,28 +385,35 @@ def axis_plan(spark, sf_dir):
     return o.select("o_orderkey", plan.alias("p"), wrapped.alias("wrapped")).select("o_orderkey", "p.*", "wrapped")
 
 
-RESIDUAL = """r AS (SELECT y, x, ((v - coalesce(lag(v) OVER (PARTITION BY y, x % 2 ORDER BY x), lag(v) OVER (PARTITION BY x ORDER BY y), 32768)) % 65536 + 65536) % 65536 AS m FROM plane),
-d AS (SELECT y, x, CASE WHEN m > 32768 THEN m - 65536 ELSE m END AS difference FROM r),
+RESIDUAL = f"""{PICTURES}, r AS (SELECT image, y, x, ((v - coalesce(lag(v) OVER (PARTITION BY image, y, x % 2 ORDER BY x), lag(v) OVER (PARTITION BY image, x ORDER BY y), 32768)) % 65536 + 65536) % 65536 AS m FROM pics),
+d AS (SELECT image, y, x, CASE WHEN m > 32768 THEN m - 65536 ELSE m END AS difference FROM r),
 k AS (SELECT *, CASE WHEN difference = 0 THEN 0 ELSE length(bin(abs(difference))) END AS category FROM d)"""
 
 
-@query(with_plane(f", {RESIDUAL} SELECT y, x, difference, category FROM k"))
+def _residuals(spark, sf_dir):
+    found = lines.residuals(picture_lines(spark, sf_dir), ["image"], 2)
+    return lines.to_samples(found, ["image"], ("difference", "category"), ("difference", "category"))
+
+
+@query(with_plane(f", {RESIDUAL} SELECT image, y, x, difference, category FROM k"))
 def residuals(spark, sf_dir):
-    return samples.residuals(plane(spark, sf_dir), [], 2).select("y", "x", "difference", "category")
+    return _residuals(spark, sf_dir)
 
 
-@query(with_plane(f", {RESIDUAL} SELECT category, count(*) AS n, CAST(sum(difference) AS BIGINT) AS total FROM k GROUP BY 1"))
+@query(with_plane(f", {RESIDUAL} SELECT image, category, count(*) AS n, CAST(sum(difference) AS BIGINT) AS total FROM k GROUP BY 1, 2"))
 def residual_histogram(spark, sf_dir):
-    return samples.residuals(plane(spark, sf_dir), [], 2).groupBy("category").agg(F.count("*").alias("n"), F.sum("difference").alias("total"))
+    return _residuals(spark, sf_dir).groupBy("image", "category").agg(F.count("*").alias("n"), F.sum("difference").alias("total"))
 
 
 @query(
-    with_plane(""", n AS (SELECT y, x, v, lag(v) OVER (PARTITION BY y ORDER BY x) AS a, lag(v) OVER (PARTITION BY x ORDER BY y) AS b FROM plane),
-m AS (SELECT *, lag(b) OVER (PARTITION BY y ORDER BY x) AS c FROM n)
-SELECT y, x, v, a AS p1, b AS p2, c AS p3, a + b - c AS p4, a + ((b - c) >> 1) AS p5, b + ((a - c) >> 1) AS p6, (a + b) >> 1 AS p7 FROM m WHERE c IS NOT NULL""")
+    with_plane(f""", {PICTURES}, n AS (SELECT image, y, x, v, lag(v) OVER (PARTITION BY image, y ORDER BY x) AS a, lag(v) OVER (PARTITION BY image, x ORDER BY y) AS b FROM pics),
+m AS (SELECT *, lag(b) OVER (PARTITION BY image, y ORDER BY x) AS c FROM n)
+SELECT image, y, x, v, a AS p1, b AS p2, c AS p3, a + b - c AS p4, a + ((b - c) >> 1) AS p5, b + ((a - c) >> 1) AS p6, (a + b) >> 1 AS p7 FROM m WHERE c IS NOT NULL""")
 )
 def predictors(spark, sf_dir):
-    return samples.predictors(plane(spark, sf_dir), [])
+    made = [f"p{k}" for k in range(1, 8)]
+    found = lines.to_samples(lines.predictors(picture_lines(spark, sf_dir), ["image"]), ["image"], ("line", *made), ("v", *made))
+    return found.withColumn("x", F.col("x") + 1)
 
 
 NOISY = "pairs AS (SELECT y // 250 AS image, y, x, v, v + (y * 7 + x * 13) % 41 - 20 + CASE WHEN (y * 5 + x) % 997 = 0 THEN 900 ELSE 0 END AS stored FROM plane)"
@@ -476,16 +490,6 @@ def outcomes(spark, sf_dir):
     return archive.outcomes(table(spark, sf_dir, "orders"), "o_orderstatus", ["F"])
 
 
-@query(
-    """WITH t AS (SELECT o_orderkey, greatest(o_orderkey % 33, 1) AS total, o_custkey % 7 AS p, o_orderkey % 5 AS jobs FROM orders),
-f AS (SELECT *, least(CASE WHEN p > 0 THEN p ELSE least(total, 4) END, greatest(jobs, 1)) AS files FROM t)
-SELECT o_orderkey, files, greatest(1, total // files) AS per_file FROM f"""
-)
-def thread_plan(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", numbers.work_plan(F.col("o_orderkey") % 33, F.col("o_custkey") % 7, F.col("o_orderkey") % 5).alias("p")).select("o_orderkey", "p.*")
-
-
 @query("SELECT p_partkey, CASE WHEN i < 65535 THEN i ELSE 65535 END AS short, CASE WHEN i >= 65535 THEN i END AS long FROM (SELECT p_partkey, CAST(floor(p_retailprice * 50) AS BIGINT) AS i FROM part)")
 def iso_split(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -527,7 +531,16 @@ def poly_moments(spark, sf_dir):
     return found.select("l_returnflag", *[F.round(c, 4).alias(c) for c in found.columns[1:]])
 
 
-@query()
+_DET = lambda m: f"({m[0]} * ({m[4]} * {m[8]} - {m[5]} * {m[7]}) - {m[1]} * ({m[3]} * {m[8]} - {m[5]} * {m[6]}) + {m[2]} * ({m[3]} * {m[7]} - {m[4]} * {m[6]}))"
+_SYSTEM = [f"s{i + j}" for i in range(3) for j in range(3)]
+_CRAMER = [_DET([f"t{i}" if j == k else f"s{i + j}" for i in range(3) for j in range(3)]) for k in range(3)]
+_RAW_M = ", ".join([*(f"sum(w * power(x, {k})) AS s{k}" for k in range(5)), *(f"sum(w * y * power(x, {k})) AS t{k}" for k in range(3))])
+
+
+@query(
+    f"""WITH m AS (SELECT l_returnflag, {_RAW_M} FROM (SELECT l_returnflag, l_quantity / 50 AS x, l_extendedprice / 1000 AS y, 1.0::DOUBLE + l_discount AS w FROM lineitem) GROUP BY 1)
+SELECT l_returnflag, {", ".join(f"round({c} / {_DET(_SYSTEM)}, 4) AS c{k}" for k, c in enumerate(_CRAMER))} FROM m"""
+)
 def poly_fit(spark, sf_dir):
     found = archive.poly_fits(_moments(spark, sf_dir), ["l_returnflag"], 2)
     return found.select("l_returnflag", *[F.round(c, 4).alias(c) for c in found.columns[1:]])
@@ -536,7 +549,7 @@ def poly_fit(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each picture (here: a hundred rows of the plane) its profile, brightness, digest and verdict in one table."""
     own = plane(spark, sf_dir).withColumn("image", F.floor(F.col("y") / 100))
-    digest = samples.image_digests(own, ["image"], 64)
+    digest = lines.image_digests(picture_lines(spark, sf_dir), ["image"], 64)
     mean = samples.cell_means(own, ["image"], 2, 2, F.col("y") % 2 + F.col("x") % 2, F.lit(15000.0)).groupBy("image").agg(F.round(F.avg("mean"), 3).alias("brightness"))
     pictures = own.select("image").distinct().join(table(spark, sf_dir, "nation"), F.col("image") == F.col("n_nationkey")).select(F.col("image").alias("picture"), F.col("n_name").alias("model"), F.lit(3).alias("planes"))
     profiles = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -589,9 +602,9 @@ def lens_steps(spark, sf_dir):
     )
 
 
-@query("WITH b AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 127) AS BIGINT)) AS w FROM embeddings) SELECT vec_id, CAST(list_reduce(w, lambda s, x: (s * 73 + x) % 65519, 0::BIGINT) AS BIGINT) AS checksum FROM b")
+@query("WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 127) AS BIGINT)) AS w FROM embeddings) SELECT vec_id, CAST(list_reduce(w, lambda s, x: (s * 73 + x) % 65519, 0::BIGINT) AS BIGINT) AS checksum FROM b")
 def word_checksums(spark, sf_dir):
-    words = F.transform(F.slice("embedding", 1, 12), lambda x: F.floor((x.cast("double") + 1) * 127).cast("bigint"))
+    words = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127).cast("bigint"))
     return table(spark, sf_dir, "embeddings").select("vec_id", rules.word_checksum(words).alias("checksum"))
 
 
@@ -604,12 +617,19 @@ def curve_sanity(spark, sf_dir):
     return knots.select("l_orderkey", rules.sane_curve(F.col("k.r"), F.col("k.v"), *rules.DISTORTION_RANGE).alias("sane"))
 
 
+# The luminance table of the JPEG standard, row by row.
+LUMINANCE = [
+    16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62,
+    18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99,
+]
+
+
 @query(
-    """WITH b AS (SELECT p_partkey, p_size * 2 + 1 AS q, list_transform(range(8), lambda i: i * i + 10) AS base FROM part), s AS (SELECT *, CASE WHEN least(100, greatest(1, q)) < 50 THEN 5000 // least(100, greatest(1, q)) ELSE 200 - 2 * least(100, greatest(1, q)) END AS scale FROM b)
+    f"""WITH b AS (SELECT p_partkey, p_size * 2 + 1 AS q, {LUMINANCE} AS base FROM part), s AS (SELECT *, CASE WHEN least(100, greatest(1, q)) < 50 THEN 5000 // least(100, greatest(1, q)) ELSE 200 - 2 * least(100, greatest(1, q)) END AS scale FROM b)
 SELECT p_partkey, array_to_string(list_transform(base, lambda x: greatest(1, least(255, (x * scale + 50) // 100))), ',') AS quantisers FROM s"""
 )
 def quality_tables(spark, sf_dir):
-    base = F.array(*[F.lit(i * i + 10) for i in range(8)])
+    base = F.array(*[F.lit(x) for x in LUMINANCE])
     made = rules.quality_table(base, F.col("p_size") * 2 + 1)
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(made.cast("array<string>"), ",").alias("quantisers"))
 
@@ -635,15 +655,38 @@ def target_policy(spark, sf_dir):
 
 @query()
 def huffman_lengths(spark, sf_dir):
-    return tables.huffman(samples.residuals(plane(spark, sf_dir), [], 2).withColumn("image", F.floor(F.col("y") / 100)), ["image"])
+    return tables.huffman(_residuals(spark, sf_dir), ["image"])
 
 
-@query()
+_FITS = "floor(x) <= 4294967295 AND floor(x) * p + p0 <= 4294967295 AND floor(x) * q + q0 <= 1000000000"
+
+
+@query(
+    f"""WITH RECURSIVE v AS (SELECT DISTINCT p_retailprice / 7 AS value FROM part),
+d AS (SELECT value, min(k) AS k FROM v, range(5) r(k) WHERE abs(floor(value * 10.0::DOUBLE ** k + 0.5) / 10.0::DOUBLE ** k - value) <= value * 1.5e-7::DOUBLE AND floor(value * 10.0::DOUBLE ** k + 0.5) >= 1 GROUP BY 1),
+e AS (SELECT value, CAST(floor(value * 10.0::DOUBLE ** k + 0.5) AS BIGINT) AS n, CAST(10.0::DOUBLE ** k AS BIGINT) AS den FROM d),
+c AS (SELECT value, value AS x, 1::BIGINT AS p, 0::BIGINT AS q, 0::BIGINT AS p0, 1::BIGINT AS q0, 0 AS i FROM v WHERE value NOT IN (SELECT value FROM d)
+UNION ALL SELECT value, CASE WHEN abs((floor(x) * p + p0) / (floor(x) * q + q0) - value) > value * 1.5e-7::DOUBLE AND x - floor(x) >= 1e-12::DOUBLE THEN 1 / (x - floor(x)) END,
+ CAST(floor(x) * p + p0 AS BIGINT), CAST(floor(x) * q + q0 AS BIGINT), p, q, i + 1 FROM c WHERE x IS NOT NULL AND {_FITS})
+SELECT value, n // gcd(n, den) AS num, den // gcd(n, den) AS den FROM e UNION ALL SELECT value, arg_max(p, i), arg_max(q, i) FROM c GROUP BY 1"""
+)
 def rational_values(spark, sf_dir):
     return tables.rationals(table(spark, sf_dir, "part").select((F.col("p_retailprice") / 7).alias("value")), "value")
 
 
-@query()
+_S = "(4000.0::DOUBLE / sqrt(52000000.0::DOUBLE))"
+
+
+@query(
+    f"""WITH k AS (SELECT l_suppkey, l_linenumber / 7.0::DOUBLE AS r, 0.9::DOUBLE + avg(l_discount) AS v FROM lineitem GROUP BY l_suppkey, l_linenumber),
+n AS (SELECT *, lead(r) OVER w AS r1, lead(v) OVER w AS v1, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_suppkey) AS m FROM k WINDOW w AS (PARTITION BY l_suppkey ORDER BY r)),
+s AS (SELECT *, CASE WHEN i = 1 THEN '-inf'::DOUBLE ELSE r END AS low, CASE WHEN i >= m - 1 THEN 'inf'::DOUBLE ELSE r1 END AS high, CASE WHEN m = 1 THEN 0.0::DOUBLE ELSE (v1 - v) / (r1 - r) END AS slope FROM n WHERE i < m OR m = 1),
+e AS (SELECT l_suppkey, low, high, share, v - slope * r AS f, (v - slope * r) * (v - slope * r) + slope * share * 4 AS inside FROM s, (VALUES (1.0::DOUBLE), {_S}) t(share)),
+z AS (SELECT l_suppkey, 2 / (f + sqrt(inside)) AS z FROM e WHERE inside >= 0 AND f + sqrt(greatest(inside, 0)) > 0 AND share * 2 / (f + sqrt(inside)) >= low AND share * 2 / (f + sqrt(inside)) < high
+ UNION ALL SELECT l_suppkey, greatest(1 / v, r) FROM k WHERE v > 0 AND greatest(1 / v, r) * {_S} <= r),
+l AS (SELECT l_suppkey, min(z) AS z FROM z GROUP BY 1)
+SELECT l_suppkey, round(CASE WHEN z >= 0.5 AND z < 2 THEN z ELSE 1.0 END, 6) AS zoom FROM (SELECT DISTINCT l_suppkey FROM lineitem) LEFT JOIN l USING (l_suppkey)"""
+)
 def frame_zooms(spark, sf_dir):
     means = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.avg("l_discount").alias("d"))
     knots = means.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct((F.col("l_linenumber") / 7.0).alias("r"), (F.lit(0.9) + F.col("d")).alias("v")))).alias("k"))

@@ -6,7 +6,6 @@ filters on length and modification time itself. It leaves out files without a by
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +15,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import RAW_EXTENSIONS, extension
 
+#: Files that hold converted pictures, and camera profiles.
+DNG_EXTENSIONS, PROFILE_EXTENSIONS = (".dng",), (".dcp",)
 #: A sidecar larger than this is none.
 MOST_SIDECAR = 16 << 20
 
@@ -41,6 +42,23 @@ def named_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("relative"), extension(F.col("path")).alias("ext"), F.lit(True).alias("named"), "length", "modificationTime", "content")
 
 
+def jobs(spark: SparkSession, paths: list[str], recursive: bool = False, extensions: tuple[str, ...] = RAW_EXTENSIONS) -> tuple[DataFrame, DataFrame]:
+    """(files, missing): folders are listed, files taken whatever their extension; missing holds (path, reason) of what isn't there."""
+    status = {}
+    for p in dict.fromkeys(paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        status[p] = "missing" if not fs.exists(at) else "folder" if fs.getFileStatus(at).isDirectory() else "file"
+    found = [files(spark, p, recursive, extensions) for p, s in status.items() if s == "folder"]
+    if own := [p for p, s in status.items() if s == "file"]:
+        found.append(named_files(spark, own))
+    empty = "path string, relative string, ext string, named boolean, length bigint, modificationTime timestamp, content binary"
+    out = spark.createDataFrame([], empty)
+    for one in found:
+        out = out.unionByName(one)
+    return out, spark.createDataFrame([(p, "no such file or folder") for p, s in status.items() if s == "missing"], "path string, reason string")
+
+
 def digests(found: DataFrame) -> DataFrame:
     """(path, length, md5) of files of up to 2 GiB."""
     return found.select("path", "length", F.md5("content").alias("md5"))
@@ -67,107 +85,56 @@ def ordered_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("ord", F.row_number().over(Window.partitionBy(folder).orderBy("path")))
 
 
-def packed(found: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """(path, size, packed, digest): contents as zlib streams of 64 KiB blocks behind a table of offsets.
-
-    Big-endian: the length, one offset a block and the end, the streams, seven empty forks."""
-    import struct
-    import zlib
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for content in b.column(1):
-                raw = content.as_py() or b""
-                streams = [zlib.compress(raw[k : k + block]) for k in range(0, len(raw), block)]
-                at, offsets = 4 + 4 * (len(streams) + 1), []
-                for s in streams:
-                    offsets.append(at)
-                    at += len(s)
-                out.append(struct.pack(f">I{len(streams) + 1}I", len(raw), *offsets, at) + b"".join(streams) + b"\0" * 28)
-            digest = [hashlib.md5(x).hexdigest() for x in out]
-            size = [len(c.as_py() or b"") for c in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(out, pa.binary()), pa.array(digest)], ["path", "size", "packed", "digest"])
-
-    return found.select("path", "content").mapInArrow(run, "path string, size bigint, packed binary, digest string")
-
-
-def unpacked(rows: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """(path, content, reason): the inverse of packed; a reason in place of the content where it is damaged."""
-    import struct
-    import zlib
-
-    def one(raw: bytes) -> bytes:
-        (size,) = struct.unpack_from(">I", raw)
-        n = -(-size // block)
-        if size > 1100 * len(raw):
-            raise ValueError("implausible size")
-        offsets = struct.unpack_from(f">{n + 1}I", raw, 4)
-        out = []
-        for k, (a, b) in enumerate(zip(offsets, offsets[1:])):
-            if not 4 <= a <= b <= len(raw):
-                raise ValueError("offset outside")
-            stream = zlib.decompressobj()
-            out.append(stream.decompress(raw[a:b], block + 1))
-            if len(out[-1]) != min(block, size - k * block):
-                raise ValueError("block of the wrong size")
-        return b"".join(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            contents, reasons = [], []
-            for raw in b.column(1):
-                try:
-                    contents.append(one(raw.as_py()))
-                    reasons.append(None)
-                except (ValueError, TypeError, struct.error, zlib.error) as e:
-                    contents.append(None)
-                    reasons.append(str(e) or type(e).__name__)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(contents, pa.binary()), pa.array(reasons, pa.string())], ["path", "content", "reason"])
-
-    return rows.select("path", "packed").mapInArrow(run, "path string, content binary, reason string")
-
-
-def ifd_entries(found: DataFrame, most: int = 2000) -> DataFrame:
-    """(path, ifd, ord, tag, type, count, value, big_endian, reason): directories of TIFF-like files, a row an entry.
+def ifd_entries(found: DataFrame, most: int = 2000, magics: tuple[int, ...] = (42, 0x4F52, 0x5352, 0x55, 0x4352)) -> DataFrame:
+    """(path, ifd, kind, ord, tag, type, count, value, big_endian, reason): directories of TIFF-like files, a row an entry.
 
-    Every offset is checked; a damaged file gives a row with a reason."""
+    kind: main (the chain of directories), sub, exif or gps (directories that others point to).
+    Every offset is checked; a damaged file gives a row with a reason. Camera profiles are
+    files of this kind too."""
     import struct
 
-    # Bytes of the twelve field types, and of IFD pointers.
+    # Bytes of the field types, and the tags that point to directories.
     sizes = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
-    magics = (42, 0x4F52, 0x5352, 0x55)
-    names = ["path", "ifd", "ord", "tag", "type", "count", "value", "big_endian", "reason"]
+    pointers = {330: "sub", 34665: "exif", 34853: "gps"}
+    names = ["path", "ifd", "kind", "ord", "tag", "type", "count", "value", "big_endian", "reason"]
+    bad = lambda number, kind, big, reason: (number, kind, None, None, None, None, None, big, reason)
 
     def entries(raw: bytes) -> Iterator[tuple]:
         order = {b"II": "<", b"MM": ">"}.get(raw[:2])
         if order is None or len(raw) < 8 or struct.unpack_from(order + "H", raw, 2)[0] not in magics:
-            yield None, None, None, None, None, None, None, "not a TIFF"
+            yield bad(None, None, None, "not a TIFF")
             return
-        at, number, seen = struct.unpack_from(order + "I", raw, 4)[0], 0, set()
-        while at and at not in seen:
+        big = order == ">"
+        waiting, seen = [("main", struct.unpack_from(order + "I", raw, 4)[0])], set()
+        for number, (role, at) in enumerate(waiting):
+            if at in seen:
+                continue
             seen.add(at)
             if at + 2 > len(raw):
-                yield number, None, None, None, None, None, order == ">", "directory outside"
-                return
+                yield bad(number, role, big, "directory outside")
+                continue
             n = struct.unpack_from(order + "H", raw, at)[0]
             if n > most or at + 2 + 12 * n + 4 > len(raw):
-                yield number, None, None, None, None, None, order == ">", "directory too long"
-                return
+                yield bad(number, role, big, "directory too long")
+                continue
             for k in range(n):
                 place = at + 2 + 12 * k
                 tag, kind, count = struct.unpack_from(order + "HHI", raw, place)
                 size = sizes.get(kind, 0) * count
                 start = place + 8 if size <= 4 else struct.unpack_from(order + "I", raw, place + 8)[0]
                 whole = kind in sizes and start + size <= len(raw)
-                yield number, k, tag, kind, count, raw[start : start + size] if whole else None, order == ">", None if whole else "value outside"
-            at, number = struct.unpack_from(order + "I", raw, at + 2 + 12 * n)[0], number + 1
+                yield number, role, k, tag, kind, count, raw[start : start + size] if whole else None, big, None if whole else "value outside"
+                if whole and tag in pointers and kind in (4, 13) and 0 < count <= 64 and len(waiting) < most:
+                    waiting += [(pointers[tag], x) for x in struct.unpack_from(f"{order}{count}I", raw, start)]
+            after = struct.unpack_from(order + "I", raw, at + 2 + 12 * n)[0]
+            if role == "main" and after and len(waiting) < most:
+                waiting.append(("main", after))
 
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.string()]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(p.as_py(), *e) for p, c in zip(b.column(0), b.column(1)) for e in entries(c.as_py() or b"")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    return found.select("path", "content").mapInArrow(run, "path string, ifd int, ord int, tag int, type int, count bigint, value binary, big_endian boolean, reason string")
+    return found.select("path", "content").mapInArrow(run, "path string, ifd int, kind string, ord int, tag int, type int, count bigint, value binary, big_endian boolean, reason string")

@@ -31,8 +31,8 @@ def test_names(spark):
 
 
 def test_axis_and_plan(spark):
-    row = spark.range(1).select(numbers.axis_plan(F.lit(1037), F.lit(2), F.lit(256)).alias("a"), numbers.work_plan(F.lit(8), F.lit(0), F.lit(2)).alias("w"), numbers.orientation(F.lit(6)).alias("o"), numbers.orientation(F.lit(-1)).alias("p")).first()
-    assert tuple(row["a"]) == (176, 528, 1056, 9) and tuple(row["w"]) == (2, 4) and (row["o"], row["p"]) == (6, 1)
+    row = spark.range(1).select(numbers.axis_plan(F.lit(1037), F.lit(2), F.lit(256)).alias("a"), numbers.orientation(F.lit(6)).alias("o"), numbers.orientation(F.lit(-1)).alias("p")).first()
+    assert tuple(row["a"]) == (176, 528, 1056, 9) and (row["o"], row["p"]) == (6, 1)
 
 
 def test_interleaving_is_a_permutation(spark):
@@ -73,17 +73,6 @@ def test_folders(spark, tmp_path):
     assert {r["reason"] for r in entries} == {None, "not a TIFF"}
 
 
-def test_packed_originals(spark, tmp_path):
-    (tmp_path / "a.raw").write_bytes(bytes(range(256)) * 700)
-    (tmp_path / "b.raw").write_bytes(b"b" * 65536)
-    found = catalog.files(spark, str(tmp_path))
-    packed = catalog.packed(found)
-    back = catalog.unpacked(packed).join(found.withColumnRenamed("content", "was"), "path").collect()
-    assert all(r["content"] == r["was"] and r["reason"] is None for r in back) and len(back) == 2
-    broken = packed.where("size > 0").withColumn("packed", F.expr("concat(substring(packed, 1, 60), unhex('00'))"))
-    assert catalog.unpacked(broken).first()["reason"]
-
-
 def test_damaged_directories_never_raise(spark):
     tiff = b"MM" + struct.pack(">HIH", 42, 8, 1) + struct.pack(">HHII", 256, 4, 9, 5000) + struct.pack(">I", 8)
     rows = [(str(k), tiff[:k]) for k in range(len(tiff) + 1)] + [("x", b"II*\0" + b"\xff" * 30), ("n", None)]

@@ -9,9 +9,18 @@ from rawframe.functions import rules
 from rawframe.operators import tables
 
 
-@pytest.mark.parametrize("value,want", [(5.6, (28, 5)), (0.004, (1, 250)), (0.0125, (1, 80)), (1 / 3, (1, 3)), (0.8293, (8293, 10000)), (1e12, (4294967295, 1)), (-3, (0, 1)), (float("nan"), (0, 1))])
-def test_rationals(value, want):
-    assert tables.rational(value) == want
+RATIONALS = [(5.6, (28, 5)), (0.004, (1, 250)), (0.0125, (1, 80)), (1 / 3, (1, 3)), (0.8293, (8293, 10000)), (1e12, (4294967295, 1)), (-3.0, (0, 1)), (float("nan"), (0, 1)), (None, (0, 1)), (1000.0, (1000, 1)), (2.5e-9, (0, 1))]
+
+
+def test_rationals(spark):
+    rows = spark.createDataFrame([(k, v) for k, (v, _) in enumerate(RATIONALS)], "k int, v double")
+    got = {r["k"]: tuple(r["r"]) for r in rows.select("k", tables.rational(F.col("v")).alias("r")).collect()}
+    assert [got[k] for k in range(len(RATIONALS) - 1)] == [want for _, want in RATIONALS[:-1]]
+    made = spark.createDataFrame([(math.pi * 1.37**k,) for k in range(-12, 40)], "v double")
+    for v, n, d in tables.rationals(made, "v").collect():
+        assert abs(n / d - v) <= v * 1.5e-7 and math.gcd(n, d) == 1 and d <= 10**9
+    signed = rows.select("k", tables.signed_rational(-F.col("v")).alias("r")).collect()
+    assert {r["k"]: tuple(r["r"]) for r in signed}[0] == (-28, 5) and {r["k"]: tuple(r["r"]) for r in signed}[5] == (-2147483647, 1)
 
 
 def test_code_lengths_are_optimal_and_bounded():
@@ -24,13 +33,30 @@ def test_code_lengths_are_optimal_and_bounded():
     fibonacci = {k: n for k, n in enumerate([1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987, 1597])}
     assert max(tables.code_lengths(fibonacci).values()) <= 16
     assert tables.code_lengths({0: 8, 1: 4, 2: 2, 3: 1}) == {0: 1, 1: 2, 2: 3, 3: 4}
+    assert tables.code_lengths({}) == {} and tables.code_lengths({5: 9}) == {5: 1}
+
+
+def brute_zoom(radius, ratio, width, height):
+    """The greatest of many zooms up to which no point of the edge comes from outside."""
+    at = lambda r: np.interp(r, radius, ratio) if r <= radius[-1] else ratio[-1] + (r - radius[-1]) * (ratio[-1] - ratio[-2]) / (radius[-1] - radius[-2])
+    edge = np.linspace(min(width, height) / math.hypot(width, height), 1, 200)
+    good = 1.0
+    for zoom in np.arange(0.5, 2.0, 0.002):
+        if max(at(r * zoom) for r in edge) * zoom > 1:
+            return good
+        good = zoom
+    return 1.0
 
 
-def test_zooms():
-    r = np.linspace(0, 1.2, 12)
-    assert tables.filling_zoom(r, np.ones(12), 6000, 4000) == pytest.approx(1, abs=1e-9)
-    assert tables.filling_zoom(r, np.full(12, 0.8), 6000, 4000) == pytest.approx(1.25, abs=1e-9)
-    assert tables.filling_zoom(np.empty(0), np.empty(0), 6000, 4000) == 1
+def test_zooms(spark):
+    r = [k / 10 for k in range(13)]
+    curves = {1: [1.0] * 13, 2: [0.8] * 13, 3: [0.9 + 0.02 * k for k in range(13)], 4: [1.1 - 0.03 * k for k in range(13)], 5: [0.9 + 0.1 * (k % 3) for k in range(13)], 6: [0.3] * 13}
+    rows = [(k, 6000.0, 4000.0, r, v) for k, v in curves.items()] + [(7, 6000.0, 4000.0, [], []), (8, 0.0, 4000.0, r, [0.9] * 13)]
+    got = dict(tables.zooms(spark.createDataFrame(rows, "k int, width double, height double, radius array<double>, ratio array<double>"), ["k"]).collect())
+    assert got[1] == pytest.approx(1, abs=1e-9) and got[2] == pytest.approx(1.25, abs=1e-9)
+    assert got[6] == got[7] == got[8] == 1
+    for k in (3, 4, 5):
+        assert got[k] == pytest.approx(brute_zoom(r, curves[k], 6000, 4000), abs=0.005)
 
 
 def test_rules(spark):
