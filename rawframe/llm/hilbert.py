@@ -1,16 +1,20 @@
 """Sharding along a Hilbert curve.
 
-Several metadata columns are quantised to a few bits each, the cells are ordered by their
+Several metadata columns are quantised to a few bits each, in order of their values, the cells are ordered by their
 index on a Hilbert curve, and the ordered rows are cut into runs. Rows that are close in all
 dimensions share a shard, so each shard's range of cells lets a reader skip whole files for
 predicates on any of the dimensions. DataFrame functions only.
 
 Defined results: null metadata is cell 0; a null text has no bytes; repeated rows keep one
-slot each; an empty table gives no rows; columns named like the added ones are replaced.
+slot each, in any order among themselves; a null key is placed like any other; a very long text
+counts with all its bytes and isn't moved unless rows are carried; an empty table gives no rows;
+other columns aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -25,17 +29,30 @@ DIMENSIONS = ("lang", "source", "n_chars")
 ROW_BYTES = 16
 
 
+def ordered_code(df: DataFrame, name: str) -> Column:
+    """A number for each value that keeps their order: the value itself, or six bytes of a text behind
+    what all texts of the column begin with."""
+    value = F.col(name)
+    if isinstance(df.schema[name].dataType, NumericType):
+        return F.when(~F.isnan(value.cast("double")), value.cast("double"))
+    text = value.cast("string")
+    least, most = df.agg(F.min(text), F.max(text)).first()
+    shared = len(os.path.commonprefix([(least or "").encode(), (most or "").encode()]))
+    rest = F.hex(F.substring(text.cast("binary"), shared + 1, 6))
+    return F.conv(F.rpad(rest, 12, "0"), 16, 10).cast("double")
+
+
 def quantised(df: DataFrame, name: str, bits: int) -> Column:
-    """Cell of a column: numbers by approximate quantiles (2^bits - 1 cut points), others by hash."""
+    """Cell of a column by approximate quantiles of all its rows (2^bits - 1 cut points). Cells keep the
+    order of the values, so a range of values is a range of cells; a missing value is in cell 0."""
     cells = 1 << bits
-    value = F.col(name)
-    if not isinstance(df.schema[name].dataType, NumericType):
-        return F.when(value.isNull(), 0).otherwise(F.pmod(F.xxhash64(value.cast("string")), F.lit(cells)).cast("int"))
+    code = ordered_code(df, name)
     shares = [i / cells for i in range(1, cells)]
-    cuts = df.agg(F.percentile_approx(value.cast("double"), shares, 10_000).alias("c")).first()["c"] or []
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    below = F.size(F.filter(bounds, lambda c: c < value.cast("double")))
-    return F.when(value.isNull() | F.isnan(value.cast("double")), 0).otherwise(below).cast("int")
+    cuts = df.agg(F.percentile_approx(code, shares, 10_000).alias("c")).first()["c"] or []
+    # A frequent value is several cut points, so that few values spread over the whole range too.
+    bounds = F.array(*[F.lit(float(c)) for c in sorted(cuts)]) if cuts else F.array().cast("array<double>")
+    below = F.size(F.filter(bounds, lambda c: c < code))
+    return F.when(code.isNull(), 0).otherwise(below).cast("int")
 
 
 def hilbert_index(coordinates: list[Column], bits: int) -> Column:
@@ -79,8 +96,8 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
     return F.get(F.transform(point, lambda p: interleaved(F.transform(p["g"], lambda v: v.bitwiseXOR(p["t"])))), F.lit(0))
 
 
-def hilbert_shard(df: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, shards: int = SHARDS, bits: int = BITS, law: str = "rows", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """df's key with size, text_crc32, law, hilbert, the cells, rank, shard and slot.
+def hilbert_shard(df: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, shards: int = SHARDS, bits: int = BITS, law: str = "rows", text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
+    """df's key with size, text_crc32, law, hilbert, the cells, rank, shard and slot; with carry the whole row too, as a struct.
 
     law "rows": shard sizes are at most one row apart. law "bytes": runs are cut where the
     running size passes a shard's part of all bytes, so sizes differ by one row's size at most.
@@ -95,6 +112,7 @@ def hilbert_shard(df: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, shard
     body = F.coalesce(F.col(text), F.lit(""))
     slim = df.select(
         F.col(key),
+        *([F.struct(*df.columns).alias("row"), F.struct(*dimensions).alias("values")] if carry else []),
         (F.octet_length(body).cast("bigint") + ROW_BYTES).alias("size"),
         text_crc32(F.col(text)).alias("text_crc32"),
         F.array(*cells).alias("cells"),
@@ -131,27 +149,34 @@ def hilbert_shard(df: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, shard
         out = placed.withColumn("shard", F.least(F.lit(shards - 1), middle).cast("int"))
         firsts = out.groupBy("shard").agg(F.min("rank").alias("first"))
         out = out.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("rank") - F.col("first"))
-    return out.select(key, "size", "text_crc32", F.lit(law).alias("law"), "hilbert", "cells", "rank", "shard", "slot")
-
-
-def manifest(sharded: DataFrame) -> DataFrame:
-    """Range of cells, bytes and rows of each shard: what a reader needs to skip files."""
-    return sharded.groupBy("shard").agg(
-        F.count("*").alias("rows"),
-        F.sum("size").alias("bytes"),
-        F.min("hilbert").alias("first_index"),
-        F.max("hilbert").alias("last_index"),
-        F.min("cells").alias("first_cells"),
-        F.max("cells").alias("last_cells"),
-    )
-
-
-def write_shards(df: DataFrame, sharded: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write df under path, a folder a shard, in slot order. Rows without a key aren't matched.
-
-    Rows are dealt by shard and a slice of its slots, so a task writes a part of one shard."""
-    placed = df.join(sharded.select(key, "shard", "slot"), key)
-    placed.repartition("shard", F.expr("slot div 1000000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return out.select(key, *(["row", "values"] if carry else []), "size", "text_crc32", F.lit(law).alias("law"), "hilbert", "cells", "rank", "shard", "slot")
+
+
+def manifest(sharded: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
+    """One row a shard: rows, bytes, the range of the index, and of each dimension the least and greatest
+    cell (null values are in cell 0) and, of a carried table, the range of values and the number of nulls.
+
+    A reader skips a shard whose range of any one dimension excludes its predicate."""
+    own = []
+    for k, d in enumerate(dimensions):
+        own += [F.min(F.col("cells")[k]).alias(f"least_cell_{d}"), F.max(F.col("cells")[k]).alias(f"greatest_cell_{d}")]
+        if "values" in sharded.columns:
+            value = F.col("values")[d]
+            own += [F.min(value).alias(f"least_{d}"), F.max(value).alias(f"greatest_{d}"), F.count_if(value.isNull()).alias(f"nulls_{d}")]
+    index = (F.min("hilbert").alias("first_index"), F.max("hilbert").alias("last_index"))
+    return sharded.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *index, *own)
+
+
+def write_shards(df: DataFrame, path: str, dimensions: tuple[str, ...] = DIMENSIONS, shards: int = SHARDS, bits: int = BITS, law: str = "rows", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Write all rows of df under path, a folder a shard, in slot order; the shards' manifest.
+
+    Rows travel with their slots (repeated and missing keys are rows like any other), and are dealt
+    by shard and a slice of its slots, so a task writes a part of one shard. A column named shard
+    gives way to the folder's."""
+    placed = hilbert_shard(df, dimensions, shards, bits, law, text, key, carry=True)
+    rows = placed.select(*[F.col("row")[c].alias(c) for c in df.columns if c.lower() != "shard"], "shard", F.col("slot").alias("_slot"))
+    rows.repartition("shard", F.expr("_slot div 1000000")).sortWithinPartitions("shard", "_slot").drop("_slot").write.partitionBy("shard").parquet(path)
+    return manifest(placed, dimensions)
 
 
 def op1_hilbert_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -49,13 +50,75 @@ def test_bytes_law(spark):
     assert all(r[1] == 0 and r[2] == r[4] - 1 and r[3] == r[4] for r in slots)
 
 
-def test_pruning_and_files(spark, tmp_path):
-    docs = spark.createDataFrame(made()[:500], SCHEMA)
-    sharded = H.hilbert_shard(docs, ("lang", "n_chars"), shards=8)
-    assert H.manifest(sharded).count() == 8
-    H.write_shards(docs, sharded, str(tmp_path / "out"))
+def point_index(point, bits):
+    """The curve's index by the published recursion on axes, written out for one point."""
+    x, n = list(point), len(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return sum(((x[i] >> b) & 1) << (b * n + n - 1 - i) for b in range(bits) for i in range(n))
+
+
+def plain_cells(values, bits):
+    """Cells by the quantiles of all values, in their order; None is in cell 0."""
+    known = sorted(v for v in values if v is not None)
+    cuts = [known[max(0, math.ceil(len(known) * i / 2**bits) - 1)] for i in range(1, 2**bits)] if known else []
+    return [0 if v is None else sum(c < v for c in cuts) for v in values]
+
+
+def test_shards_and_slots_row_by_row(spark):
+    rows = [r for r in made()[:500] if r[0] is not None]
+    got = {r["doc_id"]: (r["hilbert"], r["shard"], r["slot"]) for r in H.hilbert_shard(spark.createDataFrame(rows, SCHEMA).repartition(4), shards=7).collect()}
+    cells = list(zip(*[plain_cells([r[k] for r in rows], H.BITS) for k in (2, 3, 4)]))
+    order = sorted((point_index(c, H.BITS), zlib.crc32(r[1].encode()), r[0]) for c, r in zip(cells, rows))
+    want, firsts = {}, {}
+    for rank, (h, _, i) in enumerate(order):
+        shard = rank * 7 // len(order)
+        want[i] = (h, shard, rank - firsts.setdefault(shard, rank))
+    assert got == want
+
+
+def test_ranges_of_each_dimension_skip_shards(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(k, "t", rng.choice(["de", "en", "fr", "ja"]), f"source-{rng.randrange(30):02d}", rng.randrange(5000), "s") for k in range(2000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    ranges = [r.asDict() for r in H.write_shards(docs, str(tmp_path / "out"), shards=32).collect()]
+    assert len(ranges) == 32 and sum(r["rows"] for r in ranges) == 2000
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 500 and back.select("shard").distinct().count() == 8
+    held = {(r["shard"], r["doc_id"]) for r in back.select("shard", "doc_id").collect()}
+    by_shard = {}
+    for shard, i in held:
+        by_shard.setdefault(shard, set()).add(i)
+    for k, name, low, high in ((2, "lang", "en", "en"), (3, "source", "source-05", "source-08"), (4, "n_chars", 1000, 1400)):
+        wanted = {r[0] for r in rows if low <= r[k] <= high}
+        read = {r["shard"] for r in ranges if r[f"greatest_{name}"] >= low and r[f"least_{name}"] <= high}
+        assert wanted <= set().union(*(by_shard[s] for s in read)) and len(read) <= 24, (name, len(read))
+
+
+def test_every_row_is_written_once(spark, tmp_path):
+    rows = made()
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("shard", F.lit("mine")).withColumn("row", F.col("n_chars"))
+    told = H.write_shards(docs, str(tmp_path / "out"), ("lang", "n_chars"), shards=8)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert told.agg(F.sum("rows"), F.sum("nulls_lang")).first()[0] == len(rows)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, back.select("doc_id", "text", "lang", "source", "n_chars", "size").collect())) == sorted(map(key, rows))
+    assert {r["row"] for r in back.collect()} == {r[4] for r in rows} and back.select("shard").distinct().count() == 8
 
 
 def test_empty_and_short_tables(spark):
