@@ -6,7 +6,8 @@ A query's terms are split by the score to beat: the essential ones, and those wh
 together can't reach it. Essential lists are traversed for all vectors, the others are probed
 only for vectors that still can compete. Shards' results are merged.
 
-Queries meet the shards in blocks: every block of queries is sent once to every shard.
+Queries meet the shards in blocks: every block of queries is sent once to every shard, and a shard
+once to every MET blocks of queries, so what a task holds is bounded on both sides.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor
 do rows without an id; a shorter vector lacks the further terms; rows with a query's own id
@@ -16,15 +17,13 @@ gives no rows; other columns aren't looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, read_table, tidy
+from .common import read_table, tidy
 from .packed import pack, unpack
 
 K = 20
@@ -32,6 +31,8 @@ SCALE = 64
 EVERY = 20
 SHARD_ROWS = 4096
 QUERY_ROWS = 256
+#: Blocks of queries that meet a shard in one task.
+MET = 64
 #: Vectors scored in full for a first score to beat.
 SEED_ROWS = 256
 
@@ -88,27 +89,23 @@ class Shard:
         return self.ids[best], scores[best].astype(np.int64)
 
 
-def _scored(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, shard = None, None
-        for batch in batches:
-            for block, rows, asking in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                if block != number:
-                    number, shard = block, Shard(*unpack(rows.as_py()))
-                ids, queries = unpack(asking.as_py())
-                most = shard.most * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
-                lists = shard.lists.astype(np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64)
-                found = [shard.top(int(i), q, k, lists) for i, q in zip(ids, queries)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(ids, [len(x) for x, _ in found]), pa.int64()),
-                        pa.array(np.concatenate([x for x, _ in found]), pa.int64()),
-                        pa.array(np.concatenate([s for _, s in found]), pa.int64()),
-                    ],
-                    ["query_id", "vec_id", "score"],
-                )
-
-    return run
+def _scored(shards: pa.Table, asking: pa.Table, k: int) -> pa.Table:
+    """(query_id, vec_id, score): the k best of one shard for each query of some blocks."""
+    out: list[tuple] = []
+    if shards.num_rows:
+        shard = Shard(*unpack(shards.column("rows")[0].as_py()))
+        lists: dict[type, np.ndarray] = {}
+        for block in asking.column("asking"):
+            ids, queries = unpack(block.as_py())
+            most = shard.most * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
+            kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+            if kind not in lists:
+                lists[kind] = shard.lists.astype(kind)
+            for i, q in zip(ids, queries):
+                found, scores = shard.top(int(i), q, k, lists[kind])
+                out.append((np.full(len(found), i), found, scores))
+    empty = np.empty(0, np.int64)
+    return pa.table({name: pa.array(np.concatenate([x[j] for x in out] or [empty]), pa.int64()) for j, name in enumerate(("query_id", "vec_id", "score"))})
 
 
 def _blocked(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
@@ -120,10 +117,12 @@ def _blocked(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for rows (id bigint, v array<bigint>) of both sides."""
     shards, n = _blocked(candidates, shard_rows)
-    asking, _ = _blocked(queries, query_rows)
-    sent = asking.select(F.col("rows").alias("asking"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    met = shards.join(sent, "block").select("block", "rows", "asking")
-    found = map_arrow(met, _scored(k), "query_id bigint, vec_id bigint, score bigint")
+    asking, m = _blocked(queries, query_rows)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = asking.select(F.col("rows").alias("asking"), F.floor(F.col("block") / MET).cast("int").alias("part"), every(n).alias("block"))
+    held = shards.select("block", "rows", every(-(-m // MET)).alias("part"))
+    met = held.groupBy("block", "part").cogroup(sent.groupBy("block", "part"))
+    found = met.applyInArrow(tidy(lambda s, q: _scored(s, q, k)), "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
