@@ -9,7 +9,8 @@ The classifier is fitted on at most MOST_FITTED positives and as many unlabelled
 drawn by a hash of their ids, and of rows with the same id one, drawn by a hash of the text;
 every document is scored.
 
-Defined results: null and empty texts have all features zero and are scored like any other;
+Defined results: null and empty texts have all features zero and are scored like any other (a text
+without words has those of its bytes only); a very long text is one row, scored whole in its task;
 where nothing is labelled good all scores are 1 (there is nothing to reject by); repeated rows
 give repeated results; several labels of a document count as the lowest; an empty table gives
 no rows; extra columns go through untouched.
@@ -80,6 +81,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             ],
             axis=1,
         )
+        # A text without words has no shapes, whatever texts it is among.
+        out[np.bincount(doc, minlength=n) == 0, 256 + HASHED :] = 0
     return out
 
 
@@ -96,6 +99,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(np.float64)))
 
 
+def gradient(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[np.ndarray, float]:
+    """Which way the risk grows, by weights and bias: of prior * R+(p) + R-(u) - prior * R-(p), and where
+    the unlabelled part (the last two) is below nothing, of that part turned round: the step goes back."""
+    zp, zu = p @ w + b, u @ w + b
+    sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
+    back = np.logaddexp(0, zu).mean() < prior * np.logaddexp(0, zp).mean()
+    gp, gu = -prior * sp / len(p), su / len(u)
+    gp, gu = (-gp, -gu) if back else (gp + prior * (sp - 1) / len(p), gu)
+    return p.T @ gp + u.T @ gu, float(gp.sum() + gu.sum())
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, decay: float = 1e-3, rate: float = 0.02) -> Model:
     """Minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) under logistic loss."""
     middle, spread = unlabelled.mean(0), unlabelled.std(0) + 1e-3
@@ -103,17 +117,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     p, u = scaled(positive), scaled(unlabelled)
     w, b = np.zeros(p.shape[1], np.float32), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    up = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        zp, zu = p @ w + b, u @ w + b
-        sp, su = up(zp), up(zu)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp_minus, gu = prior * sp / len(p), su / len(u)
-        if negative >= 0:
-            gp, g_u = prior * (sp - 1) / len(p) - gp_minus, gu
-        else:  # the unlabelled risk has gone below nothing: step back
-            gp, g_u = gp_minus, -gu
-        g, gb = p.T @ gp + u.T @ g_u + decay * w, float(gp.sum() + g_u.sum())
+        g, gb = gradient(p, u, w, b, prior)
+        g = g + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, c = 1 - 0.9**t, 1 - 0.999**t
