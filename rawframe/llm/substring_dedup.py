@@ -10,12 +10,15 @@ end there. The windows left are exchanged by that digit, as runs with their byte
 through the remaining digits of eight bytes, groups of one falling out after each pass.
 
 Before both exchanges each batch of texts settles what it can by itself (one number, and one
-document's windows, for all copies in the batch), so a string that a third of all documents
-hold reaches a bucket once a batch.
+document's windows, for all copies in the batch). A digit that many batches have is hot: its
+windows are settled among some batches at a time first, and only what is left there, a window
+once for some batches, goes on to the digit's bucket. So a string that a third of all documents
+hold is no bucket's burden.
 
 Defined results: a null text is empty; a null doc_id sorts after all others; rows with the same
-doc_id don't remove each other's bytes; texts shorter than the window stay whole; an empty
-table gives no rows; other columns aren't looked at.
+doc_id don't remove each other's bytes; texts shorter than the window stay whole; a very long
+text is a batch of its own, held whole by its tasks; an empty table gives no rows; other columns
+aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table, tidy
+from .common import map_arrow, read_table, stage_table, tidy
 from .kernels import Hasher, mix
 from .packed import BATCH_BYTES, NO_ID, Batch, bucket_count, pack, pack_sorted, pack_texts, unpack, unpack_sorted
 
 WINDOW = 50
 K = 20
+#: A digit that more batches have than these is hot, and is settled among so many batches first.
+MET_BATCHES = 16
 #: A bucket is sorted in so many parts, to bound the memory it takes.
 PARTS = 8
 
@@ -128,8 +133,8 @@ def _digit_rows(table: pa.Table, window: int, k: int, bits: int) -> pa.Table:
     return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "batch": pa.array([x[1] for x in out], pa.int64()), "block": pa.array([x[2] for x in out], pa.binary())})
 
 
-def _shared_digits(table: pa.Table) -> pa.Table:
-    """(batch, block): of each batch the digits that another batch, or another of its documents, has too."""
+def _shared_digits(table: pa.Table, met: int) -> pa.Table:
+    """(batch, block): of each batch the digits that another batch, or another of its documents, has too, and which of them are hot."""
     parts = [unpack_sorted(b.as_py()) for b in table.column("block")]
     digits = np.concatenate([d for d, _ in parts])
     batch = np.repeat(np.arange(len(parts)), [len(d) for d, _ in parts])
@@ -138,53 +143,70 @@ def _shared_digits(table: pa.Table) -> pa.Table:
     begins = runs(digits[order])
     sizes = np.diff(np.append(begins, len(order)))
     shared = np.repeat((sizes > 1) | np.logical_or.reduceat(several[order], begins), sizes)
-    keep = np.zeros(len(digits), bool)
+    keep, hot = np.zeros(len(digits), bool), np.zeros(len(digits), bool)
     keep[order] = shared
+    hot[order] = np.repeat(sizes > met, sizes)
     numbers = table.column("batch").to_pylist()
     cuts = np.searchsorted(batch, np.arange(len(parts) + 1))
-    out = [(numbers[p], pack_sorted(digits[i:j][keep[i:j]])) for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if keep[i:j].any()]
+    out = [(numbers[p], pack_sorted(digits[i:j][keep[i:j]], hot[i:j][keep[i:j]])) for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if keep[i:j].any()]
     return pa.table({"batch": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([x[1] for x in out], pa.binary())})
 
 
-def _window_rows(texts: pa.Table, shared: pa.Table, window: int, k: int, bits: int) -> pa.Table:
-    """(bucket, batch, block): runs of windows whose first digit is shared, to be settled in a bucket.
+_ROW = [("bucket", pa.int64()), ("salt", pa.int32()), ("batch", pa.int64()), ("block", pa.binary())]
 
-    Under a negative bucket of its own comes what a smaller id of the same batch has."""
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table({name: pa.array([x[k] for x in rows], kind) for k, (name, kind) in enumerate(_ROW)})
+
+
+def _run_block(data: np.ndarray, at: np.ndarray, owner: np.ndarray, starts: np.ndarray, counts: np.ndarray, part: np.ndarray, window: int) -> bytes:
+    """Runs of windows: owners, where they start in their batch, how many windows, their parts, and their bytes, found at `at` in data."""
+    size = counts + window - 1
+    take = np.repeat(at - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    return pack(owner, starts.astype(np.int64), counts.astype(np.int32), part, data[take], level=3)
+
+
+def _window_rows(texts: pa.Table, shared: pa.Table, window: int, k: int, bits: int, salts: int) -> pa.Table:
+    """(bucket, salt, batch, block): runs of windows whose first digit is shared, to be settled in a bucket.
+
+    Hot ones have a salt that some batches share, others -1. Under a negative bucket of its own
+    comes what a smaller id of the same batch has."""
     out = []
     for number, block in zip(texts.column("batch").to_pylist(), texts.column("docs")):
         batch = Batch.of(block.as_py())
-        known = np.sort(np.concatenate([unpack_sorted(b.as_py())[0] for b in shared.column("block")] or [np.empty(0, np.uint64)]))
+        told = [unpack_sorted(b.as_py()) for b in shared.column("block")]
         at, doc, digit = first_digits(batch, window, k)
-        if not len(known) or not len(at):
+        if not told or not len(at):
             continue
+        known, hot = (np.concatenate([t[j] for t in told]) for j in (0, 1))
+        order = np.argsort(known, kind="stable")
+        known, hot = known[order], hot[order]
         new = np.zeros(len(at), bool)
         new[runs(digit)] = True
-        heads = digit[new]
-        hit = known[np.minimum(np.searchsorted(known, heads), len(known) - 1)] == heads
-        own = hit[np.cumsum(new) - 1]
-        at, doc, digit = at[own], doc[own], digit[own]
+        place = np.minimum(np.searchsorted(known, digit[new]), len(known) - 1)
+        own = (known[place] == digit[new])[np.cumsum(new) - 1]
+        warm = hot[place][np.cumsum(new) - 1]
+        at, doc, digit, warm = at[own], doc[own], digit[own], warm[own]
         ids = batch.ids[doc]
         local = first_owner(batch.data, at, ids, window) < ids
         if local.any():
-            out.append((-1 - number, number, pack(*merged(at[local], at[local] + window))))
-        at, doc, digit = at[~local], doc[~local], digit[~local]
+            out.append((-1 - number, -1, number, pack(*merged(at[local], at[local] + window))))
+        at, doc, digit, warm = at[~local], doc[~local], digit[~local], warm[~local]
         if not len(at):
             continue
         begins = runs(at - np.arange(len(at)), digit, doc)
         counts = np.diff(np.append(begins, len(at)))
-        starts, owner, digit = at[begins], batch.ids[doc[begins]], digit[begins]
-        bucket = (digit >> np.uint64(64 - bits)).astype(np.int64)
+        starts, owner, digit, warm = at[begins], batch.ids[doc[begins]], digit[begins], warm[begins]
+        key = ((digit >> np.uint64(64 - bits)) << np.uint64(1)).astype(np.int64) | warm
         part = (digit % np.uint64(PARTS)).astype(np.uint8)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-        for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
-            if j > i:
-                own = order[i:j]
-                s, c = starts[own], counts[own]
-                size = c + window - 1
-                take = np.repeat(s - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                out.append((b, number, pack(owner[own], s.astype(np.int32 if len(batch.data) < 1 << 31 else np.int64), c.astype(np.int32), part[own], batch.data[take], level=3)))
-    return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "batch": pa.array([x[1] for x in out], pa.int64()), "block": pa.array([x[2] for x in out], pa.binary())})
+        order = np.argsort(key, kind="stable")
+        cuts = np.append(runs(key[order]), len(order))
+        salt = int(mix(np.array([number], np.uint64))[0] % np.uint64(salts))
+        for i, j in zip(cuts, cuts[1:]):
+            own = order[i:j]
+            bucket, is_hot = divmod(int(key[own[0]]), 2)
+            out.append((bucket, salt if is_hot else -1, number, _run_block(batch.data, starts[own], owner[own], starts[own], counts[own], part[own], window)))
+    return _table(out)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray, touching: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -197,10 +219,12 @@ def merged(starts: np.ndarray, ends: np.ndarray, touching: bool = False) -> tupl
     return starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]
 
 
-def _removed_rows(table: pa.Table, window: int) -> pa.Table:
-    """(batch, block): the spans of each batch whose windows a smaller id has."""
-    if table.column("bucket")[0].as_py() < 0:
-        return table.select(["batch", "block"])
+def _settled(table: pa.Table, window: int) -> pa.Table:
+    """(bucket, salt, batch, block): the spans of each batch whose windows a smaller id has here (bucket -1), and
+    where only some batches met, the windows left, which go on to their bucket."""
+    bucket, salt = table.column("bucket")[0].as_py(), table.column("salt")[0].as_py()
+    if bucket < 0:
+        return _table([(-1, -1, n, b.as_py()) for n, b in zip(table.column("batch").to_pylist(), table.column("block"))])
     parts = [unpack(b.as_py()) for b in table.column("block")]
     numbers, out = table.column("batch").to_pylist(), []
     for k in range(PARTS):  # equal windows are in the same part
@@ -210,17 +234,27 @@ def _removed_rows(table: pa.Table, window: int) -> pa.Table:
             continue
         data = np.concatenate([p[4][np.repeat(own, p[2] + window - 1)] for p, own in zip(parts, chosen)])
         batch = np.repeat(np.arange(len(parts)), [int(own.sum()) for own in chosen])
-        starts, counts = starts.astype(np.int64), counts.astype(np.int64)
+        counts = counts.astype(np.int64)
         size = counts + window - 1
         base = np.cumsum(size) - size
         step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        ids = np.repeat(owner, counts)
-        gone = first_owner(data, np.repeat(base, counts) + step, ids, window) < ids
-        place, batch = (np.repeat(starts, counts) + step)[gone], np.repeat(batch, counts)[gone]
-        begins = np.append(runs(batch), len(batch))
+        ids, at, place = np.repeat(owner, counts), np.repeat(base, counts) + step, np.repeat(starts, counts) + step
+        run, of = np.repeat(np.arange(len(counts)), counts), np.repeat(batch, counts)
+        gone = first_owner(data, at, ids, window) < ids
+        begins = np.append(runs(of[gone]), int(gone.sum()))
         for i, j in zip(begins, begins[1:]):
-            out.append((numbers[batch[i]], pack(*merged(place[i:j], place[i:j] + window))))
-    return pa.table({"batch": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([x[1] for x in out], pa.binary())})
+            own = place[gone][i:j]
+            out.append((-1, -1, numbers[of[gone][i]], pack(*merged(own, own + window))))
+        if salt < 0 or gone.all():
+            continue
+        ids, at, place, run, of = (x[~gone] for x in (ids, at, place, run, of))
+        begins = runs(at - np.arange(len(at)), run)
+        length = np.diff(np.append(begins, len(at)))
+        cuts = np.append(runs(of[begins]), len(begins))
+        for i, j in zip(cuts, cuts[1:]):
+            own = begins[i:j]
+            out.append((bucket, -1, numbers[of[own[0]]], _run_block(data, at[own], ids[own], place[own], length[i:j], np.full(j - i, k, np.uint8), window)))
+    return _table(out)
 
 
 def _kept_rows(texts: pa.Table, removed: pa.Table) -> pa.Table:
@@ -246,7 +280,7 @@ def _kept_rows(texts: pa.Table, removed: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K, batch_bytes: int = BATCH_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K, batch_bytes: int = BATCH_BYTES, key: str = "doc_id", text: str = "text", met_batches: int = MET_BATCHES) -> DataFrame:
     """(doc_id, kept, spans): the bytes left of each text, and the removed spans of bytes.
 
     A byte goes if a string of `window` bytes that covers it also starts in a document with a smaller id."""
@@ -260,10 +294,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K, batch_by
         for b in batches:
             yield from _digit_rows(pa.Table.from_batches([b]), window, k, bits).to_batches()
 
-    shared = map_arrow(texts.select("batch", "docs"), digits, blocks).groupBy("bucket").applyInArrow(tidy(_shared_digits), "batch bigint, block binary")
+    shared = map_arrow(texts.select("batch", "docs"), digits, blocks).groupBy("bucket").applyInArrow(tidy(lambda t: _shared_digits(t, met_batches)), "batch bigint, block binary")
     by_batch = texts.select("batch", "docs").groupBy("batch")
-    windows = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(tidy(lambda t, s: _window_rows(t, s, window, k, bits)), "bucket bigint, batch bigint, block binary")
-    removed = windows.groupBy("bucket").applyInArrow(tidy(lambda t: _removed_rows(t, window)), "batch bigint, block binary")
+    salts = -(-texts.count() // met_batches) or 1
+    rows = "bucket bigint, salt int, batch bigint, block binary"
+    windows = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(tidy(lambda t, s: _window_rows(t, s, window, k, bits, salts)), rows)
+    once = stage_table(windows.groupBy("bucket", "salt").applyInArrow(tidy(lambda t: _settled(t, window)), rows), "windows")
+    twice = once.where("bucket >= 0").groupBy("bucket").applyInArrow(tidy(lambda t: _settled(t, window)), rows)
+    removed = once.where("bucket < 0").unionByName(twice).select("batch", "block")
     return by_batch.cogroup(removed.groupBy("batch")).applyInArrow(tidy(_kept_rows), "doc_id bigint, kept binary, spans array<struct<start:bigint,end:bigint>>")
 
 

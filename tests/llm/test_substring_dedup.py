@@ -45,10 +45,24 @@ def result(df):
 
 
 def test_against_brute_force(spark):
-    for seed, size in ((1, 300), (2, 4000)):
+    for seed, size, met in ((1, 300, 2), (2, 4000, 16)):
         rows = made(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-        assert result(S.dedup_substrings(docs, batch_bytes=size)) == brute(rows)
+        assert result(S.dedup_substrings(docs, batch_bytes=size, met_batches=met)) == brute(rows)
+
+
+def test_query_columns(spark, tmp_path):
+    rows = made(3)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = S.op2_substring_dedup(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
+def test_long_texts(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    rows = [(1, "".join(rng.choice("abcdefgh ") for _ in range(150_000)) + passage), (2, passage + "x"), (3, "y" * 100_000)]
+    assert result(S.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), batch_bytes=2000)) == brute(rows)
 
 
 def test_empty_and_missing_ids(spark):
