@@ -158,25 +158,24 @@ def differing(lines: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return met.groupBy(*keys).agg(F.sum(F.size("line")).cast("bigint").alias("n"), F.sum(n).cast("bigint").alias("differing"))
 
 
-def unpacked(rows: DataFrame, keys: list[str], bits: int, big_endian: bool = True, data: str = "data") -> DataFrame:
+def unpacked(rows: DataFrame, keys: list[str], data: str, bits: Column, big_endian: Column) -> DataFrame:
     """(keys, line): samples of 8 to 16 bits from packed bytes, the first bit the highest; 16-bit ones in the file's order.
 
-    A last sample that isn't whole is left out."""
-    if not 8 <= bits <= 16:
-        raise ValueError("8 to 16 bits")
+    A last sample that isn't whole is left out; other depths give no samples."""
 
-    def samples(raw: bytes) -> np.ndarray:
-        if bits in (8, 16):
-            kind = "u1" if bits == 8 else ">u2" if big_endian else "<u2"
-            return np.frombuffer(raw, kind, len(raw) * 8 // bits)
+    def samples(raw: bytes, depth: int, big: bool) -> np.ndarray:
+        if depth in (8, 16):
+            return np.frombuffer(raw, "u1" if depth == 8 else ">u2" if big else "<u2", len(raw) * 8 // depth)
+        if not 8 < depth < 16:
+            return np.empty(0, np.int32)
         each = np.unpackbits(np.frombuffer(raw, np.uint8))
-        each = each[: len(each) // bits * bits].reshape(-1, bits)
-        return each @ (1 << np.arange(bits - 1, -1, -1))
+        return each[: len(each) // depth * depth].reshape(-1, depth) @ (1 << np.arange(depth - 1, -1, -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(keys)
         for b in batches:
-            lines = pa.array([samples(x.as_py() or b"").astype(np.int32) for x in b.column(len(keys))], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], lines], [*keys, "line"])
+            found = [samples(x.as_py() or b"", depth or 0, bool(big)).astype(np.int32) for x, depth, big in zip(b.column(n), b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, pa.list_(pa.int32()))], [*keys, "line"])
 
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*keys, data).mapInArrow(run, f"{kinds}, line array<int>")
+    return rows.select(*keys, F.col(data).alias("_d"), bits.cast("int").alias("_b"), big_endian.alias("_e")).mapInArrow(run, f"{kinds}, line array<int>")

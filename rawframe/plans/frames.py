@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import colour, frames, rules
-from ..operators import archive, directories, lenses, lines
+from ..operators import archive, checks, directories, lenses, lines
 from ..operators import tables as small
+from ..sources import catalog
 from .catalogue import PICTURES as _PICTURES
 from .catalogue import QUERIES, _noisy, picture_lines, query, table, with_plane
 
@@ -474,3 +475,58 @@ def lens_gains(spark, sf_dir):
     own, _, gain = _lenses(spark, sf_dir)
     fits = lenses.gain_fits(lenses.sampled(own, gain, ["lens"]), ["lens"])
     return fits.select("lens", *[F.round(f"c{k}", 3).alias(f"c{k}") for k in range(5)], F.round("error", 3).alias("error"), "sound")
+
+
+# Files
+
+
+def _little(v):
+    return F.hex(frames.swapped(F.unhex(F.lpad(F.hex(v.cast("bigint")), 8, "0")), F.lit(4)))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_custkey FROM orders) SELECT CAST(o_orderkey AS VARCHAR) AS path, 0 AS ifd, 'main' AS kind, 256 AS tag, o_orderkey AS number FROM o UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 0, 'main', 34665, 38 FROM o
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 1, 'exif', 33434, o_custkey FROM o"""
+)
+def directory_entries(spark, sf_dir):
+    """Every order as a small file: a directory with a number and a pointer, and the directory behind it."""
+    entry = lambda tag, v: F.concat(F.lit(f"{tag & 255:02X}{tag >> 8:02X}040001000000"), v)
+    head = F.concat(F.lit("49492A00080000000200"), entry(256, _little(F.col("o_orderkey"))), entry(34665, F.lit("26000000")), F.lit("00000000"))
+    content = F.unhex(F.concat(head, F.lit("0100"), entry(33434, _little(F.col("o_custkey"))), F.lit("00000000")))
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), content.alias("content"))
+    return directories.with_numbers(catalog.ifd_entries(files)).select("path", "ifd", "kind", "tag", "number")
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT '/d/' || page_id || '.v' || page_id % 3 || '.nef' AS path, page_id FROM pages), s AS (SELECT *, regexp_replace(path, '\.[^./]*$', '') AS stem FROM p),
+l AS (SELECT stem || '.xmp' AS f FROM s WHERE page_id % 3 = 0 UNION SELECT stem || '.XMP' FROM s WHERE page_id % 4 = 0 UNION SELECT path || '.xmp' FROM s WHERE page_id % 5 = 0 UNION SELECT path || '.XMP' FROM s WHERE page_id % 7 = 0)
+SELECT path, CASE WHEN stem || '.xmp' IN (SELECT f FROM l) THEN stem || '.xmp' WHEN stem || '.XMP' IN (SELECT f FROM l) THEN stem || '.XMP' WHEN path || '.xmp' IN (SELECT f FROM l) THEN path || '.xmp' WHEN path || '.XMP' IN (SELECT f FROM l) THEN path || '.XMP' END AS sidecar FROM s"""
+)
+def sidecar_lookup(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/d/"), F.col("page_id").cast("string"), F.lit(".v"), (F.col("page_id") % 3).cast("string"), F.lit(".nef")).alias("path")).distinct()
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    names = [(3, F.concat(stem, F.lit(".xmp"))), (4, F.concat(stem, F.lit(".XMP"))), (5, F.concat("path", F.lit(".xmp"))), (7, F.concat("path", F.lit(".XMP")))]
+    listing = p.select(F.explode(F.array_compact(F.array(*[F.when(F.col("page_id") % n == 0, name) for n, name in names]))).alias("path"))
+    return catalog.sidecars(listing, p.select("path"))
+
+
+@query(
+    with_plane(f""", {_PICTURES}, t AS (SELECT DISTINCT image FROM pics)
+SELECT CAST(image AS VARCHAR) AS path, CASE image % 3 WHEN 0 THEN 'intact' WHEN 1 THEN 'damaged' ELSE 'unverified' END AS outcome,
+CASE image % 3 WHEN 0 THEN 'intact (raw image)' WHEN 1 THEN 'DAMAGED: the raw image data does not match its checksum' ELSE 'not verified: the file carries no checksum of its raw data' END AS "text", CASE WHEN image % 3 = 2 THEN 'new' END AS addable FROM t""")
+)
+def file_check(spark, sf_dir):
+    """Every picture as a file of one strip with the digest of its samples, of others, or without one."""
+    own = picture_lines(spark, sf_dir)
+    digest = lines.image_digests(own, ["image"]).select("image", "digest")
+    rows = own.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("y", lines.sample_bytes(F.col("line")).alias("h")))).alias("p"), F.max("y").alias("last"), F.max(F.size("line")).alias("w"))
+    rows = rows.join(digest, "image").select("image", F.array_join("p.h", "").alias("data"), (F.col("last") + 1).alias("h"), "w", "digest")
+    kept = F.when(F.col("image") % 3 == 0, F.col("digest")).otherwise(F.md5("digest"))
+    entry = lambda tag, kind, n, v: F.concat(F.lit(f"{tag & 255:02X}{tag >> 8:02X}{kind:02X}00{n:02X}000000"), v)
+    number = lambda tag, v: entry(tag, 4, 1, _little(v if not isinstance(v, int) else F.lit(v)))
+    # Nine entries end at byte 122; the digest is there, and the samples behind it.
+    tags = [number(254, 0), number(256, F.col("w")), number(257, F.col("h")), number(258, 16), number(273, 138), number(278, F.col("h")), number(279, F.col("w") * F.col("h") * 2), entry(50706, 1, 4, F.lit("01040000"))]
+    tags.append(F.when(F.col("image") % 3 == 2, number(50000, 1)).otherwise(entry(51111, 7, 16, F.lit("7A000000"))))
+    content = F.unhex(F.concat(F.lit("49492A00080000000900"), *tags, F.lit("00000000"), kept, F.col("data")))
+    files = rows.select(F.col("image").cast("string").alias("path"), content.alias("content")).withColumn("length", F.octet_length("content").cast("bigint"))
+    return checks.checked(files)

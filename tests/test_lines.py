@@ -66,11 +66,11 @@ def test_unpacking(spark, bits):
     text = "".join(f"{v:0{bits}b}" for v in values)
     raw = bytes(int(text[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(text), 8))
     rows = spark.createDataFrame([(1, raw), (2, None)], "k int, data binary")
-    got = dict(lines.unpacked(rows, ["k"], bits).collect())
+    got = dict(lines.unpacked(rows, ["k"], "data", F.lit(bits), F.lit(True)).collect())
     assert got[1][:37] == values and got[2] == []
     if bits == 16:
         little = spark.createDataFrame([(1, struct.pack("<3H", 1, 2, 65535))], "k int, data binary")
-        assert lines.unpacked(little, ["k"], 16, False).first()["line"] == [1, 2, 65535]
+        assert lines.unpacked(little, ["k"], "data", F.lit(16), F.lit(False)).first()["line"] == [1, 2, 65535]
 
 
 def test_ranges_and_bytes(spark):
