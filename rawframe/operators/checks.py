@@ -16,19 +16,26 @@ from ..sources import catalog
 from . import directories, lines
 
 # Numbers of tags, and what they say where they are missing.
-FACTS = {"planar": (284, 1), "sample_format": (339, 1), "fill_order": (266, 1), "compression": (259, 1), "row_factor": (50975, 1), "column_factor": (52547, 1), "version": (directories.DNG_VERSION, 0x0100)}
+FACTS = {"planar": (284, 1), "sample_format": (339, 1), "fill_order": (266, 1), "compression": (259, 1), "row_factor": (50975, 1), "column_factor": (52547, 1)}
+MAIN = ("new_digest", "old_digest", "version")
 
 
 def facts(entries: DataFrame) -> DataFrame:
-    """(path, is_dng, has_mask, digests, layout and storage of the raw image) of files' entries with numbers; a row a file."""
-    raws = directories.raw_directories(entries).join(directories.stored_digests(entries), "path", "left")
+    """(path, is_dng, has_mask, raw_ifd, digests, version, layout and storage of the raw image) of files' entries with numbers.
+
+    One aggregate a directory, then one a file: the first directory's digests and version, and all
+    of the first directory that is of the full-resolution kind and has a width."""
     value = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("number")))
-    stored = entries.groupBy("path", "ifd").agg(F.max("big_endian").alias("big_endian"), *[F.coalesce(value(t), F.lit(d)).alias(n) for n, (t, d) in FACTS.items() if n != "version"])
     # Versions are four bytes, the first two of which count.
-    two = F.conv(F.substring(F.hex("value"), 1, 4), 16, 10).cast("int")
-    versions = entries.where(f"ifd = 0 and tag = {directories.DNG_VERSION}").groupBy("path").agg(F.max(two).alias("version"))
-    layout = directories.layouts(entries).join(stored, ["path", "ifd"]).withColumnRenamed("ifd", "raw_ifd")
-    return raws.join(layout, ["path", "raw_ifd"], "left").join(versions, "path", "left")
+    version = F.max(F.when(F.col("tag") == directories.DNG_VERSION, F.conv(F.substring(F.hex("value"), 1, 4), 16, 10).cast("int")))
+    stored = [F.coalesce(value(t), F.lit(d)).alias(n) for n, (t, d) in FACTS.items()]
+    own = directories.layouts(entries, F.max("big_endian").alias("big_endian"), F.max("kind").alias("kind"), value(directories.NEW_SUBFILE).alias("subfile"), version.alias("version"), *directories.digest_values(), *stored)
+    image = F.col("kind").isin("main", "sub")
+    order = F.when(image & (F.col("subfile") == 0) & F.col("width").isNotNull(), F.col("ifd"))
+    raw = F.struct(*[c for c in own.columns if c not in ("path", "kind", "subfile", "original_digest", *MAIN)])
+    first = lambda c: F.max(F.when(F.col("ifd") == 0, F.col(c))).alias(c)
+    met = own.groupBy("path").agg(F.min_by(raw, order).alias("raw"), F.coalesce(F.max(image & (F.col("subfile") == 4)), F.lit(False)).alias("has_mask"), *map(first, MAIN))
+    return met.select("path", F.col("version").isNotNull().alias("is_dng"), "has_mask", *MAIN, "raw.*").withColumnRenamed("ifd", "raw_ifd")
 
 
 def raw_lines(files: DataFrame, found: DataFrame) -> DataFrame:
@@ -48,9 +55,10 @@ def checked(files: DataFrame) -> DataFrame:
     """(path, outcome, text, addable) of files (path, length, content).
 
     Images of several planes or with coders of their own aren't looked into: they are not verified,
-    with the reason. Embedded originals aren't either."""
+    with the reason. Embedded originals aren't either. Directories are parsed once: what they say, a
+    row a file, is persisted, and spark.catalog.clearCache() lets it go."""
     entries = directories.with_numbers(catalog.ifd_entries(files.select("path", "content")))
-    found = facts(entries)
+    found = facts(entries).persist()
     c = F.col
     reasons = frames.layout_reasons(c("bits"), c("planes"), c("planar"), c("sample_format"), c("fill_order"), c("compression"), c("row_factor"), c("column_factor"), c("width"), c("height"))
     # The reasons' texts.

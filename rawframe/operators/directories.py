@@ -72,20 +72,29 @@ def raw_directories(entries: DataFrame) -> DataFrame:
 
 def stored_digests(entries: DataFrame) -> DataFrame:
     """(path, new_digest, old_digest, original_digest) of the first directories: 16 bytes of type 1 or 7, or null."""
+    return entries.where("ifd = 0").groupBy("path").agg(*digest_values())
+
+
+def digest_values() -> list[Column]:
+    """The aggregates of stored_digests."""
     good = (F.col("count") == 16) & F.col("type").isin(1, 7) & (F.octet_length("value") == 16)
     value = lambda tag: F.max(F.when((F.col("tag") == tag) & good, F.lower(F.hex("value"))))
-    return entries.where("ifd = 0").groupBy("path").agg(value(NEW_DIGEST).alias("new_digest"), value(OLD_DIGEST).alias("old_digest"), value(ORIGINAL_DIGEST).alias("original_digest"))
+    return [value(NEW_DIGEST).alias("new_digest"), value(OLD_DIGEST).alias("old_digest"), value(ORIGINAL_DIGEST).alias("original_digest")]
+
 
+def layouts(entries: DataFrame, *more: Column) -> DataFrame:
+    """(path, ifd, width, height, planes, bits, chunk_width, chunk_rows, across, down, offsets, counts, reason) of directories with an image, from entries with `numbers`.
 
-def layouts(entries: DataFrame) -> DataFrame:
-    """(path, ifd, width, height, planes, bits, chunk_width, chunk_rows, across, down, offsets, counts, reason) of directories with an image, from entries with `numbers`."""
+    With more, which are aggregates of a directory, all directories come, and these too."""
     first = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("number")))
     every = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("numbers")))
     names = {"width": WIDTH, "height": HEIGHT, "planes": SAMPLES, "bits": BITS, "rows": ROWS_PER_STRIP, "tile_w": TILE_WIDTH, "tile_h": TILE_HEIGHT}
     tables = {"tile_at": TILE_OFFSETS, "tile_bytes": TILE_BYTES, "strip_at": STRIP_OFFSETS, "strip_bytes": STRIP_BYTES}
-    found = entries.groupBy("path", "ifd").agg(*[first(t).alias(n) for n, t in names.items()], *[every(t).alias(n) for n, t in tables.items()], F.max(F.col("tag") == TILE_OFFSETS).alias("tiled"))
+    found = entries.groupBy("path", "ifd").agg(*[first(t).alias(n) for n, t in names.items()], *[every(t).alias(n) for n, t in tables.items()], F.max(F.col("tag") == TILE_OFFSETS).alias("tiled"), *more)
     c = F.col
-    found = found.where("width is not null or height is not null").select(
+    others = [x for x in found.columns if x not in ("path", "ifd", "tiled", *names, *tables)]
+    found = found.where(F.lit(bool(more)) | c("width").isNotNull() | c("height").isNotNull()).select(
+        *others,
         "path",
         "ifd",
         "width",
