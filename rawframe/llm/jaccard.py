@@ -356,6 +356,7 @@ def linked_pairs(grams: np.ndarray, first: np.ndarray, percent: int, split: int
     The inverted lists of the sets are scanned: a list adds one to each pair it holds."""
     size = np.diff(first)
     m = len(size)
+    left, right = (m, 0) if split is None else (split, split)
     owner = np.repeat(np.arange(m), size)
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
@@ -364,39 +365,38 @@ def linked_pairs(grams: np.ndarray, first: np.ndarray, percent: int, split: int
     several = length > 1
     owner, length = owner[np.repeat(several, length)], length[several]
     column = np.repeat(np.arange(len(length)), length)
-    common = np.zeros((m, m), np.float32)
-    for c in range(0, len(length), 2048):
-        i, j = np.searchsorted(column, (c, c + 2048))
+    common = np.zeros((left, m - right), np.float32)
+    for c in range(0, len(length), 1024):
+        i, j = np.searchsorted(column, (c, c + 1024))
         used, at = np.unique(owner[i:j], return_inverse=True)
-        held = np.zeros((len(used), 2048), np.float32)
+        held = np.zeros((len(used), 1024), np.float32)
         held[at, column[i:j] - c] = 1
-        common[np.ix_(used, used)] += held @ held.T
-    i, j = np.nonzero(np.triu(100 * common >= percent * (size[:, None] + size[None, :] - common), 1) & (common > 0))
-    if split is not None:
-        across = (i < split) & (j >= split)
-        i, j = i[across], j[across]
-    return i, j
+        rows, columns = used < left, used >= right
+        common[np.ix_(used[rows], used[columns] - right)] += held[rows] @ held[columns].T
+    found = []
+    for r in range(0, left, 128):  # some rows at a time, as sums of sizes take more room than the counts
+        own = common[r : r + 128]
+        both = (size[r : r + len(own), None] + size[None, right:]).astype(np.float32) - own
+        i, j = np.nonzero((own > 0) & (100 * own >= percent * both))
+        i, j = i + r, j + right
+        found.append(np.stack([i, j])[:, j > i].astype(np.int32))
+    return tuple(np.concatenate(found, axis=1)) if found else (np.empty(0, np.int32), np.empty(0, np.int32))
 
 
-def _family_links(rows: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int]]:
-    """(row, the least row it is connected to here, linked documents of other sets) from the linked pairs i, j."""
+def _family_links(rows: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, the least row it is connected to here, linked documents of other sets) from the linked pairs i, j; rows are sorted."""
     links = np.bincount(i, weights=copies[j], minlength=len(rows)) + np.bincount(j, weights=copies[i], minlength=len(rows))
-    root = list(range(len(rows)))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in zip(i.tolist(), j.tolist()):
-        a, b = top(a), top(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    least: dict[int, int] = {}
-    for x in np.argsort(rows, kind="stable").tolist():
-        least.setdefault(top(x), int(rows[x]))
-    return [(int(rows[x]), least[top(x)], int(links[x])) for x in np.flatnonzero(links).tolist()]
+    label = np.arange(len(rows))
+    while True:  # the least place that is reached, over links and over what is reached already
+        near = label.copy()
+        np.minimum.at(near, i, label[j])
+        np.minimum.at(near, j, label[i])
+        near = near[near]
+        if (near == label).all():
+            break
+        label = near
+    own = np.flatnonzero(links)
+    return rows[own], rows[label[own]], links[own].astype(np.int64)
 
 
 def _counted_families(table: pa.Table, percent: int) -> pa.Table:
@@ -411,8 +411,11 @@ def _counted_families(table: pa.Table, percent: int) -> pa.Table:
         own = [np.frombuffer(sets[int(k)].as_py(), np.uint64) for k in order[a:b]]
         first = np.cumsum([0, *map(len, own)])
         i, j = linked_pairs(np.concatenate(own), first, percent, int((block[a:b] == low).sum()) if low < high else None)
-        out += _family_links(row[a:b], copies[a:b], i, j)
-    return pa.table({name: pa.array([x[k] for x in out], pa.int64()) for k, name in enumerate(("row", "root", "links"))})
+        by_row = np.argsort(row[a:b], kind="stable")
+        place = np.empty(b - a, np.int64)
+        place[by_row] = np.arange(b - a)
+        out.append(_family_links(row[a:b][by_row], copies[a:b][by_row], place[i], place[j]))
+    return pa.table({name: pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k, name in enumerate(("row", "root", "links"))})
 
 
 def _last_ones(classes: DataFrame, percent: int, bits: int, long_list: int) -> tuple[Callable, float]:
