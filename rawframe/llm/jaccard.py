@@ -60,6 +60,8 @@ ROUNDS = 4
 #: Sets, and n-grams, that a task counts the pairs of at once.
 FAMILY_SETS = 1_000
 FAMILY_GRAMS = 1_000_000
+#: Sets that can't be in a family are sieved out by so many bits (as a power of two: four megabytes).
+SIEVE = 25
 #: N-grams of sets that a pass has in hand at a time.
 SLICE_GRAMS = 1 << 18
 _IN_WORD = byte_class(r"[^\x20\x09-\x0D]")
@@ -445,6 +447,29 @@ def _last_ones(classes: DataFrame, percent: int, bits: int, long_list: int) -> t
     return last, float(usual)
 
 
+def sieved(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of sets whose rep may be among those of wanted, by a filter of 2^SIEVE bits.
+
+    None that is wanted is lost. The filter's size is fixed: with very many wanted ones it lets more
+    through, and what it spares is only a part of the exchange that follows."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SIEVE))
+    words = wanted.select(bit("rep").alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    found = words.toPandas()
+    table = np.zeros(1 << (SIEVE - 6), np.int64)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    sent = shared(sets.sparkSession, table)
+    names = sets.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value.view(np.uint64)
+        for batch in batches:
+            b = batch.column(len(names)).to_numpy()
+            hit = (own[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(hit.astype(bool)))
+
+    return map_arrow(sets.select(*names, bit("rep").alias("_bit")), run, sets.schema)
+
+
 def _counted(members: DataFrame, percent: int, family_sets: int, tasks: int) -> DataFrame:
     """(row, root, links) from members (rep, family, copies, n, grams): the pairs of each family counted.
 
@@ -493,7 +518,9 @@ def set_groups(docs: DataFrame, width: int, percent: int, long_list: int, family
     edges = listed.groupBy("bucket").applyInArrow(tidy(lambda t: _list_edges(t, percent)), "a bigint, b bigint, met int, least int")
     edges = edges.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("least").alias("least")).where("met >= least").select("a", "b")
     families = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    members = classes.select("rep", "copies", "n", "grams").join(families, "rep")
+    families = stage_table(families, "families")
+    # By a merge at every size: nothing of it depends on what could be broadcast.
+    members = sieved(classes.select("rep", "copies", "n", "grams"), families).join(families.hint("merge"), "rep")
     links = stage_table(_counted(members, percent, family_sets, 4 << bits), "links")
     joined = components(links.select(F.col("row").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("row").agg(F.sum("links").alias("links"))
