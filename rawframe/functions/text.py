@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,16 +53,16 @@ def exif_time(at: Column) -> Column:
     return F.when(F.unix_timestamp(at) > 0, F.date_format(at, "yyyy:MM:dd HH:mm:ss")).otherwise("")
 
 
-def record_text(size: Column, digest: Column, sidecar_digest: Column | None = None) -> Column:
-    plain = F.concat(F.lit(RECORD_PREFIX), size.cast("string"), F.lit(", MD5 "), digest)
+def record_text(size: Column, digest: Column, sidecar_digest: Column | None = None, prefix: str = RECORD_PREFIX) -> Column:
+    plain = F.concat(F.lit(prefix), size.cast("string"), F.lit(", MD5 "), digest)
     if sidecar_digest is None:
         return plain
     return F.when(sidecar_digest.isNull(), plain).otherwise(F.concat(plain, F.lit(", sidecar MD5 "), sidecar_digest))
 
 
-def parsed_record(text: Column) -> Column:
-    """struct(present, size, digest, sidecar) of a record; anything else isn't one. NULs may follow."""
-    pattern = f"^{RECORD_PREFIX}([0-9]{{1,20}}), MD5 ([0-9a-f]{{32}})(?:, sidecar MD5 ([0-9a-f]{{32}}))?\\x00*$"
+def parsed_record(text: Column, prefix: str = RECORD_PREFIX) -> Column:
+    """struct(present, size, digest, sidecar) of a record that begins with the prefix; anything else isn't one. NULs may follow."""
+    pattern = f"^{re.escape(prefix)}([0-9]{{1,20}}), MD5 ([0-9a-f]{{32}})(?:, sidecar MD5 ([0-9a-f]{{32}}))?\\x00*$"
     part = lambda k: F.regexp_extract(text, pattern, k)
     size = F.nullif(part(1), F.lit("")).cast("decimal(20,0)")
     present = F.coalesce(size <= F.lit(str(MOST_SIZE)).cast("decimal(20,0)"), F.lit(False))

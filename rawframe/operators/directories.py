@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import frames, rules
+from ..functions.text import RECORD_PREFIX, parsed_record
 
 # Numbers of tags.
 NEW_SUBFILE, WIDTH, HEIGHT, BITS, COMPRESSION, SAMPLES = 254, 256, 257, 258, 259, 277
@@ -17,9 +18,10 @@ STRIP_OFFSETS, ROWS_PER_STRIP, STRIP_BYTES = 273, 278, 279
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 DNG_VERSION, CAMERA_MODEL, OLD_DIGEST, NEW_DIGEST, ORIGINAL_DIGEST = 50706, 50708, 50972, 51111, 50973
 MATRIX_1, MATRIX_2, MATRIX_3, FORWARD_1, PROFILE_NAME, HUE_DIMS, TONE_CURVE, POLICY, LOOK_DIMS = 50721, 50722, 52531, 50964, 50936, 50937, 50940, 50941, 50981
+SOURCE_RECORD, ORIGINAL_NAME, ORIGINAL_DATA = 65300, 50827, 50828
 ILLUMINANTS = (50778, 50779, 52529)
 # Limits of what is read.
-MOST_PIXELS, MOST_CHUNKS = 600_000_000, 1 << 20
+MOST_PIXELS, MOST_CHUNKS, MOST_RECORD = 600_000_000, 1 << 20, 256
 
 
 def numbers_of(value: Column, kind: Column, big_endian: Column) -> Column:
@@ -75,6 +77,26 @@ def stored_digests(entries: DataFrame) -> DataFrame:
     return entries.where("ifd = 0").groupBy("path").agg(*digest_values())
 
 
+def source_records(entries: DataFrame, prefix: str = RECORD_PREFIX) -> DataFrame:
+    """(path, present, size, digest, sidecar): the record of a file's source in its first directory; a text of at most 256 bytes."""
+    own = (F.col("tag") == SOURCE_RECORD) & (F.col("type") == 2) & (F.col("count") <= MOST_RECORD)
+    found = entries.where("ifd = 0").groupBy("path").agg(F.max(F.when(own, F.decode("value", "ISO-8859-1"))).alias("_t"))
+    return found.select("path", parsed_record(F.coalesce("_t", F.lit("")), prefix).alias("r")).select("path", "r.*")
+
+
+def originals(entries: DataFrame) -> DataFrame:
+    """(path, name, size, packed, verdict) of embedded originals: the size they unpack to, their packed
+    bytes, and whether these match the stored digest (absent, intact, damaged or unverified)."""
+    own = entries.where("ifd = 0").groupBy("path").agg(
+        F.max(F.when(F.col("tag") == ORIGINAL_NAME, text_of(F.col("value")))).alias("name"),
+        F.max(F.when(F.col("tag") == ORIGINAL_DATA, F.col("value"))).alias("packed"),
+        *digest_values(),
+    )
+    size = F.conv(F.hex(F.substring("packed", 1, 4)), 16, 10).cast("bigint")
+    verdict = F.when(F.col("packed").isNull(), "absent").when(F.col("original_digest").isNull(), "unverified").when(F.md5("packed") == F.col("original_digest"), "intact").otherwise("damaged")
+    return own.select("path", "name", F.when(F.octet_length("packed") >= 4, size).alias("size"), "packed", verdict.alias("verdict"))
+
+
 def digest_values() -> list[Column]:
     """The aggregates of stored_digests."""
     good = (F.col("count") == 16) & F.col("type").isin(1, 7) & (F.octet_length("value") == 16)

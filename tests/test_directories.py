@@ -181,3 +181,17 @@ def test_files_are_checked(spark):
     assert got["wrong"][0] == "damaged" and got["without"] == ("unverified", "not verified: the file carries no checksum of its raw data", "new")
     assert got["cut"][1] == "DAMAGED: 3 bytes are missing at the end" and got["packed"][1] == "not verified: cannot check: Deflate compression"
     assert got["zero"][0] == "damaged" and got["other"][1] == "DAMAGED: not a DNG file"
+
+
+def test_records_and_originals(spark):
+    packed = struct.pack(">I", 1234) + b"streams"
+    record = b"Other 1: size 77, MD5 " + b"a" * 32 + b"\0"
+    text = lambda tag, v: (tag, 2, len(v), v)
+    data = (50828, 7, len(packed), packed)
+    digest = lambda v: (50973, 1, 16, v)
+    files = {"ok": tiff([[text(50827, b"a.raw\0"), data, digest(hashlib.md5(packed).digest()), text(65300, record)]]), "bad": tiff([[data, digest(b"z" * 16)]]), "open": tiff([[data]]), "none": tiff([[text(65300, b"x" * 300)]])}
+    entries = read(spark, **files)
+    got = {r["path"]: (r["name"], r["size"], r["verdict"]) for r in directories.originals(entries).collect()}
+    assert got == {"ok": ("a.raw", 1234, "intact"), "bad": (None, 1234, "damaged"), "open": (None, 1234, "unverified"), "none": (None, None, "absent")}
+    records = {r["path"]: (r["present"], r["size"], r["digest"]) for r in directories.source_records(entries, "Other 1: size ").collect()}
+    assert records["ok"] == (True, 77, "a" * 32) and not any(records[p][0] for p in ("bad", "open", "none"))
