@@ -470,12 +470,11 @@ def sieved(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(sets.select(*names, bit("rep").alias("_bit")), run, sets.schema)
 
 
-def _counted(members: DataFrame, percent: int, family_sets: int, tasks: int) -> DataFrame:
-    """(row, root, links) from members (rep, family, copies, n, grams): the pairs of each family counted.
+def _counted(slim: DataFrame, sets: DataFrame, percent: int, family_sets: int, tasks: int) -> DataFrame:
+    """(row, root, links) from slim (rep, family, copies, n) and the sets (rep, grams): the pairs of each family counted.
 
     Small families share tasks, whose numbers are negative. A large one is dealt into blocks: by
     classes of sizes, of which only neighbours hold links, and by numbers of sets in each class."""
-    slim = members.drop("grams")
     size_class = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("bigint")
     too_many = F.greatest(F.ceil(F.col("sets") / family_sets), F.ceil(F.col("all_grams") / FAMILY_GRAMS)).cast("bigint")
     sums = (F.count("*").alias("sets"), F.sum("n").alias("all_grams"))
@@ -484,7 +483,10 @@ def _counted(members: DataFrame, percent: int, family_sets: int, tasks: int) ->
     near = blocks
     for step, name in ((-1, "before"), (1, "after")):
         near = near.join(blocks.select("family", (F.col("class") - step).alias("class"), F.col("blocks").alias(name)), ["family", "class"], "left")
-    placed = members.withColumn("class", size_class).join(near, ["family", "class"], "left")
+    # Where each set goes is settled without the n-grams; they travel once to meet it, then to the tasks.
+    placed = stage_table(slim.withColumn("class", size_class).join(near, ["family", "class"], "left"), "placed")
+    # By a merge at every size: nothing of it depends on what could be broadcast.
+    placed = sieved(sets, placed).join(placed.hint("merge"), "rep")
     code = lambda c, k: c * (1 << 32) + k
     own = code(F.col("class"), F.pmod(F.xxhash64("rep"), F.col("blocks")))
     others = lambda c, n: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1), lambda k: code(c, k))).otherwise(F.array().cast("array<bigint>"))
@@ -518,10 +520,8 @@ def set_groups(docs: DataFrame, width: int, percent: int, long_list: int, family
     edges = listed.groupBy("bucket").applyInArrow(tidy(lambda t: _list_edges(t, percent)), "a bigint, b bigint, met int, least int")
     edges = edges.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("least").alias("least")).where("met >= least").select("a", "b")
     families = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    families = stage_table(families, "families")
-    # By a merge at every size: nothing of it depends on what could be broadcast.
-    members = sieved(classes.select("rep", "copies", "n", "grams"), families).join(families.hint("merge"), "rep")
-    links = stage_table(_counted(members, percent, family_sets, 4 << bits), "links")
+    members = stage_table(families.join(slim.select("rep", "copies", "n"), "rep"), "members")
+    links = stage_table(_counted(members, classes.select("rep", "grams"), percent, family_sets, 4 << bits), "links")
     joined = components(links.select(F.col("row").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("row").agg(F.sum("links").alias("links"))
     grouped = slim.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").join(counts.select(F.col("row").alias("rep"), "links"), "rep", "left")
