@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .align import op13_alignment
 from .bpe import op3_bpe
 from .decontaminate import op7_decontaminate
+from .divergence import OP12_SQL, op12_divergence
 from .hilbert import op1_hilbert_shard
 from .jaccard import op10_jaccard
 from .language import op8_language
@@ -16,6 +18,7 @@ from .quality import op4_quality
 from .secrets import op5_secrets
 from .substring_dedup import op2_substring_dedup
 from .topk import OP6_SQL, op6_topk
+from .url_filter import op11_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shard": op1_hilbert_shard,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard": op10_jaccard,
+    "op11_url_filter": op11_url_filter,
+    "op12_divergence": op12_divergence,
+    "op13_alignment": op13_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_topk": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_topk": OP6_SQL, "op12_divergence": OP12_SQL}
