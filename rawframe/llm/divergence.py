@@ -18,9 +18,8 @@ rows; other columns aren't looked at. A text is held whole in its task, and Duck
 
 from __future__ import annotations
 
-import re
 import tempfile
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,36 +35,44 @@ LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
 #: Distinct (language, source, term) a task holds before it hands its counts on.
-COUNTED_TERMS = 200_000
+COUNTED_TERMS = 400_000
 #: A shard gets about so many counts.
 SHARD_COUNTS = 500_000
 #: Memory of a shard's DuckDB; beyond it spills.
 SHARD_MEMORY = "400MB"
 
-TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: What each byte of a text counts as: capitals as small letters, bytes of terms as themselves, all others as a space.
+_AS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def terms_of(text: bytes) -> list[bytes]:
+    """The terms of a text in UTF-8: runs of ASCII letters and of what isn't ASCII, only A to Z lower-cased."""
+    return text.translate(_AS).split()
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs) of parts of docs: occurrences, and documents that have the term."""
-    filled = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
+    """(lang, source, term, n, docs) of parts of docs: occurrences in a group, and documents of the
+    language that have the term, which stand in the row of any one of its groups."""
+    filled = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        has: dict[str, Counter] = defaultdict(Counter)
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, has) in counts.items():
-                columns = [[lang] * len(n), [source] * len(n), list(n), list(n.values()), [has[t] for t in n]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(),) * 3 + (pa.int64(),) * 2)], ["lang", "source", "term", "n", "docs"])
+            for (lang, source), n in counts.items():
+                docs = [has[lang].pop(t, 0) for t in n]
+                columns = [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array(docs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
             counts.clear()
+            has.clear()
 
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                own = Counter(TERM.findall(text.translate(_LOWER) if not text.isascii() else text.lower()))
-                n, has = counts.setdefault((lang, source), (Counter(), Counter()))
-                n.update(own)
-                has.update(own.keys())
-            if sum(len(n) for n, _ in counts.values()) >= COUNTED_TERMS:
+                terms = terms_of(text)
+                counts[lang, source].update(terms)
+                has[lang].update(set(terms))
+            if sum(map(len, counts.values())) >= COUNTED_TERMS:
                 yield from out()
         yield from out()
 
