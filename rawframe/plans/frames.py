@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import colour, frames, rules
-from ..operators import archive, checks, directories, lenses, lines
+from ..functions import binary, colour, frames, rules
+from ..operators import archive, checks, directories, lenses, lines, warps
 from ..operators import tables as small
 from ..sources import catalog
 from .catalogue import PICTURES as _PICTURES
@@ -454,27 +454,132 @@ def versions_and_ids(spark, sf_dir):
 # Lenses
 
 
+_KNOTS = 121
+_SHAPES = {"distortion": "0.98 + a * x - b * x * x", "red": "(a - 0.03) * r / 40", "blue": "(b - 0.01) * x / 30", "vignetting": "1 + 0.5 * x + a * x * x"}
+
+
 def _lenses(spark, sf_dir):
+    """A lens a supplier; every third has one plane only, every fourth has its centre beside the middle."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("lens"))
-    own = s.select("lens", F.lit(10.0).alias("left"), F.lit(8.0).alias("top"), F.lit(6000.0).alias("width"), F.lit(4000.0).alias("height"), F.lit(6024.0).alias("active_width"), F.lit(4016.0).alias("active_height"))
-    a, b = F.col("lens") % 7 / 100.0, F.col("lens") % 5 / 200.0
-    knots = s.select("lens", F.explode(F.sequence(F.lit(0), F.lit(120))).alias("k")).withColumn("radius", F.col("k") / 100.0)
-    x = F.col("radius") * F.col("radius")
-    return lenses.geometry(own), knots.select("lens", "radius", (0.98 + a * x - b * x * x).alias("value")), knots.select("lens", "radius", (1.0 + 0.5 * x + a * x * x).alias("value"))
+    off = F.when(F.col("lens") % 4 == 0, 10.0).otherwise(0.0)
+    sizes = {"left": off, "top": off * 2, "width": F.lit(6000.0), "height": F.lit(4000.0), "active_width": off + 6000.0, "active_height": off * 3 + 4000.0, "planes": F.when(F.col("lens") % 3 == 0, 1).otherwise(3)}
+    flags = {"square": True, "distortion_enabled": True, "ca_enabled": True, "vignetting_enabled": True, "vignetting_in_data": False, "fit_frame": False}
+    own = s.select("lens", *[v.alias(k) for k, v in sizes.items()], *[F.lit(v).alias(k) for k, v in flags.items()])
+    at = s.select("lens", (F.col("lens") % 7 / 100.0).alias("a"), (F.col("lens") % 5 / 200.0).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(_KNOTS - 1))).alias("k")).withColumn("r", F.col("k") / 100.0).withColumn("x", F.col("r") * F.col("r"))
+    value = F.create_map(*[v for c, e in _SHAPES.items() for v in (F.lit(c), F.expr(e).cast("double"))])
+    return own, at.select("lens", F.explode(value).alias("curve", "value"), F.col("r").alias("radius"))
+
+
+_LENS_SQL = f"""l AS (SELECT s_suppkey AS lens, s_suppkey % 7 / 100.0::DOUBLE AS a, s_suppkey % 5 / 200.0::DOUBLE AS b, CASE WHEN s_suppkey % 4 = 0 THEN 10.0::DOUBLE ELSE 0 END AS o, s_suppkey % 3 <> 0 AS colour FROM supplier),
+g AS (SELECT *, sqrt((o + 3000) ** 2 + (o * 2 + 2000) ** 2) AS unit, sqrt(6000.0 ** 2 + 4000.0 ** 2) / 2 AS half FROM l),
+c AS (SELECT lens, k / 100.0::DOUBLE AS r, {", ".join(e.replace("x", "(k / 100.0::DOUBLE) ** 2").replace("r ", "(k / 100.0::DOUBLE) ") + f" AS {c}" for c, e in _SHAPES.items())} FROM l, range({_KNOTS}) t(k)),
+e AS (SELECT c.*, {", ".join(f"lead({v}) OVER w AS {v}1" for v in ("r", *_SHAPES))} FROM c WINDOW w AS (PARTITION BY lens ORDER BY r)),
+n AS (SELECT lens, CASE WHEN r = 0 THEN -1e9 ELSE r END AS low, * EXCLUDE (lens) FROM e WHERE r1 IS NOT NULL),
+i AS (SELECT lens, colour, unit, half / unit AS edge, (i + 0.5) / 512 AS r, (i + 0.5) / 512 * unit / half AS place, i FROM g, range(512) t(i))"""
+
+
+def _between(curve, at, t="n"):
+    return f"({t}.{curve} + ({at} - {t}.r) * ({t}.{curve}1 - {t}.{curve}) / ({t}.r1 - {t}.r))"
+
+
+def _solve_sql(keys, source, degree, first):
+    """CTEs m0..: moments of (x, y, w) by keys, and the elimination of one unknown after the other; s has the solution c0, c1, ..."""
+    n = degree + 1
+    cells = [f"sum(w * x ** {2 * first + i + j}) AS a{i}{j}" for i in range(n) for j in range(i, n)] + [f"sum(w * y * x ** {first + i}) AS a{i}{n}" for i in range(n)]
+    out = [f"m0 AS (SELECT {keys}, {', '.join(cells)} FROM {source} GROUP BY {keys})"]
+    for k in range(degree):
+        changed = [f"a{i}{j} - a{k}{i} * a{k}{j} / a{k}{k} AS a{i}{j}" for i in range(k + 1, n) for j in range(i, n + 1)]
+        out.append(f"m{k + 1} AS (SELECT * REPLACE ({', '.join(changed)}) FROM m{k})")
+    last = f"m{degree}"
+    for k in reversed(range(n)):
+        rest = "".join(f" - a{k}{j} * c{j}" for j in range(k + 1, n))
+        out.append(f"b{k} AS (SELECT *, (a{k}{n}{rest}) / a{k}{k} AS c{k} FROM {last})")
+        last = f"b{k}"
+    return ", ".join(out)
+
+
+def _at_sql(degree, x="x"):
+    out = f"c{degree}"
+    for k in reversed(range(degree)):
+        out = f"({out} * {x} + c{k})"
+    return out
 
 
-@query()
+@query(
+    f"""WITH {_LENS_SQL},
+d AS (SELECT i.*, {_between("distortion", "i.place")} AS f FROM i ASOF JOIN n ON i.lens = n.lens AND i.place >= n.low),
+p AS (SELECT lens, 1 AS plane, unit, edge, r, i, f AS y FROM d UNION ALL
+ SELECT d.lens, q, unit, edge, d.r, i, f * (1 + CASE q WHEN 0 THEN {_between("red", "d.z")} ELSE {_between("blue", "d.z")} END) FROM (SELECT *, place * f AS z FROM d) d ASOF JOIN n ON d.lens = n.lens AND d.z >= n.low, (VALUES (0), (2)) v(q) WHERE colour),
+w AS (SELECT *, r * r AS x, r * r * CASE WHEN r <= edge THEN 1 ELSE 0.02 END AS w FROM p), {_solve_sql("lens, plane", "w", 3, 0)},
+j AS (SELECT w.lens, max(abs({_at_sql(3)} - y) * r * unit) FILTER (WHERE r <= edge) AS error FROM w JOIN b0 USING (lens, plane) GROUP BY 1)
+SELECT lens, plane, {", ".join(f"round(c{k}, 3) + 0 AS c{k}" for k in range(4))}, round(error, 1) AS error FROM b0 JOIN j USING (lens)"""
+)
 def lens_warps(spark, sf_dir):
-    own, distortion, _ = _lenses(spark, sf_dir)
-    fits = lenses.warp_fits(lenses.sampled(own, distortion, ["lens"]), ["lens"])
-    return fits.select("lens", *[F.round(f"c{k}", 4).alias(f"c{k}") for k in range(4)], F.round("error", 3).alias("error"), "sound")
+    own, knots = _lenses(spark, sf_dir)
+    made = lenses.corrections(own, knots, ["lens"], "all")
+    each = made.select("lens", F.round("warp_error", 1).alias("error"), F.posexplode("warps").alias("at", "c"), F.size("warps").alias("n"))
+    plane = F.when(F.col("n") == 1, 1).otherwise(F.col("at"))
+    return each.select("lens", plane.alias("plane"), *[(F.round(F.col("c")[k], 3) + 0).alias(f"c{k}") for k in range(4)], "error")
 
 
-@query()
+@query(
+    f"""WITH {_LENS_SQL}, v AS (SELECT i.*, {_between("vignetting", "i.place")} AS g FROM i ASOF JOIN n ON i.lens = n.lens AND i.place >= n.low),
+w AS (SELECT *, r * r AS x, g - 1 AS y, CASE WHEN r <= edge THEN 1 ELSE 0.02 END / (g * g) AS w FROM v), {_solve_sql("lens", "w", 4, 1)},
+j AS (SELECT w.lens, max(abs({_at_sql(4)} * x + 1 - g) / g) FILTER (WHERE r <= edge) * 100 AS error FROM w JOIN b0 USING (lens) GROUP BY 1)
+SELECT lens, {", ".join(f"round(c{k}, 3) AS c{k}" for k in range(5))}, round(error, 3) AS error, CASE WHEN colour THEN '' ELSE 'chromatic aberration left out: the sensor does not have three colours' END AS notes,
+ 'distortion, ' || CASE WHEN colour THEN 'chromatic aberration, ' ELSE '' END || 'vignetting' AS summary FROM b0 JOIN j USING (lens) JOIN l USING (lens)"""
+)
 def lens_gains(spark, sf_dir):
-    own, _, gain = _lenses(spark, sf_dir)
-    fits = lenses.gain_fits(lenses.sampled(own, gain, ["lens"]), ["lens"])
-    return fits.select("lens", *[F.round(f"c{k}", 3).alias(f"c{k}") for k in range(5)], F.round("error", 3).alias("error"), "sound")
+    own, knots = _lenses(spark, sf_dir)
+    made = lenses.corrections(own, knots, ["lens"], "all")
+    return made.select("lens", *[F.round(F.col("gain")[k], 3).alias(f"c{k}") for k in range(5)], F.round("gain_error", 3).alias("error"), "notes", "summary")
+
+
+def _bits(v):
+    return f"hex(({v})::DOUBLE::BIT::BLOB)"
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, p_size / 7.0::DOUBLE AS a, p_retailprice::DOUBLE / -3 AS b, 1 / (p_partkey::DOUBLE + 1) AS c FROM part),
+h AS (SELECT *, {_bits("a")} || {_bits("b")} || {_bits("0")} || {_bits("c")} AS four, {_bits("0.5")} || {_bits("c")} AS centre FROM p)
+SELECT p_partkey, '00000001000000080103000000000000000000440000000000000000' || lpad(to_hex(p_partkey), 8, '0') || lpad(to_hex(p_partkey * 2), 8, '0') || '000000000000000100000001000000010000' || '0003' || four AS polynomial,
+CASE p_partkey % 4 WHEN 3 THEN NULL ELSE CASE p_partkey % 4 WHEN 0 THEN '00000002' ELSE '00000001' END
+ || CASE WHEN p_partkey % 4 <> 2 THEN '00000003010300000000000100000038' || four || {_bits("1e-3")} || centre ELSE '' END
+ || CASE WHEN p_partkey % 4 <> 1 THEN '000000010103000000000001000000A400000003' || repeat(four || repeat('0', 32), 3) || centre ELSE '' END END AS lens FROM h"""
+)
+def opcode_lists(spark, sf_dir):
+    """The second and the third list of instructions, byte by byte."""
+    p = table(spark, sf_dir, "part")
+    a, b, c = F.col("p_size") / 7.0, F.col("p_retailprice").cast("double") / -3, 1 / (F.col("p_partkey").cast("double") + 1)
+    four, kind = F.array(a, b, F.lit(0.0), c), F.col("p_partkey") % 4
+    gain = F.when((kind != 2) & (kind != 3), F.concat(four, F.array(F.lit(1e-3))))
+    warps = F.when((kind != 1) & (kind != 3), F.array(four, four, four))
+    return p.select("p_partkey", F.hex(binary.polynomial_list(four, F.col("p_partkey"), F.col("p_partkey") * 2)).alias("polynomial"), F.hex(binary.lens_list(gain, warps, F.lit(0.5), c)).alias("lens"))
+
+
+_WARPED, _SHADED = [0.9, 0.25, -0.1, 0.05], [0.3, 0.1, -0.02, 0.0, 0.01]
+
+
+@query(
+    with_plane(f""", {_PICTURES}, s AS (SELECT image, max(y) + 1 AS h, max(x) + 1 AS w, sqrt(((max(x) + 1) / 2) ** 2 + ((max(y) + 1) / 2) ** 2) AS unit FROM pics GROUP BY 1),
+a AS (SELECT *, x + 0.5 - w / 2 AS ax, y + 0.5 - h / 2 AS ay FROM pics JOIN s USING (image)), u AS (SELECT *, (ax * ax + ay * ay) / (unit * unit) AS u FROM a),
+l AS (SELECT *, v * (1 + u * ({_SHADED[0]} + u * ({_SHADED[1]} + u * ({_SHADED[2]} + u * ({_SHADED[3]} + u * {_SHADED[4]}))))) AS lit, {_WARPED[0]} + u * ({_WARPED[1]} + u * ({_WARPED[2]} + u * {_WARPED[3]})) AS ratio FROM u),
+f AS (SELECT *, greatest(0, least(w - 1, w / 2 + ax * ratio - 0.5)) AS fx, greatest(0, least(h - 1, h / 2 + ay * ratio - 0.5)) AS fy FROM l),
+i AS (SELECT image, y, x, lit, w, h, fx, fy, least(floor(fx)::BIGINT, w - 2) AS ix, least(floor(fy)::BIGINT, h - 2) AS iy FROM f),
+b AS (SELECT i.image, i.y, i.x, (1 - (fy - iy)) * ((1 - (fx - ix)) * p.lit + (fx - ix) * q.lit) + (fy - iy) * ((1 - (fx - ix)) * r.lit + (fx - ix) * t.lit) AS v FROM i
+ JOIN l p ON p.image = i.image AND p.y = iy AND p.x = ix JOIN l q ON q.image = i.image AND q.y = iy AND q.x = ix + 1 JOIN l r ON r.image = i.image AND r.y = iy + 1 AND r.x = ix JOIN l t ON t.image = i.image AND t.y = iy + 1 AND t.x = ix + 1)
+SELECT image, y::INTEGER AS y, count(*) AS n, round(sum(v), 2) AS total, round(max(v), 3) AS most, round(sum(v * (x + 1)), 1) AS placed FROM b GROUP BY 1, 2""")
+)
+def warp_lines(spark, sf_dir):
+    """Every picture with a gain and a warp about its middle; of each line its sum, its greatest and its placed sum."""
+    own = picture_lines(spark, sf_dir)
+    sizes = own.groupBy("image").agg((F.max("y") + 1).alias("height"), F.max(F.size("line")).alias("width"))
+    geometry = {"active_width": F.col("width").cast("double"), "active_height": F.col("height").cast("double"), "centre_x": F.lit(0.5), "centre_y": F.lit(0.5), "offset_x": F.lit(0.0), "offset_y": F.lit(0.0), "scale_x": F.lit(1.0), "scale_y": F.lit(1.0)}
+    pictures = sizes.select("*", *[v.alias(k) for k, v in geometry.items()], F.array(*map(F.lit, _SHADED)).alias("gain"), F.array(*map(F.lit, _WARPED)).alias("warp"))
+    made = warps.corrected(own, pictures, ["image"], channels=1)
+    total = lambda each: F.aggregate(each, F.lit(0.0), lambda s, v: s + v)
+    placed = F.transform("line", lambda v, x: v * (x + 1))
+    return made.select("image", "y", F.size("line").cast("bigint").alias("n"), F.round(total(F.col("line")), 2).alias("total"), F.round(F.array_max("line"), 3).alias("most"), F.round(total(placed), 1).alias("placed"))
 
 
 # Files
@@ -498,7 +603,7 @@ def directory_entries(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT '/d/' || page_id || '.v' || page_id % 3 || '.nef' AS path, page_id FROM pages), s AS (SELECT *, regexp_replace(path, '\.[^./]*$', '') AS stem FROM p),
+    r"""WITH p AS (SELECT DISTINCT '/d/' || page_id || '.v' || page_id % 3 || '.nef' AS path, page_id FROM pages), s AS (SELECT *, regexp_replace(path, '\.[^./]*$', '') AS stem FROM p),
 l AS (SELECT stem || '.xmp' AS f FROM s WHERE page_id % 3 = 0 UNION SELECT stem || '.XMP' FROM s WHERE page_id % 4 = 0 UNION SELECT path || '.xmp' FROM s WHERE page_id % 5 = 0 UNION SELECT path || '.XMP' FROM s WHERE page_id % 7 = 0)
 SELECT path, CASE WHEN stem || '.xmp' IN (SELECT f FROM l) THEN stem || '.xmp' WHEN stem || '.XMP' IN (SELECT f FROM l) THEN stem || '.XMP' WHEN path || '.xmp' IN (SELECT f FROM l) THEN path || '.xmp' WHEN path || '.XMP' IN (SELECT f FROM l) THEN path || '.XMP' END AS sidecar FROM s"""
 )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rawframe.functions import colour, frames
-from rawframe.operators import checks, directories, lenses
+from rawframe.operators import checks, directories
 from rawframe.sources import catalog
 
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 7: 1, 10: 8}
@@ -108,20 +108,6 @@ def test_colour_transforms(spark):
     assert flat is None
 
 
-def test_lens_fits(spark):
-    frame = spark.createDataFrame([(1, 0.0, 0.0, 6000.0, 4000.0, 6000.0, 4000.0), (2, 0.0, 0.0, 6000.0, 4000.0, 2000.0, 4000.0)], "lens int, left double, top double, width double, height double, active_width double, active_height double")
-    own = lenses.geometry(frame)
-    assert [r["lens"] for r in own.collect()] == [1]
-    r = np.linspace(0, 1.2, 1201)
-    knots = lambda v: spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(r, v)], "lens int, radius double, value double")
-    warp = lenses.warp_fits(lenses.sampled(own, knots(0.98 + 0.03 * r**2 - 0.01 * r**4), ["lens"]), ["lens"]).first()
-    assert np.allclose([warp[f"c{k}"] for k in range(4)], [0.98, 0.03, -0.01, 0], atol=1e-4) and warp["sound"] and warp["error"] < 0.01
-    gain = lenses.gain_fits(lenses.sampled(own, knots(1 + 0.5 * r**2 + 0.2 * r**4), ["lens"]), ["lens"]).first()
-    assert np.allclose([gain[f"c{k}"] for k in range(3)], [0.5, 0.2, 0], atol=1e-2) and gain["sound"] and gain["error"] < 0.01
-    falling = lenses.warp_fits(lenses.sampled(own, knots(1 - 1.2 * r**2), ["lens"]), ["lens"]).first()
-    assert not falling["sound"]
-
-
 def test_frames(spark):
     pick = lambda c: spark.range(1).select(c.alias("c")).first()["c"]
     lit = lambda v: F.array(*[F.lit(x) for x in v])
