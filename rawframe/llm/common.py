@@ -6,8 +6,11 @@ import ctypes
 import gc
 import inspect
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import pyarrow as pa
@@ -18,9 +21,68 @@ from pyspark.sql import functions as F
 #: Rows enter Python in batches of about so many bytes, unless the session has a setting of its own.
 ARROW_BYTES = 2 << 20
 _ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: What operators have shared and staged since the last release.
-_SHARED: list[Broadcast] = []
-_STAGED: list[str] = []
+
+
+class Scope:
+    """What operators share and stage for one caller, until it closes.
+
+    Results made inside are read no later than that: whoever opens a scope writes them first. Other scopes',
+    and what was made outside any, are left alone."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._lock = spark, threading.Lock()
+        self._shared: list[Broadcast] = []
+        self._staged: list[str] = []
+
+    def owns(self, made: Broadcast | str) -> None:
+        with self._lock:
+            (self._staged if isinstance(made, str) else self._shared).append(made)
+
+    def takes(self, other: Scope) -> None:
+        """Own what the other scope owned."""
+        with other._lock:
+            made = [*other._shared, *other._staged]
+            other._shared, other._staged = [], []
+        for one in made:
+            self.owns(one)
+
+    def close(self) -> None:
+        """Take back the broadcasts and delete the staged tables."""
+        with self._lock:
+            shared, self._shared = self._shared, []
+            staged, self._staged = self._staged, []
+        for broadcast in shared:
+            broadcast.unpersist()
+        for name in staged:
+            path = self._spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_SCOPE: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+def current_scope() -> Scope | None:
+    return _SCOPE.get()
+
+
+@contextmanager
+def using(own: Scope) -> Iterator[Scope]:
+    """What operators make inside belongs to a scope that stays open."""
+    token = _SCOPE.set(own)
+    try:
+        yield own
+    finally:
+        _SCOPE.reset(token)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """What operators make inside goes at the end: results are written inside. Outside any scope it stays for the session."""
+    with using(Scope(spark)) as own:
+        try:
+            yield own
+        finally:
+            own.close()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,30 +106,21 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost
-    executor costs no more than the task it ran."""
+    executor costs no more than the task it ran. The table belongs to the scope around, if there is one."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (own := _SCOPE.get()) is not None:
+        own.owns(path)
     df.write.parquet(path)
-    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def shared(spark: SparkSession, value: Any) -> Broadcast:
-    """A broadcast that release() takes back."""
-    _SHARED.append(spark.sparkContext.broadcast(value))
-    return _SHARED[-1]
-
-
-def release(spark: SparkSession) -> None:
-    """Take back what operators have shared, and delete what they have staged.
-
-    For a caller that has written all results it asked for so far: a result that wasn't written
-    can't be read any more."""
-    while _SHARED:
-        _SHARED.pop().unpersist()
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """A broadcast, which belongs to the scope around, if there is one."""
+    made = spark.sparkContext.broadcast(value)
+    if (own := _SCOPE.get()) is not None:
+        own.owns(made)
+    return made
 
 
 def _give_back() -> None:

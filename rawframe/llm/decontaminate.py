@@ -189,7 +189,7 @@ def _scan(sent: Broadcast, columns: list[str]) -> Callable[[Iterator[pa.RecordBa
 
 def automata(benchmark: DataFrame, window: int, max_words: int, item_id: str = "item_id") -> Iterator[ItemAutomaton]:
     """One automaton, or several of about max_words words each."""
-    slim = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col("text"))
+    slim = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col("text")).distinct()
     # Every word takes a byte at least, and the next one a byte between.
     most = slim.agg(F.sum(F.octet_length("text") + 1).alias("b")).first()["b"] or 0
     counted = max(0, most // 2)

@@ -110,14 +110,16 @@ def _scored(shards: pa.Table, asking: pa.Table, k: int) -> pa.Table:
 
 def _blocked(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
     blocks = max(1, -(-rows.count() // size))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v", "copy"), F.lit(blocks)).cast("int"))
     return dealt.groupBy("block").applyInArrow(tidy(_packed), "block int, rows binary"), blocks
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for rows (id bigint, v array<bigint>) of both sides."""
-    shards, n = _blocked(candidates, shard_rows)
-    asking, m = _blocked(queries, query_rows)
+    # No query has more than k of equal rows among its best; these are dealt apart, so no shard gets them all.
+    equal = candidates.groupBy("id", "v").agg(F.count("*").alias("n"))
+    shards, n = _blocked(equal.select("id", "v", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("n", F.lit(k)))).alias("copy")), shard_rows)
+    asking, m = _blocked(queries.select("id", "v", F.lit(1).cast("bigint").alias("copy")), query_rows)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     sent = asking.select(F.col("rows").alias("asking"), F.floor(F.col("block") / MET).cast("int").alias("part"), every(n).alias("block"))
     held = shards.select("block", "rows", every(-(-m // MET)).alias("part"))
