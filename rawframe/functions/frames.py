@@ -263,13 +263,13 @@ def profile_label(name: Column, file_name: Column) -> Column:
     return F.coalesce(F.nullif(name, F.lit("")), F.nullif(file_name, F.lit("")), F.lit("unnamed profile"))
 
 
-def profile_summary(illuminants: Column, forward: Column, hue_dims: Column, look_dims: Column, tone_curve: Column) -> Column:
-    """A line on a profile from its light sources (array of codes), table dimensions (arrays or null) and flags."""
-    n = F.size(illuminants)
+def profile_summary(illuminants: Column, forward: Column, hue_dims: Column, look_dims: Column, tone_curve: Column, number: Column | None = None) -> Column:
+    """A line on a profile from its light sources (array of codes; number: how many it is made for, if not these), table dimensions (arrays or null) and flags."""
+    n = F.size(illuminants) if number is None else number
     counted = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("no", "one", "two", "three")]), (F.least(n, F.lit(3)) + 1).cast("int")), F.lit(" illuminant"), F.when(n == 1, "").otherwise("s"))
     lights = F.array_join(F.transform(illuminants, illuminant), ", ")
     table = lambda what, dims: F.when(dims.isNotNull(), F.concat(F.lit(what), F.lit(" "), F.array_join(F.transform(dims, lambda d: d.cast("string")), "x")))
-    return F.concat_ws(", ", F.concat(counted, F.when(n > 0, F.concat(F.lit(" ("), lights, F.lit(")"))).otherwise("")), F.when(forward, "forward matrix"), table("hue and saturation table", hue_dims), table("look table", look_dims), F.when(tone_curve, "tone curve"))
+    return F.concat_ws(", ", F.concat(counted, F.when(F.size(illuminants) > 0, F.concat(F.lit(" ("), lights, F.lit(")"))).otherwise("")), F.when(forward, "forward matrix"), table("hue and saturation table", hue_dims), table("look table", look_dims), F.when(tone_curve, "tone curve"))
 
 
 def addable_digest(version: Column, compressed: Column, damaged: Column, mask: Column, has_any: Column) -> Column:

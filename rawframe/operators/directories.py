@@ -1,4 +1,4 @@
-"""Relations on directory entries: numbers, metadata rules, raw images, chunk tables, profiles.
+"""Relations on directory entries: numbers, metadata rules, raw images, chunk tables.
 
 Entries are rows (path, ifd, kind, tag, type, count, value, big_endian), as `catalog.ifd_entries`
 reads them. All rules are grouped aggregates and joins by path: no file is looked at again.
@@ -17,9 +17,7 @@ NEW_SUBFILE, WIDTH, HEIGHT, BITS, COMPRESSION, SAMPLES = 254, 256, 257, 258, 259
 STRIP_OFFSETS, ROWS_PER_STRIP, STRIP_BYTES = 273, 278, 279
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 DNG_VERSION, CAMERA_MODEL, OLD_DIGEST, NEW_DIGEST, ORIGINAL_DIGEST = 50706, 50708, 50972, 51111, 50973
-MATRIX_1, MATRIX_2, MATRIX_3, FORWARD_1, PROFILE_NAME, HUE_DIMS, TONE_CURVE, POLICY, LOOK_DIMS = 50721, 50722, 52531, 50964, 50936, 50937, 50940, 50941, 50981
 SOURCE_RECORD, ORIGINAL_NAME, ORIGINAL_DATA = 65300, 50827, 50828
-ILLUMINANTS = (50778, 50779, 52529)
 # Limits of what is read.
 MOST_PIXELS, MOST_CHUNKS, MOST_RECORD = 600_000_000, 1 << 20, 256
 
@@ -149,58 +147,3 @@ def chunks(found: DataFrame) -> DataFrame:
     own = found.where("reason is null").select("path", "ifd", F.col("width").alias("_w"), "height", "chunk_width", "chunk_rows", "across", "down", each.alias("chunk", "_c")).where("chunk < across * down")
     x, y = (F.col("chunk") % F.col("across")) * F.col("chunk_width"), F.floor(F.col("chunk") / F.col("across")) * F.col("chunk_rows")
     return own.select("path", "ifd", "chunk", x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), F.col("chunk_width").alias("width"), F.least("chunk_rows", F.col("height") - y).cast("bigint").alias("rows"), F.col("_c.offset").alias("offset"), F.col("_c.bytes").alias("bytes"))
-
-
-def little_endian(entries: DataFrame) -> DataFrame:
-    """entries whose values have their low bytes first; rationals by halves."""
-    # The bytes that belong together, by type.
-    size = F.when(F.col("type").isin(3, 8), 2).when(F.col("type").isin(4, 5, 9, 10, 11, 13), 4).when(F.col("type") == 12, 8).otherwise(1)
-    return entries.withColumn("value", F.when(F.col("big_endian") & (size > 1), frames.swapped(F.col("value"), size)).otherwise(F.col("value"))).withColumn("big_endian", F.lit(False))
-
-
-def fingerprints(entries: DataFrame) -> DataFrame:
-    """(path, digest): MD5 over a profile's fields in order of their tags: tag, type, count, data, low bytes first."""
-    low = lambda v, n: frames.swapped(F.unhex(F.lpad(F.hex(v.cast("bigint")), 2 * n, "0")), F.lit(n))
-    part = F.concat(F.hex(low(F.col("tag"), 2)), F.hex(low(F.col("type"), 2)), F.hex(low(F.col("count"), 4)), F.hex("value"))
-    ordered = F.array_sort(F.collect_list(F.struct("tag", part.alias("part"))))
-    return little_endian(entries).groupBy("path").agg(ordered.alias("_p")).select("path", F.md5(F.unhex(F.array_join(F.col("_p.part"), ""))).alias("digest"))
-
-
-def profiles(entries: DataFrame) -> DataFrame:
-    """(path, profile, camera, policy, profile_planes, illuminants, forward, hue_dims, look_dims, tone_curve, reason) of profiles' entries.
-
-    A profile needs a first matrix of three or four colours; all matrices have its size, a third
-    needs a second, dimensions are three, curves are lists of points, no tag comes twice, and all
-    values lie in the file. What isn't sound keeps its row, with the reason."""
-    own = with_numbers(entries)
-    has = lambda tag: F.coalesce(F.max(F.col("tag") == tag), F.lit(False))
-    text = lambda tag: F.max(F.when(F.col("tag") == tag, text_of(F.col("value"))))
-    size = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("count")))
-    nums = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("numbers")))
-    matrices = (MATRIX_1, MATRIX_2, MATRIX_3, FORWARD_1)
-    found = own.groupBy("path").agg(
-        text(PROFILE_NAME).alias("profile"),
-        F.coalesce(text(CAMERA_MODEL), F.lit("")).alias("camera"),
-        F.coalesce(F.max(F.when(F.col("tag") == POLICY, F.col("number"))), F.lit(0)).alias("policy"),
-        *[size(t).alias(f"_m{k}") for k, t in enumerate(matrices)],
-        F.array_compact(F.array(*[F.max(F.when(F.col("tag") == t, F.col("number"))) for t in ILLUMINANTS])).alias("illuminants"),
-        has(FORWARD_1).alias("forward"),
-        nums(HUE_DIMS).alias("hue_dims"),
-        nums(LOOK_DIMS).alias("look_dims"),
-        size(TONE_CURVE).alias("_curve"),
-        (F.count("tag") > F.count_distinct("tag")).alias("_twice"),
-        F.max("reason").alias("_read"),
-    )
-    c = F.col
-    # The reasons' texts.
-    reason = (
-        F.when(c("_read").isNotNull(), c("_read"))
-        .when(c("_twice"), "a field occurs twice")
-        .when(c("_m0").isNull(), "the profile has no colour matrix")
-        .when(~c("_m0").isin(9, 12), "ColorMatrix1 is not a matrix for three or four colours")
-        .when(F.greatest(*[F.coalesce(c(f"_m{k}") != c("_m0"), F.lit(False)) for k in (1, 2, 3)]), "a matrix does not fit the camera's colours")
-        .when(c("_m2").isNotNull() & c("_m1").isNull(), "the profile has a third colour matrix but no second")
-        .when((F.size("hue_dims") != 3) | (F.size("look_dims") != 3), "a table has impossible dimensions")
-        .when((c("_curve") < 4) | (c("_curve") % 2 != 0), "the tone curve is not a list of points")
-    )
-    return found.select("path", "profile", "camera", "policy", F.floor(c("_m0") / 3).alias("profile_planes"), "illuminants", "forward", "hue_dims", "look_dims", c("_curve").isNotNull().alias("tone_curve"), reason.alias("reason"))

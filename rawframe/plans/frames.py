@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import binary, colour, frames, rules
-from ..operators import archive, checks, directories, lenses, lines, warps
+from ..operators import archive, checks, directories, lenses, lines, profiles, warps
 from ..operators import tables as small
 from ..sources import catalog
 from .catalogue import PICTURES as _PICTURES
@@ -401,13 +401,79 @@ def chunk_table(spark, sf_dir):
     return directories.chunks(directories.layouts(directories.with_numbers(_layout_entries(spark, sf_dir))))
 
 
+# Profiles
+
+
+def _value(v, size, big):
+    """The digits of a number in one of the two orders."""
+    h = F.lpad(F.hex(v.cast("bigint")), 2 * size, "0")
+    return h if big else F.hex(frames.swapped(F.unhex(h), F.lit(size)))
+
+
+#: What is wrong with the profile of a part, by its key modulo eight; 6 (a field that no profile has) is sound.
+_DEFECTS = ("", "ColorMatrix1 holds a division by zero", "ColorMatrix1 has the wrong type", "ColorMatrix1 cannot be inverted", "ProfileName occurs twice", "CalibrationIlluminant1 has the wrong type", "", "the tone curve is not a list of points")
+
+
+def _profile_files(spark, sf_dir, big, wide):
+    """A profile file a part: a matrix, a light source, a name, and something wrong with most of them."""
+    key = F.col("p_partkey")
+    case = key % 8
+    kind = lambda n, usual, other: F.when(case == n, F.lit(other)).otherwise(F.lit(usual))
+    matrix = []
+    for i in range(9):
+        plain = F.lit(10000) if i % 4 == 0 else (key * (i + 3)) % 997
+        matrix += [F.when(case == 3, 10000).otherwise(plain), F.when((case == 1) & F.lit(i == 5), 0).otherwise(10000)]
+    name = F.concat(F.hex(F.lpad((key % 5).cast("string"), 7, "P").cast("binary")), F.lit("00"))
+    light = F.lit(21) if not wide else F.when(case == 5, 70000).otherwise(21)
+    # (tag, type, count, digits); the places of long values follow the twelve bytes of each of six entries.
+    own = [
+        (F.lit(50708), F.lit(2), F.lit(4), F.lit("43616D00")),
+        (F.lit(50936), F.lit(2), F.lit(8), name),
+        (F.lit(50721), kind(2, 10, 5), F.lit(9), F.concat(*[_value(v, 4, big) for v in matrix])),
+        (F.lit(50778), F.lit(4) if wide else kind(5, 3, 2), F.lit(1), F.concat(_value(light, 4, big)) if wide else F.concat(_value(light, 2, big), F.lit("0000"))),
+        (F.when(case == 4, 50936).when(case == 6, 50001).when(case == 7, 50940).otherwise(51110), F.when(case == 4, 2).when(case == 7, 11).otherwise(4), F.when(case == 7, 3).when(case == 4, 4).otherwise(1), F.lit("00000000")),
+        (F.lit(52552), F.lit(2), F.lit(3), F.lit("47310000")),
+    ]
+    at = 8 + 2 + 12 * len(own) + 4
+    head = F.lit("4D4D4352" if big else "49495243")
+    places = {1: at, 2: at + 8, 4: at + 80}
+    parts = [head, _value(F.lit(8), 4, big), _value(F.lit(len(own)), 2, big)]
+    for k, (tag, t, n, digits) in enumerate(own):
+        # A curve of three values is kept behind the others; what takes four bytes is in its entry.
+        spot = _value(F.lit(places[k]), 4, big) if k in places else None
+        value = digits if spot is None else F.when(case == 7, spot).otherwise(digits) if k == 4 else spot
+        parts += [_value(tag, 2, big), _value(t, 2, big), _value(n, 4, big), value]
+    content = F.unhex(F.concat(*parts, F.lit("00000000"), own[1][3], own[2][3], F.lit("00" * 12)))
+    path = F.concat(F.lit("/p/"), key.cast("string"), F.lit(f"-{'big' if big else 'little'}.dcp"))
+    return table(spark, sf_dir, "part").select(path.alias("path"), content.alias("content"))
+
+
+_PROFILE_SQL = f"""p AS (SELECT p_partkey AS k, p_partkey % 8 AS c FROM part),
+m AS (SELECT k, i, CASE WHEN c = 3 THEN 10000 WHEN i % 4 = 0 THEN 10000 ELSE (k * (i + 3)) % 997 END AS v FROM p, range(9) t(i)),
+h AS (SELECT k, string_agg(substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2) || '10270000', '' ORDER BY i) AS matrix FROM (SELECT *, lpad(to_hex(v), 8, '0') AS x FROM m) GROUP BY 1),
+r AS (SELECT k, c, {list(_DEFECTS)}[c + 1] AS reason, md5(unhex('21C60A0009000000' || matrix || '5AC60300010000001500' || 'F8C6020008000000' || hex(lpad((k % 5)::VARCHAR, 7, 'P')) || '00'
+ || CASE WHEN c = 6 THEN '' ELSE 'A6C704000100000000000000' END || '48CD020003000000473100')) AS digest FROM p JOIN h USING (k))"""
+
+
+@query(
+    f"""WITH {_PROFILE_SQL}
+SELECT '/p/' || k || '-' || o || '.dcp' AS path, reason, CASE WHEN reason = '' THEN digest END AS digest, CASE WHEN reason = '' THEN lpad((k % 5)::VARCHAR, 7, 'P') || ' for Cam, G1, 3 planes: one illuminant (D65)' END AS said FROM r, (VALUES ('big'), ('little')) v(o)"""
+)
+def profile_check(spark, sf_dir):
+    """Profiles in both byte orders, and with numbers of both widths: the first reason, or the digest, which is one for both."""
+    made = profiles.profiles(_profile_files(spark, sf_dir, True, True).unionByName(_profile_files(spark, sf_dir, False, False)))
+    said = F.concat("label", F.lit(" for "), "camera", F.lit(", "), "group_name", F.lit(", "), F.col("profile_planes").cast("string"), F.lit(" planes: "), "summary")
+    sound = F.col("reason").isNull()
+    return made.select("path", F.coalesce("reason", F.lit("")).alias("reason"), F.when(sound, F.col("digest")).alias("digest"), F.when(sound, said).alias("said"))
+
+
 @query(
-    f"""WITH {_ENTRIES}, f AS (SELECT path, min(number) AS number, tag FROM e GROUP BY path, tag), h AS (SELECT path, tag, lpad(to_hex(tag), 4, '0') AS t, lpad(to_hex(number), 8, '0') AS v FROM f)
-SELECT path, md5(unhex(string_agg(substr(t, 3, 2) || substr(t, 1, 2) || '040001000000' || substr(v, 7, 2) || substr(v, 5, 2) || substr(v, 3, 2) || substr(v, 1, 2), '' ORDER BY tag))) AS digest FROM h GROUP BY 1"""
+    f"""WITH {_PROFILE_SQL} SELECT digest, '/p/' || min(k::VARCHAR || '-big.dcp') AS path FROM r WHERE reason = '' GROUP BY 1"""
 )
 def profile_fingerprint(spark, sf_dir):
-    fields = _entries(spark, sf_dir).groupBy("path", "tag", "type", "count", "big_endian").agg(F.min("value").alias("value"))
-    return directories.fingerprints(fields)
+    """Each different profile once, by its first path."""
+    made = profiles.profiles(_profile_files(spark, sf_dir, True, True).unionByName(_profile_files(spark, sf_dir, False, False)))
+    return profiles.library(made).select("digest", "path")
 
 
 @query(

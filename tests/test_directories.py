@@ -60,25 +60,6 @@ def test_pointers_metadata_and_raw_images(spark, order):
     assert [(r["y"], r["rows"], r["offset"], r["bytes"]) for r in strips] == [(0, 20, 1000, 5), (20, 20, 2000, 6), (40, 10, 3000, 7)]
 
 
-def profile(order="<", matrix=9, more=()):
-    fields = [(50708, 2, 5, b"Cam1\0"), (50721, 10, matrix, struct.pack(f"{order}{2 * matrix}i", *range(1, 2 * matrix + 1))), (50778, 3, 1, struct.pack(order + "H", 21)), (50936, 2, 4, b"Std\0"), *more]
-    return tiff([fields], order, 0x4352)
-
-
-def test_profiles(spark):
-    short = struct.pack("<H", 2)
-    entries = read(spark, ok=profile(), big=profile(">"), policy=profile(more=[(50941, 4, 1, struct.pack("<I", 2))]), six=profile(matrix=6), third=profile(more=[(52531, 10, 9, bytes(72))]), curve=profile(more=[(50940, 11, 3, bytes(12))]), twice=profile(more=[(50936, 2, 1, b"\0")]), none=tiff([[(50708, 3, 1, short)]], "<", 0x4352))
-    got = {r["path"]: r for r in directories.profiles(entries).collect()}
-    assert got["ok"]["reason"] is None and (got["ok"]["profile"], got["ok"]["camera"], got["ok"]["profile_planes"], got["ok"]["illuminants"]) == ("Std", "Cam1", 3, [21])
-    assert got["policy"]["policy"] == 2
-    reasons = {k: r["reason"] for k, r in got.items() if r["reason"]}
-    assert set(reasons) == {"six", "third", "curve", "twice", "none"} and reasons["none"] == "the profile has no colour matrix"
-    digests = dict(directories.fingerprints(entries).collect())
-    assert digests["ok"] == digests["big"] != digests["policy"]
-    own = b"".join(struct.pack("<HHI", t, k, n) + d for t, k, n, d in [(50708, 2, 5, b"Cam1\0"), (50721, 10, 9, struct.pack("<18i", *range(1, 19))), (50778, 3, 1, struct.pack("<H", 21)), (50936, 2, 4, b"Std\0")])
-    assert digests["ok"] == hashlib.md5(own).hexdigest()
-
-
 def test_duplicate_tags(spark):
     got = directories.sorted_tags(read(spark, a=tiff([[(9, 3, 1, b"\0\0"), (3, 3, 1, b"\0\0"), (9, 3, 1, b"\0\0")]]))).first()
     assert got["tags"] == [3, 9, 9] and got["refused"]
