@@ -681,23 +681,37 @@ def sidecar_lookup(spark, sf_dir):
     return catalog.sidecars(listing, p.select("path"))
 
 
+_VERDICTS = [
+    ("intact", "intact (raw image, embedded original)", None),
+    ("damaged", "DAMAGED: the raw image data does not match its checksum", None),
+    ("unverified", "not verified: the file carries no checksum of its raw data; embedded original intact", "new"),
+    ("damaged", "DAMAGED: the embedded original does not match its checksum", None),
+    ("damaged", "DAMAGED: the file is cut short: 5 bytes are missing at its end", None),
+]
+
+
 @query(
-    with_plane(f""", {_PICTURES}, t AS (SELECT DISTINCT image FROM pics)
-SELECT CAST(image AS VARCHAR) AS path, CASE image % 3 WHEN 0 THEN 'intact' WHEN 1 THEN 'damaged' ELSE 'unverified' END AS outcome,
-CASE image % 3 WHEN 0 THEN 'intact (raw image)' WHEN 1 THEN 'DAMAGED: the raw image data does not match its checksum' ELSE 'not verified: the file carries no checksum of its raw data' END AS "text", CASE WHEN image % 3 = 2 THEN 'new' END AS addable FROM t""")
+    with_plane(f""", {_PICTURES}, t AS (SELECT DISTINCT image FROM pics),
+v AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{o}', '{t}', {'NULL' if a is None else repr(a)})" for k, (o, t, a) in enumerate(_VERDICTS))}) v(k, outcome, "text", addable))
+SELECT CAST(image AS VARCHAR) AS path, outcome, "text", addable FROM t JOIN v ON image % 5 = k""")
 )
 def file_check(spark, sf_dir):
-    """Every picture as a file of one strip with the digest of its samples, of others, or without one."""
+    """Every picture as a file of one strip of two planes with a preview and an original: sound, with another digest or none, with another original, or cut short."""
     own = picture_lines(spark, sf_dir)
-    digest = lines.image_digests(own, ["image"]).select("image", "digest")
-    rows = own.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("y", lines.sample_bytes(F.col("line")).alias("h")))).alias("p"), F.max("y").alias("last"), F.max(F.size("line")).alias("w"))
-    rows = rows.join(digest, "image").select("image", F.array_join("p.h", "").alias("data"), (F.col("last") + 1).alias("h"), "w", "digest")
-    kept = F.when(F.col("image") % 3 == 0, F.col("digest")).otherwise(F.md5("digest"))
+    digest = lines.image_digests(own, ["image"], planes=2).select("image", "digest")
+    rows = own.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("y", lines.sample_bytes(F.col("line")).alias("h")))).alias("p"), F.max("y").alias("last"), F.max(F.size("line")).alias("n"))
+    rows = rows.join(digest, "image").select("image", F.array_join("p.h", "").alias("data"), (F.col("last") + 1).alias("h"), (F.col("n") / 2).cast("int").alias("w"), "digest")
+    case = F.col("image") % 5
+    kept = F.when(case == 1, F.md5("digest")).otherwise(F.col("digest"))
+    original = F.concat(F.lit("00000007"), F.hex(F.encode("digest", "UTF-8")))
+    stored = F.when(case == 3, F.md5("digest")).otherwise(F.md5(F.unhex(original)))
     entry = lambda tag, kind, n, v: F.concat(F.lit(f"{tag & 255:02X}{tag >> 8:02X}{kind:02X}00{n:02X}000000"), v)
     number = lambda tag, v: entry(tag, 4, 1, _little(v if not isinstance(v, int) else F.lit(v)))
-    # Nine entries end at byte 122; the digest is there, and the samples behind it.
-    tags = [number(254, 0), number(256, F.col("w")), number(257, F.col("h")), number(258, 16), number(273, 138), number(278, F.col("h")), number(279, F.col("w") * F.col("h") * 2), entry(50706, 1, 4, F.lit("01040000"))]
-    tags.append(F.when(F.col("image") % 3 == 2, number(50000, 1)).otherwise(entry(51111, 7, 16, F.lit("7A000000"))))
-    content = F.unhex(F.concat(F.lit("49492A00080000000900"), *tags, F.lit("00000000"), kept, F.col("data")))
+    size = F.col("w") * F.col("h") * 4
+    # Fourteen entries end at byte 182; two digests, the original, the samples and the preview follow.
+    tags = [number(254, 0), number(256, F.col("w")), number(257, F.col("h")), number(258, 16), number(273, 250), number(277, 2), number(278, F.col("h")), number(279, size), number(513, size + 250), number(514, 8), entry(50706, 1, 4, F.lit("01040000"))]
+    tags += [entry(50828, 7, 36, F.lit("D6000000")), entry(50973, 7, 16, F.lit("C6000000")), F.when(case == 2, number(50000, 1)).otherwise(entry(51111, 7, 16, F.lit("B6000000")))]
+    whole = F.concat(F.lit("49492A00080000000E00"), *tags, F.lit("00000000"), kept, stored, original, F.col("data"), F.lit("AB" * 8))
+    content = F.unhex(F.substring(whole, F.lit(1), F.length(whole) - F.when(case == 4, 10).otherwise(0)))
     files = rows.select(F.col("image").cast("string").alias("path"), content.alias("content")).withColumn("length", F.octet_length("content").cast("bigint"))
     return checks.checked(files)

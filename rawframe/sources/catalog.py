@@ -19,6 +19,8 @@ from ..functions.text import RAW_EXTENSIONS, extension
 DNG_EXTENSIONS, PROFILE_EXTENSIONS = (".dng",), (".dcp",)
 #: A sidecar larger than this is none.
 MOST_SIDECAR = 16 << 20
+# Bytes of the field types.
+UNITS = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
 
 
 def files(spark: SparkSession, folder: str, recursive: bool = False, extensions: tuple[str, ...] = RAW_EXTENSIONS) -> DataFrame:
@@ -86,18 +88,18 @@ def ordered_jobs(jobs: DataFrame) -> DataFrame:
 
 
 def ifd_entries(found: DataFrame, most: int = 2000, magics: tuple[int, ...] = (42, 0x4F52, 0x5352, 0x55, 0x4352)) -> DataFrame:
-    """(path, ifd, kind, ord, tag, type, count, value, big_endian, reason): directories of TIFF-like files, a row an entry.
+    """(path, ifd, kind, ord, tag, type, count, value, big_endian, reason, start): directories of TIFF-like files, a row an entry.
 
-    kind: main (the chain of directories), sub, exif or gps (directories that others point to).
+    start is where a value lies. kind: main (the chain of directories), sub, exif or gps (directories that others point to).
     Every offset is checked; a damaged file gives a row with a reason. Camera profiles are
     files of this kind too."""
     import struct
 
-    # Bytes of the field types, and the tags that point to directories.
-    sizes = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
+    # The tags that point to directories.
+    sizes = UNITS
     pointers = {330: "sub", 34665: "exif", 34853: "gps"}
-    names = ["path", "ifd", "kind", "ord", "tag", "type", "count", "value", "big_endian", "reason"]
-    bad = lambda number, kind, big, reason: (number, kind, None, None, None, None, None, big, reason)
+    names = ["path", "ifd", "kind", "ord", "tag", "type", "count", "value", "big_endian", "reason", "start"]
+    bad = lambda number, kind, big, reason: (number, kind, None, None, None, None, None, big, reason, None)
 
     def entries(raw: bytes) -> Iterator[tuple]:
         order = {b"II": "<", b"MM": ">"}.get(raw[:2])
@@ -123,18 +125,18 @@ def ifd_entries(found: DataFrame, most: int = 2000, magics: tuple[int, ...] = (4
                 size = sizes.get(kind, 0) * count
                 start = place + 8 if size <= 4 else struct.unpack_from(order + "I", raw, place + 8)[0]
                 whole = kind in sizes and start + size <= len(raw)
-                yield number, role, k, tag, kind, count, raw[start : start + size] if whole else None, big, None if whole else "value outside"
+                yield number, role, k, tag, kind, count, raw[start : start + size] if whole else None, big, None if whole else "value outside", start
                 if whole and tag in pointers and kind in (4, 13) and 0 < count <= 64 and len(waiting) < most:
                     waiting += [(pointers[tag], x) for x in struct.unpack_from(f"{order}{count}I", raw, start)]
             after = struct.unpack_from(order + "I", raw, at + 2 + 12 * n)[0]
             if role == "main" and after and len(waiting) < most:
                 waiting.append(("main", after))
 
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.string()]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(p.as_py(), *e) for p, c in zip(b.column(0), b.column(1)) for e in entries(c.as_py() or b"")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    return found.select("path", "content").mapInArrow(run, "path string, ifd int, kind string, ord int, tag int, type int, count bigint, value binary, big_endian boolean, reason string")
+    return found.select("path", "content").mapInArrow(run, "path string, ifd int, kind string, ord int, tag int, type int, count bigint, value binary, big_endian boolean, reason string, start bigint")

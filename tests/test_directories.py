@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rawframe.functions import colour, frames
-from rawframe.operators import checks, directories
+from rawframe.operators import directories
 from rawframe.sources import catalog
 
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 7: 1, 10: 8}
@@ -103,53 +103,6 @@ def test_frames(spark):
     assert pick(frames.serial(F.lit(" . "))) == ""
 
 
-def dng(width=7, height=5, bits=16, order="<", tiles=None, digest=None, cut=0, **more):
-    """A small file with a raw image of one plane, and its samples."""
-    rng = np.random.default_rng(width * height + bits)
-    image = rng.integers(0, 1 << bits, (height, width))
-    tw, th = tiles or (width, 2)
-    chunks = []
-    for y in range(0, height, th):
-        for x in range(0, width, tw):
-            part = image[y : y + th, x : x + tw]
-            if tiles:
-                part = np.pad(part, ((0, th - part.shape[0]), (0, tw - part.shape[1])))
-            if bits in (8, 16):
-                chunks.append(part.astype(order + ("u1" if bits == 8 else "u2")).tobytes())
-            else:
-                text = "".join(f"{v:0{bits}b}" for v in part.ravel())
-                chunks.append(bytes(int(text[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(text), 8)))
-    def build(base):
-        at = [base + sum(map(len, chunks[:k])) for k in range(len(chunks))]
-        table = lambda tag, v: (tag, 4, len(v), struct.pack(f"{order}{len(v)}I", *v))
-        e = {254: [0], 256: [width], 257: [height], 258: [bits], 259: [1]} | ({322: [tw], 323: [th], 324: at, 325: list(map(len, chunks))} if tiles else {278: [th], 273: at, 279: list(map(len, chunks))}) | more.get("entries", {})
-        fields = [table(t, v) for t, v in sorted(e.items())] + [(50706, 1, 4, b"\1\4\0\0")]
-        if digest:
-            fields.append((51111, 7, 16, digest(image)))
-        return tiff([fields], order)
-    file = build(len(build(0))) + b"".join(chunks)
-    return file[: len(file) - cut]
-
-
-def new_digest(size):
-    """Of an image of one tile."""
-    return lambda image: hashlib.md5(hashlib.md5(image.astype("<u2" if size == 2 else "u1").tobytes()).digest()).digest()
-
-
-def test_files_are_checked(spark):
-    wrong = lambda image: b"x" * 16
-    files = {
-        "strips": dng(digest=new_digest(2)), "big": dng(order=">", digest=new_digest(2)), "tiles": dng(tiles=(4, 3), digest=new_digest(2)), "bytes": dng(bits=8, digest=new_digest(1)), "twelve": dng(width=8, bits=12, digest=new_digest(2)),
-        "wrong": dng(digest=wrong), "without": dng(), "cut": dng(cut=3, digest=new_digest(2)), "packed": dng(digest=new_digest(2), entries={259: [8]}), "zero": dng(entries={277: [0]}), "other": b"II*\0" + b"\0" * 10,
-    }
-    rows = spark.createDataFrame([(p, len(c), c) for p, c in files.items()], "path string, length long, content binary")
-    got = {r["path"]: (r["outcome"], r["text"], r["addable"]) for r in checks.checked(rows).collect()}
-    assert all(got[p] == ("intact", "intact (raw image)", None) for p in ("strips", "big", "tiles", "bytes", "twelve")), got
-    assert got["wrong"][0] == "damaged" and got["without"] == ("unverified", "not verified: the file carries no checksum of its raw data", "new")
-    assert got["cut"][1] == "DAMAGED: 3 bytes are missing at the end" and got["packed"][1] == "not verified: cannot check: Deflate compression"
-    assert got["zero"][0] == "damaged" and got["other"][1] == "DAMAGED: not a DNG file"
-
-
 def test_records_and_originals(spark):
     packed = struct.pack(">I", 1234) + b"streams"
     record = b"Other 1: size 77, MD5 " + b"a" * 32 + b"\0"
