@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colour, levels, numbers, rules, text
-from ..operators import archive, lines, samples, tables
+from ..operators import archive, errors, lines, samples, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -330,7 +330,11 @@ CELLS = "cells AS (SELECT y // 2 AS cy, x // 2 AS cx, (y % 2) + (x % 2) AS plane
 
 
 def _cells(spark, sf_dir):
-    return samples.cell_means(plane(spark, sf_dir), [], 2, 2, F.col("y") % 2 + F.col("x") % 2, F.lit(15000.0))
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 32767.5).cast("bigint")).alias("line"))
+    made = errors.cell_means(own, [], 2, 2, [[0, 1], [1, 2]], [[15000.0]])
+    across = made.select("cy", F.posexplode(F.arrays_zip("cells", "counts")).alias("cx", "c"))
+    each = across.select("cy", F.col("cx").cast("bigint").alias("cx"), F.posexplode(F.arrays_zip(F.col("c.cells").alias("mean"), F.col("c.counts").alias("n"))).alias("plane", "m"))
+    return each.select("cy", "cx", F.col("plane").cast("bigint").alias("plane"), "m.mean", "m.n").where("n > 0")
 
 
 @query(with_plane(f", {CELLS} SELECT cy, cx, plane, round(mean, 6) AS mean, n FROM cells"))
@@ -360,7 +364,11 @@ def white_balance(spark, sf_dir):
 SELECT y, t AS x, round(sum(w / (64.0::DOUBLE / 24) * v), 4) AS v FROM o WHERE w > 1e-12 GROUP BY 1, 2""")
 )
 def area_shrink(spark, sf_dir):
-    return samples.shrunk(plane(spark, sf_dir), [], 64, 24).select("y", "x", F.round("v", 4).alias("v"))
+    own = picture_lines(spark, sf_dir)
+    height = F.max("y") + 1
+    sizes = own.groupBy("image").agg(height.alias("height"), F.lit(64).alias("width"), height.alias("to_height"), F.lit(24).alias("to_width"))
+    made = lines.to_samples(errors.shrunk(own, sizes, ["image"]), ["image"])
+    return made.select((F.col("image") * 100 + F.col("y")).alias("y"), "x", F.round("v", 4).alias("v"))
 
 
 def _stored(line: str, size: int, n: int) -> str:
@@ -420,8 +428,12 @@ NOISY = "pairs AS (SELECT y // 250 AS image, y, x, v, v + (y * 7 + x * 13) % 41
 
 
 def _noisy(spark, sf_dir):
-    y, x = F.col("y"), F.col("x")
-    return plane(spark, sf_dir).select(F.floor(y / 250).alias("image"), "y", "x", "v", (F.col("v") + (y * 7 + x * 13) % 41 - 20 + F.when((y * 5 + x) % 997 == 0, 900).otherwise(0)).alias("stored"))
+    """(image, y, line, stored): two hundred and fifty lines a picture, and what a lossy copy might hold of them."""
+    y = F.col("vec_id")
+    value = F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 32767.5).cast("bigint"))
+    own = table(spark, sf_dir, "embeddings").select(F.floor(y / 250).alias("image"), y.alias("y"), value.alias("line"))
+    noise = lambda v, x: (v + (F.col("y") * 7 + x * 13) % 41 - 20 + F.when((F.col("y") * 5 + x) % 997 == 0, 900).otherwise(0)).cast("bigint")
+    return own.withColumn("stored", F.transform("line", noise))
 
 
 @query(
@@ -437,7 +449,7 @@ SELECT image, w.n AS n, round(mean / 65535.0, 9) AS mean, round(rms / 65535.0, 9
 FROM w JOIN tw USING (image) JOIN b USING (image) JOIN q USING (image)""")
 )
 def error_stats(spark, sf_dir):
-    found = samples.error_statistics(_noisy(spark, sf_dir), ["image"], 64, 32)
+    found = errors.error_statistics(_noisy(spark, sf_dir), ["image"], 64, 32)
     nine = lambda c: F.round(c, 9).alias(c)
     return found.select("image", "n", nine("mean"), nine("rms"), nine("tile_rms"), "worst_ty", "worst_tx", nine("block_mean"), nine("p999"), nine("most"))
 
@@ -452,7 +464,7 @@ FROM pairs a CROSS JOIN m JOIN pairs b ON a.image = b.image AND b.y = a.y + dy A
 SELECT image, dy, dx, field, own, moved, round(CASE WHEN own = moved THEN NULL WHEN own > 0 THEN (moved - own) / own ELSE 1e9 END, 6) AS margin FROM s""")
 )
 def alignment(spark, sf_dir):
-    return samples.alignment(_noisy(spark, sf_dir), ["image"], MOVES, 2, 2).withColumn("margin", F.round("margin", 6))
+    return errors.alignment(_noisy(spark, sf_dir), ["image"], MOVES, 2, 2).withColumn("margin", F.round("margin", 6))
 
 
 @query(
@@ -465,14 +477,6 @@ def lossy_verdict(spark, sf_dir):
     return l.select("l_orderkey", "l_linenumber", samples.lossy_verdict(F.col("l_tax"), F.col("l_discount"), F.col("l_quantity") / 1000, F.col("l_quantity") - 2, F.col("l_tax") - 0.01, d).alias("broken"))
 
 
-@query(with_plane(" SELECT y // 100 AS image, count(*) AS n, count(*) FILTER (WHERE v <> v + CASE WHEN (y * 3 + x) % 101 = 0 THEN 1 ELSE 0 END) AS differing FROM plane GROUP BY 1"))
-def verify_diff(spark, sf_dir):
-    source = plane(spark, sf_dir)
-    written = source.select("y", "x", (F.col("v") + F.when((F.col("y") * 3 + F.col("x")) % 101 == 0, 1).otherwise(0)).alias("w"))
-    both = source.join(written, ["y", "x"])
-    return both.groupBy(F.floor(F.col("y") / 100).alias("image")).agg(F.count("*").alias("n"), F.count_if(F.col("v") != F.col("w")).alias("differing"))
-
-
 # Checks, counts and fits
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import binary, colour, frames, rules
-from ..operators import archive, checks, directories, lenses, lines, profiles, warps
+from ..operators import archive, checks, directories, errors, lenses, lines, profiles, warps
 from ..operators import tables as small
 from ..sources import catalog
 from .catalogue import PICTURES as _PICTURES
@@ -337,9 +337,7 @@ FROM pairs a CROSS JOIN m JOIN pairs b ON a.image = b.image AND b.y = a.y + dy A
 SELECT image, round(min(margin), 6) AS margin FROM g GROUP BY 1""")
 )
 def least_margin(spark, sf_dir):
-    from ..operators import samples
-
-    return samples.alignment(_noisy(spark, sf_dir), ["image"], [(0, 1), (1, 0), (0, 2)], 2, 2).groupBy("image").agg(F.round(F.min("margin"), 6).alias("margin"))
+    return errors.alignment(_noisy(spark, sf_dir), ["image"], [(0, 1), (1, 0), (0, 2)], 2, 2).groupBy("image").agg(F.round(F.min("margin"), 6).alias("margin"))
 
 
 # Directories
