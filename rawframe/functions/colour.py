@@ -73,3 +73,43 @@ def white_balanced(planes: list[Column], balance: list[Column | float], matrix:
     """Planes times their multipliers, held to 0..1, through a matrix, and held again."""
     held = [clamped(p * b) for p, b in zip(planes, balance)]
     return [clamped(sum((p * m for p, m in zip(held, row)), F.lit(0.0))) for row in matrix]
+
+
+# sRGB from XYZ under D65, row by row, and the warnings' texts.
+SRGB_OF_XYZ = (3.2404542, -1.5371385, -0.4985314, -0.9692660, 1.8760108, 0.0415560, 0.0556434, -0.2040259, 1.0572252)
+DERIVED = "no calibrated colour matrix for this camera; derived one from the decoder's built-in camera-to-sRGB matrix"
+APPROXIMATE = "no colour matrix available; colours will only be approximate"
+DAYLIGHT = "no as-shot white balance in the file; using a daylight default"
+
+
+def camera_matrix(known: Column, to_srgb: Column, daylight: Column, planes: Column) -> Column:
+    """struct(matrix, source, warning): what takes XYZ to a camera's planes, three numbers a plane; null for less than three planes.
+
+    known: the decoder's matrix (twelve numbers), used if any of its first nine isn't 0. Else, for three planes, the decoder's
+    matrix of the camera to sRGB (nine numbers) is inverted, and its rows' scales, the daylight multipliers, are undone. Else sRGB's."""
+    srgb = F.array(*[F.lit(v) for v in SRGB_OF_XYZ])
+    zeros = F.transform(F.sequence(F.lit(0), F.greatest(planes * 3 - 10, F.lit(0))), lambda _: F.lit(0.0))
+    own = F.exists(F.slice(known, 1, 9), lambda x: x != 0)
+
+    def derived(inverse: Column) -> Column:
+        def row(i: int) -> Column:
+            multiplier = F.get(daylight, F.lit(i))
+            scale = F.when(multiplier > 0, F.lit(1.0) / F.nullif(multiplier, F.lit(0.0))).otherwise(1.0)
+            mixed = [sum((F.get(inverse, F.lit(3 * i + j)) * SRGB_OF_XYZ[3 * j + k] for j in range(3)), F.lit(0.0)) for k in range(3)]
+            return F.transform(F.array(*mixed), lambda v: v * scale)
+
+        return F.flatten(F.array(*[row(i) for i in range(3)]))
+
+    def chosen(inverse: Column) -> Column:
+        made = lambda m, source, warning: F.struct(m.alias("matrix"), F.lit(source).alias("source"), F.lit(warning).cast("string").alias("warning"))
+        last = F.when(planes > 3, F.concat(srgb, zeros)).otherwise(srgb)
+        return F.when(planes < 3, None).when(own, made(F.slice(known, F.lit(1), planes * 3), "known", None)).when((planes == 3) & inverse.isNotNull(), made(derived(inverse), "derived", DERIVED)).otherwise(made(last, "srgb", APPROXIMATE))
+
+    return let(inverted(to_srgb), chosen)
+
+
+def as_shot(camera: Column, daylight: Column, planes: Column) -> Column:
+    """struct(neutral, warning): the least multiplier over each, by the camera's multipliers or else daylight's; null where neither can be used."""
+    usable = lambda m: (F.size(m) >= planes) & F.forall(F.slice(m, F.lit(1), planes), lambda x: ~F.isnan(x) & (x > 0) & (x < float("inf")))
+    of = lambda m, warning: let(F.slice(m, F.lit(1), planes), lambda own: F.struct(F.transform(own, lambda x: F.array_min(own) / x).alias("neutral"), F.lit(warning).cast("string").alias("warning")))
+    return F.when(planes < 3, None).when(usable(camera), of(camera, None)).when(usable(daylight), of(daylight, DAYLIGHT))

@@ -60,6 +60,20 @@ def word_checksum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda s, b: (s * 73 + b) % 65519)
 
 
+def sixteen_words(data: Column) -> Column:
+    """struct(sound, on) of a tag of 32 bytes (an array of numbers): sixteen words, low bytes first, of which the first two and
+    the last two are checksums over the others: over the halves of what is between them, and over the low and the high bytes."""
+    word = lambda i: F.get(data, F.lit(2 * i)) + F.get(data, F.lit(2 * i + 1)) * 256
+    part = lambda start, n, step: word_checksum(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get(data, k * step + start)))
+    # Which bytes each checksum covers, and the word (its low four bits 1) that says that the correction is on.
+    sums = [(1, part(4, 12, 1)), (14, part(16, 12, 1)), (0, part(2, 14, 2)), (15, part(3, 14, 2))]
+    sound = F.size(data) == 32
+    for i, s in sums:
+        sound = sound & (word(i) == s)
+    sound = F.coalesce(sound, F.lit(False))
+    return F.struct(sound.alias("sound"), (sound & (word(7).bitwiseAND(15) == 1)).alias("on"))
+
+
 def bayer_phase(pattern: Column, top: Column, left: Column) -> Column:
     """0..3 by where red lies in a 2x2 pattern (colours 0 red, 1 green, 2 blue) at the frame's origin; -1 for others."""
     at = lambda r, c: F.element_at(pattern, (F.pmod(top + r, F.lit(2)) * 2 + F.pmod(left + c, F.lit(2)) + 1).cast("int"))

@@ -340,6 +340,75 @@ def least_margin(spark, sf_dir):
     return errors.alignment(_noisy(spark, sf_dir), ["image"], [(0, 1), (1, 0), (0, 2)], 2, 2).groupBy("image").agg(F.round(F.min("margin"), 6).alias("margin"))
 
 
+_SRGB = colour.SRGB_OF_XYZ
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 AS c, 1 + o_custkey % 50 / 100.0::DOUBLE AS u, o_orderkey % 40 / 100.0::DOUBLE AS v, o_custkey % 30 / 100.0::DOUBLE AS w FROM orders),
+i AS (SELECT k, c, [1 / u, -v / u, v * w / (u * u), 0, 1, -w / u, 0, 0, 1 / u] AS m FROM o),
+e AS (SELECT k, c, p, q, CASE c WHEN 0 THEN (p * 3 + q) / 8.0::DOUBLE WHEN 1 THEN list_sum([m[p * 3 + j + 1] * {list(_SRGB)}[j * 3 + q + 1] FOR j IN [0, 1, 2]]) / [2.0, 1.0, 1.5][p + 1] ELSE {list(_SRGB)}[p * 3 + q + 1] END AS x FROM i, range(3) s(p), range(3) t(q))
+SELECT k, ['known', 'derived', 'srgb'][c + 1] AS source, p * 3 + q AS place, round(x, 9) AS x FROM e"""
+)
+def colour_matrices(spark, sf_dir):
+    """The matrix of every order's camera: its own, one derived from a triangular matrix, or sRGB's."""
+    c = F.col
+    case, u, v, w = c("o_orderkey") % 3, 1 + c("o_custkey") % 50 / 100.0, c("o_orderkey") % 40 / 100.0, c("o_custkey") % 30 / 100.0
+    one, zero = F.lit(1.0), F.lit(0.0)
+    to_srgb = F.when(case == 2, F.array(*[zero] * 9)).otherwise(F.array(u, v, zero, zero, one, w, zero, zero, u))
+    known = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(case == 0, i / 8.0).otherwise(0.0))
+    made = colour.camera_matrix(c("known"), c("to_srgb"), F.array(*[F.lit(x) for x in (2.0, 1.0, 1.5)]), F.lit(3))
+    given = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("k"), known.alias("known"), to_srgb.alias("to_srgb"))
+    rows = given.select("k", made.alias("m")).select("k", "m.source", F.posexplode("m.matrix").alias("place", "x"))
+    return rows.select("k", "source", F.col("place").cast("bigint").alias("place"), F.round("x", 9).alias("x"))
+
+
+_LETTERS, _NUMBERS = ["RGBG", "RGBE", "CYMG", "RXBG"], [3, 3, 4, 3]
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS c, o_custkey % 3 AS s FROM orders),
+l AS (SELECT *, {_LETTERS}[c + 1] AS letters, {_NUMBERS}[c + 1] AS number, CASE WHEN k % 7 = 0 THEN 36 ELSE 16 END AS n FROM o),
+p AS (SELECT *, list_transform(range(n), lambda i: CASE WHEN s = 0 THEN i % 4 WHEN s = 1 THEN i % 8 // 2 ELSE (i + i // 9) % 4 END) AS x FROM l),
+m AS (SELECT *, CASE WHEN n = 36 THEN 6 WHEN len(list_filter(range(16), lambda i: x[i + 1] <> x[i % 4 + 1])) = 0 THEN 2 WHEN len(list_filter(range(16), lambda i: x[i + 1] <> x[i % 8 + 1])) = 0 THEN 4 ELSE 8 END AS r FROM p)
+SELECT k, CASE WHEN c <> 3 THEN r END AS "rows", CASE WHEN c <> 3 THEN array_to_string(list_transform(x[1:CASE WHEN n = 36 THEN 36 ELSE r * 2 END], lambda i: CASE WHEN i = 3 AND number = 3 THEN 1 ELSE i END), '') END AS pattern,
+CASE c WHEN 0 THEN '012' WHEN 1 THEN '012' WHEN 2 THEN '3541' END AS planes, CASE WHEN c = 3 THEN 'colour filter ''X'' has no DNG equivalent' END AS reason FROM m"""
+)
+def filter_patterns(spark, sf_dir):
+    """Patterns of eight rows of two and of six by six, with the planes that their indices stand for."""
+    k, case, s = F.col("o_orderkey"), F.col("o_orderkey") % 4, F.col("o_custkey") % 3
+    n = F.when(k % 7 == 0, 36).otherwise(16)
+    colours = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(s == 0, i % 4).when(s == 1, F.floor(i % 8 / 2)).otherwise((i + F.floor(i / 9)) % 4).cast("int"))
+    of = lambda v: F.element_at(F.array(*[F.lit(x) for x in v]), (case + 1).cast("int"))
+    found = frames.filter_pattern(colours, of(_LETTERS), of(_NUMBERS), F.lit(False))
+    text = lambda c: F.array_join(c.cast("array<string>"), "")
+    return table(spark, sf_dir, "orders").select(k.alias("k"), found.alias("f")).select("k", "f.rows", text(F.col("f.pattern")).alias("pattern"), text(F.col("f.plane_colours")).alias("planes"), "f.reason")
+
+
+@query(
+    "SELECT vec_id, vec_id % 6 <> 5 AS sound, vec_id % 6 <> 5 AND vec_id % 2 = 0 AS \"on\" FROM embeddings"
+)
+def sixteen_words(spark, sf_dir):
+    """Tags of thirty-two bytes with their four checksums; in some a byte has changed since."""
+    k = F.col("vec_id")
+    byte = lambda i: F.floor((F.get("embedding", F.lit(i)).cast("double") + 1) * 127).cast("bigint")
+    middle = [F.when(k % 2 == 0, F.lit(1)).otherwise(F.lit(2)) if i == 14 else byte(i) for i in range(4, 28)]
+    step = lambda part: rules.word_checksum(F.array(*part))
+    low, high = lambda v: v.bitwiseAND(255), lambda v: F.shiftright(v, 8)
+    first, last = step(middle[:12]), step(middle[12:])
+    inner = [low(first), high(first), *middle, low(last), high(last)]
+    evens, odds = step(inner[0::2]), step(inner[1::2])
+    whole = [low(evens), high(evens), *inner, low(odds), high(odds)]
+    data = F.transform(F.array(*whole), lambda v, i: F.when((k % 6 == 5) & (i == k % 32), v.bitwiseXOR(F.lit(1).cast("bigint"))).otherwise(v))
+    made = table(spark, sf_dir, "embeddings").select("vec_id", data.alias("data"))
+    return made.select("vec_id", rules.sixteen_words(F.col("data")).alias("r")).select("vec_id", "r.sound", "r.on")
+
+
+@query("SELECT DISTINCT url AS path, dense_rank() OVER (ORDER BY url) AS ord FROM pages")
+def path_order(spark, sf_dir):
+    """All pages' addresses as paths, in the order of their bytes."""
+    return catalog.ordered_jobs(table(spark, sf_dir, "pages").select(F.col("url").alias("path")).distinct()).select("path", "ord")
+
+
 # Directories
 
 _TAGS = (0, 1, 270, 315, 33432, 37500, 40965, 700, 254, 256, 50706, 41995)

@@ -81,10 +81,21 @@ def sidecar_text(found: DataFrame) -> DataFrame:
     return found.where((F.col("length") <= MOST_SIDECAR) & (body.contains("<x:xmpmeta") | body.contains("<rdf:RDF"))).select("path", F.md5("content").alias("md5"))
 
 
-def ordered_jobs(jobs: DataFrame) -> DataFrame:
-    """jobs with `ord`, their place by path within each folder."""
-    folder = F.regexp_replace("path", "/[^/]*$", "")
-    return jobs.withColumn("ord", F.row_number().over(Window.partitionBy(folder).orderBy("path")))
+def ordered_jobs(jobs: DataFrame, parts: int | None = None) -> DataFrame:
+    """jobs with `ord`, their place (from 1) by the bytes of their paths over all folders.
+
+    Paths are dealt into ranges, numbered in their range as they lie there, and moved by how many the ranges before
+    have: no task sees more than its range. The ranges are used twice, so they are persisted, and
+    spark.catalog.clearCache() lets them go. Equal paths are in one range, in any order."""
+    n = parts or int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = jobs.repartitionByRange(n, "path").sortWithinPartitions("path").withColumn("_id", F.monotonically_increasing_id())
+    placed = numbered.select("*", F.shiftright("_id", 33).alias("_range"), (F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_at")).drop("_id").persist()
+    # One row a range: as many as there are tasks.
+    sizes = placed.groupBy(F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    met = placed.join(F.broadcast(offsets), placed["_range"] == offsets["_of"])
+    return met.withColumn("ord", F.col("_before") + F.col("_at")).select(*jobs.columns, "ord")
 
 
 def ifd_entries(found: DataFrame, most: int = 2000, magics: tuple[int, ...] = (42, 0x4F52, 0x5352, 0x55, 0x4352)) -> DataFrame:

@@ -1,6 +1,7 @@
 """Files, records, profiles and update states."""
 
 import os
+import random
 import struct
 
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def test_folders(spark, tmp_path):
     for name, data in (("b.NEF", tiff), ("a.raf", b"x" * 10), ("sub/c.cr2", b"c"), ("note.txt", b"n"), ("b.XMP", b"<x:xmpmeta/>"), ("a.raf.xmp", b"plain")):
         (tmp_path / name).write_bytes(data)
     found = catalog.files(spark, str(tmp_path), recursive=True)
-    assert [(r["relative"], r["ext"], r["ord"]) for r in catalog.ordered_jobs(found).orderBy("path").collect()] == [("a.raf", ".raf", 1), ("b.NEF", ".nef", 2), ("sub/c.cr2", ".cr2", 1)]
+    assert [(r["relative"], r["ext"], r["ord"]) for r in catalog.ordered_jobs(found).orderBy("path").collect()] == [("a.raf", ".raf", 1), ("b.NEF", ".nef", 2), ("sub/c.cr2", ".cr2", 3)]
     listing = catalog.files(spark, str(tmp_path), True, (".xmp",))
     assert {r["path"].split("/")[-1]: (r["sidecar"] or "").split("/")[-1] for r in catalog.sidecars(listing, found).collect()} == {"a.raf": "a.raf.xmp", "b.NEF": "b.XMP", "c.cr2": ""}
     assert [r["path"].split("/")[-1] for r in catalog.sidecar_text(listing).collect()] == ["b.XMP"]
@@ -90,3 +91,14 @@ def test_incremental_runs(spark, tmp_path):
     (folder / "c.txt").write_bytes(b"3")
     go()
     assert seen == ["a.nef", "b.nef"]
+
+
+def test_a_global_order(spark):
+    rng = random.Random(6)
+    paths = [f"/{rng.choice('aZé-_')}{rng.randrange(99)}/{rng.randrange(999)}.nef" for _ in range(400)] + ["/same/x.nef"] * 5
+    rows = spark.createDataFrame([(p, k) for k, p in enumerate(paths)], "path string, size int").repartition(5)
+    made = catalog.ordered_jobs(rows, 7).orderBy("ord").collect()
+    assert [r["ord"] for r in made] == list(range(1, 406))
+    assert [r["path"] for r in made] == sorted(paths, key=str.encode)
+    assert sorted(r["size"] for r in made) == list(range(405))
+    assert catalog.ordered_jobs(rows.limit(0), 3).count() == 0

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rawframe.functions import rules
+from rawframe.functions import colour, frames, rules
 from rawframe.operators import tables
 
 
@@ -74,3 +74,66 @@ def test_rules(spark):
     want = hashlib.md5(hashlib.md5(b"a").digest() + b"M" + b"\2\1\0\0" + b"\0" * 20 + b"x").hexdigest()
     assert math.isclose(row["g"], math.sqrt(2)) and row["p"] == 2 and tuple(row["v"]) == ("1.6.0.0", "1.3.0.0")
     assert (row["s"], row["t"], row["w"], row["u"]) == (True, False, True, want)
+
+
+def test_colour_matrices(spark):
+    rng = np.random.default_rng(2)
+    to_srgb, daylight = (np.eye(3) + rng.normal(0, 0.2, (3, 3))), [2.0, 0.0, 1.5, 1.0]
+    known = rng.normal(0, 1, 12)
+    srgb = np.array(colour.SRGB_OF_XYZ).reshape(3, 3)
+    lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    made = lambda k, m, planes: spark.range(1).select(colour.camera_matrix(lit(k), lit(m), lit(daylight), F.lit(planes)).alias("r")).first()["r"]
+    own = made(known, to_srgb.ravel(), 4)
+    assert own["source"] == "known" and own["warning"] is None and own["matrix"] == pytest.approx(known.tolist())
+    derived = made([0.0] * 12, to_srgb.ravel(), 3)
+    want = np.linalg.inv(to_srgb) @ srgb * np.array([1 / 2.0, 1.0, 1 / 1.5])[:, None]
+    assert derived["source"] == "derived" and derived["warning"] == colour.DERIVED and derived["matrix"] == pytest.approx(want.ravel().tolist())
+    assert made([0.0] * 9 + [1.0] * 3, np.zeros(9), 3)["source"] == "srgb"
+    last = made([0.0] * 12, to_srgb.ravel(), 4)
+    assert last["warning"] == colour.APPROXIMATE and last["matrix"] == pytest.approx([*srgb.ravel(), 0, 0, 0])
+    assert made(known, to_srgb.ravel(), 1) is None
+    shot = lambda cam, planes: spark.range(1).select(colour.as_shot(lit(cam), lit([2.0, 1.0, 1.5, 0.0]), F.lit(planes)).alias("r")).first()["r"]
+    assert shot([2.0, 1.0, 4.0, 0.0], 3)["neutral"] == [0.5, 1.0, 0.25] and shot([2.0, 1.0, 4.0, 0.0], 3)["warning"] is None
+    assert shot([2.0, 0.0, 4.0, 0.0], 3)["warning"] == colour.DAYLIGHT and shot([0.0] * 4, 4) is None
+
+
+def test_filter_patterns(spark):
+    def made(colours, letters="RGBG", number=3, sixteen=False):
+        c = frames.filter_pattern(F.array(*[F.lit(x) for x in colours]), F.lit(letters), F.lit(number), F.lit(sixteen))
+        return spark.range(1).select(c.alias("r")).first()["r"]
+
+    bayer = made([0, 1, 3, 2] * 4)
+    assert (bayer["rows"], bayer["cols"], bayer["pattern"], bayer["plane_colours"], bayer["reason"]) == (2, 2, [0, 1, 1, 2], [0, 1, 2], None)
+    four = made([0, 1, 1, 2, 2, 0, 1, 1] * 2, "RGBE")
+    assert (four["rows"], four["pattern"]) == (4, [0, 1, 1, 2, 2, 0, 1, 1])
+    eight = made([0, 1] * 7 + [2, 1])
+    assert eight["rows"] == 8
+    trans = [1, 1, 0, 1, 1, 2, 1, 1, 2, 1, 1, 0, 2, 0, 1, 0, 2, 1, 1, 1, 2, 1, 1, 0, 1, 1, 0, 1, 1, 2, 0, 2, 1, 2, 0, 1]
+    assert (made(trans)["rows"], made(trans)["cols"], made(trans)["pattern"]) == (6, 6, trans)
+    assert made([0, 1, 2, 3] * 4, "CYMG", 4)["plane_colours"] == [3, 5, 4, 1] and made([3] * 16, "RGBB")["pattern"] == [2] * 4
+    assert made([0] * 16, sixteen=True)["reason"].startswith("16x16") and made([0] * 16, number=2)["reason"].startswith("unexpected")
+    assert made([0] * 16, "RXB ")["reason"] == "colour filter 'X' has no DNG equivalent" and made([0, 1, 4, 2] * 4)["reason"] == "unreadable colour filter layout"
+
+
+def test_sixteen_words(spark):
+    def check(b):
+        s = 0
+        for x in b:
+            s = (73 * s + x) % 65519
+        return s
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(30):
+        d = [rng.randrange(256) for _ in range(32)]
+        d[14] = d[14] & 0xF0 | (1 if k % 3 else 2)
+        for i, part in ((1, lambda: d[4:16]), (14, lambda: d[16:28]), (0, lambda: d[2:30:2]), (15, lambda: d[3:31:2])):
+            d[2 * i], d[2 * i + 1] = check(part()) & 255, check(part()) >> 8
+        if k % 5 == 4:
+            d[k] ^= 1
+        rows.append((k, d))
+    rows.append((99, [0] * 8))
+    made = {r["k"]: tuple(r["r"]) for r in spark.createDataFrame(rows, "k int, d array<int>").select("k", rules.sixteen_words(F.col("d")).alias("r")).collect()}
+    for k, d in rows:
+        sound = k < 99 and k % 5 != 4
+        assert made[k] == (sound, sound and k % 3 != 0), k
