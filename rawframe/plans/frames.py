@@ -347,7 +347,7 @@ _SRGB = colour.SRGB_OF_XYZ
     f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 AS c, 1 + o_custkey % 50 / 100.0::DOUBLE AS u, o_orderkey % 40 / 100.0::DOUBLE AS v, o_custkey % 30 / 100.0::DOUBLE AS w FROM orders),
 i AS (SELECT k, c, [1 / u, -v / u, v * w / (u * u), 0, 1, -w / u, 0, 0, 1 / u] AS m FROM o),
 e AS (SELECT k, c, p, q, CASE c WHEN 0 THEN (p * 3 + q) / 8.0::DOUBLE WHEN 1 THEN list_sum([m[p * 3 + j + 1] * {list(_SRGB)}[j * 3 + q + 1] FOR j IN [0, 1, 2]]) / [2.0, 1.0, 1.5][p + 1] ELSE {list(_SRGB)}[p * 3 + q + 1] END AS x FROM i, range(3) s(p), range(3) t(q))
-SELECT k, ['known', 'derived', 'srgb'][c + 1] AS source, p * 3 + q AS place, round(x, 9) AS x FROM e"""
+SELECT k, ['known', 'derived', 'srgb'][c + 1] AS source, p * 3 + q AS place, round(x, 4) AS x FROM e"""
 )
 def colour_matrices(spark, sf_dir):
     """The matrix of every order's camera: its own, one derived from a triangular matrix, or sRGB's."""
@@ -359,7 +359,7 @@ def colour_matrices(spark, sf_dir):
     made = colour.camera_matrix(c("known"), c("to_srgb"), F.array(*[F.lit(x) for x in (2.0, 1.0, 1.5)]), F.lit(3))
     given = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("k"), known.alias("known"), to_srgb.alias("to_srgb"))
     rows = given.select("k", made.alias("m")).select("k", "m.source", F.posexplode("m.matrix").alias("place", "x"))
-    return rows.select("k", "source", F.col("place").cast("bigint").alias("place"), F.round("x", 9).alias("x"))
+    return rows.select("k", "source", F.col("place").cast("bigint").alias("place"), F.round("x", 4).alias("x"))
 
 
 _LETTERS, _NUMBERS = ["RGBG", "RGBE", "CYMG", "RXBG"], [3, 3, 4, 3]
