@@ -52,3 +52,13 @@ def test_filter_keeps_columns_and_clean_rows(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == [(2, "w1 w2 w3", "y"), (None, None, None)]
     assert D.decontaminate(docs.limit(0), items).count() == 0
     assert D.decontaminate(docs, items.limit(0)).count() == 3
+
+
+def test_a_repeated_item_is_read_once(spark):
+    docs, items = made(4)
+    frame = lambda x: spark.createDataFrame(x, "item_id long, text string")
+    many = frame(items * 200)
+    assert len(list(D.automata(many, 13, 10_000))) == len(list(D.automata(frame(items), 13, 10_000)))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    read = lambda b: sorted((r["doc_id"], r["n_words"], [tuple(s) for s in r["hit_spans"]], r["items"]) for r in D.match_benchmark(rows, b, 5).collect())
+    assert repr(read(many)) == repr(read(frame(items)))

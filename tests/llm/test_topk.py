@@ -46,3 +46,14 @@ def test_odd_rows(spark, tmp_path):
     assert got == [(0, 1, 1, 512), (0, 2, 6, 512), (0, 3, 20, 32), (20, 1, 0, 32), (20, 2, 1, 0), (20, 3, 6, 0)]
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/none/embeddings.parquet")
     assert T.op6_topk(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    rows = [(1, [3, 3])] * 300 + [(k, [k % 5, 1]) for k in range(2, 40)]
+    queries = [(0, [1, 1]), (1, [2, 0])]
+    frame = lambda x: spark.createDataFrame(x, "id long, v array<long>").repartition(4)
+    got = sorted(map(tuple, T.top_k(frame(queries), frame(rows), 6, 8, 1).collect()))
+    assert got == brute(queries, rows, 6)
+    copies = frame(rows).groupBy("id", "v").count().selectExpr("id", "v", "explode(sequence(1L, least(count, 6L))) AS copy")
+    blocks, n = T._blocked(copies, 8)
+    assert n > 4 and blocks.where("block is not null").count() > 3
