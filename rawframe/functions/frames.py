@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .colour import let
+
 # The margin around a mosaic's picture, and the least edge of a useful preview.
 MARGIN, USEFUL_EDGE = 2, 1000
 # Readers accept black patterns of up to so many rows or columns; samples have 16 bits.
@@ -171,6 +173,29 @@ def render_size(width: Column, height: Column, skip_x: Column, skip_y: Column, p
     return F.when(good, F.struct(side(shown_w, cells_x).alias("width"), side(shown_h, cells_y).alias("height")))
 
 
+def render_layout(left: Column, top: Column, width: Column, height: Column, skip_x: Column, skip_y: Column, period_x: Column, period_y: Column, scale_h: Column, scale_v: Column, most: Column) -> Column:
+    """struct(width, height, cell_width, cell_height, across, down, left, top) of a rendering of a crop, null where none is possible.
+
+    Cells are whole parts of the mosaic, the largest that still give the size of render_size; there are across x down of them,
+    of which the rendering is averaged. What is left over goes off both edges alike, by whole parts."""
+    size = render_size(width, height, skip_x, skip_y, period_x, period_y, scale_h, scale_v, most)
+    lost = lambda skip, period: (period - skip % period) % period
+
+    def axis(start: Column, extent: Column, skip: Column, period: Column, shown: Column) -> tuple[Column, Column, Column]:
+        whole = extent - lost(skip, period)
+        cell = period * F.floor(F.floor(whole / period) / F.nullif(shown, F.lit(0)))
+        count = F.floor(whole / F.nullif(cell, F.lit(0)))
+        begin = start + lost(skip, period) + F.floor(F.floor((whole - count * cell) / 2) / period) * period
+        return cell.cast("bigint"), count.cast("bigint"), begin.cast("bigint")
+
+    def made(found: Column) -> Column:
+        x, y = axis(left, width, skip_x, period_x, found["width"]), axis(top, height, skip_y, period_y, found["height"])
+        parts = {"width": found["width"], "height": found["height"], "cell_width": x[0], "cell_height": y[0], "across": x[1], "down": y[1], "left": x[2], "top": y[2]}
+        return F.when(found.isNotNull(), F.struct(*[v.alias(n) for n, v in parts.items()]))
+
+    return let(size, made)
+
+
 def preview_choice(mode: Column, camera: Column, rendered: Column) -> Column:
     """struct(kind, width, height) from structs of sizes (null: there is none). mode: auto, camera, render or none.
 

@@ -118,6 +118,23 @@ def render_sizes(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", size.alias("s")).select("l_orderkey", "l_linenumber", "s.*")
 
 
+@query(
+    """WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey % 900 + 1 AS w, l_suppkey % 700 + 1 AS h, l_linenumber % 2 AS sx, l_orderkey % 2 AS sy, 1.0::DOUBLE + (l_orderkey % 3) * 0.25 AS scale, CASE WHEN l_partkey % 4 = 0 THEN 0 ELSE 100 END AS most FROM lineitem),
+b AS (SELECT *, w - (2 - sx % 2) % 2 AS bw, h - (2 - sy % 2) % 2 AS bh FROM a), c AS (SELECT *, bw // 2 AS cx, bh // 2 AS cy, bw * scale AS dw, bh * 1.0::DOUBLE AS dh FROM b),
+d AS (SELECT *, least(1.0, cx / dw, cy / dh, CASE WHEN most > 0 THEN most / greatest(dw, dh) ELSE 1.0 END) AS s FROM c),
+e AS (SELECT *, (2 - sx % 2) % 2 AS lx, (2 - sy % 2) % 2 AS ly, CAST(greatest(1, least(cx, floor(dw * s + 0.5))) AS BIGINT) AS tw, CAST(greatest(1, least(cy, floor(dh * s + 0.5))) AS BIGINT) AS th FROM d WHERE bw >= 2 AND bh >= 2),
+f AS (SELECT *, 2 * (cx // tw) AS qx, 2 * (cy // th) AS qy FROM e)
+SELECT l_orderkey, l_linenumber, tw AS width, th AS height, qx AS cell_width, qy AS cell_height, bw // qx AS across, bh // qy AS down,
+5 + lx + (bw - bw // qx * qx) // 2 // 2 * 2 AS "left", 3 + ly + (bh - bh // qy * qy) // 2 // 2 * 2 AS top FROM f"""
+)
+def render_layouts(spark, sf_dir):
+    """The cells of renderings of crops that begin at 5, 3."""
+    c = F.col
+    scale = 1.0 + (c("l_orderkey") % 3) * 0.25
+    made = frames.render_layout(F.lit(5), F.lit(3), c("l_partkey") % 900 + 1, c("l_suppkey") % 700 + 1, c("l_linenumber") % 2, c("l_orderkey") % 2, F.lit(2), F.lit(2), scale, F.lit(1.0), F.when(c("l_partkey") % 4 == 0, 0).otherwise(100))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", made.alias("r")).where("r is not null").select("l_orderkey", "l_linenumber", "r.*")
+
+
 @query(
     """WITH a AS (SELECT l_orderkey, l_linenumber, ['auto', 'camera', 'render', 'none'][l_orderkey % 4 + 1] AS mode, l_partkey % 2 = 0 AS has, l_partkey % 3000 AS cw, 400 AS ch, l_suppkey % 3 > 0 AS can, l_suppkey * 5 AS rw, 300 AS rh FROM lineitem),
 b AS (SELECT *, has AND mode IN ('auto', 'camera') AS c, can AND mode IN ('auto', 'render') AS r FROM a), d AS (SELECT *, c AND (NOT r OR greatest(cw, ch) >= 1000 OR greatest(cw, ch) >= greatest(rw, rh)) AS own FROM b)

@@ -137,3 +137,25 @@ def test_sixteen_words(spark):
     for k, d in rows:
         sound = k < 99 and k % 5 != 4
         assert made[k] == (sound, sound and k % 3 != 0), k
+
+
+def test_layouts(spark):
+    def loop(x0, y0, w, h, sx, sy, px, py, most):
+        skip_x, skip_y = (px - sx % px) % px, (py - sy % py) % py
+        if w < skip_x + px or h < skip_y + py:
+            return None
+        x0, y0, w, h = x0 + skip_x, y0 + skip_y, w - skip_x, h - skip_y
+        cells_x, cells_y = w // px, h // py
+        shrink = min(1.0, cells_x / w, cells_y / h, most / max(w, h) if most else 1.0)
+        tw, th = (max(1, min(c, math.floor(n * shrink + 0.5))) for n, c in ((w, cells_x), (h, cells_y)))
+        bx, by = px * (cells_x // tw), py * (cells_y // th)
+        across, down = w // bx, h // by
+        return (tw, th, bx, by, across, down, x0 + (w - across * bx) // 2 // px * px, y0 + (h - down * by) // 2 // py * py)
+
+    rng = random.Random(1)
+    rows = [(k, rng.randrange(9), rng.randrange(9), rng.randrange(1, 900), rng.randrange(1, 700), rng.randrange(7), rng.randrange(7), rng.choice([1, 2, 3]), rng.choice([1, 2, 3]), rng.choice([0, 1, 64, 100, 333])) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, x0 int, y0 int, w int, h int, sx int, sy int, px int, py int, most int")
+    c = F.col
+    made = df.select("k", frames.render_layout(c("x0"), c("y0"), c("w"), c("h"), c("sx"), c("sy"), c("px"), c("py"), F.lit(1.0), F.lit(1.0), c("most")).alias("r")).collect()
+    for r in made:
+        assert (tuple(r["r"]) if r["r"] else None) == loop(*rows[r["k"]][1:]), rows[r["k"]]
