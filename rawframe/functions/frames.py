@@ -218,6 +218,7 @@ def storage_choice(compression: Column, distance: Column, spp: Column, refusal:
     falls_back = (compression == "jxl") & ~spp.isin(1, 3)
     chosen = F.when(falls_back, "lossless jpeg").otherwise(compression)
     plain = (chosen == "jxl") & (distance > 0) & refusal.isNotNull()
+    # The notes' texts.
     notes = F.concat_ws(
         "; ",
         F.when(falls_back, F.concat(spp.cast("string"), F.lit(" samples per pixel cannot be stored with JPEG XL; lossless JPEG was used"))),
@@ -301,6 +302,7 @@ def joined_notes(*notes: Column) -> Column:
 
 
 def error_text(rms: Column, tile_rms: Column, p999: Column) -> Column:
+    # Fixed value: the text.
     return F.format_string("rms %.3f %%, worst tile %.3f %%, 99.9 %% within %.2f %%", rms * 100, tile_rms * 100, p999 * 100)
 
 
@@ -318,6 +320,7 @@ def profile_label(name: Column, file_name: Column) -> Column:
 def profile_summary(illuminants: Column, forward: Column, hue_dims: Column, look_dims: Column, tone_curve: Column, number: Column | None = None) -> Column:
     """A line on a profile from its light sources (array of codes; number: how many it is made for, if not these), table dimensions (arrays or null) and flags."""
     n = F.size(illuminants) if number is None else number
+    # The words of the summary.
     counted = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("no", "one", "two", "three")]), (F.least(n, F.lit(3)) + 1).cast("int")), F.lit(" illuminant"), F.when(n == 1, "").otherwise("s"))
     lights = F.array_join(F.transform(illuminants, illuminant), ", ")
     table = lambda what, dims: F.when(dims.isNotNull(), F.concat(F.lit(what), F.lit(" "), F.array_join(F.transform(dims, lambda d: d.cast("string")), "x")))
