@@ -64,6 +64,15 @@ FAMILY_GRAMS = 1_000_000
 SIEVE = 25
 #: N-grams of sets that a pass has in hand at a time.
 SLICE_GRAMS = 1 << 18
+#: Entries of lists that a pass has in hand at a time, and short lists' entries whose pairs are made at once.
+SLICE_ENTRIES = 1 << 19
+PAIRED_ENTRIES = 1 << 16
+#: Pairs that are kept before equal ones are added up.
+MOST_PAIRS = 1 << 21
+#: A light set shows at most so many subsets.
+MOST_SUBSETS = 1 << 17
+#: A subset's entry takes the room in a bucket of so many bytes of n-grams, of which about a fifth enter lists.
+ENTRY_BYTES = 40
 _IN_WORD = byte_class(r"[^\x20\x09-\x0D]")
 _SUBSET = np.uint64(0xA24BAED4963EE407)
 
@@ -94,6 +103,12 @@ def subset_sizes(n: int, light: int, percent: int) -> tuple[int, ...]:
     return tuple(sorted({overlap(n, m, percent) for m in range(needed(n, percent), min(light, 100 * n // percent) + 1)}))
 
 
+@lru_cache(maxsize=256)
+def shown(n: int, light: int, percent: int) -> int:
+    """How many subsets a light set of n shows."""
+    return sum(comb(n, c) for c in subset_sizes(n, light, percent))
+
+
 def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
     """The largest size of a light set, by the numbers of sets of each (small) size.
 
@@ -109,14 +124,14 @@ def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
             if n > light:
                 total += sets * scanned(n)
             else:
-                total += sets * sum(comb(n, c) for c in subset_sizes(n, light, percent))
+                total += sets * shown(n, light, percent)
                 total += sets * int(prefix(n, percent)) * (100 * n >= percent * (light + 1))
         return total
 
     costs = [whole(0)]
     for light in count(1):
-        # One set of this size alone would cost more than no enumeration at all, as any larger one does.
-        if light > max(sizes, default=0) or sum(comb(light, c) for c in subset_sizes(light, light, percent)) > costs[0]:
+        # One set of this size alone would cost more than no enumeration at all, or show too much, as any larger one does.
+        if light > max(sizes, default=0) or shown(light, light, percent) > min(costs[0], MOST_SUBSETS):
             return int(np.argmin(costs))
         costs.append(whole(light))
 
@@ -238,13 +253,32 @@ def _count_lists(table: pa.Table, most: int) -> pa.Table:
     )
 
 
+@lru_cache(maxsize=64)
+def _choices(n: int, k: int) -> np.ndarray:
+    """All choices of k of n places, a row each."""
+    return np.fromiter((x for chosen in combinations(range(n), k) for x in chosen), np.uint8).reshape(comb(n, k), k)
+
+
 def subset_keys(grams: np.ndarray, light: int, percent: int) -> np.ndarray:
     """A hash of each subset that a light set shows."""
+    return subset_table(grams[None, :], light, percent)[0]
+
+
+def subset_table(grams: np.ndarray, light: int, percent: int) -> np.ndarray:
+    """The same for sets of one size, a row each.
+
+    A subset's sum is the whole's less what is left out, which is the smaller part."""
+    n = grams.shape[1]
     mixed, out = mix(grams ^ _SUBSET), []
-    for c in subset_sizes(len(grams), light, percent):
-        places = np.fromiter((x for s in combinations(range(len(grams)), c) for x in s), np.int64).reshape(-1, c)
-        out.append(mix(mixed[places].sum(axis=1, dtype=np.uint64) + np.uint64(c)))
-    return np.concatenate(out)
+    whole = mixed.sum(axis=1, dtype=np.uint64)[:, None]
+    for c in subset_sizes(n, light, percent):
+        less = 2 * c > n
+        places = _choices(n, n - c if less else c)
+        sums = np.zeros((len(grams), len(places)), np.uint64)
+        for at in places.T:
+            sums += mixed[:, at]
+        out.append(mix((whole - sums if less else sums) + np.uint64(c)))
+    return np.concatenate(out, axis=1)
 
 
 def _entries(rep: np.ndarray, grams: np.ndarray, first: np.ndarray, percent: int, last: tuple[np.ndarray, np.ndarray], light: int) -> tuple[np.ndarray, ...]:
@@ -262,9 +296,11 @@ def _entries(rep: np.ndarray, grams: np.ndarray, first: np.ndarray, percent: int
         by_rank = np.argsort(last[1][place[own]], kind="stable")[: lacking[d]]
         keys.append(grams[own[by_rank]])
         owners.append(np.full(len(by_rank), d))
-    for d in np.flatnonzero((size <= light) & (size > 0)):
-        keys.append(subset_keys(grams[first[d] : first[d + 1]], light, percent))
-        owners.append(np.full(len(keys[-1]), d))
+    for n in np.unique(size[(size <= light) & (size > 0)]):
+        own = np.flatnonzero(size == n)
+        found = subset_table(grams[first[own][:, None] + np.arange(n)], light, percent)
+        keys.append(found.ravel())
+        owners.append(np.repeat(own, found.shape[1]))
     key, who = np.concatenate(keys), np.concatenate(owners)
     return key, rep[who], size[who], np.arange(len(key)) >= usual
 
@@ -281,13 +317,20 @@ def _ranges(new_key: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int
 
 
 def _list_rows(batch: pa.RecordBatch, percent: int, bits: int, last: tuple[np.ndarray, np.ndarray], light: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, block): this batch's part of the lists: key, class, least and greatest size, star.
+    """(bucket, block): this batch's parts of the lists: key, class, least and greatest size, star.
+
+    A part has about SLICE_ENTRIES entries, as light sets can show very many. What a star has in it is one entry a range of
+    sizes; the others' edges come under a negative bucket."""
+    subsets = np.array([0, *(shown(n, light, percent) for n in range(1, light + 1)), 0])
+    for rep, grams, first in _in_hand(batch):
+        size = np.diff(first)
+        most = np.cumsum([0, *(prefix(size, percent) + subsets[np.minimum(size, light + 1)])])
+        for i, j in slices(most, SLICE_ENTRIES):
+            yield from _list_part(rep[i:j], grams[first[i] : first[j]], first[i : j + 1] - first[i], percent, bits, last, light)
 
-    What a star has here is one entry a range of sizes; the others' edges come under a negative bucket."""
-    parts = [_entries(*x, percent, last, light) for x in _in_hand(batch)]
-    if not parts:
-        return
-    key, row, size, star = (np.concatenate([p[k] for p in parts]) for k in range(4))
+
+def _list_part(rep: np.ndarray, grams: np.ndarray, first: np.ndarray, percent: int, bits: int, last: tuple[np.ndarray, np.ndarray], light: int) -> Iterator[tuple[int, bytes]]:
+    key, row, size, star = _entries(rep, grams, first, percent, last, light)
     order = np.lexsort((row, size, key, star))
     key, row, size, star = (x[order] for x in (key, row, size, star))
     high = size.copy()
@@ -317,9 +360,10 @@ def _list_edges(table: pa.Table, percent: int) -> pa.Table:
         return _edges(a, b, np.zeros(len(a), np.int64))
     parts = [unpack_sorted(b) for b in blocks]
     key, row, low, high, star = (np.concatenate([p[k] for p in parts]) for k in range(5))
-    low, high = low.astype(np.int64), high.astype(np.int64)
+    del blocks, parts
     order = np.lexsort((row, low, key))
-    key, row, low, high, star = (x[order] for x in (key, row, low, high, star))
+    key, row, low, high, star = (x[order] for x in (key, row, low.astype(np.int64), high.astype(np.int64), star))
+    del order
     begins = runs(key)
     length = np.diff(np.append(begins, len(key)))
     star = np.repeat(np.logical_or.reduceat(star, begins) | (length > PAIRED_LIST), length)
@@ -331,25 +375,44 @@ def _list_edges(table: pa.Table, percent: int) -> pa.Table:
         new = np.flatnonzero(_ranges(fresh[of], low[of], high[of], percent))
         head = np.repeat(row[of][new], np.diff(np.append(new, len(of))))
         other = row[of] != head
-        out.append((row[of][other], head[other], np.zeros(int(other.sum()), np.int64)))
-    short = np.flatnonzero(~star)
-    for step in range(1, PAIRED_LIST):
-        i = short[short + step < len(key)]
-        i = i[(key[i] == key[i + step]) & (100 * low[i] >= percent * low[i + step])]
-        if not len(i):
-            break
-        out.append((row[i], row[i + step], spare(low[i])))
+        out.append(_summed(row[of][other], head[other], np.zeros(int(other.sum()), np.int64)))
+    del of, fresh, high
+    key, row, low = (x[~star] for x in (key, row, low))
+    # Some lists at a time, as a list shows up to half its square of pairs.
+    begins = runs(key)
+    near = np.searchsorted(begins, np.arange(0, len(key), PAIRED_ENTRIES))
+    cuts = np.unique(np.append(begins[near[near < len(begins)]], len(key)))
+    for s, e in zip(cuts, cuts[1:]):
+        pairs = []
+        for step in range(1, PAIRED_LIST):
+            i = np.arange(s, e - step)
+            i = i[(key[i] == key[i + step]) & (100 * low[i] >= percent * low[i + step])]
+            if not len(i):
+                break
+            pairs.append((row[i], row[i + step], spare(low[i])))
+        if pairs:
+            out.append(_summed(*(np.concatenate([x[k] for x in pairs]) for k in range(3))))
+        if sum(len(x[0]) for x in out[1:]) > MOST_PAIRS:
+            out = [_summed(*(np.concatenate([x[k] for x in out]) for k in (0, 1, 3)), np.concatenate([x[2] for x in out]))]
     empty = np.empty(0, np.int64)
-    return _edges(*(np.concatenate([x[k] for x in out] or [empty]) for k in range(3)))
+    return _edges(*(np.concatenate([x[k] for x in out] or [empty]) for k in (0, 1, 3)), np.concatenate([x[2] for x in out] or [empty]))
 
 
-def _edges(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> pa.Table:
+def _summed(a: np.ndarray, b: np.ndarray, least: np.ndarray, met: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(a, b, met, least) of each different pair, the greater row first: how often it met, and the least of what it had to."""
     a, b = np.maximum(a, b), np.minimum(a, b)
-    order = np.lexsort((least, b, a))
+    order = np.lexsort((b, a))
     a, b, least = a[order], b[order], least[order]
     pair = runs(a, b)
-    met = np.diff(np.append(pair, len(a)))
-    return pa.table({"a": pa.array(a[pair], pa.int64()), "b": pa.array(b[pair], pa.int64()), "met": pa.array(met.astype(np.int32), pa.int32()), "least": pa.array(least[pair].astype(np.int32), pa.int32())})
+    if not len(pair):
+        return a, b, np.empty(0, np.int64), least
+    met = np.diff(np.append(pair, len(a))) if met is None else np.add.reduceat(met[order], pair)
+    return a[pair], b[pair], met, np.minimum.reduceat(least, pair)
+
+
+def _edges(a: np.ndarray, b: np.ndarray, least: np.ndarray, met: np.ndarray | None = None) -> pa.Table:
+    a, b, met, least = _summed(a, b, least, met)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "met": pa.array(met.astype(np.int32), pa.int32()), "least": pa.array(least.astype(np.int32), pa.int32())})
 
 
 def linked_pairs(grams: np.ndarray, first: np.ndarray, percent: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -513,10 +576,14 @@ def set_groups(docs: DataFrame, width: int, percent: int, long_list: int, family
     slim = classes.drop("grams")
     sizes = {r["n"]: r["sets"] for r in slim.where("n <= 64").groupBy("n").agg(F.count("*").alias("sets")).collect()}
     total = slim.agg(F.sum("n")).first()[0] or 0
-    bits = (1 << max(7, total * 8 // BUCKET_BYTES).bit_length()).bit_length() - 1
+    bits_of = lambda size: (1 << max(7, size // BUCKET_BYTES).bit_length()).bit_length() - 1
+    bits = bits_of(total * 8)
     last, usual = _last_ones(classes, percent, bits, long_list)
     light = boundary(sizes, usual, percent)
-    listed = map_arrow(classes.select("rep", "grams"), _blocks(lambda b: _list_rows(b, percent, bits, last.value, light)), "bucket bigint, block binary")
+    # Subsets are entries of lists too: with very many, there are more buckets.
+    subsets = sum(k * shown(n, light, percent) for n, k in sizes.items() if n <= light)
+    list_bits = bits_of(total * 8 + subsets * ENTRY_BYTES)
+    listed = map_arrow(classes.select("rep", "grams"), _blocks(lambda b: _list_rows(b, percent, list_bits, last.value, light)), "bucket bigint, block binary")
     edges = listed.groupBy("bucket").applyInArrow(tidy(lambda t: _list_edges(t, percent)), "a bigint, b bigint, met int, least int")
     edges = edges.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("least").alias("least")).where("met >= least").select("a", "b")
     families = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))

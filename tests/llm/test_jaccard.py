@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rawframe.llm import jaccard as J
@@ -135,3 +137,59 @@ def test_keep_first_keeps_all_columns(spark):
     got = kept.collect()
     assert len(got) == 6 and {r["n"] for r in got} in ({2, 4, 5, 6, 7}, {3, 4, 5, 6, 7})
     assert {(r["doc_id"], r["text"]) for r in got if r["n"] > 3} == {(9, None), (10, ""), (None, "q r s t u é"), (None, None)}
+
+
+def _batch(sets):
+    grams = pa.array([np.sort(x).tobytes() for x in sets], pa.binary())
+    return pa.record_batch([pa.array(range(len(sets)), pa.int64()), grams], ["rep", "grams"])
+
+
+def _edges_of(blocks, percent=85):
+    by = {}
+    for bucket, block in blocks:
+        by.setdefault(bucket, []).append(block)
+    found = [J._list_edges(pa.table({"bucket": pa.array([k] * len(v), pa.int64()), "block": pa.array(v, pa.binary())}), percent).to_pydict() for k, v in by.items()]
+    return sorted(x for f in found for x in zip(f["a"], f["b"], f["met"], f["least"]))
+
+
+_NONE_LAST = (np.empty(0, np.uint64), np.empty(0, np.int32))
+
+
+def test_many_subsets_are_listed_a_part_at_a_time():
+    rng = np.random.default_rng(5)
+    batch = _batch([rng.integers(0, 2**63, 29, dtype=np.uint64) for _ in range(100)])
+    tracemalloc.start()
+    n = sum(len(block) > 0 for _, block in J._list_rows(batch, 85, 3, _NONE_LAST, 33))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 2.8 million subsets: in one part they took more than 300 MB.
+    assert n >= 8 and peak < 150 << 20
+
+
+def test_parts_of_lists_and_of_pairs_change_no_edge_that_counts(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in (12, 15, 40, 60)]
+    sets = [np.unique(np.append(b[k % 2 :], rng.integers(0, 2**63, k % 3, dtype=np.uint64))) for b in base for k in range(6)]
+    batch = _batch(sets)
+    pairs = lambda light: _edges_of(J._list_rows(batch, 85, 2, _NONE_LAST, light))
+    whole, heavy = pairs(16), pairs(0)
+    monkeypatch.setattr(J, "SLICE_ENTRIES", 40)
+    monkeypatch.setattr(J, "PAIRED_ENTRIES", 8)
+    monkeypatch.setattr(J, "MOST_PAIRS", 4)
+    parts = pairs(16)
+
+    def families(edges):
+        label = list(range(len(sets)))
+        met = {}
+        for a, b, m, least in edges:
+            was = met.get((a, b), (0, least))
+            met[a, b] = (was[0] + m, min(was[1], least))
+        for _ in sets:
+            for (a, b), (m, least) in met.items():
+                if m >= least:
+                    label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert families(parts) == families(whole) and len(set(families(whole))) < len(sets)
+    # Without light sets there are no stars here, and all pairs are the same.
+    assert pairs(0) == heavy != []
