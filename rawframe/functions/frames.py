@@ -17,16 +17,26 @@ def _first(candidates: Column) -> Column:
     return F.get(candidates, F.lit(0))
 
 
+def _bound(then, **values: Column) -> Column:
+    """then(*values), each worked out once however often it is used."""
+    return let(F.struct(*[v.alias(k) for k, v in values.items()]), lambda s: then(*[s[k] for k in values]))
+
+
 def gcd(a: Column, b: Column) -> Column:
     """Euclid's algorithm; 0 and 0 have 0."""
     pair = lambda x, y: F.struct(x.cast("bigint").alias("a"), y.cast("bigint").alias("b"))
-    # 64-bit numbers take at most 91 steps.
-    steps = F.sequence(F.lit(1), F.lit(91))
-    return F.aggregate(steps, pair(F.abs(a), F.abs(b)), lambda s, _: F.when(s["b"] == 0, s).otherwise(pair(s["b"], s["a"] % F.nullif(s["b"], F.lit(0)))))["a"]
+
+    def found(a: Column, b: Column) -> Column:
+        # At most five steps for each digit of the lesser number (Lamé), and one that turns them round.
+        steps = F.sequence(F.lit(0), F.length(F.least(a, b).cast("string")) * 5)
+        return F.aggregate(F.when(a.isNotNull() & b.isNotNull(), steps), pair(a, b), lambda s, _: F.when(s["b"] == 0, s).otherwise(pair(s["b"], s["a"] % F.nullif(s["b"], F.lit(0)))))["a"]
+
+    return _bound(found, a=F.abs(a).cast("bigint"), b=F.abs(b).cast("bigint"))
 
 
 def lcm(a: Column, b: Column) -> Column:
-    return F.when((a == 0) | (b == 0), 0).otherwise(F.floor(F.abs(a) / F.nullif(gcd(a, b), F.lit(0))) * F.abs(b)).cast("bigint")
+    found = lambda a, b: F.when((a == 0) | (b == 0), 0).otherwise(F.floor(F.abs(a) / F.greatest(gcd(a, b), F.lit(1))) * F.abs(b)).cast("bigint")
+    return _bound(found, a=a, b=b)
 
 
 def even_size(n: Column) -> Column:
@@ -92,21 +102,32 @@ def black_pattern(base: Column, by_colour: Column, cfa: Column, rows: Column, co
 
     The colours' and the pattern's periods are brought together; beyond eight the colours' alone
     stay. A pattern of one value is one level."""
-    has = (pattern_rows > 0) & (pattern_cols > 0)
-    long_rows, long_cols = (F.when(has, lcm(a, F.greatest(b, F.lit(1)))).otherwise(a) for a, b in ((rows, pattern_rows), (cols, pattern_cols)))
-    simplified = (long_rows > MOST_PATTERN) | (long_cols > MOST_PATTERN)
-    n_rows, n_cols = F.when(simplified, rows).otherwise(long_rows), F.when(simplified, cols).otherwise(long_cols)
-
-    def level(i: Column) -> Column:
-        r, c = F.floor(i / n_cols).cast("int"), (i % n_cols).cast("int")
-        colour = F.get(cfa, ((r % rows) * cols + c % cols).cast("int"))
-        own = F.coalesce(F.get(pattern, ((r % F.nullif(pattern_rows, F.lit(0))) * pattern_cols + c % F.nullif(pattern_cols, F.lit(0))).cast("int")), F.lit(0.0))
-        return (base + F.get(by_colour, colour.cast("int")) + F.when(has, own).otherwise(0.0)).cast("double")
-
-    levels = F.transform(F.sequence(F.lit(0).cast("bigint"), (n_rows * n_cols - 1).cast("bigint")), level)
-    flat = F.array_min(levels) == F.array_max(levels)
-    one = lambda a, b: F.when(flat, a).otherwise(b)
-    return F.struct(one(F.lit(1), n_rows).cast("bigint").alias("rows"), one(F.lit(1), n_cols).cast("bigint").alias("cols"), one(F.slice(levels, 1, 1), levels).alias("levels"), simplified.alias("simplified"))
+    def periods(base, by_colour, cfa, rows, cols, pattern, pattern_rows, pattern_cols):
+        has = (pattern_rows > 0) & (pattern_cols > 0)
+        long = lambda a, b: F.when(has, lcm(a, F.greatest(b, F.lit(1)))).otherwise(a)
+
+        def sizes(long_rows, long_cols):
+            simplified = (long_rows > MOST_PATTERN) | (long_cols > MOST_PATTERN)
+            return _bound(made, n_rows=F.when(simplified, rows).otherwise(long_rows), n_cols=F.when(simplified, cols).otherwise(long_cols), simplified=simplified)
+
+        def made(n_rows, n_cols, simplified):
+            def level(r, c):
+                colour = F.get(cfa, ((r % rows) * cols + c % cols).cast("int"))
+                own = F.coalesce(F.get(pattern, ((r % F.nullif(pattern_rows, F.lit(0))) * pattern_cols + c % F.nullif(pattern_cols, F.lit(0))).cast("int")), F.lit(0.0))
+                return (base + F.get(by_colour, colour.cast("int")) + F.when(has, own).otherwise(0.0)).cast("double")
+
+            each = lambda i: _bound(level, r=F.floor(i / n_cols).cast("int"), c=(i % n_cols).cast("int"))
+            levels = F.transform(F.sequence(F.lit(0).cast("bigint"), (n_rows * n_cols - 1).cast("bigint")), each)
+            return _bound(lambda levels, n_rows, n_cols, simplified: flattened(levels, n_rows, n_cols, simplified), levels=levels, n_rows=n_rows, n_cols=n_cols, simplified=simplified)
+
+        def flattened(levels, n_rows, n_cols, simplified):
+            flat = F.array_min(levels) == F.array_max(levels)
+            one = lambda a, b: F.when(flat, a).otherwise(b)
+            return F.struct(one(F.lit(1), n_rows).cast("bigint").alias("rows"), one(F.lit(1), n_cols).cast("bigint").alias("cols"), one(F.slice(levels, 1, 1), levels).alias("levels"), simplified.alias("simplified"))
+
+        return _bound(sizes, long_rows=long(rows, pattern_rows), long_cols=long(cols, pattern_cols))
+
+    return _bound(periods, base=base, by_colour=by_colour, cfa=cfa, rows=rows, cols=cols, pattern=pattern, pattern_rows=pattern_rows, pattern_cols=pattern_cols)
 
 
 def cfa_rows(colours: Column) -> Column:
