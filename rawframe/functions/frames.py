@@ -132,8 +132,17 @@ def black_pattern(base: Column, by_colour: Column, cfa: Column, rows: Column, co
 
 def cfa_rows(colours: Column) -> Column:
     """The rows after which a pattern of eight rows and two columns repeats: 2, 4 or 8."""
-    repeats = lambda n: F.forall(F.sequence(F.lit(0), F.lit(15)), lambda i: F.get(colours, i) == F.get(colours, i % (2 * n)))
-    return F.when(repeats(2), 2).when(repeats(4), 4).otherwise(8)
+
+    def found(c: Column) -> Column:
+        def repeats(n: int) -> Column:
+            out = F.lit(True)
+            for i in range(2 * n, 16):
+                out = out & (F.get(c, F.lit(i)) == F.get(c, F.lit(i % (2 * n))))
+            return out
+
+        return F.when(repeats(2), 2).when(repeats(4), 4).otherwise(8)
+
+    return let(colours, found)
 
 
 def filter_pattern(colours: Column, letters: Column, number: Column, sixteen: Column) -> Column:

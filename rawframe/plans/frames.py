@@ -102,7 +102,7 @@ def filter_periods(spark, sf_dir):
         r = F.floor(i / 2)
         return F.when(k == 0, r % 2 + i % 2).when(k == 1, (r % 4 * 3 + i % 2) % 3 + F.when(r % 4 == 3, 1).otherwise(0)).otherwise(i % 5)
 
-    return table(spark, sf_dir, "orders").select("o_orderkey", frames.cfa_rows(F.transform(F.sequence(F.lit(0), F.lit(15)), one)).alias("rows"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", frames.cfa_rows(F.array(*[one(F.lit(i)) for i in range(16)])).alias("rows"))
 
 
 @query(

@@ -34,3 +34,7 @@ def test_divisors_of_any_numbers(spark, a, b):
     long = lambda v: F.lit(v).cast("bigint")
     want = None if a is None or b is None else math.gcd(a, b)
     assert spark.range(1).select(frames.gcd(long(a), long(b)), frames.gcd(long(b), long(a))).first() == (want, want)
+
+
+def test_filter_periods(spark):
+    assert _times(spark, lambda x: frames.cfa_rows(_array(x, 16))) == 1
