@@ -153,23 +153,31 @@ def filter_pattern(colours: Column, letters: Column, number: Column, sixteen: Co
     second plane. The rows are the least of 2, 4 and 8 after which the pattern repeats; sixteen by sixteen isn't supported."""
     # The numbers of colours, and the reasons' texts.
     codes = F.create_map(*[v for k, letter in enumerate("RGBCMYW") for v in (F.lit(letter), F.lit(k))])
-    letter = lambda i: F.substring(letters, i + 1, 1)
-    same = F.when(letter(2) == letter(3), 2).when(letter(1) == letter(3), 1).when(letter(0) == letter(3), 0).otherwise(1)
-    plane_of = lambda i: F.when((i == 3) & (number == 3), same).otherwise(i)
-    used = F.transform(F.sequence(F.lit(0), number.cast("int") - 1), lambda p: F.substring(letters, p + 1, F.lit(1)))
-    unknown = F.get(F.filter(used, lambda c: ~F.map_contains_key(codes, c)), F.lit(0))
-    six = F.size(colours) == 36
-    rows = F.when(six, 6).otherwise(cfa_rows(colours))
-    cols = F.when(six, 6).otherwise(2)
-    reason = (
-        F.when(sixteen, "16x16 colour filter patterns are not supported yet")
-        .when(~number.isin(3, 4), "unexpected number of colours in the filter array")
-        .when(unknown.isNotNull(), F.concat(F.lit("colour filter '"), unknown, F.lit("' has no DNG equivalent")))
-        .when(~F.forall(F.slice(colours, F.lit(1), rows * cols), lambda i: i.between(0, 3)), "unreadable colour filter layout")
-    )
-    sound = reason.isNull()
-    pattern = F.transform(F.slice(colours, F.lit(1), rows * cols), plane_of)
-    return F.struct(F.when(sound, rows).alias("rows"), F.when(sound, cols).alias("cols"), F.when(sound, pattern).alias("pattern"), F.when(sound, F.transform(used, lambda c: F.try_element_at(codes, c))).alias("plane_colours"), reason.alias("reason"))
+
+    def found(colours, letters, number, sixteen):
+        letter = lambda i: F.substring(letters, i + 1, 1)
+        same = F.when(letter(2) == letter(3), 2).when(letter(1) == letter(3), 1).when(letter(0) == letter(3), 0).otherwise(1)
+        used = F.transform(F.sequence(F.lit(0), number.cast("int") - 1), lambda p: F.substring(letters, p + 1, F.lit(1)))
+        six = F.size(colours) == 36
+        return _bound(sized, colours=colours, number=number, sixteen=sixteen, same=same, used=used, rows=F.when(six, 6).otherwise(cfa_rows(colours)), cols=F.when(six, 6).otherwise(2))
+
+    def sized(colours, number, sixteen, same, used, rows, cols):
+        own = F.slice(colours, F.lit(1), rows * cols)
+        unknown = F.get(F.filter(used, lambda c: ~F.map_contains_key(codes, c)), F.lit(0))
+        reason = (
+            F.when(sixteen, "16x16 colour filter patterns are not supported yet")
+            .when(~number.isin(3, 4), "unexpected number of colours in the filter array")
+            .when(unknown.isNotNull(), F.concat(F.lit("colour filter '"), unknown, F.lit("' has no DNG equivalent")))
+            .when(~F.forall(own, lambda i: i.between(0, 3)), "unreadable colour filter layout")
+        )
+        return _bound(judged, own=own, number=number, same=same, used=used, rows=rows, cols=cols, reason=reason)
+
+    def judged(own, number, same, used, rows, cols, reason):
+        sound = reason.isNull()
+        pattern = F.transform(own, lambda i: F.when((i == 3) & (number == 3), same).otherwise(i))
+        return F.struct(F.when(sound, rows).alias("rows"), F.when(sound, cols).alias("cols"), F.when(sound, pattern).alias("pattern"), F.when(sound, F.transform(used, lambda c: F.try_element_at(codes, c))).alias("plane_colours"), reason.alias("reason"))
+
+    return _bound(found, colours=colours, letters=letters, number=number, sixteen=sixteen)
 
 
 def mosaic_block(cfa: Column, rows: int, cols: int, planes: int) -> Column:

@@ -38,3 +38,7 @@ def test_divisors_of_any_numbers(spark, a, b):
 
 def test_filter_periods(spark):
     assert _times(spark, lambda x: frames.cfa_rows(_array(x, 16))) == 1
+
+
+def test_filter_patterns(spark):
+    assert _times(spark, lambda x: frames.filter_pattern(_array(x, 16), F.lit("RGBG"), F.lit(3), F.lit(False))) == 1
