@@ -114,7 +114,8 @@ def corrections(lenses: DataFrame, knots: DataFrame, keys: list[str], mode: str)
     blue), gain five; null where there is none. Errors are in pixels and percent, inside the picture."""
     c = F.col
     curves = gathered(knots, keys)
-    met = lenses.join(curves, keys, "left").withColumns({name: F.coalesce(name, F.array().cast(curves.schema[name].dataType)) for name in CURVES})
+    # By a merge: gathered knots take many times the room that the plan expects, so they must not be broadcast.
+    met = lenses.join(curves.hint("merge"), keys, "left").withColumns({name: F.coalesce(name, F.array().cast(curves.schema[name].dataType)) for name in CURVES})
     x, y = c("left") + c("width") * 0.5, c("top") + c("height") * 0.5
     reach = F.hypot(F.greatest(x, c("active_width") - x), F.greatest(y, c("active_height") - y))
     half = F.hypot("width", "height") * 0.5
@@ -141,7 +142,7 @@ def corrections(lenses: DataFrame, knots: DataFrame, keys: list[str], mode: str)
         (~c("square") & (has["distortion"] | has["red"] | has["vignetting"]) & (F.lit(mode) != "none")).alias("oblong"),
     )
     filling = asked.where(c("bend") & c("fit_frame")).select(*keys, c("width").cast("double").alias("width"), c("height").cast("double").alias("height"), c("distortion")["radius"].alias("radius"), c("distortion")["value"].alias("ratio"))
-    zoomed = asked.join(tables.zooms(filling, keys), keys, "left").withColumn("zoom", F.coalesce("zoom", F.lit(1.0)))
+    zoomed = asked.join(tables.zooms(filling, keys).hint("merge"), keys, "left").withColumn("zoom", F.coalesce("zoom", F.lit(1.0)))
     parts = [*CURVES, "unit", "camera", "edge", "zoom", "centre_x", "centre_y", "bend", "colour", "shade", "left_out", "oblong"]
     fits = _fits(zoomed.select(*keys, F.struct(*parts).alias("_lens")), keys).select(*keys, *[c("_lens")[p].alias(p) for p in parts if p not in CURVES], "_fit.*")
     warped, shaded = c("warps").isNotNull(), c("gain").isNotNull()
