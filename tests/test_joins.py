@@ -1,6 +1,6 @@
 """Joins that must not put what grows with the input into one place."""
 
-from rawframe.plans import frames
+from rawframe.plans import catalogue, frames
 
 
 def _plan(rows):
@@ -10,3 +10,9 @@ def _plan(rows):
 def test_gathered_knots_are_not_broadcast(spark):
     for query in (frames.lens_gains, frames.lens_warps):
         assert "Broadcast" not in _plan(query(spark, "/root/testdata/sf0.001"))
+
+
+def test_profiles_are_judged_once_a_kind_of_picture(spark):
+    plan = catalogue.profile_select(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    assert windows and not any("picture" in line for line in windows)
