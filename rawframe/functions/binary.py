@@ -46,6 +46,16 @@ def double_hex(value: Column) -> Column:
     return _with(value, digits)
 
 
+def turned(digits: Column, size: int) -> Column:
+    """The digits of up to `size` bytes in the other order."""
+    return F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))])
+
+
+def little(value: Column, size: int) -> Column:
+    """The digits of a number of `size` bytes, the lowest first."""
+    return turned(F.lpad(F.hex(value.cast("bigint")), 2 * size, "0"), size)
+
+
 def whole(digits: Column, signed: bool = False, size: int = 4) -> Column:
     """The number that up to 15 digits of a hexadecimal text stand for; of `size` bytes, if signed."""
     n = F.conv(digits, 16, 10).cast("bigint")

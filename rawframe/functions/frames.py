@@ -308,13 +308,15 @@ def maker_settings(distortion: Column, aberration: Column, vignetting: Column) -
 
 def swapped(data: Column, size: Column) -> Column:
     """Bytes of elements of `size` bytes in the other order; rationals go by halves of four. What is left of a last part stays."""
-    h = F.hex(data)
-    whole = F.floor(F.octet_length(data) / size)
-    element = lambda k: F.substring(h, (k * size * 2 + 1).cast("int"), (size * 2).cast("int"))
     turned = lambda e: F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.floor(F.length(e) / 2).cast("int") - 1), lambda i: F.substring(e, i * 2 + 1, F.lit(2)))), "")
-    parts = F.when(whole > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), whole - 1), lambda k: turned(element(k)))).otherwise(F.array().cast("array<string>"))
-    rest = F.substring(h, (whole * size * 2 + 1).cast("int"), F.length(h))
-    return F.unhex(F.concat(F.array_join(parts, ""), rest))
+
+    def found(h: Column, size: Column, whole: Column) -> Column:
+        element = lambda k: F.substring(h, (k * size * 2 + 1).cast("int"), (size * 2).cast("int"))
+        parts = F.when(whole > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), whole - 1), lambda k: let(element(k), turned))).otherwise(F.array().cast("array<string>"))
+        rest = F.substring(h, (whole * size * 2 + 1).cast("int"), F.length(h))
+        return F.unhex(F.concat(F.array_join(parts, ""), rest))
+
+    return _bound(lambda h, size: _bound(found, h=h, size=size, whole=F.floor(F.length(h) / 2 / size)), h=F.hex(data), size=size)
 
 
 def bad_pixels_opcode(constant: Column, phase: Column) -> Column:

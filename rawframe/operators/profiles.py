@@ -141,10 +141,9 @@ def typed(own: DataFrame) -> DataFrame:
     first = Window.partitionBy("path", "tag").orderBy("ord")
     twice = (c("rule") != "camera") & (F.row_number().over(first) > 1)
     judged = decoded.withColumn("_wrong", reason).withColumn("reason", F.coalesce("_wrong", F.when(twice, named("occurs twice"))))
-    little = lambda v, n: F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(v), 2 * n, "0"), F.lit("(..)"), F.lit(1))), ""))
     number = F.get("numbers", F.lit(0))
-    wide = F.unhex(F.array_join(F.transform("numbers", lambda v: F.hex(little(v, 4))), ""))
-    data = F.when(c("rule") == "number16", little(number, 2)).when(c("rule").isin("number32", "dims"), wide).otherwise(c("_low"))
+    wide = F.unhex(F.array_join(F.transform("numbers", lambda v: binary.little(v, 4)), ""))
+    data = F.when(c("rule") == "number16", F.unhex(binary.little(number, 2))).when(c("rule").isin("number32", "dims"), wide).otherwise(c("_low"))
     stored = F.when(c("rule") == "number16", 3).when(c("rule").isin("number32", "dims"), 4).otherwise(c("type"))
     return judged.select("path", "ord", "tag", "rule", "place", "name", "version", "count", "numbers", "reals", data.alias("data"), stored.alias("stored"), "reason")
 
@@ -161,7 +160,7 @@ def profiles(files: DataFrame) -> DataFrame:
     c = F.col
     of = lambda tag, what: F.max(F.when(c("tag") == tag, c(what)))
     has = lambda tag: F.coalesce(F.max(c("tag") == tag), F.lit(False))
-    low = lambda v, n: frames.swapped(F.unhex(F.lpad(F.hex(v.cast("bigint")), 2 * n, "0")), F.lit(n))
+    low = lambda v, n: F.unhex(binary.little(v, n))
     part = F.when((c("rule") != "camera") & c("reason").isNull(), F.concat(low(c("tag"), 2), low(c("stored"), 2), low(c("count"), 4), "data"))
     matrix = c("rule") == "matrix"
     planes = F.floor(c("_m1") / 3)

@@ -491,7 +491,7 @@ def chunk_table(spark, sf_dir):
 def _value(v, size, big):
     """The digits of a number in one of the two orders."""
     h = F.lpad(F.hex(v.cast("bigint")), 2 * size, "0")
-    return h if big else F.hex(frames.swapped(F.unhex(h), F.lit(size)))
+    return h if big else binary.turned(h, size)
 
 
 #: What is wrong with the profile of a part, by its key modulo eight; 6 (a field that no profile has) is sound.

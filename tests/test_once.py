@@ -46,3 +46,7 @@ def test_filter_patterns(spark):
 
 def test_rationals(spark):
     assert _times(spark, tables.signed_rational) == _times(spark, tables.rational) == 1
+
+
+def test_bytes_in_the_other_order(spark):
+    assert _times(spark, lambda x: frames.swapped(x.cast("string").cast("binary"), F.lit(4))) == 1
