@@ -91,20 +91,19 @@ def fields(files: DataFrame) -> DataFrame:
     )
     units = F.create_map(*[F.lit(v) for pair in BYTES.items() for v in pair])
 
-    def field(i: Column) -> Column:
-        start = c("_ifd") + 2 + i * 12
-        e = at((start + 1).cast("int"), F.lit(12))
-        kind, count = _number(F.substring(e, 5, 4), c("big")).cast("int"), _number(F.substring(e, 9, 8), c("big"))
-        n = F.try_element_at(units, kind) * count
-        where = F.when(n > 4, _number(F.substring(e, 17, 8), c("big"))).otherwise(start + 8)
-        inside = (n > 0) & (n <= MOST_BYTES) & (where <= size) & (n <= size - where)
-        value = F.when(inside, F.substring("content", (where + 1).cast("int"), n.cast("int")))
-        whole = start + 12 <= size
-        return F.struct(i.alias("ord"), F.when(whole, _number(F.substring(e, 1, 4), c("big"))).cast("int").alias("tag"), kind.alias("type"), count.alias("count"), n.alias("bytes"), value.alias("value"), F.when(~whole, "the profile is cut short").alias("reason"))
-
-    none = F.array(F.struct(F.lit(-1).alias("ord"), F.lit(None).cast("int").alias("tag"), F.lit(None).cast("int").alias("type"), F.lit(None).cast("bigint").alias("count"), F.lit(None).cast("bigint").alias("bytes"), F.lit(None).cast("binary").alias("value"), c("_reason").alias("reason")))
-    each = F.when(c("_reason").isNull(), F.transform(F.sequence(F.lit(0), c("_n").cast("int") - 1), field)).otherwise(none)
-    return head.withColumn("_reason", reason).select("path", "big", F.explode(each).alias("_f")).select("path", "_f.*", "big")
+    # Each step of a field is a column, worked out once; a file without a directory has one row, number -1.
+    ords = F.when(c("_reason").isNull(), F.sequence(F.lit(0), c("_n").cast("int") - 1)).otherwise(F.array(F.lit(-1)))
+    own = head.withColumn("_reason", reason).select("path", "content", "big", "_ifd", "_reason", size.cast("bigint").alias("_size"), F.explode(ords).alias("ord"))
+    own = own.withColumn("_start", F.when(c("ord") >= 0, c("_ifd") + 2 + c("ord") * 12))
+    own = own.withColumn("_e", at((c("_start") + 1).cast("int"), F.lit(12)))
+    own = own.withColumns({"type": _number(F.substring("_e", 5, 4), c("big")).cast("int"), "count": _number(F.substring("_e", 9, 8), c("big"))})
+    own = own.withColumn("bytes", F.try_element_at(units, c("type")) * c("count"))
+    own = own.withColumn("_where", F.when(c("bytes") > 4, _number(F.substring("_e", 17, 8), c("big"))).otherwise(c("_start") + 8))
+    inside = (c("bytes") > 0) & (c("bytes") <= MOST_BYTES) & (c("_where") <= c("_size")) & (c("bytes") <= c("_size") - c("_where"))
+    whole = c("_start") + 12 <= c("_size")
+    value = F.when(inside, F.substring("content", (c("_where") + 1).cast("int"), c("bytes").cast("int")))
+    tag = F.when(whole, _number(F.substring("_e", 1, 4), c("big"))).cast("int")
+    return own.select("path", "ord", tag.alias("tag"), "type", "count", "bytes", value.alias("value"), F.when(c("ord") < 0, c("_reason")).when(~whole, "the profile is cut short").alias("reason"), "big")
 
 
 def typed(own: DataFrame) -> DataFrame:
