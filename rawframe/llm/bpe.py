@@ -3,7 +3,9 @@
 The words of the whole corpus are counted; the most frequent ones, with the ids they encode
 to, are compiled into a minimal acyclic transducer: an automaton that shares prefixes and
 suffixes, whose arcs carry numbers that add up to a word's place in the table of ids. Tasks
-map it into memory. Words outside the lexicon are merged exactly, pair by pair.
+map it into memory. Words outside the lexicon are merged exactly, pair by pair. A task takes the
+words of a batch of texts at once: they walk through the lexicon together, and those it doesn't
+have are merged together, a pair of each word a round.
 
 The result is that of the tokenizer file whatever the lexicon holds. The lexicon's size is
 bounded by a parameter, so what is broadcast doesn't grow with the data.
@@ -42,6 +44,9 @@ COUNTED_WORDS = 200_000
 
 LONG_WORD_BYTES = 100
 NO_RANK = 1 << 40
+#: Words merged together have lengths up to the same one of these, and so many cells at most.
+WIDTHS = (4, 8, 12, 16, 24, 40, LONG_WORD_BYTES)
+MERGED_CELLS = 1 << 16
 
 # Fixed value: the white space of Unicode, as the tokenizers' pattern takes it.
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -141,6 +146,118 @@ class Merger:
             yield text[at:], None
 
 
+class PairTable:
+    """Ranks of many pairs at once: a hash table with open addresses. Ids that no pair has find no rank."""
+
+    NONE = np.int64(1 << 40)
+
+    def __init__(self, ranks: dict[int, int]):
+        bits = max(4, (4 * len(ranks)).bit_length())
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._pairs = np.full(1 << bits, -1, np.int64)
+        self._ranks = np.full(1 << bits, self.NONE, np.int64)
+        left = np.fromiter(ranks, np.int64, len(ranks))
+        values = np.fromiter(ranks.values(), np.int64, len(ranks))
+        at = self._place(left)
+        while len(left):
+            free = self._pairs[at] == -1
+            self._pairs[at[free]] = left[free]  # of several the last stays
+            won = self._pairs[at] == left
+            self._ranks[at[won]] = values[won]
+            left, values, at = left[~won], values[~won], (at[~won] + 1) & self._mask
+
+    def _place(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pairs = a << 32 | b
+        at = self._place(pairs)
+        seen = self._pairs[at]
+        out = np.where(seen == pairs, self._ranks[at], self.NONE)
+        more = np.flatnonzero((seen != pairs) & (seen != -1))
+        while len(more):
+            at = (at[more] if len(at) == len(pairs) else at) + 1 & self._mask
+            seen = self._pairs[at]
+            hit = seen == pairs[more]
+            out[more[hit]] = self._ranks[at[hit]]
+            on = ~hit & (seen != -1)
+            more, at = more[on], at[on]
+        return out
+
+
+class Merges:
+    """Many words merged together: in each round, each word's pair of the lowest rank, leftmost first."""
+
+    def __init__(self, merger: Merger):
+        self.merger, self.table = merger, PairTable(merger.ranks)
+        self.made = np.array(merger.made, np.int64)
+        #: Beyond a word's ends, and in place of ids that were merged away.
+        self.nothing = max([*merger.single, *merger.made]) + 1
+        self.single = np.array([*merger.single, self.nothing], np.int64)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit numbers."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        out = [b""] * len(words)
+        shorter = 0
+        for width in WIDTHS:
+            among = np.flatnonzero((lengths > shorter) & (lengths <= width))
+            shorter = width
+            rows = max(1, MERGED_CELLS // width)
+            for k in range(0, len(among), rows):
+                part = among[k : k + rows].tolist()
+                for place, ids in zip(part, self._together([words[p] for p in part], width)):
+                    out[place] = ids
+        for place in np.flatnonzero(lengths > shorter).tolist():
+            out[place] = np.array(self.merger.merge(words[place]), "<u4").tobytes()
+        return out
+
+    def _together(self, words: list[bytes], width: int) -> list[bytes]:
+        n, none = len(words), PairTable.NONE << 7
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        # A column a word; two rows more stand for its ends. A pair's number is its rank and its place.
+        letters = np.full((n, width), 256, np.int16)
+        letters[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        done = np.full((width + 2, n), self.nothing)
+        done[:width] = self.single[letters.T]
+        numbers = np.full((width + 2, n), none)
+        for k in range(width - 1):
+            among = np.flatnonzero(lengths > k + 1)
+            numbers[k, among] = self.table.find(done[k, among], done[k + 1, among]) << 7 | k
+        np.minimum(numbers, none, out=numbers)
+        after = np.repeat(np.arange(1, width + 3)[:, None], n, 1)
+        before = np.repeat(np.arange(-1, width + 1)[:, None], n, 1)
+        before[0] = width + 1
+        ids, columns = done, np.arange(n)
+        while True:
+            low = numbers.min(axis=0)
+            live = np.flatnonzero(low < none)
+            if not len(live):
+                break
+            if 2 * len(live) < len(low):
+                # The others move together.
+                done[:, columns] = ids
+                ids, numbers, after, before = (x[:, live] for x in (ids, numbers, after, before))
+                columns, low, live = columns[live], low[live], np.arange(len(live))
+            low = low[live]
+            m, place, new = len(columns), low & 127, self.made[low >> 7]
+            here = place * m + live
+            gone = after.ravel()[here] * m + live
+            right, left = after.ravel()[gone], before.ravel()[here]
+            at_right, at_left = right * m + live, left * m + live
+            flat, pairs = ids.ravel(), numbers.ravel()
+            flat[here], flat[gone], pairs[gone] = new, self.nothing, none
+            after.ravel()[here], before.ravel()[at_right] = right, place
+            found = self.table.find(np.concatenate([new, flat[at_left]]), np.concatenate([flat[at_right], new]))
+            found = np.minimum(found << 7 | np.concatenate([place, left]), none)
+            pairs[here], pairs[at_left] = found[: len(new)], found[len(new) :]
+        done[:, columns] = ids
+        kept = done != self.nothing
+        block = done.T[kept.T].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(kept.sum(axis=0))).tolist()
+        return [block[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def pieces(source: bytes) -> list[bytes]:
     """The bytes of each id."""
     spec, letters = json.loads(source), _byte_letters()
