@@ -33,12 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, read_table, shared, stage_table
+from .kernels import slices
 
 LEXICON_WORDS = 65_536
 #: Longer words are left to merging.
 LEXICON_WORD_BYTES = 64
 #: Encoded words a task remembers before it starts afresh.
 REMEMBERED_WORDS = 250_000
+#: Characters of texts whose words are looked up and merged together; a longer text goes alone.
+TEXTS_AT_ONCE = 1 << 21
 #: Distinct words a counting task holds before it hands its counts on.
 COUNTED_WORDS = 200_000
 
@@ -237,7 +240,7 @@ class Merges:
             if 2 * len(live) < len(low):
                 # The others move together.
                 done[:, columns] = ids
-                ids, numbers, after, before = (x[:, live] for x in (ids, numbers, after, before))
+                ids, numbers, after, before = (x.take(live, axis=1) for x in (ids, numbers, after, before))  # in row order, as they are written flat
                 columns, low, live = columns[live], low[live], np.arange(len(live))
             low = low[live]
             m, place, new = len(columns), low & 127, self.made[low >> 7]
@@ -337,6 +340,8 @@ class Lexicon:
         self.first, self.final, self.targets, self.skips, self.ends = (numbers[a:b] for a, b in zip(cuts, cuts[1:]))
         self.ids = numbers[cuts[-1] :]
         self.states = states
+        #: Each arc's state and label as one number; arcs are in this order.
+        self.arcs = np.repeat(np.arange(states), np.diff(np.asarray(self.first, np.int64))) << 8 | np.frombuffer(self._map, np.uint8, arcs, self._labels)
 
     def find(self, word: bytes) -> bytes | None:
         """The ids of a word as little-endian 32-bit numbers."""
@@ -349,29 +354,73 @@ class Lexicon:
             state = self.targets[arc]
         return self.ids[self.ends[place] : self.ends[place + 1]].tobytes() if self.final[state] else None
 
+    def find_all(self, words: list[bytes]) -> list[bytes | None]:
+        """The same for many words, which walk through the states together, a byte a round."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.cumsum(lengths) - lengths
+        skips, targets, final = (np.asarray(x) for x in (self.skips, self.targets, self.final))
+        out: list[bytes | None] = [None] * len(words)
+        on, state, place = np.arange(len(words)), np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        k = 0
+        while len(on):
+            ended = lengths[on] == k
+            known = ended & (final[state] > 0)
+            for word, at in zip(on[known].tolist(), place[known].tolist()):
+                out[word] = self.ids[self.ends[at] : self.ends[at + 1]].tobytes()
+            on, state, place = (x[~ended] for x in (on, state, place))
+            arc = state << 8 | letters[starts[on] + k]
+            at = np.searchsorted(self.arcs, arc)
+            hit = np.append(self.arcs, -1)[at] == arc
+            at = at[hit]
+            on, state, place = on[hit], targets[at].astype(np.int64), place[hit] + skips[at]
+            k += 1
+        return out
+
 
 class Encoder(dict):
-    """Words to their ids as bytes: remembered, or from the lexicon, or merged."""
+    """Words to their ids as bytes: remembered, or from the lexicon, or merged.
+
+    Special tokens are among the words: no ordinary word is one, as texts are cut at them first."""
 
     def __init__(self, merger: Merger, lexicon: Lexicon | None):
         super().__init__()
-        self.merger, self.lexicon = merger, lexicon
-
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        found = self.lexicon.find(raw) if self.lexicon else None
-        if found is None:
-            found = np.array(self.merger.merge(raw), "<u4").tobytes()
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        self[word] = found
-        return found
+        self.merger, self.lexicon, self.merges = merger, lexicon, Merges(merger)
 
-    def encode(self, text: str) -> bytes:
+    def words(self, text: str) -> list[str]:
+        """Words and special tokens in turn."""
         cut = self.merger.cut
         if cut is None or not cut.search(text):
-            return b"".join(map(self.__getitem__, cut_words(text)))
-        return b"".join(struct.pack("<I", i) if i is not None else b"".join(map(self.__getitem__, cut_words(part))) for part, i in self.merger.parts(text))
+            return cut_words(text)
+        return [w for part, i in self.merger.parts(text) for w in ([part] if i is not None else cut_words(part))]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, some texts at a time."""
+        ends = np.cumsum([0, *map(len, texts)])
+        return [ids for i, j in slices(ends, TEXTS_AT_ONCE) for ids in self._together(texts[i:j])]
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        cut = [self.words(t) for t in texts]
+        wanted = set().union(*cut)
+        new = wanted - self.keys()
+        if new and len(self) + len(new) > REMEMBERED_WORDS:
+            self.clear()
+            new = wanted
+        self._learn(list(new))
+        return [b"".join(map(self.__getitem__, words)) for words in cut]
+
+    def _learn(self, words: list[str]) -> None:
+        special = self.merger.special
+        plain = [w for w in words if w not in special]
+        raw = [w.encode() for w in plain]
+        found = self.lexicon.find_all(raw) if self.lexicon else [None] * len(raw)
+        self.update(zip(plain, found))
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        self.update(zip((plain[k] for k in rest), self.merges.merge([raw[k] for k in rest])))
+        self.update((w, struct.pack("<I", special[w])) for w in words if w in special)
 
 
 def count_words(docs: DataFrame, source: bytes) -> DataFrame:
@@ -444,7 +493,7 @@ def encode(docs: DataFrame, source: bytes, lexicon: bytes | None, text: str = "t
         encoder = Encoder(Merger(merges), Lexicon(block) if block else None)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
-            yield _through(batch, ids, pa.array([encoder.encode(t.as_py() or "") for t in texts], pa.binary()))
+            yield _through(batch, ids, pa.array(encoder.encode_all([t.as_py() or "" for t in texts]), pa.binary()))
 
     return map_arrow(docs, run, _schema(docs, ids, "binary"))
 
@@ -478,7 +527,7 @@ def tokenized(docs: DataFrame, source: bytes | None = None, lexicon_words: int =
         merges, block, piece = sent.value
         encoder = Encoder(Merger(merges), Lexicon(block) if block else None)
         for batch in batches:
-            ids = [encoder.encode(t.as_py() or "") for t in batch.column(1)]
+            ids = encoder.encode_all([t.as_py() or "" for t in batch.column(1)])
             texts = [decoded(x, piece) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["row", "ids", "decoded"])
 

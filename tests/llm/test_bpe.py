@@ -57,6 +57,30 @@ def test_lexicon_shares_and_finds():
     assert bpe.Lexicon(bpe.compile_lexicon({})).find(b"a") is None
 
 
+def test_words_of_texts_are_merged_together(monkeypatch):
+    merger = bpe.Merger(bpe.tokenizer_bytes())
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeilnrstAE é🙂0!") for _ in range(rng.randrange(1, 105))).encode()[: rng.randrange(1, 105)] for _ in range(3000)]
+    words += [bytes([b]) * n for b in b"a0\xff" for n in (1, 2, 3, 99, 100, 101, 500)] + [b""]
+    assert bpe.Merges(merger).merge(words) == [np.array(merger.merge(w), "<u4").tobytes() for w in words]
+    text = " ".join(w.decode("utf-8", "replace") for w in words[:1000]) + "<|endoftext|>" + "b" * 300
+    ids = b"".join(np.array([i] if i is not None else [x for w in bpe.cut_words(part) for x in merger.merge(w.encode())], "<u4").tobytes() for part, i in merger.parts(text))
+    alone, merge = [], bpe.Merger.merge
+    monkeypatch.setattr(bpe.Merger, "merge", lambda self, word: alone.append(word) or merge(self, word))
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 500)
+    encoder = bpe.Encoder(merger, None)
+    assert encoder.encode(text) == ids == encoder.encode(text)
+    assert all(len(w) > bpe.LONG_WORD_BYTES for w in alone)  # none of the others was merged by itself
+
+
+def test_words_are_found_together():
+    words = {w.encode(): [k, k + 1][: k % 3] for k, w in enumerate(["", "a", "ab", "able", "table", "tables", "cable", "é", "ée"])}
+    asked = [*words, b"t", b"abl", b"tablesx", b"x", b"\xff", b"able"]
+    for lexicon in (bpe.Lexicon(bpe.compile_lexicon(words)), bpe.Lexicon(bpe.compile_lexicon({}))):
+        assert lexicon.find_all(asked) == [lexicon.find(w) for w in asked]
+        assert lexicon.find_all([]) == []
+
+
 def test_empty_tables_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "one two", "x", 2)], "doc_id long, text string, ids string, decoded int")
     out = bpe.tokenized(docs)
