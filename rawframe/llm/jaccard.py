@@ -20,8 +20,9 @@ pairs are counted; a family too large for one task is dealt into blocks by size,
 of sizes that can be linked meet.
 
 Equal sets are one class from the start (rows are combined before they are exchanged) and aren't
-expanded. The sets are written once, a row a class, and all passes but the first and last read
-them there. An n-gram is known by 64 bits: two different ones in a pair of sets of a thousand
+expanded. What is exchanged for that is a text of each class, as a set takes more room than its text
+and doesn't compress; the set is made again from it. The sets are written once, a row a class, and
+all passes but the first and last read them there. An n-gram is known by 64 bits: two different ones in a pair of sets of a thousand
 n-grams each are taken for equal with a chance of about 5e-14.
 
 Defined results: null and empty texts, and texts without words, have no n-grams and no links; a
@@ -155,9 +156,9 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     return grams[new], np.searchsorted(owner[new], np.arange(n + 1))
 
 
-def with_sets(rows: DataFrame, text: Column, width: int, sets: bool) -> DataFrame:
-    """rows with n, s and t (size and a 128-bit hash of the text's set), and the set itself if asked for."""
-    whole = rows.select(F.struct(*rows.columns).alias("row"), text.alias("text"))
+def with_sets(rows: DataFrame, text: Column, width: int, sets: bool, kept: list[str] | None = None) -> DataFrame:
+    """The columns of rows that are kept (all by default) with n, s and t (size and a 128-bit hash of the text's set), and the set itself if asked for."""
+    whole = rows.select(F.struct(*(kept or rows.columns)).alias("row"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -570,8 +571,10 @@ def _counted(slim: DataFrame, sets: DataFrame, percent: int, family_sets: int, t
 
 def set_groups(docs: DataFrame, width: int, percent: int, long_list: int, family_sets: int, key: Column, text: Column) -> DataFrame:
     """(n, s, t, least, keeper, n_links) of each distinct set: the least id of its component, whether this set has it, its links."""
-    rows = with_sets(docs.select(F.coalesce(key.cast("bigint"), F.lit(NO_ID)).alias("id"), text.alias("text")), F.col("text"), width, True)
-    classes = rows.where("n > 0").groupBy("n", "s", "t").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("grams").alias("grams"))
+    rows = with_sets(docs.select(F.coalesce(key.cast("bigint"), F.lit(NO_ID)).alias("id"), text.alias("text")), F.col("text"), width, False)
+    # Any text of a class has its set.
+    classes = rows.where("n > 0").groupBy("n", "s", "t").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("text").alias("text"))
+    classes = with_sets(classes, F.col("text"), width, True, ["least", "copies"])
     classes = stage_table(classes.withColumn("rep", F.monotonically_increasing_id()), "sets")
     slim = classes.drop("grams")
     sizes = {r["n"]: r["sets"] for r in slim.where("n <= 64").groupBy("n").agg(F.count("*").alias("sets")).collect()}

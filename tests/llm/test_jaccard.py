@@ -108,6 +108,32 @@ def test_light_sets_alone_find_all_links(spark, monkeypatch):
     assert any(r["n_links"] for r in got)
 
 
+def test_sets_are_not_exchanged_to_find_equal_ones(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice("abcdefghijklmnop") for _ in range(1000))) for k in range(200)]
+    rows += [(1000 + k, "  ".join(t.upper().split())) for k, t in rows[:50]]
+    written, stage = [], J.stage_table
+
+    def total():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    def staged(df, name):
+        before = total()
+        out = stage(df, name)
+        if name == "sets":
+            written.append((total() - before, out.agg({"n": "sum"}).first()[0], out.count()))
+        return out
+
+    monkeypatch.setattr(J, "stage_table", staged)
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k % 1000 for k, _ in rows}
+    (sent, grams, classes), = written
+    assert classes == 200 and 0 < sent < 8 * grams  # an n-gram's number has eight bytes, a word here two
+
+
 def test_very_long_texts(spark):
     long = " ".join(f"w{k % 70000}" for k in range(200_000))
     rows = [(1, long), (2, long + " more"), (3, "x" * 3_000_000), (4, "X" * 3_000_000 + " "), (5, long[: len(long) // 2])]
