@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 #: Rows enter Python in batches of about so many bytes, unless the session has a setting of its own.
 ARROW_BYTES = 2 << 20
 _ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scope:
@@ -104,14 +105,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def _cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """What is run inside deletes its shuffle files at its end, not when the driver happens to collect garbage."""
+    before = spark.conf.get(_CLEANUP_SETTING, None)
+    spark.conf.set(_CLEANUP_SETTING, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP_SETTING) if before is None else spark.conf.set(_CLEANUP_SETTING, before)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost
-    executor costs no more than the task it ran. The table belongs to the scope around, if there is one."""
+    executor costs no more than the task it ran. Shuffle files go as soon as the table is written, as nothing
+    reads them again. The table belongs to the scope around, if there is one."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if (own := _SCOPE.get()) is not None:
         own.owns(path)
-    df.write.parquet(path)
+    with _cleaned_up(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,10 +19,12 @@ components of what is left are the families. Each set then travels to its family
 pairs are counted; a family too large for one task is dealt into blocks by size, and only blocks
 of sizes that can be linked meet.
 
-Equal sets are one class from the start (rows are combined before they are exchanged) and aren't
-expanded. What is exchanged for that is a text of each class, as a set takes more room than its text
-and doesn't compress; the set is made again from it. The sets are written once, a row a class, and
-all passes but the first and last read them there. An n-gram is known by 64 bits: two different ones in a pair of sets of a thousand
+Equal sets are one class from the start and aren't expanded. The first pass keeps of each row its id and
+a hash of its set, and these are grouped. A filter of the sets that several rows have then lets all other
+rows' sets be written where they are read; of the rows it holds back, a second filter chooses those
+that may have a class's least id, and only their texts are exchanged (a set takes more room than its text
+and doesn't compress), combined and made sets again. The sets are written once, a row a class, and
+all later passes read them there. An n-gram is known by 64 bits: two different ones in a pair of sets of a thousand
 n-grams each are taken for equal with a chance of about 5e-14.
 
 Defined results: null and empty texts, and texts without words, have no n-grams and no links; a
@@ -41,6 +43,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +64,7 @@ ROUNDS = 4
 #: Sets, and n-grams, that a task counts the pairs of at once.
 FAMILY_SETS = 1_000
 FAMILY_GRAMS = 1_000_000
-#: Sets that can't be in a family are sieved out by so many bits (as a power of two: four megabytes).
+#: Rows and sets are sieved by so many bits (as a power of two: four megabytes).
 SIEVE = 25
 #: N-grams of sets that a pass has in hand at a time.
 SLICE_GRAMS = 1 << 18
@@ -70,8 +73,9 @@ SLICE_ENTRIES = 1 << 19
 PAIRED_ENTRIES = 1 << 16
 #: Pairs that are kept before equal ones are added up.
 MOST_PAIRS = 1 << 21
-#: A light set shows at most so many subsets.
+#: A light set shows at most so many subsets, and all of them one for so many n-grams of all sets.
 MOST_SUBSETS = 1 << 17
+GRAMS_A_SUBSET = 8
 #: A subset's entry takes the room in a bucket of so many bytes of n-grams, of which about a fifth enter lists.
 ENTRY_BYTES = 40
 _IN_WORD = byte_class(r"[^\x20\x09-\x0D]")
@@ -110,11 +114,13 @@ def shown(n: int, light: int, percent: int) -> int:
     return sum(comb(n, c) for c in subset_sizes(n, light, percent))
 
 
-def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
+def boundary(sizes: dict[int, int], list_length: float, percent: int, most: float = float("inf")) -> int:
     """The largest size of a light set, by the numbers of sets of each (small) size.
 
     A light set costs its subsets, and its lists too if it can be linked with a heavy one. A
-    heavy set costs its lists: one for itself in each, and its n-grams for each set met there."""
+    heavy set costs its lists: one for itself in each, and its n-grams for each set met there.
+    Lists grow with the input, so by cost alone a set would show ever more subsets; as these are
+    exchanged, the light sets show at most `most` in all."""
 
     def scanned(n: int) -> float:
         return int(prefix(n, percent)) * (1 + max(0.0, list_length - 1) * n)
@@ -134,6 +140,8 @@ def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
         # One set of this size alone would cost more than no enumeration at all, or show too much, as any larger one does.
         if light > max(sizes, default=0) or shown(light, light, percent) > min(costs[0], MOST_SUBSETS):
             return int(np.argmin(costs))
+        if sum(sets * shown(n, light, percent) for n, sets in sizes.items() if n <= light) > most:
+            return int(np.argmin(costs))
         costs.append(whole(light))
 
 
@@ -156,8 +164,10 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     return grams[new], np.searchsorted(owner[new], np.arange(n + 1))
 
 
-def with_sets(rows: DataFrame, text: Column, width: int, sets: bool, kept: list[str] | None = None) -> DataFrame:
-    """The columns of rows that are kept (all by default) with n, s and t (size and a 128-bit hash of the text's set), and the set itself if asked for."""
+def with_sets(rows: DataFrame, text: Column, width: int, sets: bool, kept: list[str] | None = None, chosen: Callable[..., np.ndarray] | None = None) -> DataFrame:
+    """The columns of rows that are kept (all by default) with n, s and t (size and a 128-bit hash of the text's set), and the set itself if asked for.
+
+    With chosen, only those rows that it is true for, by arrays of the kept columns (as structs), n, s and t."""
     whole = rows.select(F.struct(*(kept or rows.columns)).alias("row"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +181,8 @@ def with_sets(rows: DataFrame, text: Column, width: int, sets: bool, kept: list[
                 if sets:
                     ends = (first * 8).astype(np.int32)
                     columns.append(pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(grams)]))
-                yield pa.RecordBatch.from_arrays(columns, ["row", "n", "s", "t", "grams"][: len(columns)])
+                out = pa.RecordBatch.from_arrays(columns, ["row", "n", "s", "t", "grams"][: len(columns)])
+                yield out if chosen is None else out.filter(pa.array(chosen(columns[0], np.diff(first), s, t)))
 
     described = map_arrow(whole, run, f"row {whole.schema['row'].dataType.simpleString()}, n bigint, s bigint, t bigint" + ", grams binary" * sets)
     return described.select("row.*", *described.columns[1:])
@@ -511,29 +522,61 @@ def _last_ones(classes: DataFrame, percent: int, bits: int, long_list: int) -> t
     return last, float(usual)
 
 
+def sieve(bits: DataFrame) -> Broadcast:
+    """A filter in which the bits (b, less than 2^SIEVE) are set, whatever their number."""
+    words = bits.groupBy(F.shiftright("b", 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    found = words.toPandas()
+    table = np.zeros(1 << (SIEVE - 6), np.int64)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return shared(bits.sparkSession, table)
+
+
+def held(filter_: Broadcast, b: np.ndarray) -> np.ndarray:
+    """Which of the bits are set in a filter."""
+    return ((filter_.value.view(np.uint64)[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 def sieved(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of sets whose rep may be among those of wanted, by a filter of 2^SIEVE bits.
 
     None that is wanted is lost. The filter's size is fixed: with very many wanted ones it lets more
     through, and what it spares is only a part of the exchange that follows."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SIEVE))
-    words = wanted.select(bit("rep").alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    found = words.toPandas()
-    table = np.zeros(1 << (SIEVE - 6), np.int64)
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    sent = shared(sets.sparkSession, table)
+    sent = sieve(wanted.select(bit("rep").alias("b")))
     names = sets.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value.view(np.uint64)
         for batch in batches:
-            b = batch.column(len(names)).to_numpy()
-            hit = (own[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(hit.astype(bool)))
+            hit = held(sent, batch.column(len(names)).to_numpy())
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(hit))
 
     return map_arrow(sets.select(*names, bit("rep").alias("_bit")), run, sets.schema)
 
 
+def class_sets(texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(least, copies, n, s, t, grams): each distinct set of texts (id, text) once; rows (id, n, s, t) says which row has which set.
+
+    Only texts whose set is another row's too, and of these little more than one a set, are exchanged. Both filters are of
+    2^SIEVE bits: with very many copied sets they let more texts through, which changes nothing else."""
+    last = (1 << SIEVE) - 1
+    # The sets' hashes are mixed, so their bits are as good as any.
+    bit = F.col("s").bitwiseAND(F.lit(last))
+    counts = stage_table(rows.where("n > 0").groupBy("n", "s", "t").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "counts")
+    bits = counts.where("copies > 1").select(bit.alias("b")).distinct()
+    several = sieve(bits)
+    # The sets whose bit is set, copied or not.
+    marked = stage_table(counts.withColumn("b", bit).join(bits, "b", "left_semi").drop("b"), "marked")
+    firsts = sieve(marked.select(F.col("t").bitwiseXOR(F.col("least")).bitwiseAND(F.lit(last)).alias("b")))
+    alone = lambda row, n, s, t: (n > 0) & ~held(several, s & last)
+    may_be_first = lambda row, n, s, t: (n > 0) & held(several, s & last) & held(firsts, (t ^ row.field("id").to_numpy()) & last)
+    own = with_sets(texts, F.col("text"), width, True, ["id"], alone).select(F.col("id").alias("least"), F.lit(1).cast("bigint").alias("copies"), "n", "s", "t", "grams")
+    # Any text of a class has its set.
+    met = with_sets(texts, F.col("text"), width, False, ["id", "text"], may_be_first).select("n", "s", "t", "text")
+    known = marked.select("n", "s", "t", F.lit(None).cast("string").alias("text"), "least", "copies")
+    one = met.unionByName(known, True).groupBy("n", "s", "t").agg(F.first("text", True).alias("text"), F.max("least").alias("least"), F.max("copies").alias("copies"))
+    return own.unionByName(with_sets(one, F.col("text"), width, True, ["least", "copies"]))
+
+
 def _counted(slim: DataFrame, sets: DataFrame, percent: int, family_sets: int, tasks: int) -> DataFrame:
     """(row, root, links) from slim (rep, family, copies, n) and the sets (rep, grams): the pairs of each family counted.
 
@@ -569,12 +612,13 @@ def _counted(slim: DataFrame, sets: DataFrame, percent: int, family_sets: int, t
     return sent.groupBy("task", "low", "high").applyInArrow(tidy(lambda t: _counted_families(t, percent)), "row bigint, root bigint, links bigint")
 
 
-def set_groups(docs: DataFrame, width: int, percent: int, long_list: int, family_sets: int, key: Column, text: Column) -> DataFrame:
-    """(n, s, t, least, keeper, n_links) of each distinct set: the least id of its component, whether this set has it, its links."""
-    rows = with_sets(docs.select(F.coalesce(key.cast("bigint"), F.lit(NO_ID)).alias("id"), text.alias("text")), F.col("text"), width, False)
-    # Any text of a class has its set.
-    classes = rows.where("n > 0").groupBy("n", "s", "t").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("text").alias("text"))
-    classes = with_sets(classes, F.col("text"), width, True, ["least", "copies"])
+def set_groups(docs: DataFrame, width: int, percent: int, long_list: int, family_sets: int, key: Column, text: Column) -> tuple[DataFrame, DataFrame]:
+    """(n, s, t, least, keeper, n_links) of each distinct set: the least id of its component, whether this set has it, its links.
+
+    With it (id, n, s, t) of each row, where a missing id is null."""
+    rows = stage_table(with_sets(docs.select(key.cast("bigint").alias("id"), text.alias("text")), F.col("text"), width, False, ["id"]), "rows")
+    known = F.coalesce("id", F.lit(NO_ID)).alias("id")
+    classes = class_sets(docs.select(key.cast("bigint").alias("id"), text.alias("text")).select(known, "text"), rows.select(known, "n", "s", "t"), width)
     classes = stage_table(classes.withColumn("rep", F.monotonically_increasing_id()), "sets")
     slim = classes.drop("grams")
     sizes = {r["n"]: r["sets"] for r in slim.where("n <= 64").groupBy("n").agg(F.count("*").alias("sets")).collect()}
@@ -582,7 +626,7 @@ def set_groups(docs: DataFrame, width: int, percent: int, long_list: int, family
     bits_of = lambda size: (1 << max(7, size // BUCKET_BYTES).bit_length()).bit_length() - 1
     bits = bits_of(total * 8)
     last, usual = _last_ones(classes, percent, bits, long_list)
-    light = boundary(sizes, usual, percent)
+    light = boundary(sizes, usual, percent, total / GRAMS_A_SUBSET)
     # Subsets are entries of lists too: with very many, there are more buckets.
     subsets = sum(k * shown(n, light, percent) for n, k in sizes.items() if n <= light)
     list_bits = bits_of(total * 8 + subsets * ENTRY_BYTES)
@@ -604,17 +648,16 @@ def set_groups(docs: DataFrame, width: int, percent: int, long_list: int, family
         F.coalesce("first.least", "least").alias("least"),
         (F.coalesce("first.rep", "rep") == F.col("rep")).alias("keeper"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-    )
+    ), rows
 
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, long_list: int = LONG_LIST, family_sets: int = FAMILY_SETS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of each document.
 
     Two documents are linked when 100 |A and B| >= percent |A or B| for their sets."""
-    groups = set_groups(docs, width, percent, long_list, family_sets, F.col(key), F.col(text)).select("n", "s", "t", "least", "n_links")
-    rows = with_sets(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), F.col("text"), width, False).drop("text")
+    groups, rows = set_groups(docs, width, percent, long_list, family_sets, F.col(key), F.col(text))
     known = F.when(F.col("least") != NO_ID, F.col("least"))
-    return rows.join(groups, ["n", "s", "t"], "left").select(
+    return rows.withColumnRenamed("id", "doc_id").join(groups.select("n", "s", "t", "least", "n_links"), ["n", "s", "t"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce(known, F.col("doc_id")).alias("component_id"),
@@ -627,8 +670,8 @@ def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, key:
 
     Of rows with that id and the same set, the one with the least hash of the whole row stays.
     Rows are combined by id and set before they are exchanged, once, and meet the sets' keepers."""
-    groups = set_groups(docs, width, percent, long_list, family_sets, F.col(key), F.col(text)).where("keeper")
-    keepers = groups.select("n", "s", "t", F.col("least").alias("id"), F.lit(True).alias("keeper"))
+    groups, _ = set_groups(docs, width, percent, long_list, family_sets, F.col(key), F.col(text))
+    keepers = groups.where("keeper").select("n", "s", "t", F.col("least").alias("id"), F.lit(True).alias("keeper"))
     rows = with_sets(docs.select(F.struct(*docs.columns).alias("doc")), F.col(f"doc.`{text}`"), width, False)
     # A row without a set stays whatever its id: a number of its own takes the place of the set's hash.
     rows = rows.withColumn("id", F.coalesce(F.col(f"doc.`{key}`").cast("bigint"), F.lit(NO_ID))).withColumn("s", F.when(F.col("n") == 0, F.monotonically_increasing_id()).otherwise(F.col("s")))

@@ -134,6 +134,51 @@ def test_sets_are_not_exchanged_to_find_equal_ones(spark, monkeypatch):
     assert classes == 200 and 0 < sent < 8 * grams  # an n-gram's number has eight bytes, a word here two
 
 
+def test_only_texts_with_copied_sets_are_exchanged(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice("abcdefghijklmnop") for _ in range(1000))) for k in range(200)] + [(1000, ""), (1001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    written, stage = {}, J.stage_table
+
+    def total():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    def staged(df, name):
+        before = total()
+        out = stage(df, name)
+        written.setdefault(name, total() - before)
+        return out
+
+    monkeypatch.setattr(J, "stage_table", staged)
+    # Of copied texts one goes: here some 300 000 bytes, where three tasks would send that each.
+    for several, most in ((1, 20_000), (5, 400_000)):
+        written.clear()
+        copied = docs.selectExpr("doc_id", "text", f"explode(sequence(0, {several - 1})) AS k").selectExpr("doc_id + 10000 * k AS doc_id", "text").repartition(3).cache()
+        got = J.jaccard_join(copied).collect()
+        assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in got if r["doc_id"] % 10000 < 1000} == {k + 10000 * c: (k, several - 1) for k, _ in rows[:200] for c in range(several)}
+        assert written["sets"] < most, several
+
+
+@pytest.mark.parametrize("bits", [6, 25])
+def test_small_filters_lose_no_set(spark, monkeypatch, bits):
+    monkeypatch.setattr(J, "SIEVE", bits)
+    rows = made(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, J.jaccard_join(docs).collect())) == brute(rows, 4, 85)
+
+
+def test_light_sets_show_no_more_subsets_the_longer_the_lists_are():
+    sizes = {n: 100 for n in range(1, 60)}
+    for times in (1, 10, 100):
+        grown = {n: k * times for n, k in sizes.items()}
+        grams = sum(n * k for n, k in grown.items())
+        light = J.boundary(grown, 50.0 * times, 85, grams / J.GRAMS_A_SUBSET)
+        assert light > 0 and sum(k * J.shown(n, light, 85) for n, k in grown.items() if n <= light) <= grams / J.GRAMS_A_SUBSET
+
+
 def test_very_long_texts(spark):
     long = " ".join(f"w{k % 70000}" for k in range(200_000))
     rows = [(1, long), (2, long + " more"), (3, "x" * 3_000_000), (4, "X" * 3_000_000 + " "), (5, long[: len(long) // 2])]

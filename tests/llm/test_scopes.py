@@ -1,4 +1,5 @@
 import os
+import time
 from urllib.parse import urlparse
 
 import corpus_pipeline
@@ -50,3 +51,15 @@ def test_scopes_nest(spark):
     assert not any(n.startswith("own-inner") for n in left(spark)) and gone is not None
     outer.close()
     assert not any(n.startswith("own-outer") for n in left(spark))
+
+
+def test_shuffle_files_go_when_a_table_is_staged(spark):
+    blocks = lambda: {b.name() for b in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()) if b.name().startswith("shuffle_")}
+    before = blocks()
+    rows = spark.range(1000).repartition(3)
+    staged = stage_table(rows.groupBy((rows.id % 7).alias("k")).count(), "shuffled")
+    left_by = time.time() + 20
+    while (after := blocks() - before) and time.time() < left_by:
+        time.sleep(0.2)
+    assert not after and staged.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
