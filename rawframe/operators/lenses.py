@@ -2,7 +2,7 @@
 
 A lens has up to four curves: distortion, the aberration of red and of blue, vignetting. Their knots are gathered
 once a lens (some hundreds at most), joined to the lenses, and the zoom found by grouped queries; the fits
-themselves are a few small arrays a lens, in Arrow batches. Curves are composed by looking one up
+themselves are a few small arrays a lens, in Arrow batches, of which some lenses are in hand at a time. Curves are composed by looking one up
 at what another one gives: the aberration at the radius that the distortion takes a point from, the
 distortion at the zoomed radius. If the fit of one plane isn't sound, the lens goes without any warp.
 
@@ -25,6 +25,8 @@ from . import tables
 
 # Radii a lens is sampled at, the weight outside the picture, the least gain.
 RADII, OUTSIDE, LEAST_GAIN = 512, 0.02, 0.1
+#: Lenses that a task fits at once.
+SOME_LENSES = 256
 CURVES = ("distortion", "red", "blue", "vignetting")
 # What values of a curve a lens can need.
 SANE = {"distortion": (0.5, 1.5), "red": (-0.02, 0.02), "blue": (-0.02, 0.02), "vignetting": (0.5, 16.0)}
@@ -70,7 +72,7 @@ _FIT = StructType([StructField("warps", ArrayType(ArrayType(DoubleType()))), Str
 def _fit(lens: dict) -> dict:
     """The polynomials of one lens, null where they aren't wanted or one of them isn't sound, and their greatest errors inside the picture."""
     out = dict.fromkeys(_FIT.fieldNames())
-    curve = {c: tuple(np.array([k[f] for k in lens[c]]) for f in ("radius", "value")) for c in CURVES}
+    curve = {c: lens[c] for c in CURVES}
     inside = lens["edge"] is not None and lens["edge"] >= _R
     weight = np.where(inside, 1.0, OUTSIDE)
     if lens["bend"] or lens["colour"]:
@@ -93,16 +95,27 @@ def _fit(lens: dict) -> dict:
     return out
 
 
+def _knots(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The radii and values of each lens's knots: parts of the column's own buffers, never objects."""
+    ends = np.cumsum([0, *column.value_lengths().to_numpy(zero_copy_only=False)])
+    radius, value = (column.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("radius", "value"))
+    return [(radius[i:j], value[i:j]) for i, j in zip(ends, ends[1:])]
+
+
 def _fits(lenses: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, _lens, _fit): each lens's struct with its fit."""
+    """(keys, _lens, _fit): each lens's struct with its fit. Its curves (_curves) aren't sent back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [_fit(lens) for lens in b.column("_lens").to_pylist()]
-            yield b.append_column("_fit", pa.array(found, kind))
+        for batch in batches:
+            for at in range(0, batch.num_rows, SOME_LENSES):
+                b = batch.slice(at, SOME_LENSES)
+                curves = b.column("_curves")
+                knots = zip(*(_knots(curves.field(c)) for c in CURVES))
+                found = [_fit(lens | dict(zip(CURVES, own))) for lens, own in zip(b.column("_lens").to_pylist(), knots)]
+                yield b.select([*keys, "_lens"]).append_column("_fit", pa.array(found, kind))
 
     kind = to_arrow_type(_FIT)
-    return lenses.mapInArrow(run, StructType([*lenses.schema.fields, StructField("_fit", _FIT)]))
+    return lenses.mapInArrow(run, StructType([*lenses.select(*keys, "_lens").schema.fields, StructField("_fit", _FIT)]))
 
 
 def corrections(lenses: DataFrame, knots: DataFrame, keys: list[str], mode: str) -> DataFrame:
@@ -143,8 +156,8 @@ def corrections(lenses: DataFrame, knots: DataFrame, keys: list[str], mode: str)
     )
     filling = asked.where(c("bend") & c("fit_frame")).select(*keys, c("width").cast("double").alias("width"), c("height").cast("double").alias("height"), c("distortion")["radius"].alias("radius"), c("distortion")["value"].alias("ratio"))
     zoomed = asked.join(tables.zooms(filling, keys).hint("merge"), keys, "left").withColumn("zoom", F.coalesce("zoom", F.lit(1.0)))
-    parts = [*CURVES, "unit", "camera", "edge", "zoom", "centre_x", "centre_y", "bend", "colour", "shade", "left_out", "oblong"]
-    fits = _fits(zoomed.select(*keys, F.struct(*parts).alias("_lens")), keys).select(*keys, *[c("_lens")[p].alias(p) for p in parts if p not in CURVES], "_fit.*")
+    parts = ["unit", "camera", "edge", "zoom", "centre_x", "centre_y", "bend", "colour", "shade", "left_out", "oblong"]
+    fits = _fits(zoomed.select(*keys, F.struct(*parts).alias("_lens"), F.struct(*CURVES).alias("_curves")), keys).select(*keys, *[c("_lens")[p].alias(p) for p in parts], "_fit.*")
     warped, shaded = c("warps").isNotNull(), c("gain").isNotNull()
     wanted = c("bend") | c("colour")
     notes = F.concat_ws("; ", F.when(c("oblong"), NOT_SQUARE), F.when(c("left_out"), NOT_THREE), F.when(wanted & ~warped, NO_WARP), F.when(c("shade") & ~shaded, NO_GAIN))

@@ -605,12 +605,15 @@ def versions_and_ids(spark, sf_dir):
 
 
 _KNOTS = 121
+#: Lenses whose knots a task makes: the suppliers are a small file, but each has some hundred times its size of knots.
+_LENSES_A_TASK = 250
 _SHAPES = {"distortion": "0.98 + a * x - b * x * x", "red": "(a - 0.03) * r / 40", "blue": "(b - 0.01) * x / 30", "vignetting": "1 + 0.5 * x + a * x * x"}
 
 
 def _lenses(spark, sf_dir):
     """A lens a supplier; every third has one plane only, every fourth has its centre beside the middle."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("lens"))
+    s = s.repartition(max(1, -(-s.count() // _LENSES_A_TASK)), "lens")
     off = F.when(F.col("lens") % 4 == 0, 10.0).otherwise(0.0)
     sizes = {"left": off, "top": off * 2, "width": F.lit(6000.0), "height": F.lit(4000.0), "active_width": off + 6000.0, "active_height": off * 3 + 4000.0, "planes": F.when(F.col("lens") % 3 == 0, 1).otherwise(3)}
     flags = {"square": True, "distortion_enabled": True, "ca_enabled": True, "vignetting_enabled": True, "vignetting_in_data": False, "fit_frame": False}

@@ -3,8 +3,10 @@
 import math
 import random
 import struct
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +128,33 @@ def test_corrections_against_numpy(spark, mode):
         assert made[10]["opcode_list"] is None
 
 
+def test_knots_are_read_from_their_buffers():
+    knots = [[(k + i / 100, k - i / 100) for i in range(n)] for k, n in enumerate([3, 0, 121, 2, 121] * 200)]
+    column = pa.array([[{"radius": r, "value": v} for r, v in own] for own in knots])
+    tracemalloc.start()
+    got = lenses._knots(column.slice(1, 990))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [list(zip(r.tolist(), v.tolist())) for r, v in got] == knots[1:991]
+    # As objects, these 48 906 knots took 16 MB.
+    assert peak < 4 << 20
+
+
+def test_fits_send_no_knots_back_and_take_some_lenses_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(lenses, "SOME_LENSES", 3)
+    plain = dict(unit=3600.0, camera=1.0, edge=1.0, zoom=1.0, bend=True, colour=False, shade=True)
+    rows = [(k, plain, {c: [{"radius": 0.0, "value": 1.0}, {"radius": 1.2, "value": 1.0 + k / 100}] for c in lenses.CURVES}) for k in range(10)]
+    knots = "array<struct<radius: double, value: double>>"
+    kinds = ", ".join(f"{n}: {'boolean' if isinstance(v, bool) else 'double'}" for n, v in plain.items())
+    df = spark.createDataFrame(rows, f"lens int, _lens struct<{kinds}>, _curves struct<{', '.join(f'{c}: {knots}' for c in lenses.CURVES)}>").coalesce(1)
+    made = lenses._fits(df, ["lens"])
+    assert made.columns == ["lens", "_lens", "_fit"]
+    got = {r["lens"]: r["_fit"] for r in made.collect()}
+    assert sorted(got) == list(range(10))
+    for k, fit in got.items():
+        assert np.polynomial.polynomial.polyval(0.36, fit["warps"][0]) == pytest.approx(1 + 0.6 / 1.2 * k / 100, abs=2e-3)
+
+
 def as_list(got):
     """The third list by the format's description."""
     centre = struct.pack(">2d", got["centre_x"], got["centre_y"])
