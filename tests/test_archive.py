@@ -52,6 +52,18 @@ def test_profiles(spark):
     assert every.where("verdict = 'chosen'").count() == 3
 
 
+def test_pictures_of_one_kind_meet_their_verdicts_in_many_tasks(spark):
+    pictures = spark.range(2000).select(F.col("id").alias("picture"), F.when(F.col("id") % 2 == 0, "A 1").alias("model"), F.when(F.col("id") % 4 < 2, 3).alias("planes"))
+    profiles = spark.range(30).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("profile"), F.when(F.col("id") % 3 == 0, "").otherwise("a1").alias("camera"), F.lit(3).alias("profile_planes"), (F.col("id") % 3).cast("int").alias("policy"))
+    made = archive.select_profiles(pictures, profiles)
+    assert made.columns == [*pictures.columns, *profiles.columns, "verdict"]
+    rows = made.withColumn("task", F.spark_partition_id()).groupBy("model", "planes").agg(F.countDistinct("picture").alias("p"), F.count("*").alias("n"), F.countDistinct("task").alias("tasks")).collect()
+    got = {(r["model"], r["planes"]): (r["p"], r["n"]) for r in rows}
+    # A picture without a model meets the ten profiles for any camera, whether its planes are known or not.
+    assert got == {("A 1", 3): (500, 15000), (None, 3): (500, 5000), ("A 1", None): (500, 15000), (None, None): (500, 5000)}
+    assert all(r["tasks"] > 8 for r in rows)
+
+
 def test_update_states(spark):
     sources = spark.createDataFrame([(1, 5, None, "a"), (2, 5, "s", "a"), (3, 6, None, "a"), (4, 5, "s", "b"), (5, 5, "t", "a"), (6, 5, None, "a")], "k int, size int, sidecar_md5 string, d string")
     records = spark.createDataFrame([(1, 5, "a", None), (2, 5, "a", None), (3, 5, "a", "s"), (4, 5, "a", "s"), (5, 5, "a", "s")], "k int, r_size int, r_md5 string, r_sidecar string")
